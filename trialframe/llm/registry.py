@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from trialframe.llm import quality_rules
+from trialframe.llm import language_id, packing, quality_rules, toxicity, url_filter, warc
 
 QUERIES = {
+    "op4_warc": warc.op4_warc,
+    "op5_packing": packing.op5_packing,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {
     "op7_quality_rules": quality_rules.ORACLE,
