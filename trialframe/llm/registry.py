@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from trialframe.llm import language_id, packing, quality_rules, toxicity, url_filter, warc
+from trialframe.llm import decontaminate, language_id, line_dedup, packing, quality_rules, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op4_warc": warc.op4_warc,
     "op5_packing": packing.op5_packing,
     "op6_url_filter": url_filter.op6_url_filter,
@@ -13,5 +15,6 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {
+    "op2_line_dedup": line_dedup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
 }
