@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trialframe.llm import decontaminate, language_id, line_dedup, packing, quality_rules, toxicity, url_filter, warc
+from trialframe.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -12,9 +12,11 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard,
     "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {
+    "op9_ngram_jaccard": jaccard_join.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
 }
