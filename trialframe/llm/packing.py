@@ -16,7 +16,6 @@ into whole windows. Extra columns do not take part. An empty table gives no piec
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm.common import WORD_RE, durable, small_batches, table
+from trialframe.llm.common import durable, slices, small_batches, span_hashes, table, word_spans
 
 WINDOW = 4096
 END_TOKEN = 2
@@ -34,7 +33,7 @@ OPEN_WINDOWS = 32
 #: A text is not cut for fewer tokens than these.
 LEAST_PIECE = 16
 #: Words that a worker's table holds before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Leftover windows that one merging task takes on average.
 MERGED_WINDOWS = 2048
 PIECES = "doc_id long, start long, length long, tokens binary, doc_tokens long, sequence_id long, offset long"
@@ -59,62 +58,97 @@ class Encoder:
         self.word_end = np.zeros(self.tok.get_vocab_size(), bool)
         for token, i in self.tok.get_vocab().items():
             self.word_end[i] = token.endswith("</w>")
-        self.find = re.compile(WORD_RE).findall
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[int, int] = {}  # hash of a word: its entry
         self.ids = np.full(1 << 16, self.end, np.uint32)
         self.used = 1
         self.start, self.size = np.zeros(1 << 15, np.int64), np.ones(1 << 15, np.int64)
         self.count = 1  # entry 0 is the end token
 
-    def _put(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        for name, need in (("ids", self.used + len(ids)), ("start", self.count + len(words)), ("size", self.count + len(words))):
+    def _put(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        for name, need in (("ids", self.used + len(ids)), ("start", self.count + len(keys)), ("size", self.count + len(keys))):
             held = getattr(self, name)
             if need > len(held):
                 setattr(self, name, np.concatenate([held, np.zeros(max(need, len(held)), held.dtype)]))
         self.ids[self.used : self.used + len(ids)] = ids
-        at = slice(self.count, self.count + len(words))
+        at = slice(self.count, self.count + len(keys))
         self.size[at] = sizes
         self.start[at] = self.used + np.cumsum(sizes) - sizes
-        self.index.update(zip(words, range(self.count, self.count + len(words)), strict=True))
+        self.index.update(zip(keys, range(self.count, self.count + len(keys)), strict=True))
         self.used += len(ids)
-        self.count += len(words)
+        self.count += len(keys)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, keys: list[int], words: list[str]) -> None:
         # Words of letters only are encoded many at a time: each ends with the only word-end token that it has.
-        plain = [w for w in words if w.lower().isalpha()]
-        rest = [w for w in words if not w.lower().isalpha()]
-        for k in range(0, len(plain), 1000):
-            part = plain[k : k + 1000]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+        letters = [w.lower().isalpha() for w in words]
+        plain = [(k, w) for k, w, x in zip(keys, words, letters, strict=True) if x]
+        rest = [(k, w) for k, w, x in zip(keys, words, letters, strict=True) if not x]
+        for lo in range(0, len(plain), 1000):
+            part = plain[lo : lo + 1000]
+            ids = np.array(self.tok.encode(" ".join([w for _, w in part]), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.word_end[ids])
             if len(ends) == len(part) and ends[-1] == len(ids) - 1:
-                self._put(part, ids, np.diff(np.r_[-1, ends]))
+                self._put([k for k, _ in part], ids, np.diff(np.r_[-1, ends]))
             else:
                 rest += part
         if rest:
-            got = [e.ids for e in self.tok.encode_batch(rest, add_special_tokens=False)]
-            self._put(rest, np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got]))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, each with the end token, and the n + 1 offsets."""
-        words = [self.find(t) if t else [] for t in texts]
-        new = {w for ws in words for w in ws} - self.index.keys()
-        if len(new) + self.count > self.limit:
-            self.clear()
-            new = {w for ws in words for w in ws}
-        if new:
-            self._learn(sorted(new))
-        index = self.index
-        entry = [i for ws in words for i in (*map(index.__getitem__, ws), 0)]
-        entry = np.array(entry, np.int64)
+            got = [e.ids for e in self.tok.encode_batch([w for _, w in rest], add_special_tokens=False)]
+            self._put([k for k, _ in rest], np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got]))
+
+    def _gather(self, entry: np.ndarray) -> np.ndarray:
+        """The ids of the entries end to end."""
         sizes = self.size[entry]
         ends = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.start[entry] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        last = np.cumsum([len(ws) + 1 for ws in words])
-        return ids, np.r_[0, ends[last - 1]] if len(last) else np.zeros(1, np.int64)
+        return self.ids[np.repeat(self.start[entry] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts (bytes end to end) end to end, each with the end token, and the n + 1 offsets."""
+        starts, ends, doc = closed_spans(buf, *word_spans(buf, offs))
+        keys, first, entry = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        if len(keys) + self.count > self.limit:
+            self.clear()
+        get, names = self.index.get, keys.tolist()
+        known = [get(k, 0) for k in names]
+        new = [j for j, e in enumerate(known) if not e]
+        if new:
+            raw = buf.tobytes()
+            at = first[new]
+            words = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            self._learn([names[j] for j in new], words)
+            for j in new:
+                known[j] = self.index[names[j]]
+        entry = np.array(known, np.int64)[entry]
+        last = np.searchsorted(doc, np.arange(len(offs) - 1), "right")
+        entry = np.insert(entry, last, 0)
+        bounds = np.r_[0, np.cumsum(self.size[entry])]
+        return self._gather(entry), bounds[np.r_[0, last + np.arange(1, len(last) + 1)]]
+
+
+_CLOSES = np.zeros(256, bool)
+_CLOSES[[ord(c) for c in ".,;:!?"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def closed_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Closing punctuation after a Latin letter as a word of its own: the tokenizer always parts them."""
+    if not len(starts):
+        return starts, ends, doc
+    low = (buf >= 0x80) & (buf <= 0xBF) & (buf != 0x97) & (buf != 0xB7)  # the letters from U+00C0 to U+00FF
+    letter = _LETTER[buf]
+    letter[1:] |= low[1:] & (buf[:-1] == 0xC3)
+    last = np.maximum.accumulate(np.where(_CLOSES[buf], -1, np.arange(len(buf))))[ends - 1]
+    cut = (last >= starts) & (last < ends - 1)
+    cut &= letter[np.maximum(last, 0)]
+    slot = np.arange(len(starts)) + np.r_[0, np.cumsum(cut)[:-1]]
+    n = len(starts) + int(cut.sum())
+    s, e, d = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    s[slot], e[slot], d[slot] = starts, np.where(cut, last + 1, ends), doc
+    more = slot[cut] + 1
+    s[more], e[more], d[more] = last[cut] + 1, ends[cut], doc[cut]
+    return s, e, d
 
 
 @lru_cache(maxsize=2)
@@ -241,10 +275,10 @@ def pack(
         def windows():
             packer, k = Packer(window, open_windows, least), 0
             for b in batches:
-                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for lo in range(0, len(ids), 256):
-                    tokens, offs = encoder(path, end).encode(texts[lo : lo + 256])
-                    for j, doc in enumerate(ids[lo : lo + 256]):
+                ids = b.column(0).to_pylist()
+                for lo, hi, buf, at in slices(b.column(1)):
+                    tokens, offs = encoder(path, end).encode(buf, at)
+                    for j, doc in enumerate(ids[lo:hi]):
                         for w in packer.add(doc, tokens[offs[j] : offs[j + 1]]):
                             yield base + k, w, False
                             k += 1
