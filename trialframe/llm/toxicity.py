@@ -30,6 +30,10 @@ PREFIXES = (4, 5, 6)  # bytes
 #: Labelled texts that the classifier is fitted on at most.
 MAX_LABELLED = 40_000
 SELECTED = 4096
+#: Least log odds ratio and toxic texts of a selected feature.
+LEAST_ODDS, LEAST_TEXTS = 2.0, 3
+#: Of the fit: pull of each weight towards 0, and what a toxic text counts against a clean one.
+RIDGE, POSITIVE_WEIGHT = 2e-4, 4.0
 THRESHOLD = 0.7
 
 _WORD = np.zeros(256, bool)
@@ -132,7 +136,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label:
 
 
 def select_features(rows: DataFrame) -> np.ndarray:
-    """The buckets whose presence tells most about a label, by the z of their log odds."""
+    """The buckets whose presence tells most about a label, by the z of their log odds ratio."""
 
     def count(batches):
         pos, neg, n = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32), [0, 0]
@@ -158,7 +162,8 @@ def select_features(rows: DataFrame) -> np.ndarray:
     a, b = float(totals[0].p), float(totals[0].n)
     odds = F.log((F.col("p") + 0.5) / (a - F.col("p") + 0.5)) - F.log((F.col("n") + 0.5) / (b - F.col("n") + 0.5))
     spread = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
-    best = sums.where("f >= 0").withColumn("z", F.abs(odds) / spread).where("z > 2").orderBy(F.desc("z"), "f").limit(SELECTED).collect()
+    # Only what speaks for toxicity: a sentence without such a feature has probability 0, so others would never count alone.
+    best = sums.where("f >= 0").withColumn("odds", odds).where((F.col("odds") > LEAST_ODDS) & (F.col("p") >= LEAST_TEXTS)).withColumn("z", F.col("odds") / spread).where("z > 2").orderBy(F.desc("z"), "f").limit(SELECTED).collect()
     return np.array(sorted(r.f for r in best), np.int64)
 
 
@@ -194,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     return train(chosen, got["y"].to_numpy(), got["s"].to_list(), got["f"].to_list())
 
 
-def train(buckets: np.ndarray, y: np.ndarray, sentence: list, feature: list, steps: int = 300, rate: float = 0.1, ridge: float = 1e-3) -> ToxicityModel:
+def train(buckets: np.ndarray, y: np.ndarray, sentence: list, feature: list, steps: int = 300, rate: float = 0.1, ridge: float = RIDGE, weight: float = POSITIVE_WEIGHT) -> ToxicityModel:
     """Adam on the noisy-or likelihood; a sentence without a selected feature has probability 0."""
     sizes = np.array([len(x) for x in feature])
     f = np.concatenate([np.asarray(x, np.int64) for x in feature]) if sizes.sum() else np.zeros(0, np.int64)
@@ -209,8 +214,8 @@ def train(buckets: np.ndarray, y: np.ndarray, sentence: list, feature: list, ste
         clean = np.exp(np.bincount(bag, np.log1p(-p), minlength=len(y)))
         out = np.clip(1 - clean, 1e-9, 1 - 1e-9)
         # d(-log likelihood)/dz of a sentence: p for a clean text, -p (1 - out) / out for a toxic one
-        g = np.where(t[bag], -p * (1 - out[bag]) / out[bag], p)
-        grad = np.r_[np.bincount(f, g[sent], minlength=len(w)) + ridge * len(y) * 0.01 * w, g.sum()] / max(1, len(y))
+        g = np.where(t[bag], -weight * p * (1 - out[bag]) / out[bag], p)
+        grad = np.r_[np.bincount(f, g[sent], minlength=len(w)) + ridge * len(y) * w, g.sum()] / max(1, len(y))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
