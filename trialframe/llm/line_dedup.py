@@ -154,6 +154,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             at += len(lines)
         return pd.DataFrame({"text": out, "n_lines": n_lines, "n_removed": n_removed})
 
+    cut = cut.asNondeterministic()  # else a filter on its result would run it a second time
     held = docs.drop("n_lines", "n_removed")
     joined = held.join(sized_broadcast(gone, size, BROADCAST_WINDOWS), held[f"`{id_col}`"] == F.col("__i"), "left")
     c = F.col("__cut")

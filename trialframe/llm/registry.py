@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from trialframe.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, toxicity, url_filter, warc
+from trialframe.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, perplexity, quality_rules, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_quality_perplexity": perplexity.op3_quality_perplexity,
     "op4_warc": warc.op4_warc,
     "op5_packing": packing.op5_packing,
     "op6_url_filter": url_filter.op6_url_filter,
