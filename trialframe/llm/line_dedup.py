@@ -11,7 +11,7 @@ are joined by a space; untouched lines stay as they are, byte for byte.
 
 Spark sees (window, document) once per pair, counted with partial sums, so that a window in a third of the documents
 is no large group; which windows repeat is written to the shared folder and joined back as a plain join, whose skewed
-side Spark can split. The windows to remove come back to their documents by broadcast if they are few, else by a join.
+side Spark can split. The windows to remove come back to their documents by a plain join on the id.
 
 Defined results: null and empty texts, and texts of fewer than three folded lines, stay. Rows with a null id stay and
 nothing is removed for their sake. Rows that share an id count as one document: nothing of one is removed for the
@@ -30,12 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm.common import _SLOT, durable, flat, mix, scratch, sized_broadcast, small_batches, span_hashes, table, word_spans
+from trialframe.llm.common import _SLOT, durable, flat, mix, small_batches, span_hashes, table, word_spans
 
 WINDOW = 3
 LEAST_WORDS = 10
-#: Windows to remove that may be broadcast (about 16 bytes each).
-BROADCAST_WINDOWS = 2_000_000
 
 _W, _S, _P = r"[^\x20\x09-\x0D]", r"[\x20\x09\x0B-\x0D]", r"[^\x20\x09-\x0D.,;:!?]"
 #: Up to three words, up to four that end no clause, one more.
@@ -130,11 +128,7 @@ def rebuilt(lines: list[list[str]], raw: list[str], key: np.ndarray, later: np.n
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with later occurrences removed from the text, and n_lines (folded lines before) and n_removed."""
-    spark = docs.sparkSession
-    path = scratch(spark)
-    removals(docs, id_col, text).write.parquet(path)
-    gone = spark.read.schema("i long, later array<long>, again array<long>").parquet(path)
-    size = gone.agg(F.coalesce(F.sum(F.size("later") + F.size("again")), F.lit(0))).first()[0]
+    gone = removals(docs, id_col, text)
     gone = gone.select(F.col("i").alias("__i"), F.col("later").alias("__later"), F.col("again").alias("__again"))
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
@@ -156,7 +150,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     cut = cut.asNondeterministic()  # else a filter on its result would run it a second time
     held = docs.drop("n_lines", "n_removed")
-    joined = held.join(sized_broadcast(gone, size, BROADCAST_WINDOWS), held[f"`{id_col}`"] == F.col("__i"), "left")
+    joined = held.join(gone, held[f"`{id_col}`"] == F.col("__i"), "left")
     c = F.col("__cut")
     return (
         joined.withColumn("__cut", cut(F.col(f"`{text}`"), "__later", "__again"))
