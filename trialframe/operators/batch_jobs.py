@@ -1,0 +1,31 @@
+"""Provider batches as event tables: expected and returned items, expiry, retries, dangling attempts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def with_expired(expected: DataFrame, returned: DataFrame, key: str) -> DataFrame:
+    """returned, and a row with status expired for each expected key that did not come back."""
+    lost = expected.select(key).distinct().join(returned.select(key).distinct(), key, "left_anti").withColumn("status", F.lit("expired"))
+    return returned.select(key, "status").unionByName(lost)
+
+
+def resubmits(results: DataFrame, retried: DataFrame, key: str) -> DataFrame:
+    """Expired keys that were not retried yet."""
+    return results.where("status = 'expired'").select(key).distinct().join(retried.select(key).distinct(), key, "left_anti")
+
+
+def dangling(events: DataFrame, file: str) -> DataFrame:
+    """Files with an intent that was never submitted."""
+    flags = events.groupBy(file).agg(F.max(F.col("event") == "intent").alias("intent"), F.max(F.col("event") == "submitted").alias("submitted"), F.count("*").alias("events"))
+    return flags.where("intent and not submitted")
+
+
+def batch_status(provider_status, mapping: dict[str, str]):
+    """The common status of a provider's; an unknown one raises."""
+    out = F.raise_error(F.concat(F.lit("unknown batch status "), provider_status)).cast("string")
+    for theirs, ours in mapping.items():
+        out = F.when(provider_status == theirs, F.lit(ours)).otherwise(out)
+    return out
