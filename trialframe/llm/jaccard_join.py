@@ -6,7 +6,7 @@ A text's set is its distinct k-word shingles, hashed to 64 bits. Equal sets are
    size class are split, by a hash of each shingle, into the same number of parts, more than D of them filled; then at
    least one filled part must be equal in both. A set emits one signature per part, for its own size class and, where
    the threshold lets it reach a set of the next class, for that one too. Single shingles make poor signatures, as a
-   passage that many texts share makes them frequent; so parts of fewer than three shingles are left out where enough
+   passage that many texts share makes them frequent; so parts of fewer than two or three shingles are left out where enough
    others remain for the guarantee (tier A), and are added where not (tier B); a set for which even the filled parts do
    not suffice gets its class's common signature (tier C).
 2. Candidates. Signatures are sorted within hash partitions and streamed: each run of one signature gives edges to its
@@ -58,11 +58,12 @@ class Sizes:
 
     def __init__(self, percent: int):
         self.percent = percent
-        s = percent / 100
         self.slack = Fraction(100 - percent, 100 + percent)
+        #: Parts of fewer shingles are poor signatures; at low thresholds parts are small.
+        self.least = 3 if percent >= 85 else 2 if percent >= 75 else 1
         bounds = [1]
         while bounds[-1] < 1 << 40:
-            bounds.append(max(bounds[-1] + 1, math.ceil(bounds[-1] / (s * s))))
+            bounds.append(max(bounds[-1] + 1, bounds[-1] * 2))
         self.bounds = np.array(bounds, np.int64)
         widest = [float(self.slack) * 2 * b for b in bounds[1:]]
         self.parts = np.array([math.ceil(1.12 * w) + 4 for w in widest], np.int64)
@@ -122,7 +123,7 @@ def signatures(h: np.ndarray, offs: np.ndarray, sizes: Sizes) -> tuple[np.ndarra
         total = np.add.reduceat(value, first)
         d, p = doc[order][first], part[order][first]
         key = mix(total + mix(p.astype(np.uint64) * _PART + k[d].astype(np.uint64) * _SUM))
-        large = count >= 3
+        large = count >= sizes.least
         safe_a = np.bincount(d[large], minlength=len(n)) > apart
         safe_b = np.bincount(d, minlength=len(n)) > apart
         sig.append(key[large])
