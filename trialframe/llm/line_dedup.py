@@ -1,7 +1,7 @@
 """Line dedup: overlapping windows of three consecutive lines, found globally; later occurrences are removed.
 
 Long lines are folded first, so that a passage inside a paragraph is found as well: a folded line ends at the first
-clause end from its fourth word on, at its eighth word, or with the line. Since folds follow the words, two copies of
+clause end or long word from its fourth word on, at its eighth word, or with the line. Since folds follow the words, two copies of
 a passage fold alike soon after their beginnings, wherever they stand.
 
 A window is the hash of three consecutive folded lines of at least `LEAST_WORDS` words together. Its first occurrence
@@ -36,8 +36,8 @@ WINDOW = 3
 LEAST_WORDS = 10
 
 _W, _S, _P = r"[^\x20\x09-\x0D]", r"[\x20\x09\x0B-\x0D]", r"[^\x20\x09-\x0D.,;:!?]"
-#: Up to three words, up to four that end no clause, one more.
-FOLD = rf"(?:{_W}+{_S}+){{0,3}}(?:{_W}*{_P}{_S}+){{0,4}}{_W}+"
+#: Up to three words, up to four that are short and end no clause, one more.
+FOLD = rf"(?:{_W}+{_S}+){{0,3}}(?:{_W}{{0,8}}{_P}{_S}+){{0,4}}{_W}+"
 _find = re.compile(FOLD).findall
 
 

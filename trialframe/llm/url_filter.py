@@ -139,21 +139,20 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, tail[: min([k for k in map(tail.find, "?#") if k >= 0], default=len(tail))]
 
 
-def fit(labelled: pd.DataFrame, steps: int = 400, rate: float = 2.0, ridge: float = 1e-4) -> UrlModel:
-    """Full-batch gradient descent with balanced classes."""
+def fit(labelled: pd.DataFrame, steps: int = 400, rate: float = 2.0, ridge: float = 1e-4, bias: float = -1.0) -> UrlModel:
+    """Full-batch gradient descent with balanced classes; the fixed bias lets through what shows no n-gram at all."""
     if len(labelled) > MAX_LABELLED:
         raise ValueError(f"the labelled URL table has {len(labelled)} rows; at most {MAX_LABELLED} are taken")
     host, path = zip(*map(split_url, labelled["url"]), strict=True)
     b, a, v = features(list(host), list(path))
     y = labelled["unwanted"].to_numpy(float)
     share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    w, bias = np.zeros(BUCKETS), 0.0
+    w = np.zeros(BUCKETS)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(np.bincount(a, w[b] * v, minlength=len(y)) + bias)))
         g = (p - y) * share
         w -= rate * 10 * (np.bincount(b, g[a] * v, minlength=BUCKETS) + ridge * w)
-        bias -= rate * g.sum()
-    return UrlModel(w.astype(np.float32), float(bias))
+    return UrlModel(w.astype(np.float32), bias)
 
 
 def judge(df: DataFrame, url: str = "url", rules=RULES, model: UrlModel | None = None, threshold: float = 0.5) -> DataFrame:
