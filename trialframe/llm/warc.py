@@ -33,6 +33,8 @@ ARC_FIELDS = {
     "1": b"URL IP-address Archive-date Content-type Archive-length",
     "2": b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+#: Archives are large and written once: the fastest level of gzip, as Hadoop's codec names it.
+GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 #: Records in one archive file, its version record included.
 FILE_RECORDS = 10_000
 #: Payloads below so many bytes are never revisits.
@@ -141,7 +143,7 @@ def write_arc(pages: DataFrame, path: str, item: str, url: str, body: str, date:
         yield from _text(records())
 
     small_batches(pages.sparkSession)
-    rows.mapInArrow(build, "value string").write.options(lineSep="\n", compression="gzip", maxRecordsPerFile=str(FILE_RECORDS)).text(path)
+    rows.mapInArrow(build, "value string").write.options(lineSep="\n", maxRecordsPerFile=str(FILE_RECORDS), **GZIP).text(path)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -267,7 +269,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         yield from _text(warc_record(r) for batch in batches for r in batch.to_pylist())
 
     small_batches(records.sparkSession, 500)
-    records.mapInArrow(build, "value string").write.options(lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=str(FILE_RECORDS)).text(path)
+    records.mapInArrow(build, "value string").write.options(lineSep="\r\n\r\n", maxRecordsPerFile=str(FILE_RECORDS), **GZIP).text(path)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
