@@ -221,3 +221,18 @@ def test_gates(spark):
     assert one(spark, expr.uplift(F.col("c"), F.col("b"), "min"), c=1.2, b=0.0) == pytest.approx(-1200)
     assert one(spark, metrics.preference_loss(F.lit(0.0))) == pytest.approx(math.log(2))
     assert one(spark, metrics.normalized(F.lit(5.0), F.lit(4.0), F.lit(2.0))) == 1.0
+
+
+def test_running_sums_equal_windows(spark):
+    from pyspark.sql import Window
+
+    from trialframe.operators.ranges import numbered, numeric_bucket, running
+
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 50 != 0, F.col("id") * 37 % 401).alias("s"), F.col("id").alias("v")).withColumn("g", F.when(F.col("g") > 0, F.col("g")))
+    order = [F.asc_nulls_first("s"), F.col("v")]
+    out = running(df, ["g"], numeric_bucket(df, "s", 8), order, {"t": F.col("v")})
+    w = Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    assert out.count() == 500 and out.withColumn("want", F.sum("v").over(w)).where("t <> want").count() == 0
+    n = numbered(df, [], numeric_bucket(df, "s", 8), order, "n")
+    assert sorted(r.n for r in n.collect()) == list(range(1, 501))
+    assert numbered(df.limit(0), [], numeric_bucket(df.limit(0), "s"), order, "n").count() == 0

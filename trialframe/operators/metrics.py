@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.functions.expr import safe_div
+from trialframe.operators.ranges import numeric_bucket, running
 
 
 def confusion(df: DataFrame, truth: Column, predicted: Column, by: list[str]) -> DataFrame:
@@ -22,24 +23,22 @@ def confusion(df: DataFrame, truth: Column, predicted: Column, by: list[str]) ->
 def rank_auc(df: DataFrame, positive: Column, score: Column, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by average ranks; NaN where only one class occurs.
 
-    Scores are counted by value first, so the ordered pass runs over distinct scores and their counts; an ungrouped
-    AUC of many distinct scores is ranked within partitions of the score's range, whose sums are few.
+    Scores are counted by value first; the negatives below each score are a running sum over distinct scores.
     """
     keys = list(by or [])
     held = df.select(*keys, positive.alias("y"), score.alias("s")).where("s is not null and y is not null")
     counts = held.groupBy(*keys, "s").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
-    below = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1) if keys else Window.partitionBy(F.lit(0)).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
-    sums = counts.withColumn("won", won).groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    summed = running(counts, keys, numeric_bucket(counts, "s"), [F.col("s")], {"reached": F.col("neg")})
+    won = F.col("pos") * (F.col("reached") - F.col("neg") + F.col("neg") / 2)
+    sums = summed.withColumn("won", won).groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     area = F.when((F.col("pos") == 0) | (F.col("neg") == 0), F.lit(float("nan"))).otherwise(F.col("won") / (F.col("pos") * F.col("neg").cast("double")))
     return sums.select(*keys, "pos", "neg", area.alias("auc"))
 
 
 def budget_threshold(df: DataFrame, score: str, budget: Column | int, by: list[str]) -> DataFrame:
     """(by, threshold, fires): the lowest score that at most budget rows reach; null where every score fires too often."""
-    counts = df.groupBy(*by, F.col(score).alias("s")).agg(F.count("*").alias("n"))
-    reached = F.sum("n").over(Window.partitionBy(*by).orderBy(F.desc("s")))
-    fits = counts.withColumn("reached", reached).withColumn("ok", F.col("reached") <= budget)
+    counts = df.groupBy(*by, F.col(score).cast("double").alias("s")).agg(F.count("*").alias("n"))
+    fits = running(counts, by, -numeric_bucket(counts, "s"), [F.desc("s")], {"reached": F.col("n")}).withColumn("ok", F.col("reached") <= budget)
     return fits.groupBy(*by).agg(F.min(F.when(F.col("ok"), F.col("s"))).alias("threshold"), F.coalesce(F.max(F.when(F.col("ok"), F.col("reached"))), F.lit(0)).cast("long").alias("fires"))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.functions.expr import order_free_digest, seeded_key, text_digest
+from trialframe.operators.ranges import hash_bucket, numbered
 
 SEED = 1729
 
@@ -21,12 +22,15 @@ def stratified_split(df: DataFrame, key: Column, by: list[str], train: float = 0
     """df with bucket train, valid or test, each stratum cut at rounded shares (half to even) of its seeded order."""
     if not (0 < train < 1 and 0 <= valid < 1 and train + valid <= 1 + 1e-9):
         raise ValueError("shares must be positive and sum to at most 1")
-    strata = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]
-    w = Window.partitionBy(*strata)
-    held = df.withColumn("__k", seeded_key(seed, key)).withColumns({"__r": F.row_number().over(w.orderBy("__k")), "__n": F.count("*").over(w)})
+    named = [f"__s{i}" for i in range(len(by))]
+    held = df.withColumns({n: F.coalesce(F.col(c).cast("string"), F.lit("")) for n, c in zip(named, by, strict=True)}).withColumn("__k", seeded_key(seed, key))
+    ranked = numbered(held, named, hash_bucket(F.col("__k")), [F.col("__k")], "__r")
+    sizes = held.groupBy(*named).agg(F.count("*").alias("__n"))
+    ranked = ranked.join(sizes, named) if named else ranked.crossJoin(F.broadcast(sizes))
     first = F.bround(F.col("__n") * F.lit(train), 0)
     second = first + F.bround(F.col("__n") * F.lit(valid), 0)
-    return held.withColumn("bucket", F.when(F.col("__r") <= first, "train").when(F.col("__r") <= second, "valid").otherwise("test")).drop("__k", "__r", "__n")
+    bucket = F.when(F.col("__r") <= first, "train").when(F.col("__r") <= second, "valid").otherwise("test")
+    return ranked.withColumn("bucket", bucket).select(*df.columns, "bucket")
 
 
 def overlaps(split: DataFrame, key: str) -> DataFrame:
@@ -41,9 +45,9 @@ def dataset_digest(df: DataFrame, text: Column, by: list[str]) -> DataFrame:
 
 def golden_sample(df: DataFrame, key: Column, stratum: str, size: int, seed: int = 7) -> DataFrame:
     """size rows of each stratum by seeded order, numbered from 1 in a second one."""
-    per = Window.partitionBy(stratum).orderBy(seeded_key(seed, key))
-    drawn = df.withColumn("__r", F.row_number().over(per)).where(F.col("__r") <= size).drop("__r")
-    return drawn.withColumn("number", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(seeded_key(f"order{seed}", key))))
+    drawn = numbered(df.withColumn("__k", seeded_key(seed, key)), [stratum], hash_bucket(F.col("__k")), [F.col("__k")], "__r").where(F.col("__r") <= size)
+    second = drawn.withColumn("__k", seeded_key(f"order{seed}", key))
+    return numbered(second, [], hash_bucket(F.col("__k")), [F.col("__k")], "number").select(*df.columns, F.col("number").cast("int").alias("number"))
 
 
 def short_strata(df: DataFrame, stratum: str, size: int) -> DataFrame:
@@ -55,6 +59,6 @@ def batch_plan(df: DataFrame, key: Column, size: int, epochs: int, seed: int = S
     """df repeated per epoch in a new seeded order, with the global position and batch number; epochs run on."""
     n = df.agg(F.count("*").alias("__n"))
     rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("__k", seeded_key(seed, F.col("epoch"), key))
-    within = F.row_number().over(Window.partitionBy("epoch").orderBy("__k")) - 1
-    held = rows.withColumn("__r", within).crossJoin(F.broadcast(n))
-    return held.withColumn("position", F.col("epoch") * F.col("__n") + F.col("__r")).withColumn("batch", F.floor(F.col("position") / size)).drop("__k", "__r", "__n")
+    held = numbered(rows, ["epoch"], hash_bucket(F.col("__k")), [F.col("__k")], "__r").crossJoin(F.broadcast(n))
+    placed = held.withColumn("position", F.col("epoch") * F.col("__n") + F.col("__r") - 1)
+    return placed.withColumn("batch", F.floor(F.col("position") / size)).select(*df.columns, "epoch", "position", "batch")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.functions.expr import prefix_masked
+from trialframe.operators.ranges import numbered, numeric_bucket
 
 
 def conversations(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
@@ -24,19 +25,15 @@ def sft_examples(chats: DataFrame, messages: str = "messages") -> DataFrame:
 def preference_pairs(chats: DataFrame, conv: str, answer: str) -> DataFrame:
     """chats with rejected: the answer of the next chat in order.
 
-    The next chat is looked up by its dense position, found per range of ids, so no global ordered window is needed.
+    The next chat is looked up by its dense position, so no global ordered window is needed.
     """
     nxt = chats.select((F.col("position") - 1).alias("position"), F.col(answer).alias("rejected"))
     return chats.join(nxt, "position")
 
 
-def dense_position(df: DataFrame, key: str, partitions: int = 64) -> DataFrame:
-    """df with position from 0 by key: ranks within ranges of the key plus the sizes of the ranges before."""
-    ranged = df.repartitionByRange(partitions, key).withColumn("__p", F.spark_partition_id())
-    held = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
-    sizes = held.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return held.join(F.broadcast(before), "__p").withColumn("position", F.col("__before") + F.col("__r") - 1).drop("__p", "__r", "__n", "__before")
+def dense_position(df: DataFrame, key: str) -> DataFrame:
+    """df with position from 0 by a numeric key."""
+    return numbered(df, [], numeric_bucket(df, key), [F.col(key)], "position").withColumn("position", F.col("position") - 1)
 
 
 def completion_mask(prompt_tokens: Column, all_tokens: Column, weight: float = 1.0) -> dict[str, Column]:

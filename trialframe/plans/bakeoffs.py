@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.functions.expr import seeded_number
 from trialframe.operators import bakeoff, gates, metrics
+from trialframe.operators.ranges import numbered, numeric_bucket, running
 from trialframe.plans.base import query, table
 
 
@@ -139,9 +140,8 @@ def corrected_gate(spark: SparkSession, d: str) -> DataFrame:
     """The candidate fires as often as the incumbent; where only one of them is right they win or lose."""
     g = gate_rows(spark, d)
     budget = g.agg(F.count_if(F.col("incumbent") > 0.1).alias("budget"))
-    one = g.withColumn("all", F.lit(1))
-    counts = one.groupBy("all", F.col("candidate").alias("s")).agg(F.count("*").alias("n"))
-    reached = counts.withColumn("reached", F.sum("n").over(Window.partitionBy("all").orderBy(F.desc("s")))).crossJoin(F.broadcast(budget))
+    counts = g.groupBy(F.col("candidate").alias("s")).agg(F.count("*").alias("n"))
+    reached = running(counts, [], -numeric_bucket(counts, "s"), [F.desc("s")], {"reached": F.col("n")}).crossJoin(F.broadcast(budget))
     thr = reached.where("reached <= budget").agg(F.min("s").alias("thr"))
     m = g.crossJoin(F.broadcast(thr)).withColumn("fired", F.coalesce(F.col("candidate") >= F.col("thr"), F.lit(False))).withColumn("was", F.col("incumbent") > 0.1)
     right, before = F.col("fired") == F.col("y"), F.col("was") == F.col("y")
@@ -179,8 +179,8 @@ SELECT q.arm, round(q.low, 6) AS low, round(q.high, 6) AS high, q.low > i.high A
 FROM q JOIN a ON q.arm = a.arm, (SELECT * FROM q WHERE arm = 'len') i, (SELECT * FROM a WHERE arm = 'len') ia""")
 def bootstrap_gate(spark: SparkSession, d: str) -> DataFrame:
     out = outputs(spark, d).where("field = 'exact'")
-    w = Window.partitionBy("arm")
-    s = out.select("arm", "vnum", (F.row_number().over(w.orderBy("item")) - 1).cast("long").alias("pos"), F.count("*").over(w).alias("n"))
+    placed = numbered(out.select("arm", "item", "vnum"), ["arm"], numeric_bucket(out, "item"), [F.col("item")], "pos")
+    s = placed.join(out.groupBy("arm").agg(F.count("*").alias("n")), "arm").select("arm", "vnum", (F.col("pos") - 1).alias("pos"), "n")
     q = gates.intervals(gates.bootstrap_means(s, "vnum", 100, ["arm"]), ["arm"]).join(out.groupBy("arm").agg(F.avg("vnum").alias("mean")), "arm")
     i = q.where("arm = 'len'").select(F.col("low").alias("il"), F.col("high").alias("ih"), F.col("mean").alias("im"))
     gate = gates.apart(F.col("low"), F.col("high"), F.col("il"), F.col("ih"), "max", F.col("mean") - F.col("im"), 0.01)

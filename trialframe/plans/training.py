@@ -29,7 +29,7 @@ SELECT * FROM (SELECT conv_id, chosen, lead(chosen) OVER (ORDER BY conv_id) AS r
 def dpo_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The last assistant turn of each conversation is preferred to that of the next."""
     a = table(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("chosen"))
-    placed = train_data.dense_position(a, "conv_id", 8)
+    placed = train_data.dense_position(a, "conv_id")
     return train_data.preference_pairs(placed, "conv_id", "chosen").select("conv_id", "chosen", "rejected")
 
 
