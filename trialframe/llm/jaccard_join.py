@@ -278,8 +278,8 @@ def _links(live: DataFrame, percent: int) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / s) * 2)
     # Sizes of similar value together; a random share of them where they are too many for one group.
     rows = live.withColumn("band", band)
-    whole = rows.groupBy("root").agg(F.sum("n").alias("all"))
     held = rows.groupBy("root", "band").agg(F.sum("n").alias("held"))
+    whole = held.groupBy("root").agg(F.sum("held").alias("all"))
     plan = held.join(whole, "root").select("root", "band", F.when(F.col("all") <= GROUP_TOKENS, 0).otherwise(F.ceil(F.col("held") / GROUP_TOKENS)).cast("int").alias("groups"))
     plan = durable(plan)
     part = F.when(F.col("groups") == 0, F.lit(-1)).otherwise(F.pmod(F.xxhash64("digest"), F.greatest(F.col("groups"), F.lit(1))).cast("int"))
