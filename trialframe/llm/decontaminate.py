@@ -218,3 +218,29 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", F.explode(matches(F.col("text"), table(spark, sf_dir, "benchmark"))).alias("m"))
     return found.select("doc_id", "m.item_id", F.round("m.similarity", 6).alias("similarity"), "m.start_word", "m.words")
+
+
+_RUN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: All windows that share a shingle with an item, by the definition of the similarity.
+ORACLE = rf"""
+WITH i AS (
+  SELECT item_id, w, len(w) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '{_RUN}') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)
+  WHERE len(w) >= {LEAST_WORDS}),
+ish AS (SELECT item_id, k, array_to_string(w[k:k+4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM i)),
+total AS (SELECT count(*) AS items FROM i),
+rarity AS (SELECT s, ln(1 + max(items) / count(DISTINCT item_id)) AS wt FROM ish, total GROUP BY s),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '{_RUN}') AS w FROM documents WHERE text IS NOT NULL),
+dsh AS (SELECT doc_id, k, array_to_string(w[k:k+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d)),
+c AS (SELECT DISTINCT doc_id, item_id, greatest(1, dsh.k - ish.k + 1) AS place FROM dsh JOIN ish ON dsh.s = ish.s),
+own AS (SELECT item_id, ish.s, count(*) AS m, max(wt) AS wt FROM ish JOIN rarity ON ish.s = rarity.s GROUP BY ALL),
+win AS (
+  SELECT c.doc_id, c.item_id, place, dsh.s, count(*) AS m
+  FROM c JOIN i ON i.item_id = c.item_id JOIN dsh ON dsh.doc_id = c.doc_id AND dsh.k BETWEEN place AND place + n - 5 GROUP BY ALL),
+sums AS (
+  SELECT win.doc_id, win.item_id, place, sum(coalesce(rarity.wt, ln(1 + items)) * win.m) AS theirs, coalesce(sum(own.wt * least(own.m, win.m)), 0) AS both_
+  FROM win LEFT JOIN rarity ON rarity.s = win.s LEFT JOIN own ON own.item_id = win.item_id AND own.s = win.s, total GROUP BY ALL),
+mine AS (SELECT item_id, sum(wt * m) AS mine FROM own GROUP BY item_id),
+sim AS (SELECT doc_id, sums.item_id, place, both_ / (theirs + mine - both_) AS sim FROM sums JOIN mine ON mine.item_id = sums.item_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(sim, 9) DESC, place) AS r FROM sim WHERE sim >= {SIMILARITY} - 1e-12)
+SELECT doc_id, best.item_id, round(sim, 6) AS similarity, (place - 1)::INT AS start_word, n::INT AS words FROM best JOIN i ON i.item_id = best.item_id WHERE r = 1
+"""

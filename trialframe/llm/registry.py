@@ -17,6 +17,8 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
 }
 ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op4_warc": warc.ORACLE,
     "op9_ngram_jaccard": jaccard_join.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,

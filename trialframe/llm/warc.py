@@ -311,5 +311,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_warc(spark, warc, payloads=False)
     return back.select(
         F.col("item_id").alias("page_id"), "payload_bytes", "payload_digest",
-        F.col("warc_type").alias("record_type"), F.col("refers_to_item").alias("refers_to"), "record_id", "target_uri",
+        F.col("warc_type").alias("record_type"), F.col("refers_to_item").alias("refers_to"),
     )
+
+
+ORACLE = f"""
+WITH q AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM q),
+r AS (SELECT *, payload_bytes >= {REVISIT_BYTES} AND page_id <> first AS again FROM m)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r
+"""
