@@ -107,3 +107,36 @@ def test_quiet_alarms_as_state(spark, tmp_path):
     out.writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
     got = sorted((r.entity, r.gap_s) for r in spark.table("quiet").collect())
     assert got == sorted((r.user_id, r.gap_s) for r in ledger.quiet_alarms(events, "user_id", "ts", 5400).collect())
+
+
+def test_versions_pointer_and_upserts(spark, tmp_path):
+    from trialframe.sources import versions as V
+
+    root = f"file://{tmp_path}/t"
+    assert V.versions(spark, root) == [] and V.current(spark, root) is None
+    with pytest.raises(KeyError):
+        V.read_current(spark, root)
+    df = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, o int")
+    first = V.upsert(df, root, ["k"], F.col("o"), "20240101")
+    second = V.upsert(spark.createDataFrame([(2, "x", 1), (2, "y", 2), (3, "z", 1)], df.schema), root, ["k"], F.col("o"), "20240102")
+    assert V.versions(spark, root) == [first, second] and first.startswith("v001-20240101-") and V.current(spark, root) == second
+    assert sorted((r.k, r.v) for r in V.read_current(spark, root).collect()) == [(1, "a"), (2, "y"), (3, "z")]
+    assert V.register(df.orderBy(F.desc("k")), root, "20240103")[-12:] == first[-12:]
+    assert V.rollback(spark, root) == first and V.doomed(spark, root, 1) == [second]
+    V.promote(spark, root, "v002")
+    assert V.current(spark, root) == second
+    with pytest.raises(KeyError, match="v009"):
+        V.promote(spark, root, "v009")
+
+
+def test_failure_budget_and_phases(spark, tmp_path):
+    from trialframe.sources import versions as V
+
+    rows = spark.createDataFrame([(1, True), (2, None)], "u int, failed boolean")
+    V.append_within_budget(rows, f"{tmp_path}/s", "failed", 1)
+    with pytest.raises(V.FailureBudgetExceeded, match="2 failures"):
+        V.append_within_budget(rows, f"{tmp_path}/s", "failed", 1)
+    phases = spark.createDataFrame([("built",)], "phase string")
+    V.require_phase(phases, "built")
+    with pytest.raises(LookupError):
+        V.require_phase(phases, "shipped")
