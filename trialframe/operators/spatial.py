@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEAR_X, NEAR_Y = 15.0, 10.0
+#: Side of a grid cell, in reaches.
+CELL = 4
 
 
 def centre(x: Column, y: Column, w: Column, h: Column) -> tuple[Column, Column]:
@@ -19,14 +21,14 @@ def descaled(v: Column, scale: Column, offset: Column) -> Column:
 
 
 def _cells(df: DataFrame, spread: bool) -> DataFrame:
-    """The grid cell of each token's centre, or that and its neighbours."""
+    """The grid cell of each token's centre, or all cells that its reach touches (2.25 on average)."""
     cx, cy = centre(*(F.col(c) for c in ("x", "y", "w", "h")))
     held = df.withColumns({"cx": cx, "cy": cy})
-    gx, gy = F.floor(F.col("cx") / NEAR_X), F.floor(F.col("cy") / NEAR_Y)
+    w, h = CELL * NEAR_X, CELL * NEAR_Y
     if not spread:
-        return held.withColumns({"gx": gx, "gy": gy})
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    return held.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumns({"gx": gx + F.col("dx"), "gy": gy + F.col("dy")}).drop("dx", "dy")
+        return held.withColumns({"gx": F.floor(F.col("cx") / w), "gy": F.floor(F.col("cy") / h)})
+    reach = lambda c, near, size: F.sequence(F.floor((c - near) / size), F.floor((c + near) / size))
+    return held.withColumn("gx", F.explode(reach(F.col("cx"), NEAR_X, w))).withColumn("gy", F.explode(reach(F.col("cy"), NEAR_Y, h)))
 
 
 def near_pairs(tokens: DataFrame, supplement: DataFrame, page: str, key: str) -> DataFrame:
