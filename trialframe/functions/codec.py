@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical_json(**fields: Column) -> Column:
@@ -23,7 +24,7 @@ def provider_result(body: Column) -> Column:
     return F.struct(r["custom_id"].alias("custom_id"), status.alias("status"), F.when(kind == "succeeded", text).alias("content"), r["result"]["error"]["message"].alias("error"))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def f32_from_s16(raw: pd.Series) -> pd.Series:
     """Little-endian 16-bit samples as numbers from -1 to 1; an odd last byte is left out."""
     return raw.map(lambda b: None if b is None else (np.frombuffer(b[: len(b) // 2 * 2], "<i2").astype(np.float32) / np.float32(32768)).tolist())
