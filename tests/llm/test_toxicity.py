@@ -67,3 +67,12 @@ def test_edges(spark):
     one = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (2, None)], "doc_id long, toxic int")
     assert T.labelled(docs, one, "doc_id", "text", "toxic").select("i", "y").collect() == [(1, 1), (1, 1)]
     assert T.score_texts(docs.limit(0), model).count() == 0
+
+
+def test_model_does_not_depend_on_partitions(spark):
+    rows = corpus(400)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    one, many = (T.fit(docs.repartition(n, "doc_id"), labels) for n in (1, 200))
+    assert len(one.buckets) >= 4 and one.buckets.tolist() == many.buckets.tolist()
+    assert np.allclose(one.weights, many.weights, atol=1e-6) and abs(one.bias - many.bias) < 1e-6

@@ -152,7 +152,7 @@ def select_features(rows: DataFrame) -> np.ndarray:
                 toxic = y[lo:hi][d] > 0
                 np.add.at(pos, f[toxic], 1)
                 np.add.at(neg, f[~toxic], 1)
-        k = np.flatnonzero(pos + neg > 1)
+        k = np.flatnonzero(pos + neg)  # all of them: how many texts have a feature is known only once Spark has summed the tasks
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[k, -1]), pa.array(np.r_[pos[k], n[1]].astype(np.int64)), pa.array(np.r_[neg[k], n[0]].astype(np.int64))], names=["f", "p", "n"])
 
     sums = rows.select("t", "y").mapInArrow(count, "f long, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
