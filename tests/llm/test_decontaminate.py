@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trialframe.llm import decontaminate as D
@@ -21,7 +22,7 @@ def plain(items, docs):
     own = {i: tok(t) for i, t in items if len(tok(t)) >= D.LEAST_WORDS}
     seen = Counter(s for w in own.values() for s in sh(w))
     n = max(1, len(own))
-    weigh = lambda s: log(1 + n / seen[s]) if s in seen else log(1 + n)
+    weigh = lambda s, a: log(1 + n / seen[s]) if s in a else log(1 + n)
     out = {}
     for d, t in docs:
         w = tok(t)
@@ -31,8 +32,8 @@ def plain(items, docs):
                 b = sh(w[k : k + len(x)])
                 if not a.keys() & b.keys():
                     continue
-                both = sum(weigh(s) * min(a[s], b[s]) for s in a.keys() | b.keys())
-                out[d, i] = max(out.get((d, i), 0), both / sum(weigh(s) * max(a[s], b[s]) for s in a.keys() | b.keys()))
+                both = sum(weigh(s, a) * min(a[s], b[s]) for s in a.keys() | b.keys())
+                out[d, i] = max(out.get((d, i), 0), both / sum(weigh(s, a) * max(a[s], b[s]) for s in a.keys() | b.keys()))
     return {k: v for k, v in out.items() if v >= D.SIMILARITY}
 
 
@@ -51,7 +52,7 @@ def test_equals_brute_force(spark):
     docs.append((60, " ".join(words(rng, 20_000)) + " " + items[5][1]))
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    hits = df.select("doc_id", F.explode(D.matches(F.col("text"), bench)).alias("m")).select("doc_id", "m.*").collect()
+    hits = D.with_matches(df, bench).select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*").collect()
     got, want = {(r.doc_id, r.item_id): r.similarity for r in hits}, plain([x for x in items if x[0] is not None], docs)
     assert got.keys() <= want.keys() and len(hits) == len(got)
     assert all(abs(got[k] - want[k]) < 1e-9 or got[k] >= D.SIMILARITY for k in got)
@@ -73,13 +74,55 @@ def test_multi_index_finds_all_within_the_radius():
     assert set(zip(win.tolist(), who.tolist(), strict=True)) == want
 
 
-def test_blocks_and_empty_tables(spark, monkeypatch):
+def test_edited_items_are_alike_in_any_number_of_blocks(spark):
     rng = random.Random(3)
-    items = [(i, " ".join(words(rng, 20))) for i in range(12)]
-    df = spark.createDataFrame([(i, t + " tail", 5) for i, t in items], "doc_id long, text string, item_id int")
+    common = words(rng, 12)  # shared by all items: its weight depends on the whole benchmark
+    items = [(i, " ".join(words(rng, 30) + common + words(rng, rng.randrange(20)))) for i in range(40)] + [(3, None), (41, "short")]
+    docs = []
+    for i, t in items[:40]:
+        w = t.split()
+        w[rng.choice([0, 1, 2, 28, 40])] = "edited"
+        docs.append((i, " ".join(words(rng, 9) + w + words(rng, 5)), i % 3))
+    docs += [(50, None, 1), (50, docs[0][1], 1), (None, docs[1][1], 2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, item_id int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(D, "BLOCK_ITEMS", 4)
-    out = df.withColumn("m", D.matches(F.col("text"), bench)).select("doc_id", "item_id", F.col("m.item_id").alias("hit")).collect()
-    assert all(r.hit == [r.doc_id] and r.item_id == 5 for r in out)
-    assert df.select(F.size(D.matches(F.col("text"), bench.limit(0))).alias("n")).where("n > 0").count() == 0
-    assert df.limit(0).select(D.matches(F.col("text"), bench)).count() == 0
+
+    def hits(block):
+        out = D.with_matches(df, bench, block_windows=block)
+        assert out.columns == ["doc_id", "text", "item_id", "matches"]
+        return sorted(((r.doc_id or -1, r.item_id, [(m.item_id, round(m.similarity, 9), m.start_word) for m in r.matches]) for r in out.collect()))
+
+    one = hits(D.BLOCK_WINDOWS)
+    assert hits(25) == one
+    assert sum(len(r[2]) for r in one) >= 30
+    want = plain([x for x in items if x[1]], [(k, d[1]) for k, d in enumerate(docs)])
+    assert len(want) == sum(len(r[2]) for r in one)
+
+
+def test_recall_of_edited_copies():
+    """Copies with edits at a similarity of 0.8 or more, for every length of an item."""
+    rng = random.Random(11)
+    found, all_, rare = 0, 0, 1.0
+    for n in list(range(8, 60)) * 4 + list(range(60, 200, 7)) * 4:
+        item = words(rng, n)
+        copy = list(item)
+        for _ in range(rng.randrange(1, max(2, n // 25))):
+            at = rng.randrange(n) if n > 45 else rng.choice([0, 1, n - 2, n - 1])
+            copy[at : at + rng.randrange(2)] = ["edited"]
+        h = lambda w: D.words_of(np.frombuffer(" ".join(w).encode(), np.uint8), np.array([0, len(" ".join(w))]))[0]
+        index = D.Benchmark([1], [h(item)], [{s: 1.0 for s in D.shingles(h(item))}], rare)
+        text = words(rng, 30) + copy + words(rng, 30)
+        starts = range(25, 35)
+        if max(index.similarity(0, h(text[k : k + n])) for k in starts) < D.SIMILARITY:
+            continue
+        all_ += 1
+        found += bool(index.scan(pa.array([" ".join(text)]))[0])
+    assert all_ > 100 and found >= 0.98 * all_, (found, all_)
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([(i, "some words that are long enough to be an item", 5) for i in range(3)], "doc_id long, text string, item_id int")
+    bench = df.select(F.col("doc_id").alias("item_id"), "text")
+    assert D.with_matches(df, bench.limit(0)).where(F.size("matches") > 0).count() == 0
+    assert D.with_matches(df.limit(0), bench).count() == 0
+    assert [len(r.matches) for r in D.with_matches(df, bench).collect()] == [3, 3, 3]

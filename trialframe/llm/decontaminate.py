@@ -1,24 +1,29 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-Words are lower-cased runs of letters and digits. An item of L words is represented by the SimHash (64 bits over its
-word pairs) of its first and its last C words, where C is the largest window size of a fixed ladder within L; longer
-items get windows along their length. Of every text, all windows of each size in use are hashed. Fingerprints are cut
-into four blocks of 16 bits: two that differ in at most `RADIUS` = 11 bits differ in at most two bits in some block,
-so tables of all 16-bit values within two bits of an item's block find every pair within the radius. Each such pair
-is verified: the text's window of L words at that place and the item must have a weighted Jaccard similarity of their
-five-word shingles (with multiplicity; weight: the logarithm of rarity among the items) of at least `SIMILARITY`.
-
-The benchmark is taken in blocks of at most `BLOCK_ITEMS` items, so what a task holds is bounded; texts are scanned in
-place, without a shuffle, each whole.
+Words are lower-cased runs of letters and digits. An item of L words is represented by SimHashes (64 bits over word
+pairs) of its first, middle and last C words, where C is the largest window size of a fixed ladder below L (so that an
+edit at one edge leaves a window without it); longer items get windows along their length. Of every text, all windows
+of each size in use are hashed. Fingerprints are cut into four blocks of 16 bits: two that differ in at most `RADIUS` =
+11 bits differ in at most two bits in some block, so tables of all 16-bit values within two bits of an item's block find
+every pair within the radius. Each such pair is verified: the text's window of L words at that place and the item must
+have a weighted Jaccard similarity of their five-word shingles (with multiplicity) of at least `SIMILARITY`. A shingle
+of the item weighs the logarithm of its rarity among all items, any other shingle as much as the rarest.
+
+Spark counts the shingles over the whole benchmark and joins each item with the weights of its own. The index of at most
+about `BLOCK_WINDOWS` fingerprints is broadcast at a time, whatever the benchmark's size. One block scores texts in
+place, without a shuffle. Of several blocks each is scanned and its hits written before the next is made; a hit's
+similarity is the same in any division into blocks.
 
 Defined results: null and empty texts, and null or short items (below `LEAST_WORDS` words), match nothing. Equal items
-are all reported. Of several places in a text that with the largest similarity, then the first, is reported. Repeated
-rows are scanned alike; extra columns stay. An empty benchmark or table gives no match.
+are all reported, repeated rows of an item once. Of several places in a text that with the largest similarity, then the
+first, is reported. Repeated rows and very long texts are scanned alike; extra columns stay, whatever their names, but
+for the one that is written. An empty benchmark or table gives no match.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,10 +31,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm.common import _SLOT, mix, shingle_hashes, slices, small_batches, span_hashes, table
+from trialframe.llm.common import _SLOT, durable, mix, shingle_hashes, slices, small_batches, span_hashes, table
 from trialframe.llm.toxicity import _WORD, lowered
 
 SIZES = (8, 10, 12, 14, 17, 20, 24, 29, 35, 42, 50, 60, 72, 86, 103, 124)
@@ -38,7 +43,8 @@ RADIUS = 11
 BLOCK_BITS, BLOCK_TOLERANCE = 16, 2
 SHINGLE = 5
 SIMILARITY = 0.8
-BLOCK_ITEMS = 4000
+#: Fingerprints in one block of the benchmark, of about 5 KB each in a worker.
+BLOCK_WINDOWS = 12_000
 HITS = "array<struct<item_id:long,similarity:double,start_word:int,words:int>>"
 
 
@@ -95,7 +101,7 @@ class SizeIndex:
         for b in range(64 // BLOCK_BITS):
             own = (self.prints >> np.uint64(b * BLOCK_BITS)).astype(np.uint16)
             value = (own[:, None] ^ masks[None, :]).ravel()
-            who = np.repeat(np.arange(len(own)), len(masks))
+            who = np.repeat(np.arange(len(own), dtype=np.int32), len(masks))
             order = np.argsort(value, kind="stable")
             self.lists.append(who[order])
             self.starts.append(np.searchsorted(value[order], np.arange((1 << BLOCK_BITS) + 1)))
@@ -122,36 +128,32 @@ def shingles(words: np.ndarray) -> Counter:
     return Counter(shingle_hashes(words, np.zeros(len(words), np.int64), SHINGLE)[0].tolist())
 
 
+def places(n: int) -> tuple[int, list[int]]:
+    """Size of the windows of an item of n words and where they begin."""
+    size = max(s for s in SIZES if s < n or s == LEAST_WORDS)
+    along = range(0, n - size, max(1, size // 2)) if n > SIZES[-1] * 1.2 else ()
+    return size, sorted({0, (n - size) // 2, n - size, *along})
+
+
 class Benchmark:
-    """The index of some items, as a task uses it."""
-
-    def __init__(self, ids: list, texts: list):
-        self.ids, self.words = [], []
-        for i, t in zip(ids, texts, strict=True):
-            low = lowered(pa.array([t], pa.string()))
-            buf = np.frombuffer((low[0].as_py() or "").encode(), np.uint8)
-            w, _ = words_of(buf, np.array([0, len(buf)]))
-            if i is not None and len(w) >= LEAST_WORDS:
-                self.ids.append(i)
-                self.words.append(w)
-        self.shingles = [shingles(w) for w in self.words]
-        seen = Counter(s for c in self.shingles for s in c)
-        n = max(1, len(self.ids))
-        self.weight = {s: math.log(1 + n / k) for s, k in seen.items()}
-        self.rare = math.log(1 + n)
+    """The index of some items, as a task uses it: their ids, word hashes, and weights by shingle."""
+
+    def __init__(self, ids: list, words: list[np.ndarray], weights: list[dict[int, float]], rare: float):
+        self.ids, self.words, self.weights, self.rare = ids, words, weights, rare
+        self.shingles = [shingles(w) for w in words]
         rows: dict[int, list] = {}
         for k, w in enumerate(self.words):
-            size = max(s for s in SIZES if s <= len(w))
-            places = sorted({0, len(w) - size, *range(0, len(w) - size, max(1, size // 2))}) if len(w) > SIZES[-1] * 1.2 else sorted({0, len(w) - size})
+            size, at = places(len(w))
             prints = fingerprints(pair_bits(w), size)
-            rows.setdefault(size, []).extend((prints[p], k, p) for p in places)
+            rows.setdefault(size, []).extend((prints[p], k, p) for p in at)
         self.sizes = {s: SizeIndex(np.array([r[0] for r in v], np.uint64), np.array([r[1] for r in v]), np.array([r[2] for r in v])) for s, v in sorted(rows.items())}
 
     def similarity(self, item: int, window: np.ndarray) -> float:
         a, b = self.shingles[item], shingles(window)
         both = either = 0.0
+        own = self.weights[item]
         for s in a.keys() | b.keys():
-            w = self.weight.get(s, self.rare)
+            w = own.get(s, self.rare)
             both += w * min(a[s], b[s])
             either += w * max(a[s], b[s])
         return both / either if either else 0.0
@@ -191,32 +193,69 @@ class Benchmark:
         return out
 
 
-def matches(text: Column, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> Column:
-    """The items that a text contains: an array of item_id, similarity, start_word and words."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t"))
-    blocks = max(1, math.ceil(items.count() / BLOCK_ITEMS * 1.2)) if items.count() > BLOCK_ITEMS else 1
-    out = []
+def weighted_items(benchmark: DataFrame, item_id: str, item_text: str) -> tuple[DataFrame, float]:
+    """(i, words, shingles, weights) of every different item, and the weight of a shingle of no item."""
+
+    def rows(batches):
+        for b in batches:
+            for k, (i, text) in enumerate(zip(b.column(0).to_pylist(), lowered(b.column(1)).to_pylist(), strict=True)):
+                buf = np.frombuffer(text.encode(), np.uint8)
+                w, _ = words_of(buf, np.array([0, len(buf)]))
+                if len(w) >= LEAST_WORDS:
+                    held = pa.array([np.array(list(shingles(w)), np.uint64).view(np.int64)], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([b.column(2).slice(k, 1), pa.array([i]), pa.array([w.tobytes()], pa.binary()), held], names=["r", "i", "words", "shingles"])
+
+    known = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).where("i is not null").distinct()
+    known = durable(known.withColumn("r", F.monotonically_increasing_id()))
+    items = durable(known.mapInArrow(rows, "r long, i long, words binary, shingles array<long>"))
+    n = max(1, items.count())
+    each = items.select("r", F.explode("shingles").alias("s"))
+    rarity = each.groupBy("s").agg(F.log(1 + n / F.count("*")).alias("weight"))
+    own = each.join(rarity, "s").groupBy("r").agg(F.collect_list("s").alias("shingles"), F.collect_list("weight").alias("weights"))
+    return durable(items.select("r", "i", "words").join(own, "r").drop("r")), math.log(1 + n)
+
+
+def with_matches(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "matches", item_id: str = "item_id", item_text: str = "text", block_windows: int = BLOCK_WINDOWS
+) -> DataFrame:
+    """docs with the items that a text contains: an array of item_id, similarity, start_word and words by item."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    items, rare = weighted_items(benchmark, item_id, item_text)
+    length = F.length("words") / 8
+    total = items.agg(F.sum(3 + F.floor(2 * length / SIZES[-1]))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_windows))
+    name = f"__row_{uuid.uuid4().hex}"
+    held = docs if blocks == 1 else durable(docs.withColumn(name, F.monotonically_increasing_id()))
+    found: DataFrame | None = None
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()
-        held = spark.sparkContext.broadcast(([r.i for r in rows], [r.t for r in rows]))
+        rows = items.where(F.pmod(F.xxhash64("i", "words"), F.lit(blocks)) == k).orderBy("i", "words").collect()
+        sent = spark.sparkContext.broadcast([(r.i, bytes(r.words), r.shingles, r.weights) for r in rows])
 
         @F.pandas_udf(HITS)
         def scan(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index = Benchmark(*held.value)  # noqa: B023
+            items = sent.value  # noqa: B023
+            weights = [dict(zip(np.array(x[2], np.int64).view(np.uint64).tolist(), x[3], strict=True)) for x in items]
+            index = Benchmark([x[0] for x in items], [np.frombuffer(x[1], np.uint64) for x in items], weights, rare)
             for t in parts:
-                found = index.scan(pa.array(t, pa.string(), from_pandas=True))
-                yield pd.Series([[dict(zip(("item_id", "similarity", "start_word", "words"), h, strict=True)) for h in x] for x in found])
+                hits = index.scan(pa.array(t, pa.string(), from_pandas=True))
+                yield pd.Series([[dict(zip(("item_id", "similarity", "start_word", "words"), h, strict=True)) for h in x] for x in hits])
 
-        out.append(scan(text))
-    small_batches(spark)
-    return F.concat(*out) if len(out) > 1 else out[0]
+        if blocks == 1:
+            return held.withColumn(into, scan(F.col(f"`{text}`")))
+        hits = durable(held.select(name, scan(F.col(f"`{text}`")).alias("h")).where(F.size("h") > 0))
+        found = hits if found is None else found.unionByName(hits)
+        sent.destroy()
+    every = found.groupBy(name).agg(F.array_sort(F.flatten(F.collect_list("h"))).alias("h"))
+    none = F.array().cast(HITS)
+    joined = held.drop(into).join(every.withColumnRenamed("h", into), name, "left")
+    return joined.withColumn(into, F.coalesce(F.col(f"`{into}`"), none)).drop(name)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and item that it contains."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.select("doc_id", F.explode(matches(F.col("text"), table(spark, sf_dir, "benchmark"))).alias("m"))
+    found = with_matches(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("matches").alias("m"))
     return found.select("doc_id", "m.item_id", F.round("m.similarity", 6).alias("similarity"), "m.start_word", "m.words")
 
 
@@ -237,8 +276,8 @@ win AS (
   SELECT c.doc_id, c.item_id, place, dsh.s, count(*) AS m
   FROM c JOIN i ON i.item_id = c.item_id JOIN dsh ON dsh.doc_id = c.doc_id AND dsh.k BETWEEN place AND place + n - 5 GROUP BY ALL),
 sums AS (
-  SELECT win.doc_id, win.item_id, place, sum(coalesce(rarity.wt, ln(1 + items)) * win.m) AS theirs, coalesce(sum(own.wt * least(own.m, win.m)), 0) AS both_
-  FROM win LEFT JOIN rarity ON rarity.s = win.s LEFT JOIN own ON own.item_id = win.item_id AND own.s = win.s, total GROUP BY ALL),
+  SELECT win.doc_id, win.item_id, place, sum(coalesce(own.wt, ln(1 + items)) * win.m) AS theirs, coalesce(sum(own.wt * least(own.m, win.m)), 0) AS both_
+  FROM win LEFT JOIN own ON own.item_id = win.item_id AND own.s = win.s, total GROUP BY ALL),
 mine AS (SELECT item_id, sum(wt * m) AS mine FROM own GROUP BY item_id),
 sim AS (SELECT doc_id, sums.item_id, place, both_ / (theirs + mine - both_) AS sim FROM sums JOIN mine ON mine.item_id = sums.item_id),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(sim, 9) DESC, place) AS r FROM sim WHERE sim >= {SIMILARITY} - 1e-12)
