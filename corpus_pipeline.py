@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.llm.common import WORD_SPACE, durable, table
-from trialframe.llm.decontaminate import matches
+from trialframe.llm.decontaminate import with_matches
 from trialframe.llm.jaccard_join import keep_one
 from trialframe.llm.line_dedup import dedup_lines
 from trialframe.llm.packing import pack
@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     hits = "__benchmark_hits"
-    return docs.withColumn(hits, matches(F.col("text"), table(spark, sf_dir, "benchmark"))).where(F.size(hits) == 0).drop(hits)
+    return with_matches(docs, table(spark, sf_dir, "benchmark"), into=hits).where(F.size(hits) == 0).drop(hits)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
