@@ -1,4 +1,8 @@
 import random
+import re
+from collections import Counter
+from math import exp, log, sqrt
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -76,3 +80,45 @@ def test_model_does_not_depend_on_partitions(spark):
     one, many = (T.fit(docs.repartition(n, "doc_id"), labels) for n in (1, 200))
     assert len(one.buckets) >= 4 and one.buckets.tolist() == many.buckets.tolist()
     assert np.allclose(one.weights, many.weights, atol=1e-6) and abs(one.bias - many.bias) < 1e-6
+
+
+def test_selection_equals_counting_by_hand(spark):
+    rows = corpus(300)
+    have = [{b for w in re.findall(r"[a-z0-9]+", t.lower()) for b in T.features(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[0].tolist()} for _, t, _ in rows]
+    a, b = sum(y for *_, y in rows), sum(1 - y for *_, y in rows)
+    p, n = Counter(f for (*_, y), h in zip(rows, have, strict=True) for f in h if y), Counter(f for (*_, y), h in zip(rows, have, strict=True) for f in h if not y)
+    tried = [f for f in p if p[f] >= T.LEAST_TEXTS]
+    limit = max(2.0, NormalDist().inv_cdf(1 - T.FALSE_FEATURES / len(tried)))
+    odds = {f: log((p[f] + 0.5) / (a - p[f] + 0.5)) - log((n[f] + 0.5) / (b - n[f] + 0.5)) for f in tried}
+    want = sorted(f for f in tried if odds[f] > T.LEAST_ODDS and odds[f] / sqrt(1 / (p[f] + 0.5) + 1 / (n[f] + 0.5)) > limit)
+    got = T.select_features(spark.createDataFrame([(t, y) for _, t, y in rows], "t string, y int"))
+    assert got.tolist() == want and 4 <= len(want) < 30
+
+
+def test_fit_reaches_the_minimum_of_the_noisy_or_loss():
+    rng = random.Random(2)
+    y = np.array([i % 2 for i in range(60)])
+    sent = [[rng.randrange(4) for _ in range(6)] for _ in y]
+    feat = [[rng.randrange(5) if not t or rng.random() < 0.7 else 5 for _ in range(6)] for t in y]
+    ridge, weight = 1e-2, 3.0
+    model = T.train(np.arange(6), y, sent, feat, steps=3000, rate=0.02, ridge=ridge, weight=weight)
+
+    def loss(x):
+        total = 0.0
+        for t, ss, fs in zip(y, sent, feat, strict=True):
+            clean = 1.0
+            for s in set(ss):
+                z = x[-1] + sum(x[f] for q, f in zip(ss, fs, strict=True) if q == s)
+                clean *= 1 - 1 / (1 + exp(-z))
+            total -= weight * log(1 - clean) if t else log(clean)
+        return total / len(y) + ridge / 2 * float(x[:-1] @ x[:-1])
+
+    at = np.r_[model.weights, model.bias]
+    slope = [(loss(at + e) - loss(at - e)) / 2e-4 for e in 1e-4 * np.eye(7)]
+    assert max(map(abs, slope)) < 2e-3, slope
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "fine.", 5, "x", 2)], "doc_id long, text string, score int, offending string, toxicity int")
+    out = T.score_texts(docs, T.ToxicityModel(np.array([5]), np.array([1.0]), -0.5))
+    assert sorted(out.columns) == sorted(docs.columns) and out.first().score == 5 and out.first().toxicity.score == 0

@@ -5,7 +5,9 @@ noisy-or of its sentences. Fitting takes a sample of at most `MAX_LABELLED` labe
 texts by label, the `SELECTED` most telling features are kept, and the weights are fitted on the driver from these
 few features a text. Scoring is one vectorised pass without a shuffle and also gives the offending sentences.
 
-Defined results: null or empty text, or one without a telling feature, scores 0 and has no offending sentence.
+Defined results: null or empty text, or one without a telling feature, scores 0 and has no offending sentence. A score
+equal to a threshold counts as reaching it. Rows with a null id are scored, but not learned from; a column that has the
+name of the result is replaced. Of equally telling features those with the smaller hash are selected.
 Several labels of one id count as toxic if any does; null labels are ignored. Repeated rows are scored alike. Without
 labelled rows of both kinds every text scores 0. Extra columns are kept by `score_texts`. Very long texts are handled
 whole.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -23,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm.common import slices, small_batches, span_hashes, table
+from trialframe.llm.common import durable, sized_broadcast, slices, small_batches, span_hashes, table
 
 BITS = 22
 PREFIXES = (4, 5, 6)  # bytes
@@ -32,6 +35,8 @@ MAX_LABELLED = 40_000
 SELECTED = 4096
 #: Least log odds ratio and toxic texts of a selected feature.
 LEAST_ODDS, LEAST_TEXTS = 2.0, 3
+#: Features that chance alone may bring among the selected ones: sets how telling a feature must be among so many.
+FALSE_FEATURES = 2.0
 #: Of the fit: pull of each weight towards 0, and what a toxic text counts against a clean one.
 RIDGE, POSITIVE_WEIGHT = 2e-4, 4.0
 THRESHOLD = 0.7
@@ -132,7 +137,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label:
     n = max(1, y.count())
     rank = F.pmod(F.xxhash64("i"), F.lit(1 << 40)) / float(1 << 40)
     y = y.where(rank < min(1.0, 0.95 * MAX_LABELLED / n))
-    return docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").alias("t")).join(F.broadcast(y), "i")
+    y = durable(y)
+    return docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").alias("t")).join(sized_broadcast(y, y.count(), MAX_LABELLED), "i")
 
 
 def select_features(rows: DataFrame) -> np.ndarray:
@@ -156,15 +162,17 @@ def select_features(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[k, -1]), pa.array(np.r_[pos[k], n[1]].astype(np.int64)), pa.array(np.r_[neg[k], n[0]].astype(np.int64))], names=["f", "p", "n"])
 
     sums = rows.select("t", "y").mapInArrow(count, "f long, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    totals = sums.where("f = -1").collect()
+    sums = durable(sums.where((F.col("f") < 0) | (F.col("p") >= LEAST_TEXTS)))
+    totals, tried = sums.where("f = -1").collect(), sums.where("f >= 0").count()
     if not totals or not totals[0].p or not totals[0].n:
         return np.zeros(0, np.int64)
     a, b = float(totals[0].p), float(totals[0].n)
     odds = F.log((F.col("p") + 0.5) / (a - F.col("p") + 0.5)) - F.log((F.col("n") + 0.5) / (b - F.col("n") + 0.5))
     spread = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
+    least_z = max(2.0, NormalDist().inv_cdf(1 - min(0.5, FALSE_FEATURES / max(1, tried))))
     # Only what speaks for toxicity: a sentence without such a feature has probability 0, so others would never count alone.
-    best = sums.where("f >= 0").withColumn("odds", odds).where((F.col("odds") > LEAST_ODDS) & (F.col("p") >= LEAST_TEXTS)).withColumn("z", F.col("odds") / spread).where("z > 2").orderBy(F.desc("z"), "f").limit(SELECTED).collect()
-    return np.array(sorted(r.f for r in best), np.int64)
+    best = sums.where("f >= 0").withColumn("odds", odds).where(F.col("odds") > LEAST_ODDS).withColumn("z", F.col("odds") / spread)
+    return np.array(sorted(r.f for r in best.where(F.col("z") > least_z).orderBy(F.desc("z"), "f").limit(SELECTED).collect()), np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
@@ -188,10 +196,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                 s0, _, _ = sentences(buf, offs)
                 own = np.searchsorted(s0, at, "right") - 1 if len(at) else at
                 doc = np.searchsorted(offs, at, "right") - 1
+                order = np.argsort(doc, kind="stable")
+                own, k = own[order], k[order]
+                ends = np.searchsorted(doc[order], np.arange(hi - lo + 1))
                 for d in range(hi - lo):
-                    mine = doc == d if len(doc) else np.zeros(0, bool)
+                    mine = slice(ends[d], ends[d + 1])
                     ys.append(int(y[lo + d]))
-                    ss.append((own[mine] - own[mine].min()).tolist() if mine.any() else [])
+                    ss.append((own[mine] - own[mine].min()).tolist() if len(own[mine]) else [])
                     fs.append((k[mine] - 1).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(ss, pa.list_(pa.int32())), pa.array(fs, pa.list_(pa.int32()))], names=["y", "s", "f"])
 
