@@ -1,4 +1,6 @@
+import gzip
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -63,3 +65,24 @@ def test_more_records_than_a_file_holds(spark, monkeypatch):
     monkeypatch.setattr(W, "FILE_RECORDS", 7)
     got = round_trip(spark, pages(spark, [(i, f"u{i}", f"body {i}" * 30) for i in range(40)]).coalesce(1))
     assert got.count() == 40 and got.select("record_id").distinct().count() == 40
+
+
+def test_files_are_bounded_by_bytes_and_long_payloads_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(W, "FILE_BYTES", 10_000)
+    rng = random.Random(3)
+    bodies = [str(rng.random()) * 100 for _ in range(60)] + ["long \r\n" * 600_000]
+    df = spark.createDataFrame([(i, f"u{i}", b, "x", 5) for i, b in enumerate(bodies)], "page_id long, url string, html string, file string, payload int").coalesce(1)
+    arc = scratch(spark)
+    W.write_arc(df, arc, "page_id", "url", "html")
+    assert spark.read.format("binaryFile").load(arc).count() > 5
+    got = {r.item_id: bytes(r.payload).decode() for r in round_trip(spark, df).collect()}
+    assert got == dict(enumerate(bodies))
+
+
+def test_gzip_members_are_streamed_as_far_as_they_go():
+    one, two = W.arc_record("u", b"a" * 5000, "20200102") + b"\n", W.arc_record("v", bytes(range(256)) * 4, "20200102") + b"\n"
+    packed = gzip.compress(one) + gzip.compress(two)
+    whole = list(W.parse_arc(W._opened(packed)))
+    assert [(r[0], r[1][0], len(r[2]), r[3]) for r in whole] == [(0, "u", 5000, False), (len(one), "v", 1024, False)]
+    cut = list(W.parse_arc(W._opened(packed[:-200])))
+    assert len(cut) == 2 and cut[1][3] and not cut[0][3]

@@ -6,18 +6,21 @@ WARC needs beside: record identifiers (from file and offset, so a repeated task
 and SHA-256 digests. `mark_revisits` turns all but the first record of equal payloads into revisits.
 
 Archives are written by Spark's text writer, whose line separator is the record separator of the format, as gzip files
-of a bounded number of records; they are read as whole binary files and cut by declared lengths. No archive passes
-through the driver and nothing is written outside the shared folder.
+of a bounded number of records, fewer where records are large, so that a file holds about `FILE_BYTES` before
+compression. They are read as binary files, unpacked as streams and cut by declared lengths: a task holds a compressed
+file and one record. No archive passes through the driver and nothing is written outside the shared folder.
 
 Defined results: null html is an empty payload; a null URL is `-`; white space in a URL is percent-encoded; a null id
 stays null. Of repeated rows with one id, the record with the smallest record identifier is the response. A truncated
-last record keeps the bytes there are and is marked. Lines that are no record header are skipped. An empty table gives
-an archive without records and an empty result.
+last record keeps the bytes there are and is marked. Lines that are no record header are skipped. A very long payload is
+one record, held whole by the task that writes or reads it. Extra columns of the pages, whatever their names, do not
+take part. An empty table gives an archive without records and an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import uuid
 import zlib
@@ -35,8 +38,8 @@ ARC_FIELDS = {
 }
 #: Archives are large and written once: the fastest level of gzip, as Hadoop's codec names it.
 GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
-#: Records in one archive file, its version record included.
-FILE_RECORDS = 10_000
+#: Records in one archive file at most, its version record included, and bytes on average.
+FILE_RECORDS, FILE_BYTES = 10_000, 128 << 20
 #: Payloads below so many bytes are never revisits.
 REVISIT_BYTES = 100
 #: Duplicate payload digests that may be broadcast; more are joined by a shuffle.
@@ -69,14 +72,38 @@ def _text(rows: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).view(pa.string())], names=["value"])
 
 
-def _unzipped(content: bytes) -> bytes:
-    """Gzip members end to end, or plain bytes."""
-    out = []
-    while content[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(content))
-        content = z.unused_data
-    return b"".join(out) if out else content
+class _Inflated(io.RawIOBase):
+    """The gzip members of some bytes end to end, as far as they are whole."""
+
+    def __init__(self, content: bytes):
+        self.rest, self.z = content, zlib.decompressobj(31)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while True:
+            if self.z.eof:
+                self.rest = self.z.unused_data
+                if self.rest[:2] != b"\x1f\x8b":
+                    return 0
+                self.z = zlib.decompressobj(31)
+            out = self.z.decompress(self.rest, len(into))
+            self.rest = self.z.unconsumed_tail
+            if out or not (self.rest or self.z.eof):
+                into[: len(out)] = out
+                return len(out)
+
+
+def _opened(content: bytes):
+    """A stream of gzip members, or of plain bytes."""
+    return io.BufferedReader(_Inflated(content), 1 << 18) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+
+
+def _records_a_file(sizes: DataFrame, size: str) -> int:
+    """How many records of that many bytes a file may hold."""
+    mean = sizes.agg(F.avg(size)).first()[0] or 0
+    return int(min(FILE_RECORDS, max(1, FILE_BYTES // max(1, mean))))
 
 
 # ---------------------------------------------------------------- ARC
@@ -98,41 +125,42 @@ def arc_start(date: str, version: str = "1", name: str = "pages") -> bytes:
     return b"filedesc://%s.arc 0.0.0.0 %s text/plain%s %d\n%s" % (name.encode(), date.encode(), more, len(body), body)
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[int, list[str], bytes, bool]]:
-    """Offset, header fields, block and whether it is cut short, of each record but the version records."""
+def parse_arc(data) -> Iterator[tuple[int, list[str], bytes, bool]]:
+    """Offset, header fields, block and whether it is cut short, of each record of a stream but the version records."""
+    stream = io.BytesIO(data) if isinstance(data, bytes) else data
     pos, fields = 0, 5
-    while pos < len(data):
-        end = data.find(b"\n", pos)
-        end = len(data) if end < 0 else end
-        line = data[pos:end].rstrip(b"\r")
+    while whole := stream.readline():
+        at, pos = pos, pos + len(whole)
+        line = whole.rstrip(b"\r\n")
         head = line.rsplit(b" ", fields - 1)
         start = line.startswith(b"filedesc://")
         if start:  # its own block says the version, so count its fields
             fields = 10 if len(line.split(b" ")) >= 10 else 5
             head = line.rsplit(b" ", fields - 1)
         if len(head) != fields or not head[-1].isdigit() or not head[2].isdigit():
-            pos = end + 1
             continue
         size = int(head[-1])
-        block = data[end + 1 : end + 1 + size]
+        block = stream.read(size)
+        pos += len(block)
         if start:
             named = re.match(rb"(\d+) ", block)
             fields = 10 if named and named[1] == b"2" else 5
         else:
-            yield pos, [x.decode("utf-8", "replace") for x in head], block, len(block) < size
-        pos = end + 1 + size
+            yield at, [x.decode("utf-8", "replace") for x in head], block, len(block) < size
 
 
 def write_arc(pages: DataFrame, path: str, item: str, url: str, body: str, date: str = "20240101000000", version: str = "1") -> None:
     """An archive of HTTP responses; the item's id is a response header."""
     rows = pages.select(F.col(f"`{item}`").alias("i"), F.col(f"`{url}`").alias("u"), F.encode(F.coalesce(F.col(f"`{body}`"), F.lit("")), "UTF-8").alias("b"))
 
+    most = _records_a_file(rows.select((F.length("b") + 256).alias("n")), "n")
+
     def build(batches):
         def records():
             k = 0
             for batch in batches:
                 for i, u, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if k % FILE_RECORDS == 0:
+                    if k % most == 0:
                         yield arc_start(date, version)
                         k += 1
                     named = b"" if i is None else b"%s: %d\r\n" % (ITEM, i)
@@ -143,7 +171,7 @@ def write_arc(pages: DataFrame, path: str, item: str, url: str, body: str, date:
         yield from _text(records())
 
     small_batches(pages.sparkSession)
-    rows.mapInArrow(build, "value string").write.options(lineSep="\n", maxRecordsPerFile=str(FILE_RECORDS), **GZIP).text(path)
+    rows.mapInArrow(build, "value string").write.options(lineSep="\n", maxRecordsPerFile=str(most), **GZIP).text(path)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -154,7 +182,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
         def records():
             for batch in batches:
                 for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for at, head, block, cut in parse_arc(_unzipped(content)):
+                    for at, head, block, cut in parse_arc(_opened(content)):
                         yield name.rpartition("/")[2], at, *head[:4], block, cut
 
         yield from _batches(records(), schema)
@@ -229,7 +257,6 @@ def mark_revisits(records: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataF
 # ---------------------------------------------------------------- WARC
 
 
-
 def warc_record(r: dict) -> bytes:
     """One record without its separator; a revisit has the HTTP head only."""
     revisit = r["warc_type"] == "revisit"
@@ -248,20 +275,17 @@ def warc_record(r: dict) -> bytes:
     return b"WARC/1.0\r\n" + "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + block
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record."""
-    pos = data.find(b"WARC/")
-    while pos >= 0:
-        end = data.find(b"\r\n\r\n", pos)
-        if end < 0:
-            return
+def parse_warc(data) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (lower-case names) and block of each record of a stream."""
+    stream = io.BytesIO(data) if isinstance(data, bytes) else data
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue
         head = {}
-        for line in data[pos:end].split(b"\r\n")[1:]:
+        while (line := stream.readline()) and line.strip():
             k, _, v = line.decode("utf-8", "replace").partition(":")
             head[k.strip().lower()] = v.strip()
-        size = int(head.get("content-length", 0))
-        yield head, data[end + 4 : end + 4 + size]
-        pos = data.find(b"WARC/", end + 4 + size)
+        yield head, stream.read(int(head.get("content-length", 0)))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -269,7 +293,8 @@ def write_warc(records: DataFrame, path: str) -> None:
         yield from _text(warc_record(r) for batch in batches for r in batch.to_pylist())
 
     small_batches(records.sparkSession, 500)
-    records.mapInArrow(build, "value string").write.options(lineSep="\r\n\r\n", maxRecordsPerFile=str(FILE_RECORDS), **GZIP).text(path)
+    most = _records_a_file(records.select((F.col("payload_bytes") + 1024).alias("n")), "n")
+    records.mapInArrow(build, "value string").write.options(lineSep="\r\n\r\n", maxRecordsPerFile=str(most), **GZIP).text(path)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -285,7 +310,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         def out():
             for batch in batches:
                 for content in batch.column(0).to_pylist():
-                    for h, block in parse_warc(_unzipped(content)):
+                    for h, block in parse_warc(_opened(content)):
                         cut = re.search(rb"\r?\n\r?\n", block) if h.get("content-type", "").startswith("application/http") else None
                         head = block[: cut.end()] if cut else b""
                         body, revisit = block[len(head) :], h.get("warc-type") == "revisit"
@@ -307,7 +332,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as a legacy archive, converted to WARC with revisits, read back."""
     arc, warc = scratch(spark), scratch(spark)
     write_arc(table(spark, sf_dir, "pages"), arc, "page_id", "url", "html")
-    write_warc(mark_revisits(arc_to_warc(read_arc(spark, arc))), warc)
+    # The converted records are written once: the search for equal payloads then reads their digests only.
+    write_warc(mark_revisits(durable(arc_to_warc(read_arc(spark, arc)), compression="zstd")), warc)
     back = read_warc(spark, warc, payloads=False)
     return back.select(
         F.col("item_id").alias("page_id"), "payload_bytes", "payload_digest",
