@@ -108,3 +108,26 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 50: 50, 75: 50, 100: 50, 200: 200, 300: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_shingle_of_very_many_short_texts_is_sent_once_a_portion(spark, monkeypatch):
+    """10,000 short texts that share shingles: no signature's run in the shuffle grows with the texts."""
+    rng = random.Random(7)
+    texts = ["the same four words " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(6)) for _ in range(9_000)]
+    texts += [t + " more" for t in rng.sample(texts, 500)] + rng.sample(texts, 500)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(J, "PORTION", 20_000)
+    signed = J._signature_rows(docs.select("doc_id", "text"), J.SHINGLE, J.Sizes(80)).where("n is null").groupBy("key").count()
+    assert signed.agg({"count": "max"}).first()[0] <= 40
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs, percent=80).collect()}
+    first = {}
+    for i, t in enumerate(texts):
+        # a text with one word more has one shingle more: 7 of 8 are shared
+        assert got[i] == first.setdefault(t.removesuffix(" more"), i), t
+
+
+def test_star_edges_connect_what_shares_a_signature():
+    sig, dig = np.array([5, 5, 7, 5, 7, 9], np.uint64), np.array([3, -4, 8, 3, 2, 6])
+    key, own, left, right = J._star(sig, dig)
+    assert key.tolist() == [5, 7, 9] and own.tolist() == [-4, 2, 6]
+    assert sorted(zip(left.tolist(), right.tolist(), strict=True)) == [(3, -4), (8, 2)]

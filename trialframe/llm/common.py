@@ -24,22 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound what one Arrow batch holds, as texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+#: Rows and bytes of one Arrow batch, for every operator alike: results are lazy, so a session can hold one bound only.
+BATCH_ROWS, BATCH_BYTES = "2000", "16m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch of this session holds, as texts can be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def scratch(spark: SparkSession) -> str:
     """A new path below the shared folder of spark.checkpoint.dir.
 
-    Where the session names none (tests, a single machine), a temporary folder becomes the checkpoint folder.
+    Where a session on one machine names none (tests), a temporary folder becomes the checkpoint folder. On a cluster
+    that would scatter the files, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="trialframe-")
             spark.sparkContext.setCheckpointDir(base)

@@ -9,8 +9,8 @@ A text's set is its distinct k-word shingles, hashed to 64 bits. Equal sets are
    passage that many texts share makes them frequent; so parts of fewer than two or three shingles are left out where enough
    others remain for the guarantee (tier A), and are added where not (tier B); a set for which even the filled parts do
    not suffice gets its class's common signature (tier C).
-2. Candidates. Signatures are sorted within hash partitions and streamed: each run of one signature gives edges to its
-   first set, never pairs. Linked sets share a signature, so they are in one connected component of these edges.
+2. Candidates. Tasks send each signature once per portion, with edges from its sets to one of them; what is sent is
+   sorted within hash partitions and streamed: each run of one signature gives edges to its first set, never pairs. Linked sets share a signature, so they are in one connected component of these edges.
 3. Groups. The sets of a component are partitioned into groups of similar size and bounded total length, and each
    group's token union is stored with it: the rows of the token-group matrix. A component with one group needs no more.
 4. Opening. For each two groups of a component whose sizes can reach the threshold, every set of one is a query on the
@@ -45,6 +45,8 @@ SHINGLE = 4
 PERCENT = 85
 #: Shingles that a group holds on average at most.
 GROUP_TOKENS = 1 << 16
+#: Signatures that a task holds before it sends them.
+PORTION = 500_000
 #: Live sets whose ids may be broadcast when their texts are read again.
 BROADCAST_SETS = 2_000_000
 #: Rows of the group plan that may be broadcast.
@@ -142,20 +144,44 @@ def signatures(h: np.ndarray, offs: np.ndarray, sizes: Sizes) -> tuple[np.ndarra
 # ---------------------------------------------------------------- candidates
 
 
+def _star(sig: np.ndarray, dig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each signature once with its smallest digest, and edges from its other digests to that."""
+    order = np.lexsort((dig, sig))
+    sig, dig = sig[order], dig[order]
+    start = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.zeros(0, bool)
+    first = dig[start][np.cumsum(start) - 1] if len(sig) else dig
+    apart = dig != first
+    edges = np.unique(np.stack([dig[apart], first[apart]], 1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
+    return sig[start], dig[start], edges[:, 0], edges[:, 1]
+
+
 def _signature_rows(docs: DataFrame, k: int, sizes: Sizes) -> DataFrame:
-    """(key, digest, doc_id, n): a row per text (n is not null) and a row per signature (n is null)."""
+    """(key, digest, doc_id, n): a row per text, and per signature (n is null) once in a portion of a task; edges (n = -1).
+
+    What a portion's sets share becomes star edges at once, so a signature of a large part of all texts reaches the
+    shuffle once per portion of `PORTION` signatures, not once per text.
+    """
+    names = ["key", "digest", "doc_id", "n"]
+
+    def sent(sig: list[np.ndarray], dig: list[np.ndarray]):
+        key, own, left, right = _star(np.concatenate(sig), np.concatenate(dig))
+        empty = pa.nulls(len(key), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(own), empty, empty], names=names)
+        if len(left):
+            yield pa.RecordBatch.from_arrays([pa.array(mix(left.view(np.uint64)).view(np.int64)), pa.array(left), pa.array(right), pa.array(np.full(len(left), -1))], names=names)
 
     def rows(batches):
         seen: set[int] = set()  # a digest's signatures are sent once by a task, as far as this bounded set tells
+        sigs: list[np.ndarray] = []
+        digs: list[np.ndarray] = []
+        held = 0
         for b in batches:
             ids = b.column(0)
             for lo, h, offs in sets_of(b.column(1), k):
                 dig, n = digests(h, offs), np.diff(offs)
                 size = len(n)
                 own = mix(np.arange(lo, lo + size).astype(np.uint64) + dig.view(np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own.view(np.int64)), pa.array(dig), ids.slice(lo, size), pa.array(n.astype(np.int64))], names=["key", "digest", "doc_id", "n"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(dig), ids.slice(lo, size), pa.array(n.astype(np.int64))], names=names)
                 sig, at = signatures(h, offs, sizes)
                 new = np.zeros(size, bool)
                 for j, x in enumerate(dig.tolist()):
@@ -165,9 +191,14 @@ def _signature_rows(docs: DataFrame, k: int, sizes: Sizes) -> DataFrame:
                 if len(seen) > 500_000:
                     seen.clear()
                 use = new[at]
-                sig, at = sig[use], at[use]
-                empty = pa.nulls(len(sig), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(dig[at]), empty, empty], names=["key", "digest", "doc_id", "n"])
+                sigs.append(sig[use])
+                digs.append(dig[at[use]])
+                held += len(sigs[-1])
+                if held > PORTION:
+                    yield from sent(sigs, digs)
+                    sigs, digs, held = [], [], 0
+        if held:
+            yield from sent(sigs, digs)
 
     return docs.mapInArrow(rows, "key long, digest long, doc_id long, n long")
 

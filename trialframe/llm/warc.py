@@ -292,7 +292,7 @@ def write_warc(records: DataFrame, path: str) -> None:
     def build(batches):
         yield from _text(warc_record(r) for batch in batches for r in batch.to_pylist())
 
-    small_batches(records.sparkSession, 500)
+    small_batches(records.sparkSession)
     most = _records_a_file(records.select((F.col("payload_bytes") + 1024).alias("n")), "n")
     records.mapInArrow(build, "value string").write.options(lineSep="\r\n\r\n", maxRecordsPerFile=str(most), **GZIP).text(path)
 
