@@ -88,10 +88,11 @@ def _repeat_words(words: Column) -> Column:
 
         return F.when(F.size(windows) == F.size(F.array_distinct(windows)), F.lit(0)).otherwise(_let(pairs, covered))
 
-    windows = F.transform(
-        F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(WINDOW)])
-    )
-    return F.when(n < WINDOW + 1, F.lit(0)).otherwise(_let(windows, marked))
+    def windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(WINDOW)]))
+
+    hashed = F.transform(words, lambda x: F.xxhash64(x))  # each word once, not once per window
+    return F.when(n < WINDOW + 1, F.lit(0)).otherwise(_let(hashed, lambda h: _let(windows(h), marked)))
 
 
 def statistics(text: Column) -> Column:
@@ -127,8 +128,8 @@ def statistics(text: Column) -> Column:
         _let(lines, of_lines).alias("l"),
         F.length(F.regexp_replace(body, SPACE_RE, "")).cast("long").alias("word_chars"),
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        chars("\\p{Lu}").alias("n_upper"),
-        chars("\\p{L}").alias("n_letters"),
+        chars("\\p{Lu}+").alias("n_upper"),
+        chars("\\p{L}+").alias("n_letters"),
     )
 
 
