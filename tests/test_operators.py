@@ -1,12 +1,13 @@
 """Known values and edge cases of the operators."""
 
+import hashlib
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from trialframe.functions import expr, text
-from trialframe.operators import bakeoff, batch_jobs, cost, gates, ledger, metrics, spatial, split, tables, train_data, vector
+from trialframe.operators import bakeoff, batch_jobs, cost, gates, ledger, lifecycle, metrics, spatial, split, tables, train_data, vector
 
 
 def one(spark, column, **values):
@@ -103,8 +104,8 @@ def test_ledger_of_reservations(spark):
     df = spark.createDataFrame(rows, "campaign string, seq int, line int, event string, usd double")
     r = ledger.ledger_totals(df, "campaign", "seq", "line", "usd").first()
     assert (float(r.spent), float(r.reserved), float(r.total)) == (1.5, 2.0, 3.5)
-    assert ledger.consecutive_failures(df, "campaign", "line").first().failures == 1
-    assert [r.streak for r in ledger.running_streak(df, "campaign", "line").orderBy("line").collect()] == [0, 0, 0, 0, 0, 1]
+    assert ledger.consecutive_failures(df, "campaign", "line").first().failures == 2
+    assert [r.streak for r in ledger.running_streak(df, "campaign", "line").orderBy("line").collect()] == [0, 0, 0, 0, 1, 2]
 
 
 def test_registry_restarts_at_the_last_register(spark):
@@ -168,18 +169,27 @@ def test_readings_are_reconciled(spark):
     b = spark.createDataFrame([(1, 1, "700", 2.0, 1.0, 40.0, 10.0, 0.8), (1, 2, "Same", 101.0, 1.0, 40.0, 10.0, 0.8), (1, 3, "extra", 0.0, 500.0, 40.0, 10.0, 0.7)], cols)
     got = {(r.text, r.origin, round(r.confidence, 3)) for r in spatial.reconciled(a, b, "page", "k").collect()}
     assert got == {("100", "contradicted", 0.4), ("same", "kept", 0.9), ("extra", "added", 0.7)}
+    # A contradiction beside an agreement counts, and the least confidence is that of all near readings.
+    again = spark.createDataFrame([(1, 1, "100", 3.0, 1.0, 40.0, 10.0, 0.75), (1, 2, "700", 5.0, 1.0, 40.0, 10.0, 0.8), (1, 4, "S\u00a0ame ", 101.0, 1.0, 40.0, 10.0, 0.5)], cols)
+    got = {(r.text, r.origin, round(r.confidence, 3)) for r in spatial.reconciled(a, again, "page", "k").collect()}
+    assert got == {("100", "contradicted", 0.375), ("same", "contradicted", 0.25)}
     plan = spatial.near_pairs(a, b, "page", "k")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_lines_follow_their_first_token(spark):
-    t = spark.createDataFrame([(1, "world", 200.0, 0.0), (1, "hello", 0.0, 4.0), (1, "next", 0.0, 11.0), (1, "low", 0.0, 40.0)], "page int, text string, x double, y double")
+    cols = "page int, text string, x double, y double, h double"
+    t = spark.createDataFrame([(1, "world", 200.0, 0.0, 10.0), (1, "hello", 0.0, 4.0, 10.0), (1, "next", 0.0, 11.0, 10.0), (1, "low", 0.0, 40.0, 10.0)], cols)
     got = [(r.line, r.text) for r in spatial.layout_lines(t, "page").orderBy("line").collect()]
     assert got == [(0, "hello world"), (1, "next"), (2, "low")]
+    # One centre, two heights: the upper edges are 15 apart, but it is one line.
+    two = spark.createDataFrame([(1, "tall", 50.0, 0.0, 40.0), (1, "small", 0.0, 15.0, 10.0)], cols)
+    assert [(r.line, r.text) for r in spatial.layout_lines(two, "page").collect()] == [(0, "small tall")]
 
 
 def test_markdown(spark):
-    cases = {"# Head": "Head", "**b** and *i* `c`": "b and i c", "| a | b |\n|---|:-:|\n| 1 | 2 |": "a b\n1 2", "```\n# raw | x\n```\nafter": "# raw | x\nafter", "\n\n__u__ _v_\n": "u v", "####### seven": "####### seven"}
+    cases = {"# Head": "Head", "**b** and *i* `c`": "b and i c", "| a | b |\n|---|:-:|\n| 1 | 2 |": "a b\n1 2", "```\n# raw | x\n```\nafter": "# raw | x\nafter", "\n\n__u__ _v_\n": "u v", "####### seven": "####### seven",
+             "\t# Head\r\nbody\r": "Head\nbody", "| **a | b** |": "a b", "~~~\n **raw**\n\n~~~\n*x*": " **raw**\nx", "## **Bold Title**": "Bold Title", "| Sym | Px |\n|:-:|--:|\n| ES | *4200* |": "Sym Px\nES 4200", "```\nopen\n": "open"}
     df = spark.createDataFrame(list(cases.items()), "md string, want string")
     assert df.where(text.strip_markdown(F.col("md")) != F.col("want")).collect() == []
 
@@ -236,3 +246,85 @@ def test_running_sums_equal_windows(spark):
     n = numbered(df, [], numeric_bucket(df, "s", 8), order, "n")
     assert sorted(r.n for r in n.collect()) == list(range(1, 501))
     assert numbered(df.limit(0), [], numeric_bucket(df.limit(0), "s"), order, "n").count() == 0
+
+
+def test_lags_and_maxima_over_buckets_equal_windows(spark):
+    from pyspark.sql import Window
+
+    from trialframe.operators.ranges import before, numeric_bucket, reached
+
+    df = spark.range(300).select((F.col("id") % 2).alias("g"), (F.col("id") * 37 % 401).alias("s"), F.when(F.col("id") % 5 != 0, F.col("id") % 11).alias("v"))
+    w = Window.partitionBy("g").orderBy("s")
+    out = before(df, ["g"], numeric_bucket(df, "s", 8), [F.col("s")], {"b": F.col("v")}).withColumn("want", F.lag("v").over(w))
+    assert out.count() == 300 and out.where("not (b <=> want)").count() == 0
+    top = reached(df, ["g"], numeric_bucket(df, "s", 8), [F.col("s")], {"m": F.col("v")}).withColumn("want", F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    assert top.where("not (m <=> want)").count() == 0
+
+
+def test_ledger_events_of_every_kind(spark):
+    rows = [(1, 1, "reserved", 2.0), (1, 2, "completed", 1.5), (2, 3, "reserved", 2.0), (3, 4, "rejected", 0.0)]
+    df = spark.createDataFrame([("c", *r) for r in rows], "campaign string, seq int, line int, event string, usd double").withColumn("reason", F.lit("bad paths"))
+    r = ledger.ledger_totals(df, "campaign", "seq", "line", "usd").first()
+    assert (float(r.total), ledger.experiments_run(df, "campaign").first().runs) == (3.5, 1)
+    assert ledger.consecutive_failures(df, "campaign", "line").first().failures == 1
+    assert [x.seq for x in ledger.open_reservations(df, "campaign", "seq", "line", "usd").collect()] == [2]  # rejected releases nothing
+    assert ledger.failure_reasons(df, "campaign", "line", "seq", "reason", 3).first().reasons == "round 3 rejected: bad paths"
+    more = df.unionByName(spark.createDataFrame([("c", 2, 5, "reconciled", 2.0, ""), ("c", 4, 6, "preflight_failed", 1.0, "x"), ("c", 5, 7, "aborted", 0.5, "y"), ("c", 6, 8, "infra_aborted", 0.25, "z")], df.schema))
+    assert float(ledger.ledger_totals(more, "campaign", "seq", "line", "usd").first().spent) == 5.25
+    assert [r.streak for r in ledger.running_streak(more, "campaign", "line").orderBy("line").collect()] == [0, 0, 0, 1, 0, 1, 0, 1]
+    assert ledger.failure_reasons(more, "campaign", "line", "seq", "reason", 2).first().reasons == "round 5 aborted: y; round 6 infra_aborted: z"
+
+
+def test_request_keys(spark):
+    key = lambda url, method="get", body=None, version=1: one(spark, lifecycle.request_key(F.col("u"), F.lit(method), F.lit(body).cast("string"), version), u=url)
+    assert len({key(u) for u in ("http://h/x", "https://h/x", "https://h:8443/x", "http://h:0/x")}) == 4
+    assert key("https://h/x") == key("https://h:443/x") == key("HTTPS://H/x") == key("https://h/x", "GET")
+    assert key("http://h/x?b=2&a=1") == key("http://h/x?a=1&b=2") != key("http://h/x?a=1&b=3")
+    assert key("http://h/x", version=1) != key("http://h/x", version=2) and key("http://h/x", body="q") != key("http://h/x")
+    parts = ["1", "GET", "http", "h", "80", "/", "a=1+x&b=%2A~", ""]
+    assert key("http://h?b=*%7E&a=1%20x#f") == hashlib.sha256("\0".join(parts).encode()).hexdigest()
+
+
+def test_topic_leakage(spark):
+    def report(**arms):
+        rows = [(1, a, v) for a, vs in arms.items() for v in vs]
+        return metrics.topic_leakage(spark.createDataFrame(rows, "g int, arm string, v double"), F.col("v"), F.col("arm"), ["g"]).first()
+
+    leaky = report(author=[1.0, 1.0], foreign=[0.0, 0.0], style_swapped=[0.0, 0.0], topic_matched=[1.0, 1.0])
+    assert (leaky.style_swap_drop, leaky.topic_match_inflation, leaky.leakage, leaky.refused) == (1.0, 1.0, 1.0, False)
+    signed = report(author=[0.0], foreign=[2.0], style_swapped=[1.0], topic_matched=[3.0])
+    assert (signed.style_swap_drop, signed.topic_match_inflation) == (0.5, -0.5) and signed.leakage == 0.5
+    none = report(author=[1.0], foreign=[1.0], style_swapped=[0.0], topic_matched=[0.0])
+    assert none.refused and none.leakage is None
+
+
+def test_calibration_refuses_what_cannot_discriminate(spark):
+    df = spark.createDataFrame([(1, 0.9, 0.1), (2, 1.0, 0.2), (3, 0.5, 0.5), (4, math.nan, 0.0), (5, None, 0.0)], "k int, ceiling double, floor double")
+    got = {r.k: r.refusal for r in metrics.calibration_refusals(df, 1e-9, saturation_at=1.0).collect()}
+    assert got == {1: None, 2: "pinned", 3: "no spread", 4: "non-finite", 5: "non-finite"}
+
+
+def test_liveness(spark):
+    reg = spark.createDataFrame([("alpha", 1, 7), ("beta", 2, None), ("gamma", 3, 9), ("delta", 4, None), ("eps", None, None), ("zeta", None, None)], "run string, pid int, pgid int")
+    table = spark.createDataFrame([(1, 7, "python alpha --x"), (2, 5, "python other"), (3, 1, "python gamma"), (9, 1, "python my-eps2"), (8, 1, "run eps")], "pid int, pgid int, command string")
+    state = lambda *a: {r.run: (r.state, r.pid) for r in lifecycle.liveness(reg, *a[:1], "run", "pid", "pgid", "command", *a[1:]).collect()}
+    assert state(table) == {"alpha": ("live", 1), "beta": ("dead", 2), "gamma": ("dead", 3), "delta": ("dead", 4), "eps": ("live", 8), "zeta": ("dead", None)}
+    alive = spark.createDataFrame([(1,), (2,)], "pid int")
+    assert state(None, alive) == {"alpha": ("live", 1), "beta": ("live", 2), "gamma": ("dead", 3), "delta": ("dead", 4), "eps": ("unknown", None), "zeta": ("unknown", None)}
+
+
+def test_directions(spark):
+    df = spark.createDataFrame([("e", i, m) for i, m in enumerate([0.5, 0.7, 0.4, None, 0.4])], "e string, u int, m double")
+    v = ledger.running_verdicts(df, "e", "u", "m", "min")
+    r = ledger.journal_report(v, "e", "u", "m", "min").first()
+    assert (r.kept, r.best_metric, r.best_unit) == (2, 0.4, 2)
+    s = lifecycle.metric_summary(v, "e", "u", "m", "min").first()
+    assert (s.baseline, s.best, round(s.uplift, 9)) == (0.5, 0.4, 0.1)
+    for direction, probe, want in (("max", 1.1, "ready"), ("max", 0.9, "unreachable"), ("min", 0.9, "ready"), ("min", 1.1, "unreachable")):
+        assert one(spark, lifecycle.preflight(F.lit(1.0), F.lit(1.05), F.lit(probe), direction=direction)) == want
+
+
+def test_bootstrap_verdicts(spark):
+    q = spark.createDataFrame([("base", 0.4, 0.5, 0.45), ("up", 0.6, 0.7, 0.65), ("touch", 0.5, 0.6, 0.55), ("down", 0.1, 0.2, 0.15)], "arm string, low double, high double, mean double")
+    promoted = lambda d, f: {r.arm for r in gates.bootstrap_verdicts(q, "arm", "base", d, f).where("promote").collect()}
+    assert promoted("max", 0.0) == {"up"} and promoted("max", 0.3) == set() and promoted("min", 0.0) == {"down"}

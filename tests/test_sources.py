@@ -96,7 +96,7 @@ def test_streams_equal_their_batches(spark, tmp_path):
     journals.tail_to(stream(), f"{tmp_path}/out", f"{tmp_path}/c1")
     assert spark.read.parquet(f"{tmp_path}/out").count() == events.count()
     journals.counts_to(stream(), ["event_type"], f"{tmp_path}/n", f"{tmp_path}/c2")
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/n").collect())) == sorted(map(tuple, events.groupBy("event_type").count().collect()))
+    assert sorted(map(tuple, journals.read_counts(spark, f"{tmp_path}/n").collect())) == sorted(map(tuple, events.groupBy("event_type").count().collect()))
 
 
 def test_quiet_alarms_as_state(spark, tmp_path):
@@ -138,5 +138,8 @@ def test_failure_budget_and_phases(spark, tmp_path):
         V.append_within_budget(rows, f"{tmp_path}/s", "failed", 1)
     phases = spark.createDataFrame([("built",)], "phase string")
     V.require_phase(phases, "built")
+    for at in ("2", "1"):
+        V.mark_phase(spark, f"{tmp_path}/phases", "built", at)
+    assert [tuple(r) for r in V.marked_phases(spark, f"{tmp_path}/phases").collect()] == [("built", "1")]
     with pytest.raises(LookupError):
         V.require_phase(phases, "shipped")

@@ -67,8 +67,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """Distinct lower-cased words between Unicode white space."""
-    return F.array_distinct(F.filter(F.split(F.lower(c), "(?U)\\s+"), lambda w: w != ""))
+    """Distinct case-folded words between Unicode white space."""
+    return F.array_distinct(F.filter(F.split(F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ς", "σ"), "(?U)[\\s\\x1c-\\x1f]+"), lambda w: w != ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -13,33 +13,47 @@ def strip_emphasis(c: Column) -> Column:
     return c
 
 
+_EDGES = "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"
+_BREAKS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at either end, Unicode's included."""
+    return F.regexp_replace(c, _EDGES, "")
+
+
+def folded(c: Column) -> Column:
+    """Case folded: lower case, `ß` as `ss` and the final sigma as any other."""
+    return F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ς", "σ")
+
+
+def normalized(c: Column) -> Column:
+    """Words between single spaces, case folded."""
+    return folded(stripped(F.regexp_replace(c, "(?U)[\\s\\x1c-\\x1f]+", " ")))
+
+
 def strip_table_row(c: Column) -> Column:
-    """The cells of a row between spaces; a row of separators is empty."""
-    cells = F.filter(F.transform(F.split(c, "\\|"), lambda x: F.trim(x)), lambda x: x != "")
+    """The cells of a row between spaces, marks stripped over the whole; a row of separators is empty."""
+    cells = F.filter(F.transform(F.split(c, "\\|"), stripped), lambda x: x != "")
     ruled = F.forall(cells, lambda x: x.rlike("^:?-+:?$"))
-    return F.when(ruled, "").otherwise(F.array_join(F.transform(cells, strip_emphasis), " "))
+    return F.when(ruled, "").otherwise(strip_emphasis(F.array_join(cells, " ")))
 
 
 def strip_line(c: Column) -> Column:
-    plain = strip_emphasis(F.regexp_replace(F.trim(c), "^#{1,6}\\s+", ""))
-    return F.when(F.contains(c, F.lit("|")), strip_table_row(c)).otherwise(plain)
+    """One line without white space at its ends: a table row by its cells, others without heading and marks."""
+    return F.when(F.contains(c, F.lit("|")), strip_table_row(c)).otherwise(strip_emphasis(F.regexp_replace(c, "^#{1,6}\\s+", "")))
 
 
 def strip_markdown(c: Column) -> Column:
-    """Plain text: fenced lines as they are, others stripped, blank ones dropped."""
-    lines = F.split(c, "\n")
-    start = F.struct(F.lit(False).alias("fenced"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        fence = F.startswith(F.trim(line), F.lit("```"))
-        text = F.when(acc["fenced"], line).otherwise(strip_line(line))
-        keep = ~fence & (F.trim(text) != "")
-        return F.struct(
-            F.when(fence, ~acc["fenced"]).otherwise(acc["fenced"]).alias("fenced"),
-            F.when(keep, F.concat(acc["out"], F.array(text))).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.aggregate(lines, start, step, lambda acc: F.array_join(acc["out"], "\n"))
+    """Plain text: fenced lines as they are, others stripped, blank ones dropped.
+
+    Fence lines cut the text into blocks that are outside and inside in turn, so no line has to know those before it.
+    """
+    lines = F.regexp_replace(c, _BREAKS, "\n")
+    blocks = F.split(lines, "(?md)^[^\\S\n]*(?:```|~~~).*$")
+    outside = lambda b: F.filter(F.transform(F.split(b, "\n"), lambda x: strip_line(stripped(x))), lambda x: x != "")
+    inside = lambda b: F.filter(F.split(b, "\n"), lambda x: stripped(x) != "")
+    return F.array_join(F.flatten(F.transform(blocks, lambda b, i: F.when(i % 2 == 0, outside(b)).otherwise(inside(b)))), "\n")
 
 
 def sanitize_history(c: Column, limit: int = 240) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialframe.operators.ranges import before, numeric_bucket
+
 #: A price table is a hand-kept list; more rows than this are joined by a shuffle.
 BROADCAST_PRICES = 10_000
 
@@ -23,9 +25,9 @@ def cost_by_model(calls: DataFrame, prices: DataFrame, model: str = "model") ->
 
 
 def drift(calls: DataFrame, model: str, order: str, served: str) -> DataFrame:
-    """Calls whose server differs from that of the model's call before; nulls are no drift."""
-    before = F.lag(served).over(Window.partitionBy(model).orderBy(order))
-    return calls.withColumn("before", before).where(F.col("before") != F.col(served))
+    """Calls whose server differs from that of the model's call before; nulls are no drift. A model may have any number of calls."""
+    held = before(calls, [model], numeric_bucket(calls, order), [F.col(order)], {"before": F.col(served)})
+    return held.where(F.col("before") != F.col(served))
 
 
 def running_spend(df: DataFrame, entity: str, order: str, amount: Column) -> DataFrame:

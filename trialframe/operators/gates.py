@@ -45,20 +45,28 @@ def permutation_gate(diffs: DataFrame, item: str, diff: str, permutations: int,
 def bootstrap_means(samples: DataFrame, value: str, resamples: int, by: list[str]) -> DataFrame:
     """(by, boot, mean): means of resamples with replacement; draw i of resample b takes a reproducible position.
 
-    samples must number each group's rows in pos from 0 and give its size in n.
+    samples must number each group's rows in pos from 0 and give its size in n. Draws are counted by position before
+    they meet the values, so a value is joined once per resample that has it.
     """
     draws = samples.select(*by, F.col("pos").alias("draw"), "n").withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     picked = draws.withColumn("pos", seeded_number(F.col("boot"), F.col("draw")) % F.col("n"))
-    return picked.join(samples.select(*by, "pos", value), [*by, "pos"]).groupBy(*by, "boot").agg(F.avg(F.col(value).cast("double")).alias("mean"))
+    counts = picked.groupBy(*by, "boot", "pos").agg(F.count("*").alias("__c"))
+    held = counts.join(samples.select(*by, "pos", F.col(value).cast("double").alias("__v")), [*by, "pos"])
+    return held.groupBy(*by, "boot").agg((F.sum(F.col("__c") * F.col("__v")) / F.sum("__c")).alias("mean"))
 
 
 def intervals(means: DataFrame, by: list[str]) -> DataFrame:
-    """(by, low, high): the central 95 percent of the resampled means."""
+    """(by, low, high, mean): the central 95 percent of the resampled means, and their mean."""
     both = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
-    return means.groupBy(*by).agg(both.alias("q")).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return means.groupBy(*by).agg(both.alias("q"), F.avg("mean").alias("mean")).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), "mean")
 
 
-def apart(low: Column, high: Column, other_low: Column, other_high: Column, direction: str, gain: Column, floor: float) -> Column:
-    """True where the candidate's interval (first) lies wholly on the better side and the gain exceeds floor."""
-    better = (low > other_high) if direction == "max" else (high < other_low)
-    return better & (gain > floor)
+def bootstrap_verdicts(bounds: DataFrame, arm: str, incumbent: str, direction: str, floor: float) -> DataFrame:
+    """bounds with promote: intervals that do not touch and a margin of the resampled means beyond floor.
+
+    The incumbent's bounds are one row.
+    """
+    own = bounds.where(F.col(arm) == incumbent).limit(1).select(F.col("low").alias("__l"), F.col("high").alias("__h"), F.col("mean").alias("__m"))
+    apart = ~((F.col("__l") <= F.col("high")) & (F.col("low") <= F.col("__h")))
+    margin = (F.col("mean") - F.col("__m")) * (1 if direction == "max" else -1)
+    return bounds.crossJoin(F.broadcast(own)).withColumn("promote", apart & (margin > floor)).drop("__l", "__h", "__m")

@@ -6,15 +6,19 @@ it, so they scale with the number of entities; only admission under a cap needs
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.functions.expr import money, verdict
+from trialframe.operators.ranges import numeric_bucket, reached, running
 
-RUN_EVENTS = ("completed",)
-FAILED_EVENTS = ("infra_aborted",)
-TERMINAL_EVENTS = ("completed", "infra_aborted", "rejected")
+#: What releases a reservation, feeds the streak of failures, uses an experiment's slot and ends a streak.
+TERMINAL_EVENTS = ("completed", "aborted", "infra_aborted", "preflight_failed", "reconciled")
+FAILED_EVENTS = ("rejected", "preflight_failed", "infra_aborted")
+RUN_EVENTS = ("completed", "aborted", "reconciled")
 
 
 def running_verdicts(df: DataFrame, entity: str, order: str, metric: str, direction: str = "max") -> DataFrame:
@@ -27,9 +31,10 @@ def running_verdicts(df: DataFrame, entity: str, order: str, metric: str, direct
     return df.withColumn("incumbent", best).withColumn("verdict", verdict(F.col(metric), F.col("incumbent"), direction))
 
 
-def journal_report(df: DataFrame, entity: str, order: str, metric: str) -> DataFrame:
+def journal_report(df: DataFrame, entity: str, order: str, metric: str, direction: str = "max") -> DataFrame:
     """Per entity: units, kept, crashes, the best kept metric and its unit (the first of equals), and the next unit."""
-    kept = F.when(F.col("verdict") == "keep", F.struct(F.col(metric).alias("m"), (-F.col(order)).alias("o")))
+    sign = 1 if direction == "max" else -1
+    kept = F.when((F.col("verdict") == "keep") & F.col(metric).isNotNull(), F.struct((F.col(metric) * sign).alias("s"), (-F.col(order)).alias("o"), F.col(metric).alias("m")))
     out = df.groupBy(entity).agg(
         F.count("*").alias("units"), F.count_if(F.col("verdict") == "keep").alias("kept"), F.count_if(F.col("verdict") == "crash").alias("crashes"),
         F.max(kept).alias("b"), (F.coalesce(F.max(order), F.lit(-1)) + 1).alias("next_unit"),
@@ -70,19 +75,38 @@ def consecutive_failures(df: DataFrame, entity: str, order: str) -> DataFrame:
     return df.join(last, entity).groupBy(entity).agg(F.count_if(failed & (F.col(order) > F.col("last_run"))).alias("failures"))
 
 
+def experiments_run(df: DataFrame, entity: str) -> DataFrame:
+    """(entity, runs): events that use an experiment's slot."""
+    return df.groupBy(entity).agg(F.count_if(F.col("event").isin(*RUN_EVENTS)).alias("runs"))
+
+
 def running_streak(df: DataFrame, entity: str, order: str) -> DataFrame:
-    """df with streak: failures since the last run, at every row."""
+    """df with streak: failures since the last run, at every row.
+
+    Failures up to the row, less those up to the last run. Both are running values over buckets of the order, so an
+    entity with any number of rows is dealt over many tasks: within a bucket the failures at the last run are a running
+    maximum, as the count of failures never falls.
+    """
     ran, failed = F.col("event").isin(*RUN_EVENTS), F.col("event").isin(*FAILED_EVENTS)
-    so_far = Window.partitionBy(entity).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    island = df.withColumn("island", F.sum(ran.cast("int")).over(so_far))
-    within = Window.partitionBy(entity, "island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return island.withColumn("streak", F.sum(failed.cast("int")).over(within))
+    so_far = running(df, [entity], numeric_bucket(df, order), [F.col(order)], {"__failed": failed.cast("long")})
+    at_run = so_far.withColumn("__at_run", F.when(ran, F.col("__failed")))
+    return reached(at_run, [entity], numeric_bucket(df, order), [F.col(order)], {"__base": F.col("__at_run")}).withColumn("streak", F.col("__failed") - F.coalesce("__base", F.lit(0))).drop("__failed", "__at_run", "__base")
 
 
-def failure_reasons(df: DataFrame, entity: str, order: str, reason: str, n: int) -> DataFrame:
-    """(entity, reasons): the last n reasons of failures, oldest first."""
-    last = recent(df.where(F.col("event").isin(*FAILED_EVENTS)), entity, order, n)
-    return last.groupBy(entity).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, reason))), lambda x: x[reason]), "; ").alias("reasons"))
+def failure_reasons(df: DataFrame, entity: str, order: str, seq: str, reason: str, n: int) -> DataFrame:
+    """(entity, reasons): the last n failures and aborts as `round <seq> <event>: <reason>`, oldest first."""
+    told = df.where(F.col("event").isin(*FAILED_EVENTS, "aborted"))
+    line = F.concat(F.lit("round "), F.col(seq).cast("string"), F.lit(" "), F.col("event"), F.lit(": "), F.coalesce(F.col(reason), F.lit("")))
+    last = last_of(told.select(entity, F.col(order).alias("__o"), line.alias("__line")), entity, "__o", "__line", n)
+    return last.select(entity, F.array_join(F.transform("last", lambda x: x["__line"]), "; ").alias("reasons"))
+
+
+def last_of(df: DataFrame, entity: str, order: str, value: str, n: int) -> DataFrame:
+    """(entity, last): the n rows with the largest order, smallest first; buckets of an entity keep n each before they meet."""
+    part = F.pmod(F.xxhash64(order), F.lit(64))
+    top = lambda c: F.reverse(F.slice(F.sort_array(c, asc=False), 1, n))
+    each = df.groupBy(entity, part.alias("__p")).agg(top(F.collect_list(F.struct(order, value))).alias("l"))
+    return each.groupBy(entity).agg(top(F.flatten(F.collect_list("l"))).alias("last"))
 
 
 def fold_registry(df: DataFrame, entity: str, order: str, value: str) -> DataFrame:
@@ -100,22 +124,26 @@ def fold_registry(df: DataFrame, entity: str, order: str, value: str) -> DataFra
 def admitted(df: DataFrame, entity: str, order: str, cents: str, cap: int) -> DataFrame:
     """(entity, order, cents, admitted, running): a row is admitted while the sum of what was admitted stays within cap.
 
-    What is refused adds nothing, so this is an ordered fold per entity, not a window sum: one linear pass over the
-    rows of an entity, as they are read for one campaign.
+    What is refused adds nothing, so this is an ordered fold per entity, not a window sum: rows are dealt by entity,
+    sorted within the task, and streamed past the sum so far. No task holds an entity.
     """
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (entity, order)}
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        total, ok, running = 0, [], []
-        for c in pdf[cents].tolist():
-            ok.append(total + c <= cap)
-            total += c if ok[-1] else 0
-            running.append(total)
-        return pdf.assign(admitted=ok, running=running)[[entity, order, cents, "admitted", "running"]]
-
     rows = df.select(entity, order, F.col(cents).cast("long").alias(cents))
-    return rows.groupBy(entity).applyInPandas(fold, f"{entity} {kinds[entity]}, {order} {kinds[order]}, {cents} long, admitted boolean, running long")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = object(), 0
+        for b in batches:
+            ok, running = [], []
+            for e, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if e != key:
+                    key, total = e, 0
+                ok.append(c is not None and total + c <= cap)
+                total += c if ok[-1] else 0
+                running.append(total)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok, pa.bool_()), pa.array(running, pa.int64())], names=[entity, order, cents, "admitted", "running"])
+
+    dealt = rows.repartition(entity).sortWithinPartitions(entity, order)
+    return dealt.mapInArrow(fold, f"{entity} {kinds[entity]}, {order} {kinds[order]}, {cents} long, admitted boolean, running long")
 
 
 def quiet_alarms(df: DataFrame, entity: str, time: str, seconds: int) -> DataFrame:

@@ -26,15 +26,39 @@ def approved_specs(ledger: DataFrame, files: DataFrame, seq: str, order: str, di
     return held.select(seq, state.alias("state"))
 
 
-def liveness(registry: DataFrame, processes: DataFrame, run: str, pid: str, command: str) -> DataFrame:
-    """(run, state): live by its process id with its name in the command, else by its name in any command, else dead.
+def liveness(registry: DataFrame, processes: DataFrame | None, run: str, pid: str, group: str, command: str, alive: DataFrame | None = None) -> DataFrame:
+    """(run, state, pid) of a registry of (run, pid, group): live, dead or unknown.
 
-    Names are matched as whole words of the command, so the fallback is an equi-join on words, not a search of pairs.
+    A run with a process id is live if that process is there, has the run's name in its command and, where a group is
+    registered, that group; else it is dead: the id has been given to another process. A run without an id is looked for
+    in all commands, and the smallest process id that names it counts. Without a snapshot of processes only `alive`
+    (a table of ids) tells, and a run without an id is unknown.
+
+    Names are looked for as pieces of the commands of the lengths that names have, so the search is an equi-join.
     """
-    by_pid = registry.join(processes, pid, "left").select(run, F.coalesce(F.contains(F.col(command), F.col(run)), F.lit(False)).alias("same_pid"))
-    words = processes.select(F.explode(F.split(command, "\\s+")).alias(run)).distinct().withColumn("named", F.lit(True))
-    state = F.when(F.col("same_pid"), "live").when(F.coalesce("named", F.lit(False)), "moved").otherwise("dead")
-    return by_pid.join(words, run, "left").select(run, state.alias("state"))
+    if processes is None:
+        known = registry.join(alive.select(pid).distinct().withColumn("__alive", F.lit(True)), pid, "left")
+        state = F.when(F.col(pid).isNull(), "unknown").when(F.col("__alive"), "live").otherwise("dead")
+        return known.select(run, state.alias("state"), F.col(pid).alias("pid"))
+    by_pid = registry.where(F.col(pid).isNotNull()).select(run, pid, F.col(group).alias("__group")).join(processes, pid, "left")
+    same = F.contains(F.col(command), F.col(run)) & (F.col("__group").isNull() | (F.col("__group") == F.col(group)))
+    if alive is not None:
+        by_pid = by_pid.join(alive.select(pid).distinct().withColumn("__alive", F.lit(True)), pid, "left")
+        same = same & F.coalesce("__alive", F.lit(False))
+    first = by_pid.select(run, F.when(F.coalesce(same, F.lit(False)), "live").otherwise("dead").alias("state"), F.col(pid).alias("pid"))
+    named = registry.where(F.col(pid).isNull()).select(run)
+    sizes = [r.n for r in named.select(F.length(run).alias("n")).distinct().where("n > 0").collect()]
+    pieces = [_pieces(F.col(command), n) for n in sizes]
+    none = F.expr("cast(array() as array<string>)")
+    found = processes.select(F.col(pid).alias("pid"), F.explode(F.array_distinct(F.concat(none, *[F.coalesce(p, none) for p in pieces]))).alias(run))
+    found = found.join(named.distinct(), run, "left_semi").groupBy(run).agg(F.min("pid").alias("pid"))
+    second = named.join(found, run, "left").select(run, F.when(F.col("pid").isNotNull(), "live").otherwise("dead").alias("state"), "pid")
+    return first.unionByName(second)
+
+
+def _pieces(text: Column, n: int) -> Column:
+    """All parts of n characters."""
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))
 
 
 def parity_mismatches(local: DataFrame, remote: DataFrame, key: str, value: str) -> DataFrame:
@@ -85,10 +109,11 @@ def first_violation(checks: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def preflight(baseline: Column, again: Column, probe: Column, tolerance: float = 0.1) -> Column:
+def preflight(baseline: Column, again: Column, probe: Column, tolerance: float = 0.1, direction: str = "max") -> Column:
     """stable and reachable, or why not: a repeat within relative tolerance (equal for a baseline of 0), then a gain."""
+    gains = probe > baseline if direction == "max" else probe < baseline
     stable = F.when(baseline == 0, again == 0).otherwise(F.abs(again - baseline) <= tolerance * F.abs(baseline))
-    return F.when(~finite(baseline) | ~finite(again), "no metric").when(~stable, "unstable").when(probe > baseline, "ready").otherwise("unreachable")
+    return F.when(~finite(baseline) | ~finite(again), "no metric").when(~stable, "unstable").when(gains, "ready").otherwise("unreachable")
 
 
 def run_seconds(max_usd: Column, usd_per_hour: Column, overhead: int = 360, cap: int = 86_400) -> Column:
@@ -123,16 +148,42 @@ def with_prefixes(values: Column, prefixes: list[str]) -> Column:
 # ---------------------------------------------------------------- identities
 
 
-def request_key(method: Column, host: Column, path: Column, query: Column, body: Column) -> Column:
-    """A digest of a request that does not depend on the order of its query or the case of its host."""
-    args = F.array_join(F.array_sort(F.split(F.coalesce(query, F.lit("")), "&")), "&")
-    return F.sha2(F.array_join(F.array(F.upper(method), F.lower(host), path, args, F.sha2(F.coalesce(body, F.lit("")).cast("binary"), 256)), "\u0000").cast("binary"), 256)
+DEFAULT_PORTS = {"http": 80, "https": 443}
+
 
+def request_key(url: Column, method: Column, body: Column, schema_version: int = 1) -> Column:
+    """A digest of a request: schema version, method, scheme, host, port, path, sorted query and body, apart by NUL.
 
-def rows_fingerprint(df: DataFrame, by: str, number: str, row: str) -> DataFrame:
-    """(by, fingerprint): a digest of the numbered rows of a packet in the order of their numbers."""
-    pairs = F.transform(F.array_sort(F.collect_list(F.struct(number, row))), lambda x: F.concat(F.lit("["), x[number].cast("string"), F.lit(","), x[row].cast("string"), F.lit("]")))
-    return df.groupBy(by).agg(F.sha2(F.concat(F.lit("["), F.array_join(pairs, ","), F.lit("]")).cast("binary"), 256).alias("fingerprint"))
+    The order of the query and the case of scheme and host do not count; a port that is not written is its scheme's.
+    Headers do not take part.
+    """
+    part = lambda k: F.regexp_extract(url, "^([^:/?#]+)://([^/?#]*)([^?#]*)(?:[?]([^#]*))?", k)
+    scheme, place = F.lower(part(1)), F.lower(F.regexp_replace(part(2), "^.*@", ""))
+    host, port = F.regexp_replace(place, ":[0-9]*$", ""), F.regexp_extract(place, ":([0-9]+)$", 1)
+    default = F.lit("")
+    for name, number in DEFAULT_PORTS.items():
+        default = F.when(scheme == name, str(number)).otherwise(default)
+    path = F.when(part(3) == "", "/").otherwise(part(3))
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    coded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    named = lambda p: F.struct(plain(F.substring_index(p, "=", 1)).alias("k"), plain(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("v"))
+    args = F.array_sort(F.transform(F.filter(F.split(part(4), "&"), lambda p: p != ""), named))
+    query = F.array_join(F.transform(args, lambda p: F.concat(coded(p["k"]), F.lit("="), coded(p["v"]))), "&")
+    parts = F.array(F.lit(str(schema_version)), F.upper(method), scheme, host, F.when(port == "", default).otherwise(port), path, query, F.coalesce(body, F.lit("")))
+    return F.sha2(F.array_join(parts, "\u0000").cast("binary"), 256)
+
+
+def rows_fingerprint(df: DataFrame, by: str, number: str, row: str, portion: int = 4096) -> DataFrame:
+    """(by, fingerprint): a digest of the numbered rows of a packet in the order of their numbers.
+
+    Rows are digested by portions of consecutive numbers, and the digests of the portions in their order, so that no
+    task holds a packet.
+    """
+    line = F.concat(F.lit("["), F.col(number).cast("string"), F.lit(","), F.col(row).cast("string"), F.lit("]"))
+    joined = lambda at, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).alias("v")))), lambda x: x["v"]), ",")
+    rows = df.select(by, F.col(number).alias("__n"), F.floor(F.col(number) / portion).alias("__p"), line.alias("__line"))
+    parts = rows.groupBy(by, "__p").agg(F.sha2(F.concat(F.lit("["), joined("__n", "__line"), F.lit("]")).cast("binary"), 256).alias("__d"))
+    return parts.groupBy(by).agg(F.sha2(joined("__p", "__d").cast("binary"), 256).alias("fingerprint"))
 
 
 # ---------------------------------------------------------------- time and series
@@ -147,10 +198,10 @@ def idle_sessions(df: DataFrame, entity: str, time: str, ttl_s: int) -> DataFram
     return numbered.groupBy(entity, "session").agg(F.min("__us").alias("first_us"), F.max("__us").alias("last_us"), F.count("*").alias("uses"))
 
 
-def metric_summary(df: DataFrame, entity: str, order: str, metric: str) -> DataFrame:
+def metric_summary(df: DataFrame, entity: str, order: str, metric: str, direction: str = "max") -> DataFrame:
     """(entity, baseline, best, uplift): the first and the best kept metric and their distance."""
     kept = df.where((F.col("verdict") == "keep") & F.col(metric).isNotNull())
-    out = kept.groupBy(entity).agg(F.min_by(metric, order).alias("baseline"), F.max(metric).alias("best"))
+    out = kept.groupBy(entity).agg(F.min_by(metric, order).alias("baseline"), (F.max if direction == "max" else F.min)(metric).alias("best"))
     return out.withColumn("uplift", F.abs(F.col("best") - F.col("baseline")))
 
 

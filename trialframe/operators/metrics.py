@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialframe.functions.expr import safe_div
+from trialframe.functions.expr import finite, safe_div
 from trialframe.operators.ranges import numeric_bucket, running
 
 
@@ -35,6 +35,20 @@ def rank_auc(df: DataFrame, positive: Column, score: Column, by: list[str] | Non
     return sums.select(*keys, "pos", "neg", area.alias("auc"))
 
 
+def one_against_rest_auc(df: DataFrame, label: str, score: Column) -> DataFrame:
+    """(label, pos, neg, auc) of each label against all others, from counts by score and label: no row is repeated."""
+    own = df.select(label, score.alias("s")).where(F.col("s").isNotNull() & F.col(label).isNotNull()).groupBy(label, "s").agg(F.count("*").alias("own"))
+    every = own.groupBy("s").agg(F.sum("own").alias("every"))
+    reached = running(every, [], numeric_bucket(every, "s"), [F.col("s")], {"all_reached": F.col("every")})
+    mine = running(own, [label], numeric_bucket(own, "s"), [F.col("s")], {"own_reached": F.col("own")})
+    below = (F.col("all_reached") - F.col("every")) - (F.col("own_reached") - F.col("own"))
+    won = F.col("own") * (below + (F.col("every") - F.col("own")) / 2)
+    sums = mine.join(reached, "s").groupBy(label).agg(F.sum(won).alias("won"), F.sum("own").alias("pos"))
+    total = own.agg(F.sum("own").alias("total"))
+    held = sums.crossJoin(F.broadcast(total)).withColumn("neg", F.col("total") - F.col("pos"))  # one row
+    return held.select(label, "pos", "neg", F.when(F.col("neg") == 0, F.lit(float("nan"))).otherwise(F.col("won") / (F.col("pos") * F.col("neg").cast("double"))).alias("auc"))
+
+
 def budget_threshold(df: DataFrame, score: str, budget: Column | int, by: list[str]) -> DataFrame:
     """(by, threshold, fires): the lowest score that at most budget rows reach; null where every score fires too often."""
     counts = df.groupBy(*by, F.col(score).cast("double").alias("s")).agg(F.count("*").alias("n"))
@@ -53,12 +67,32 @@ def normalized(score: Column, ceiling: Column, floor: Column) -> Column:
     return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
 
 
-def topic_leakage(df: DataFrame, score: Column, topic: Column, outcome: Column, by: list[str]) -> DataFrame:
-    """How far the score follows the topic within each outcome: the larger of the two gaps between topic means."""
-    groups = {f"m{int(o)}{int(t)}": F.avg(F.when((outcome == F.lit(o)) & (topic == F.lit(t)), score)) for o in (True, False) for t in (True, False)}
-    out = df.groupBy(*by).agg(*[c.alias(k) for k, c in groups.items()])
-    gap = lambda o: F.coalesce(F.abs(F.col(f"m{o}1") - F.col(f"m{o}0")), F.lit(0.0))
-    return out.withColumn("leakage", F.greatest(gap(1), gap(0)))
+#: Fixed value: the leakage from which a judge counts as following the topic.
+LEAKAGE_TOLERANCE = 0.5
+ARMS = ("author", "foreign", "style_swapped", "topic_matched")
+
+
+def topic_leakage(df: DataFrame, score: Column, arm: Column, by: list[str]) -> DataFrame:
+    """How far a score follows the topic instead of the style, by group; arm is one of `ARMS`.
+
+    The drop of restyled author texts and the rise of topic-matched foreign texts are signed shares of the spread
+    between the author's and the foreign mean; leakage is the larger. Where the spread is zero, not finite or not
+    known there is none, and `refused` is true.
+    """
+    out = df.groupBy(*by).agg(*[F.avg(F.when(arm == a, score.cast("double"))).alias(a) for a in ARMS])
+    author, foreign, swapped, matched = (F.col(a) for a in ARMS)
+    spread = author - foreign
+    usable = F.coalesce(finite(spread) & (spread != 0), F.lit(False))
+    share = lambda x: F.when(usable, F.try_divide(x, spread))
+    held = out.withColumns({"style_swap_drop": share(author - swapped), "topic_match_inflation": share(matched - foreign), "refused": ~usable})
+    return held.withColumn("leakage", F.greatest("style_swap_drop", "topic_match_inflation"))
+
+
+def calibration_refusals(df: DataFrame, min_spread: float, saturation_at: float | None = None, epsilon: float = 1e-9) -> DataFrame:
+    """(…, refusal): why bounds (ceiling, floor) cannot be used, else null: not finite, pinned at a maximum, no spread."""
+    c, f = F.col("ceiling"), F.col("floor")
+    pinned = F.lit(False) if saturation_at is None else c >= saturation_at - epsilon
+    return df.withColumn("refusal", F.when(~finite(c) | ~finite(f), "non-finite").when(pinned, "pinned").when(c - f <= min_spread, "no spread"))
 
 
 def weighted_loss(logprobs: Column, weights: Column) -> tuple[Column, Column]:

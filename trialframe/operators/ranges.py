@@ -31,16 +31,50 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
     held = df.withColumn("__b", bucket)
     within = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = held.withColumns({f"__w_{n}": F.sum(c).over(within) for n, c in sums.items()})
-    totals = held.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__c")).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*([f"__k_{k}" for k in keys] or [F.lit(0)])).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumns({f"__p_{n}": F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)) for n in sums})
-    on = F.col("__b").eqNullSafe(F.col("__c"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    out = rows.join(totals, on).withColumns({n: F.col(f"__w_{n}") + F.col(f"__p_{n}") for n in sums})
-    return out.drop("__b", "__c", *[f"__k_{k}" for k in keys], *[f"__{p}_{n}" for p in "wtp" for n in sums])
+    return _with_before(held, rows, keys, "sum", sums)
 
 
 def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], into: str) -> DataFrame:
     """df with the position from 1 in the order within its keys."""
     return running(df, keys, bucket, order, {into: F.lit(1).cast("long")})
+
+
+def reached(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """df with the largest value of each up to and including the row, in the order within its keys; null before any."""
+    held = df.withColumn("__b", bucket)
+    within = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = held.withColumns({f"__w_{n}": F.max(c).over(within) for n, c in values.items()})
+    return _with_before(held, rows, keys, "max", values)
+
+
+def before(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """df with the value of the row before, in the order within its keys: a lag over any number of rows.
+
+    The first row of a bucket takes the value from the last bucket before that has rows.
+    """
+    held = df.withColumn("__b", bucket)
+    within = Window.partitionBy(*keys, "__b").orderBy(*order)
+    rows = held.withColumns({f"__l_{n}": F.struct(F.lag(c).over(within).alias("v")) for n, c in values.items()}).withColumn("__r", F.row_number().over(within))
+    last = held.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__c")).agg(*[F.max_by(F.struct(c.alias("v")), F.struct(*order)).alias(f"__t_{n}") for n, c in values.items()])
+    past = Window.partitionBy(*([f"__k_{k}" for k in keys] or [F.lit(0)])).orderBy("__c")
+    last = last.withColumns({f"__p_{n}": F.lag(f"__t_{n}").over(past) for n in values})
+    out = _joined(rows, last, keys).withColumns({n: F.when(F.col("__r") == 1, F.col(f"__p_{n}.v")).otherwise(F.col(f"__l_{n}.v")) for n in values})
+    return out.drop("__r", "__b", "__c", *[f"__k_{k}" for k in keys], *[f"__{p}_{n}" for p in "ltp" for n in values])
+
+
+def _joined(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    on = F.col("__b").eqNullSafe(F.col("__c"))
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return rows.join(totals, on)
+
+
+def _with_before(held: DataFrame, rows: DataFrame, keys: list[str], kind: str, values: dict[str, Column]) -> DataFrame:
+    fold = {"sum": F.sum, "max": F.max}[kind]
+    totals = held.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__c")).agg(*[fold(c).alias(f"__t_{n}") for n, c in values.items()])
+    past = Window.partitionBy(*([f"__k_{k}" for k in keys] or [F.lit(0)])).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({f"__p_{n}": fold(f"__t_{n}").over(past) for n in values})
+    w, p = (lambda n: F.col(f"__w_{n}")), (lambda n: F.col(f"__p_{n}"))
+    both = (lambda n: w(n) + F.coalesce(p(n), F.lit(0))) if kind == "sum" else (lambda n: F.greatest(w(n), p(n)))
+    out = _joined(rows, totals, keys).withColumns({n: both(n) for n in values})
+    return out.drop("__b", "__c", *[f"__k_{k}" for k in keys], *[f"__{p}_{n}" for p in "wtp" for n in values])

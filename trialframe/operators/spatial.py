@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialframe.functions import text as T
+
 NEAR_X, NEAR_Y = 15.0, 10.0
 #: Side of a grid cell, in reaches.
 CELL = 4
@@ -42,37 +43,56 @@ def near_pairs(tokens: DataFrame, supplement: DataFrame, page: str, key: str) ->
 
 
 def reconciled(tokens: DataFrame, supplement: DataFrame, page: str, key: str) -> DataFrame:
-    """Tokens, with half the smaller confidence where a near reading contradicts, and what only the supplement has."""
-    pairs = near_pairs(tokens, supplement, page, key)
-    differs = F.lower(F.trim("text")) != F.lower(F.trim("other_text"))
-    clash = pairs.where(differs).groupBy(page, F.col("token").alias(key)).agg(F.min("other_confidence").alias("other_confidence"))
-    agree = pairs.where(~differs).select(page, F.col("token").alias(key)).distinct().withColumn("agrees", F.lit(True))
-    held = tokens.join(clash, [page, key], "left").join(agree, [page, key], "left")
-    contradicted = F.col("other_confidence").isNotNull() & F.col("agrees").isNull()
-    mine = held.withColumn("confidence", F.when(contradicted, F.least("confidence", "other_confidence") * 0.5).otherwise(F.col("confidence"))).withColumn("origin", F.when(contradicted, "contradicted").otherwise("kept"))
-    covered = pairs.select(page, F.col("other").alias(key)).distinct()
-    extra = supplement.join(covered, [page, key], "left_anti").withColumn("origin", F.lit("added"))
-    cols = [page, key, "text", "x", "y", "confidence", "origin"]
-    return mine.select(*cols).unionByName(extra.select(*cols))
+    """Tokens, with half the least confidence among it and its near readings where any of these contradicts it, and what
+    only the supplement has (tokens near none of the base).
+
+    Both readings meet in one grouping by grid cell, the supplement in every cell that its reach touches; so a base
+    token sees all its near readings in its own cell, and a supplement token is covered if it is in any of its cells.
+    """
+    cols = [page, key, "text", "x", "y", "confidence"]
+    place = lambda df: F.struct(*cols, "cx", "cy", T.normalized(F.col("text")).alias("folded"))
+    a, b = _cells(tokens, False), _cells(supplement, True)
+    both = a.select(page, "gx", "gy", place(a).alias("a"), F.lit(None).alias("b")).unionByName(b.select(page, "gx", "gy", F.lit(None).alias("a"), place(b).alias("b")))
+    met = both.groupBy(page, "gx", "gy").agg(F.collect_list("a").alias("base"), F.collect_list("b").alias("other"))
+    near = lambda x, y: (F.abs(x["cx"] - y["cx"]) < NEAR_X) & (F.abs(x["cy"] - y["cy"]) < NEAR_Y)
+
+    def settled(x: Column) -> Column:
+        matches = F.filter("other", lambda y: near(x, y))
+        start = F.struct(x["confidence"].cast("double").alias("least"), F.lit(False).alias("differs"))
+        fold = F.aggregate(matches, start, lambda s, y: F.struct(F.least(s["least"], y["confidence"].cast("double")).alias("least"), (s["differs"] | ~y["folded"].eqNullSafe(x["folded"])).alias("differs")))
+        return F.struct(x.alias("t"), fold.alias("f"))
+
+    mine = met.select(F.explode(F.transform("base", settled)).alias("r"))
+    clash = F.col("r.f.differs")
+    kept = mine.select(
+        *[F.col(f"r.t.{c}").alias(c) for c in cols[:-1]], F.when(clash, F.col("r.f.least") * 0.5).otherwise(F.col("r.t.confidence")).alias("confidence"),
+        F.when(clash, "contradicted").otherwise("kept").alias("origin"),
+    )
+    seen = met.select(F.explode(F.transform("other", lambda y: F.struct(y.alias("t"), F.exists("base", lambda x: near(x, y)).alias("covered")))).alias("r"))
+    seen = seen.groupBy(F.col(f"r.t.{page}").alias(page), F.col(f"r.t.{key}").alias(key)).agg(F.max("r.covered").alias("covered"), F.first("r.t").alias("t"))
+    added = seen.where("not covered").select(*[F.col(f"t.{c}").alias(c) for c in cols], F.lit("added").alias("origin"))
+    return kept.unionByName(added)
 
 
 def layout_lines(tokens: DataFrame, page: str, gap: float = 8.0) -> DataFrame:
-    """(page, line, text): tokens by height, a new line where one lies more than gap below the first of the open line.
+    """(page, line, text): tokens by upper edge and left edge; a line goes on while centres lie within gap of its first.
 
-    The open line's first token decides, not the neighbour, so this is an ordered fold: one linear pass per page.
+    The open line's first token decides, not the neighbour, so this is an ordered fold over a page's tokens, inside the
+    JVM: it keeps where lines begin; the texts are slices by left edge. A page is what one task holds.
     """
-    kind = tokens.schema[page].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x", "text"], kind="stable")
-        line, first, out = -1, None, []
-        for y in pdf["y"].tolist():
-            if first is None or abs(y - first) > gap:
-                line, first = line + 1, y
-            out.append(line)
-        held = pdf.assign(line=out).sort_values(["line", "x", "text"], kind="stable")
-        text = held.groupby("line", sort=True)["text"].agg(" ".join)
-        return pd.DataFrame({page: pdf[page].iloc[0], "line": text.index, "text": text.to_numpy()})
-
-    rows = tokens.select(page, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.groupBy(page).applyInPandas(fold, f"{page} {kind}, line int, text string")
+    token = F.struct(F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), (F.col("y") + F.col("h") / 2).cast("double").alias("middle"), F.coalesce("text", F.lit("")).alias("text"))
+    pages = tokens.groupBy(page).agg(F.array_sort(F.collect_list(token)).alias("t"))
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0).alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        new = s["first"].isNull() | (F.abs(x["middle"] - s["first"]) > gap)
+        return F.struct(F.when(new, x["middle"]).otherwise(s["first"]).alias("first"), F.when(new, F.concat(s["starts"], F.array(s["n"]))).otherwise(s["starts"]).alias("starts"), (s["n"] + 1).alias("n"))
+
+    held = pages.withColumn("starts", F.aggregate("t", start, step, lambda s: s["starts"]))
+
+    def line(k: Column, i: Column) -> Column:
+        own = F.slice("t", k + 1, F.coalesce(F.get("starts", i + 1), F.size("t")) - k)
+        across = F.array_sort(F.transform(own, lambda x, j: F.struct(x["x"].alias("x"), j.alias("j"), x["text"].alias("text"))))
+        return F.array_join(F.transform(across, lambda x: x["text"]), " ")
+
+    return held.select(page, F.posexplode(F.transform("starts", line)).alias("line", "text"))

@@ -39,8 +39,11 @@ def overlaps(split: DataFrame, key: str) -> DataFrame:
 
 
 def dataset_digest(df: DataFrame, text: Column, by: list[str]) -> DataFrame:
-    """(by, n, digest): content digest of a group of rows, whatever their order."""
-    return df.groupBy(*by).agg(F.count("*").alias("n"), order_free_digest(text_digest(text)).alias("digest"))
+    """(by, n, digest): content digest of a group of rows, whatever their order: of the digests of the rows whose digests
+    begin alike, so that no task holds a group."""
+    rows = df.select(*by, text_digest(text).alias("__d"))
+    parts = rows.groupBy(*by, F.substring("__d", 1, 3).alias("__p")).agg(F.count("*").alias("__n"), order_free_digest(F.col("__d"), 64).alias("__d"))
+    return parts.groupBy(*by).agg(F.sum("__n").alias("n"), order_free_digest(F.col("__d")).alias("digest"))
 
 
 def golden_sample(df: DataFrame, key: Column, stratum: str, size: int, seed: int = 7) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,22 +52,27 @@ def char_codes(text: Column) -> Column:
 def packed_batches(df: DataFrame, by: list[str], order: str, chars: str, most_texts: int, most_chars: int) -> DataFrame:
     """(by, order, batch): greedy batches of consecutive rows within two budgets; a row over budget is alone.
 
-    The running sum starts anew where a row does not fit, so it is an ordered fold: one linear pass per group.
+    The running sum starts anew where a row does not fit, so it is an ordered fold: rows are dealt by group, sorted
+    within the task, and streamed past the open batch's two counts. No task holds a group.
     """
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*by, order))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        n = size = batch = 0
-        out = []
-        for c in pdf[chars].tolist():
-            if n and (n + 1 > most_texts or size + c > most_chars):
-                n, size, batch = 0, 0, batch + 1
-            n, size = n + 1, size + c
-            out.append(batch)
-        return pdf.assign(batch=out)[[*by, order, "batch"]]
-
-    return df.select(*by, order, F.col(chars).cast("long").alias(chars)).groupBy(*by).applyInPandas(fold, f"{kinds}, batch long")
+    rows = df.select(*by, order, F.col(chars).cast("long").alias(chars))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != chars)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, size, batch = None, 0, 0, 0
+        for b in batches:
+            out = []
+            for *own, c in zip(*(b.column(k).to_pylist() for k in (*range(len(by)), len(by) + 1)), strict=True):
+                if own != key:
+                    key, n, size, batch = own, 0, 0, 0
+                c = c or 0
+                if n and (n + 1 > most_texts or size + c > most_chars):
+                    n, size, batch = 0, 0, batch + 1
+                n, size = n + 1, size + c
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.int64())], names=[*by, order, "batch"])
+
+    return rows.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(fold, f"{kinds}, batch long")
 
 
 def text_deltas(df: DataFrame, entity: str, order: str, text: str) -> DataFrame:

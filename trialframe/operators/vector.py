@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.functions.expr import cosine
+from trialframe.sources.shared import stored
 
 #: Query vectors that are broadcast at once; more are taken in blocks.
 QUERY_BLOCK = 2000
+#: Chosen rows of all pools that are broadcast.
+BROADCAST_PICKS = 100_000
 
 
 def to_embed(texts: DataFrame, index: DataFrame, key: str, digest: str) -> DataFrame:
@@ -20,40 +25,62 @@ def to_embed(texts: DataFrame, index: DataFrame, key: str, digest: str) -> DataF
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query, key, rank, similarity): the k nearest of all vectors for each of a bounded set of queries.
+    """(query, key, rank, similarity): the k nearest of all vectors for each of a stated set of queries.
 
-    Queries are a stated set, taken in blocks that are broadcast; Spark limits each task's rows per query to k before
-    they meet.
+    Queries are taken in blocks of `QUERY_BLOCK`, each broadcast and multiplied with every batch of vectors; a batch
+    hands on its k best per query and their equals, so what is shuffled does not grow with the pairs.
     """
-    n = queries.count()
+    spark = vectors.sparkSession
+    kind = vectors.schema[key].dataType.simpleString()
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     out = None
-    for b in range(max(1, -(-n // QUERY_BLOCK))):
-        block = queries.where(F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // QUERY_BLOCK)))) == b)
-        q = F.broadcast(block.select(F.col(key).alias("query"), F.col(vector).alias("__q")))
-        pairs = vectors.join(q, F.col(key) != F.col("query")).select("query", key, F.round(cosine(F.col(vector), F.col("__q")), 6).alias("similarity"))
-        best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(key, vector).collect()
+        held = spark.sparkContext.broadcast(([r[0] for r in rows], unit(np.array([r[1] for r in rows], float)) if rows else None))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = held.value  # noqa: B023
+            for batch in batches:
+                if q is None or not batch.num_rows:
+                    continue
+                own = batch.column(0)
+                x = unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1))
+                near = np.round(x @ q.T, 6) + 0.0
+                place = {v: j for j, v in enumerate(own.to_pylist())}
+                for j, name in enumerate(names):
+                    if name in place:
+                        near[place[name], j] = -np.inf
+                most = min(k, len(near))
+                least = -np.partition(-near, most - 1, axis=0)[most - 1]
+                at, who = np.nonzero((near >= least) & np.isfinite(near))
+                yield pa.RecordBatch.from_arrays([pa.array([names[w] for w in who.tolist()], own.type), own.take(pa.array(at)), pa.array(near[at, who])], names=["query", key, "similarity"])
+
+        pairs = vectors.select(key, vector).mapInArrow(best, f"query {kind}, {key} {kind}, similarity double")
+        out = pairs if out is None else out.unionByName(pairs)
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key)))
+    return ranked.where(F.col("rank") <= k).select("query", key, "similarity", "rank")
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
 def mmr(pool: DataFrame, by: str, key: str, vector: str, query: str, k: int, weight: float = 0.5) -> DataFrame:
     """(by, key, rank): greedy choice by weight * similarity to the query - (1 - weight) * the most to what is chosen.
 
-    The choice is iterative, so each pool is one task; a pool is what a query has retrieved, not a table.
+    Each of the k rounds is one aggregation with partial maxima over all rows; what is chosen so far, at most k rows a
+    pool, is joined by pool, broadcast where it is counted to be small. Of equal scores the smallest key is chosen.
     """
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        x = np.array(pdf[vector].to_list(), float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        q = np.array(pdf[query].iloc[0], float)
-        sim = x @ (q / max(np.linalg.norm(q), 1e-12))
-        chosen: list[int] = []
-        while len(chosen) < min(k, len(x)):
-            score = sim if not chosen else weight * sim - (1 - weight) * (x @ x[chosen].T).max(1)
-            score = np.where(np.isin(np.arange(len(x)), chosen), -np.inf, score)
-            chosen.append(int(score.argmax()))
-        return pd.DataFrame({by: pdf[by].iloc[0], key: pdf[key].to_numpy()[chosen], "rank": range(1, len(chosen) + 1)})
-
-    kinds = {c: pool.schema[c].dataType.simpleString() for c in (by, key)}
-    return pool.select(by, key, vector, query).groupBy(by).applyInPandas(choose, f"{by} {kinds[by]}, {key} {kinds[key]}, rank int")
+    rows = pool.select(by, key, vector, cosine(F.col(vector), F.col(query)).alias("__sim"))
+    picks = None
+    for rank in range(1, k + 1):
+        held = rows.withColumn("__score", F.lit(weight) * F.col("__sim"))
+        if picks is not None:
+            chosen = picks.groupBy(by).agg(F.collect_list(vector).alias("__chosen"), F.collect_list(key).alias("__keys"))
+            held = rows.join(F.broadcast(chosen) if picks.count() <= BROADCAST_PICKS else chosen, by).where(~F.array_contains("__keys", F.col(key)))
+            most = F.array_max(F.transform("__chosen", lambda v: cosine(F.col(vector), v)))
+            held = held.withColumn("__score", F.lit(weight) * F.col("__sim") - F.lit(1 - weight) * most)
+        last = held.groupBy(by).agg(F.min(F.struct((-F.col("__score")).alias("s"), F.col(key).alias("k"), F.col(vector).alias("v"))).alias("r"))
+        last = stored(last.select(by, F.col("r.k").alias(key), F.col("r.v").alias(vector), F.lit(rank).alias("rank")))
+        picks = last if picks is None else picks.unionByName(last)
+    return picks.select(by, key, "rank")

@@ -102,10 +102,8 @@ SELECT label, count(*) FILTER (y) AS pos, count(*) FILTER (NOT y) AS neg,
 FROM r GROUP BY label""")
 def auc_by_label(spark: SparkSession, d: str) -> DataFrame:
     """One label against the rest, by the first coordinate."""
-    e = table(spark, d, "embeddings").select(F.col("label").alias("own"), F.col("embedding")[0].cast("double").alias("s"))
-    labels = table(spark, d, "embeddings").select("label").distinct()
-    rows = e.crossJoin(F.broadcast(labels))
-    return metrics.rank_auc(rows, F.col("own") == F.col("label"), F.col("s"), ["label"]).withColumn("auc", F.round("auc", 6))
+    out = metrics.one_against_rest_auc(table(spark, d, "embeddings"), "label", F.col("embedding")[0].cast("double"))
+    return out.withColumn("auc", F.round("auc", 6))
 
 
 _SCORES = "SELECT event_type, round(value)::DOUBLE AS s FROM events WHERE value IS NOT NULL"
@@ -174,17 +172,15 @@ s AS (SELECT arm, vnum, row_number() OVER (PARTITION BY arm ORDER BY item) - 1 A
 b AS (SELECT s.arm, boot, (('0x' || substr(md5(boot || '|' || pos), 1, 8))::BIGINT % n) AS at FROM s, range(1, 101) t(boot)),
 m AS (SELECT b.arm, boot, avg(vnum) AS mean FROM b JOIN s ON s.arm = b.arm AND s.pos = b.at GROUP BY ALL),
 q AS (SELECT arm, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY arm),
-a AS (SELECT arm, avg(vnum) AS mean FROM s GROUP BY arm)
+a AS (SELECT arm, avg(mean) AS mean FROM m GROUP BY arm)
 SELECT q.arm, round(q.low, 6) AS low, round(q.high, 6) AS high, q.low > i.high AND a.mean - ia.mean > 0.01 AS promote
 FROM q JOIN a ON q.arm = a.arm, (SELECT * FROM q WHERE arm = 'len') i, (SELECT * FROM a WHERE arm = 'len') ia""")
 def bootstrap_gate(spark: SparkSession, d: str) -> DataFrame:
     out = outputs(spark, d).where("field = 'exact'")
     placed = numbered(out.select("arm", "item", "vnum"), ["arm"], numeric_bucket(out, "item"), [F.col("item")], "pos")
     s = placed.join(out.groupBy("arm").agg(F.count("*").alias("n")), "arm").select("arm", "vnum", (F.col("pos") - 1).alias("pos"), "n")
-    q = gates.intervals(gates.bootstrap_means(s, "vnum", 100, ["arm"]), ["arm"]).join(out.groupBy("arm").agg(F.avg("vnum").alias("mean")), "arm")
-    i = q.where("arm = 'len'").select(F.col("low").alias("il"), F.col("high").alias("ih"), F.col("mean").alias("im"))
-    gate = gates.apart(F.col("low"), F.col("high"), F.col("il"), F.col("ih"), "max", F.col("mean") - F.col("im"), 0.01)
-    return q.crossJoin(F.broadcast(i)).select("arm", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), gate.alias("promote"))
+    q = gates.intervals(gates.bootstrap_means(s, "vnum", 100, ["arm"]), ["arm"])
+    return gates.bootstrap_verdicts(q, "arm", "len", "max", 0.01).select("arm", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "promote")
 
 
 @query("""
@@ -199,13 +195,16 @@ def calibration_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT source, avg(n_chars) FILTER (quality = 1 AND toxic = 1) AS a, avg(n_chars) FILTER (quality = 1 AND toxic = 0) AS b,
-                  avg(n_chars) FILTER (quality = 0 AND toxic = 1) AS c, avg(n_chars) FILTER (quality = 0 AND toxic = 0) AS e
-           FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY source)
-SELECT source, round(greatest(coalesce(abs(a - b), 0), coalesce(abs(c - e), 0)), 4) AS leakage FROM m""")
+WITH x AS (SELECT source, n_chars, CASE WHEN source <> 'web' OR d.doc_id % 2 = 0 THEN CASE quality * 2 + toxic WHEN 2 THEN 'author' WHEN 0 THEN 'foreign' WHEN 3 THEN 'style_swapped' ELSE 'topic_matched' END ELSE 'foreign' END AS arm FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+m AS (SELECT source, avg(n_chars) FILTER (arm = 'author') AS a, avg(n_chars) FILTER (arm = 'foreign') AS f, avg(n_chars) FILTER (arm = 'style_swapped') AS s, avg(n_chars) FILTER (arm = 'topic_matched') AS t FROM x GROUP BY source),
+r AS (SELECT source, coalesce(a - f = 0 OR a - f IS NULL, true) AS refused, (a - s) / nullif(a - f, 0) AS drop_, (t - f) / nullif(a - f, 0) AS rise FROM m)
+SELECT source, refused, round(drop_, 6) AS style_swap_drop, round(rise, 6) AS topic_match_inflation, round(greatest(drop_, rise), 6) AS leakage, coalesce(greatest(drop_, rise) > 0.5, false) AS violation FROM r""")
 def topic_leakage(spark: SparkSession, d: str) -> DataFrame:
-    out = metrics.topic_leakage(labelled(spark, d), F.col("n_chars").cast("double"), F.col("toxic") == 1, F.col("quality") == 1, ["source"])
-    return out.select("source", F.round("leakage", 4).alias("leakage"))
+    """Length as a score: does it follow the topic (toxicity) of texts of either style (quality)?"""
+    names = F.create_map(*[F.lit(x) for x in (2, "author", 0, "foreign", 3, "style_swapped", 1, "topic_matched")])
+    arm = F.when((F.col("source") != "web") | (F.col("doc_id") % 2 == 0), names[(F.col("quality") * 2 + F.col("toxic")).cast("int")]).otherwise("foreign")
+    out = metrics.topic_leakage(labelled(spark, d), F.col("n_chars"), arm, ["source"])
+    return out.select("source", "refused", *[F.round(c, 6).alias(c) for c in ("style_swap_drop", "topic_match_inflation", "leakage")], F.coalesce(F.col("leakage") > metrics.LEAKAGE_TOLERANCE, F.lit(False)).alias("violation"))
 
 
 @query("""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from trialframe.operators import ledger
 from trialframe.plans.base import query, table
+from trialframe.sources.shared import new_folder
+from trialframe.streaming.journals import counts_to, events_stream, read_counts, tail_to
 
 _J = """
 j AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS unit, event_id, CASE WHEN event_type <> 'error' THEN value END AS metric FROM events),
@@ -14,11 +16,11 @@ i AS (SELECT *, max(metric) OVER (PARTITION BY user_id ORDER BY unit ROWS BETWEE
 v AS (SELECT *, CASE WHEN metric IS NULL THEN 'crash' WHEN incumbent IS NULL OR metric > incumbent THEN 'keep' ELSE 'discard' END AS verdict FROM i)"""
 
 
-def journal(spark: SparkSession, d: str) -> DataFrame:
+def journal(spark: SparkSession, d: str, direction: str = "max") -> DataFrame:
     """One experiment per user, its events as units; an error has no metric."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     j = table(spark, d, "events").select("user_id", "event_id", (F.row_number().over(w) - 1).alias("unit"), F.when(F.col("event_type") != "error", F.col("value")).alias("metric"))
-    return ledger.running_verdicts(j, "user_id", "unit", "metric")
+    return ledger.running_verdicts(j, "user_id", "unit", "metric", direction)
 
 
 @query(f"WITH {_J} SELECT user_id, unit::INT AS unit, metric, incumbent, verdict FROM v")
@@ -34,25 +36,44 @@ def journal_report(spark: SparkSession, d: str) -> DataFrame:
     return ledger.journal_report(journal(spark, d), "user_id", "unit", "metric")
 
 
+@query(f"""
+WITH {_J.replace("max(metric) OVER", "min(metric) OVER").replace("metric > incumbent", "metric < incumbent")}
+SELECT user_id, count(*) AS units, count(*) FILTER (verdict = 'keep') AS kept, min(metric) FILTER (verdict = 'keep') AS best_metric, (arg_min(unit, metric) FILTER (verdict = 'keep'))::INT AS best_unit FROM v GROUP BY user_id""")
+def journal_report_min(spark: SparkSession, d: str) -> DataFrame:
+    """The report of journals whose smaller metrics are better."""
+    r = ledger.journal_report(journal(spark, d, "min"), "user_id", "unit", "metric", "min")
+    return r.select("user_id", "units", "kept", "best_metric", "best_unit")
+
+
 @query(f"WITH {_J} SELECT user_id, unit::INT AS unit, verdict, age::INT AS age FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY unit DESC) AS age FROM v) WHERE age <= 10")
 def journal_recent10(spark: SparkSession, d: str) -> DataFrame:
     return ledger.recent(journal(spark, d), "user_id", "unit", 10).select("user_id", "unit", "verdict", "age")
 
 
-_EVENT = {"signup": "reserved", "purchase": "completed", "error": "infra_aborted", "click": "started", "view": "proposed"}
+_EVENT = {
+    "signup": ("reserved",), "click": ("started",), "view": ("proposed", "pending", "approved", "stopped"),
+    "purchase": ("completed", "completed", "reconciled", "aborted"), "error": ("infra_aborted", "rejected", "preflight_failed", "aborted"),
+}
+_SQL_EVENT = " ".join(f"WHEN '{k}' THEN {list(v)}[event_id % {len(v)} + 1]" for k, v in _EVENT.items())
 _L = f"""
-l AS (SELECT user_id % 10 AS campaign, event_id // 7 AS seq, event_id AS line, value AS usd,
-             CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _EVENT.items())} END AS event FROM events)"""
+l AS (SELECT user_id % 10 AS campaign, event_id // 7 AS seq, event_id AS line, value AS usd, event_type AS reason,
+             CASE event_type {_SQL_EVENT} END AS event FROM events)"""
+_IN = {k: "(" + ", ".join(f"'{e}'" for e in v) + ")" for k, v in (("terminal", ledger.TERMINAL_EVENTS), ("failed", ledger.FAILED_EVENTS), ("ran", ledger.RUN_EVENTS), ("told", (*ledger.FAILED_EVENTS, "aborted")))}
 
 
 def ledger_rows(spark: SparkSession, d: str) -> DataFrame:
-    event = F.create_map(*[F.lit(x) for p in _EVENT.items() for x in p])[F.col("event_type")]
-    return table(spark, d, "events").select((F.col("user_id") % 10).alias("campaign"), F.floor(F.col("event_id") / 7).alias("seq"), F.col("event_id").alias("line"), F.col("value").alias("usd"), event.alias("event"))
+    """Events as rows of ten campaigns; every kind of campaign event occurs."""
+    event = F.lit(None).cast("string")
+    for k, v in _EVENT.items():
+        event = F.when(F.col("event_type") == k, F.get(F.array(*map(F.lit, v)), F.pmod(F.col("event_id"), F.lit(len(v))).cast("int"))).otherwise(event)
+    return table(spark, d, "events").select(
+        (F.col("user_id") % 10).alias("campaign"), F.floor(F.col("event_id") / 7).alias("seq"), F.col("event_id").alias("line"), F.col("value").alias("usd"), F.col("event_type").alias("reason"), event.alias("event")
+    )
 
 
-_OPEN = """
+_OPEN = f"""
 o AS (SELECT campaign, seq, arg_max(usd, line) AS usd FROM l WHERE event = 'reserved' GROUP BY ALL),
-u AS (SELECT o.* FROM o ANTI JOIN (SELECT DISTINCT campaign, seq FROM l WHERE event IN ('completed', 'infra_aborted', 'rejected')) t ON o.campaign = t.campaign AND o.seq = t.seq)"""
+u AS (SELECT o.* FROM o ANTI JOIN (SELECT DISTINCT campaign, seq FROM l WHERE event IN {_IN['terminal']}) t ON o.campaign = t.campaign AND o.seq = t.seq)"""
 
 
 @query(f"WITH {_L}, {_OPEN} SELECT campaign, seq, usd FROM u")
@@ -62,7 +83,7 @@ def ledger_open_reservations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {_L}, {_OPEN},
-s AS (SELECT campaign, sum(usd::DECIMAL(18,4)) AS spent FROM l WHERE event IN ('completed', 'infra_aborted', 'rejected') GROUP BY campaign),
+s AS (SELECT campaign, sum(usd::DECIMAL(18,4)) AS spent FROM l WHERE event IN {_IN['terminal']} GROUP BY campaign),
 r AS (SELECT campaign, sum(usd::DECIMAL(18,4)) AS reserved FROM u GROUP BY campaign)
 SELECT c.campaign, coalesce(spent, 0)::DOUBLE AS spent, coalesce(reserved, 0)::DOUBLE AS reserved, (coalesce(spent, 0) + coalesce(reserved, 0))::DOUBLE AS total
 FROM (SELECT DISTINCT campaign FROM l) c LEFT JOIN s ON s.campaign = c.campaign LEFT JOIN r ON r.campaign = c.campaign""")
@@ -72,28 +93,32 @@ def ledger_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_L}, r AS (SELECT campaign, coalesce(max(line) FILTER (event = 'completed'), -1) AS last_run FROM l GROUP BY campaign)
-SELECT l.campaign, count(*) FILTER (event = 'infra_aborted' AND line > last_run) AS failures FROM l JOIN r ON l.campaign = r.campaign GROUP BY l.campaign""")
+WITH {_L}, r AS (SELECT campaign, coalesce(max(line) FILTER (event IN {_IN['ran']}), -1) AS last_run FROM l GROUP BY campaign)
+SELECT l.campaign, count(*) FILTER (event IN {_IN['failed']} AND line > last_run) AS failures FROM l JOIN r ON l.campaign = r.campaign GROUP BY l.campaign""")
 def ledger_consecutive_failures(spark: SparkSession, d: str) -> DataFrame:
     return ledger.consecutive_failures(ledger_rows(spark, d), "campaign", "line")
 
 
 @query(f"""
-WITH {_L}, i AS (SELECT *, sum((event = 'completed')::INT) OVER (PARTITION BY campaign ORDER BY line) AS island FROM l)
-SELECT campaign, line, event, (sum((event = 'infra_aborted')::INT) OVER (PARTITION BY campaign, island ORDER BY line))::BIGINT AS streak FROM i""")
+WITH {_L}, i AS (SELECT *, sum((event IN {_IN['ran']})::INT) OVER (PARTITION BY campaign ORDER BY line) AS island FROM l)
+SELECT campaign, line, event, (sum((event IN {_IN['failed']})::INT) OVER (PARTITION BY campaign, island ORDER BY line))::BIGINT AS streak FROM i""")
 def ledger_streak_running(spark: SparkSession, d: str) -> DataFrame:
     return ledger.running_streak(ledger_rows(spark, d), "campaign", "line").select("campaign", "line", "event", "streak")
 
 
 @query(f"""
-WITH {_L}, f AS (SELECT *, 'unit ' || seq AS reason, row_number() OVER (PARTITION BY campaign ORDER BY line DESC) AS age FROM l WHERE event = 'infra_aborted')
-SELECT campaign, string_agg(reason, '; ' ORDER BY line) AS reasons FROM f WHERE age <= 5 GROUP BY campaign""")
+WITH {_L}, f AS (SELECT *, row_number() OVER (PARTITION BY campaign ORDER BY line DESC) AS age FROM l WHERE event IN {_IN['told']})
+SELECT campaign, string_agg('round ' || seq || ' ' || event || ': ' || reason, '; ' ORDER BY line) AS reasons FROM f WHERE age <= 5 GROUP BY campaign""")
 def ledger_failure_reasons(spark: SparkSession, d: str) -> DataFrame:
-    rows = ledger_rows(spark, d).withColumn("reason", F.concat(F.lit("unit "), F.col("seq").cast("string")))
-    return ledger.failure_reasons(rows, "campaign", "line", "reason", 5)
+    return ledger.failure_reasons(ledger_rows(spark, d), "campaign", "line", "seq", "reason", 5)
+
 
+@query(f"WITH {_L} SELECT campaign, count(*) FILTER (event IN {_IN['ran']}) AS runs FROM l GROUP BY campaign")
+def ledger_experiments_run(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.experiments_run(ledger_rows(spark, d), "campaign")
 
-_KINDS = list(_EVENT.values())
+
+_KINDS = sorted({e for v in _EVENT.values() for e in v})
 
 
 @query(f"WITH {_L} SELECT campaign, {', '.join(f'count(*) FILTER (event = {e!r}) AS {e}' for e in _KINDS)}, count(*) AS total FROM l GROUP BY campaign")
@@ -135,10 +160,18 @@ def spend_admission(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_journal_tail(spark: SparkSession, d: str) -> DataFrame:
     """Counts by type that a stream over the event files has written when all of them are taken."""
-    import uuid
+    base = new_folder(spark)
+    counts_to(events_stream(spark, f"{d}/events.parquet"), ["event_type"], f"{base}/counts", f"{base}/state")
+    return read_counts(spark, f"{base}/counts")
 
-    from trialframe.streaming.journals import counts_to, events_stream
 
-    base = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/trialframe').rstrip('/')}/{uuid.uuid4().hex}"
-    counts_to(events_stream(spark, f"{d}/events.parquet"), ["event_type"], f"{base}/counts", f"{base}/state")
-    return spark.read.schema("event_type string, n long").parquet(f"{base}/counts")
+@query("""
+WITH g AS (SELECT user_id, epoch_us(ts) AS at_us, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) // 1000000 AS gap_s FROM events)
+SELECT user_id AS entity, at_us, gap_s::BIGINT AS gap_s FROM g WHERE gap_s >= 5400""")
+def stream_quiet_alarms(spark: SparkSession, d: str) -> DataFrame:
+    """The same alarms from a stream of the event files with each user's last time as state."""
+    from trialframe.streaming.journals import quiet_alarm_stream
+
+    base = new_folder(spark)
+    tail_to(quiet_alarm_stream(events_stream(spark, f"{d}/events.parquet"), "user_id", "ts", 5400), f"{base}/alarms", f"{base}/state")
+    return spark.read.schema("entity long, at_us long, gap_s long").parquet(f"{base}/alarms")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.functions import text as T
 from trialframe.functions.expr import money, valid_cost
 from trialframe.operators import cost, lifecycle, spatial
+from trialframe.operators.ranges import numbered, numeric_bucket
 from trialframe.plans.base import query, table
 from trialframe.plans.journals import _J, journal
 
@@ -29,15 +30,20 @@ def approved_specs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT 'run' || s_suppkey AS run, s_suppkey AS pid FROM supplier),
-p AS (SELECT c_custkey AS pid, 'python run' || (c_custkey + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) || ' --x' AS command FROM customer WHERE c_custkey % 4 <> 0)
-SELECT r.run, CASE WHEN coalesce(contains(p.command, r.run), false) THEN 'live' WHEN EXISTS (SELECT 1 FROM p q WHERE list_contains(string_split(q.command, ' '), r.run)) THEN 'moved' ELSE 'dead' END AS state
-FROM r LEFT JOIN p ON r.pid = p.pid""")
+WITH r AS (SELECT 'run' || s_suppkey AS run, CASE WHEN s_suppkey % 6 <> 0 THEN s_suppkey END AS pid, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 4 END AS pgid FROM supplier),
+p AS (SELECT c_custkey AS pid, c_custkey % 4 + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END AS pgid, 'python run' || (c_custkey + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) || ' --x' AS command FROM customer WHERE c_custkey % 11 <> 0),
+f AS (SELECT r.run, min(p.pid) AS pid FROM r JOIN p ON contains(p.command, r.run) WHERE r.pid IS NULL GROUP BY r.run)
+SELECT r.run, CASE WHEN r.pid IS NOT NULL THEN CASE WHEN contains(p.command, r.run) AND (r.pgid IS NULL OR r.pgid = p.pgid) THEN 'live' ELSE 'dead' END
+                   WHEN f.pid IS NOT NULL THEN 'live' ELSE 'dead' END AS state, coalesce(r.pid, f.pid) AS pid
+FROM r LEFT JOIN p ON r.pid = p.pid LEFT JOIN f ON f.run = r.run""")
 def run_liveness(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "supplier").select(F.concat(F.lit("run"), F.col("s_suppkey").cast("string")).alias("run"), F.col("s_suppkey").alias("pid"))
-    n = F.col("c_custkey") + F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(0)
-    p = table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("pid"), F.concat(F.lit("python run"), n.cast("string"), F.lit(" --x")).alias("command"))
-    return lifecycle.liveness(r, p, "run", "pid", "command")
+    k, n = F.col("s_suppkey"), F.col("c_custkey")
+    r = table(spark, d, "supplier").select(F.concat(F.lit("run"), k.cast("string")).alias("run"), F.when(k % 6 != 0, k).alias("pid"), F.when(k % 5 != 0, k % 4).alias("pgid"))
+    named = n + F.when(n % 3 == 0, 1).otherwise(0)
+    p = table(spark, d, "customer").where("c_custkey % 11 <> 0").select(
+        n.alias("pid"), (n % 4 + F.when(n % 7 == 0, 1).otherwise(0)).alias("pgid"), F.concat(F.lit("python run"), named.cast("string"), F.lit(" --x")).alias("command")
+    )
+    return lifecycle.liveness(r, p, "run", "pid", "pgid", "command")
 
 
 @query("""
@@ -53,24 +59,32 @@ def parity_mismatches(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.parity_mismatches(a, b, "k", "v")
 
 
-_R = "r AS (SELECT page_id, sha256('GET' || chr(0) || lower(regexp_extract(url, '://([^/?#]*)', 1)) || chr(0) || regexp_extract(url, '://[^/?#]*([^?#]*)', 1) || chr(0) || array_to_string(list_sort(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&')), '&') || chr(0) || sha256('')) AS key FROM pages)"
+_PORT = "regexp_extract(url, '^([^:]+)://', 1) || '://' || regexp_extract(url, '://([^/?#]*)', 1) || ':{}' || regexp_extract(url, '://[^/?#]*(.*)$', 1)"
+_URL = f"CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN replace(url, 'http://', 'https://') WHEN 2 THEN {_PORT.format(8080)} ELSE {_PORT.format(443)} END"
+_R = f"""
+u AS (SELECT page_id, {_URL} AS url, CASE WHEN page_id % 10 = 0 THEN 'body' ELSE '' END AS body FROM pages),
+s AS (SELECT page_id, body, lower(regexp_extract(url, '^([^:]+)://', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host, regexp_extract(url, '://[^/?#:]*:([0-9]+)', 1) AS port,
+             regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS query FROM u),
+r AS (SELECT page_id, sha256('1' || chr(0) || 'GET' || chr(0) || scheme || chr(0) || host || chr(0) || CASE WHEN port <> '' THEN port WHEN scheme = 'https' THEN '443' ELSE '80' END || chr(0) ||
+             CASE WHEN path = '' THEN '/' ELSE path END || chr(0) || array_to_string(list_sort(string_split(query, '&')), '&') || chr(0) || body) AS key FROM s)"""
 
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
-    part = lambda p: F.regexp_extract("url", p, 1)
-    key = lifecycle.request_key(F.lit("get"), part("://([^/?#]*)"), part("://[^/?#]*([^?#]*)"), part("[?]([^#]*)"), F.lit(None).cast("string"))
+    """Pages as requests of two schemes, with and without a port, some with a body."""
+    url = F.expr(_URL)
+    key = lifecycle.request_key(url, F.lit("get"), F.when(F.col("page_id") % 10 == 0, "body"))
     return table(spark, d, "pages").select("page_id", key.alias("key"))
 
 
-@query(f"WITH {_R.replace('chr(0)', 'chr(0)')} SELECT page_id, key FROM r")
+@query(f"WITH {_R} SELECT page_id, key FROM r")
 def request_keys(spark: SparkSession, d: str) -> DataFrame:
     return requests(spark, d)
 
 
 @query(f"""
-WITH {_R}, s AS (SELECT key FROM r WHERE page_id % 3 = 0)
-SELECT page_id, 'replay' AS mode, CASE WHEN key IN (SELECT key FROM s) THEN 'serve' ELSE 'refuse' END AS action FROM r
-UNION ALL SELECT page_id, 'replay_or_record', CASE WHEN key IN (SELECT key FROM s) THEN 'serve' ELSE 'call and store' END FROM r
+WITH {_R}, k AS (SELECT key FROM r WHERE page_id % 3 = 0)
+SELECT page_id, 'replay' AS mode, CASE WHEN key IN (SELECT key FROM k) THEN 'serve' ELSE 'refuse' END AS action FROM r
+UNION ALL SELECT page_id, 'replay_or_record', CASE WHEN key IN (SELECT key FROM k) THEN 'serve' ELSE 'call and store' END FROM r
 UNION ALL SELECT page_id, 'record', 'call and store' FROM r UNION ALL SELECT page_id, 'bypass', 'call' FROM r""")
 def replay_actions(spark: SparkSession, d: str) -> DataFrame:
     r = requests(spark, d)
@@ -110,11 +124,13 @@ def proposal_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT user_id, min_by(value, event_id) AS a, max_by(value, event_id) AS b, max(value) AS p FROM events GROUP BY user_id)
-SELECT user_id, CASE WHEN a IS NULL OR b IS NULL THEN 'no metric' WHEN NOT CASE WHEN a = 0 THEN b = 0 ELSE abs(b - a) <= 0.1 * abs(a) END THEN 'unstable' WHEN p > a THEN 'ready' ELSE 'unreachable' END AS state FROM m""")
+WITH m AS (SELECT user_id, min_by(value, event_id) AS a, max_by(value, event_id) AS b, max(value) AS p, min(value) AS l FROM events GROUP BY user_id)
+SELECT user_id, CASE WHEN a IS NULL OR b IS NULL THEN 'no metric' WHEN NOT CASE WHEN a = 0 THEN b = 0 ELSE abs(b - a) <= 0.1 * abs(a) END THEN 'unstable' WHEN p > a THEN 'ready' ELSE 'unreachable' END AS state,
+       CASE WHEN a IS NULL OR b IS NULL THEN 'no metric' WHEN NOT CASE WHEN a = 0 THEN b = 0 ELSE abs(b - a) <= 0.1 * abs(a) END THEN 'unstable' WHEN l < a THEN 'ready' ELSE 'unreachable' END AS state_min FROM m""")
 def preflight_states(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "events").groupBy("user_id").agg(F.min_by("value", "event_id").alias("a"), F.max_by("value", "event_id").alias("b"), F.max("value").alias("p"))
-    return m.select("user_id", lifecycle.preflight(F.col("a"), F.col("b"), F.col("p")).alias("state"))
+    m = table(spark, d, "events").groupBy("user_id").agg(F.min_by("value", "event_id").alias("a"), F.max_by("value", "event_id").alias("b"), F.max("value").alias("p"), F.min("value").alias("l"))
+    a, b = F.col("a"), F.col("b")
+    return m.select("user_id", lifecycle.preflight(a, b, F.col("p")).alias("state"), lifecycle.preflight(a, b, F.col("l"), direction="min").alias("state_min"))
 
 
 @query("""
@@ -151,10 +167,12 @@ def prefixed_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS number FROM documents)
-SELECT lang, sha256('[' || string_agg('[' || number || ',' || doc_id || ']', ',' ORDER BY number) || ']') AS fingerprint FROM n GROUP BY lang""")
+WITH n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS number FROM documents),
+p AS (SELECT lang, number // 4096 AS p, sha256('[' || string_agg('[' || number || ',' || doc_id || ']', ',' ORDER BY number) || ']') AS d FROM n GROUP BY ALL)
+SELECT lang, sha256(string_agg(d, ',' ORDER BY p)) AS fingerprint FROM p GROUP BY lang""")
 def rows_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "documents").select("lang", "doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("number"))
+    x = table(spark, d, "documents").select("lang", "doc_id")
+    n = numbered(x, ["lang"], numeric_bucket(x, "doc_id"), [F.col("doc_id")], "number")
     return lifecycle.rows_fingerprint(n, "lang", "number", "doc_id")
 
 
@@ -166,6 +184,13 @@ def idle_sessions(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.idle_sessions(table(spark, d, "events"), "user_id", "ts", 7200)
 
 
+@query(f"""
+WITH {_J.replace("max(metric) OVER", "min(metric) OVER").replace("metric > incumbent", "metric < incumbent")}
+SELECT user_id, min_by(metric, unit) AS baseline, min(metric) AS best, round(abs(min(metric) - min_by(metric, unit)), 6) AS uplift FROM v WHERE verdict = 'keep' AND metric IS NOT NULL GROUP BY user_id""")
+def retrospective_metrics_min(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.metric_summary(journal(spark, d, "min"), "user_id", "unit", "metric", "min").withColumn("uplift", F.round("uplift", 6))
+
+
 @query(f"WITH {_J} SELECT user_id, min_by(metric, unit) AS baseline, max(metric) AS best, round(abs(max(metric) - min_by(metric, unit)), 6) AS uplift FROM v WHERE verdict = 'keep' AND metric IS NOT NULL GROUP BY user_id")
 def retrospective_metrics(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.metric_summary(journal(spark, d), "user_id", "unit", "metric").withColumn("uplift", F.round("uplift", 6))
@@ -175,8 +200,9 @@ def retrospective_metrics(spark: SparkSession, d: str) -> DataFrame:
 WITH x AS (SELECT label, vec_id % 2 AS side, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, round(embedding[1]::DOUBLE, 6) AS lp FROM embeddings)
 SELECT label, (pos // 2)::BIGINT AS pair, max(lp) FILTER (pos % 2 = 0) AS chosen, max(lp) FILTER (pos % 2 = 1) AS rejected FROM x GROUP BY label, pos // 2""")
 def reference_pairs(spark: SparkSession, d: str) -> DataFrame:
-    pos = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    x = table(spark, d, "embeddings").select("label", pos.alias("pos"), F.round(F.col("embedding")[0].cast("double"), 6).alias("lp"))
+    e = table(spark, d, "embeddings")
+    placed = numbered(e, ["label"], numeric_bucket(e, "vec_id"), [F.col("vec_id")], "pos").withColumn("pos", F.col("pos") - 1)
+    x = placed.select("label", "pos", F.round(F.col("embedding")[0].cast("double"), 6).alias("lp"))
     return lifecycle.unzipped_pairs(x, "label", "pos", "lp")
 
 

@@ -11,30 +11,34 @@ from trialframe.plans.base import query, table
 _T = """
 w AS (SELECT doc_id AS page, unnest(list_filter(string_split(regexp_replace(text, '[ \\n]+', ' ', 'g'), ' '), lambda x: x <> '')) AS text,
              generate_subscripts(list_filter(string_split(regexp_replace(text, '[ \\n]+', ' ', 'g'), ' '), lambda x: x <> ''), 1) - 1 AS i FROM documents),
-tok AS (SELECT page, i AS tok, text, (50 * (i % 10))::DOUBLE AS x, (20 * (i // 10))::DOUBLE AS y, 40.0::DOUBLE AS w, 10.0::DOUBLE AS h, 0.9::DOUBLE AS confidence FROM w),
-sup AS (SELECT page, tok, CASE WHEN tok % 5 = 0 THEN 'misread' ELSE text END AS text, x + 3 AS x, y + 1 AS y, w, h, 0.8::DOUBLE AS confidence FROM tok WHERE tok % 11 <> 0
+tok AS (SELECT page, i AS tok, text, (50 * (i % 10))::DOUBLE AS x, (20 * (i // 10) - 4 * (i % 4) + i % 3)::DOUBLE AS y, 40.0::DOUBLE AS w, (10 + 8 * (i % 4))::DOUBLE AS h, round(0.9 - (i % 7) / 20, 2)::DOUBLE AS confidence FROM w),
+sup AS (SELECT page, tok, CASE WHEN tok % 5 = 0 THEN 'misread' ELSE upper(text) END AS text, x + 3 AS x, y + 1 AS y, w, h, 0.8::DOUBLE AS confidence FROM tok WHERE tok % 11 <> 0
+        UNION ALL SELECT page, tok + 50000, CASE WHEN tok % 3 = 0 THEN 'other' ELSE text END, x - 5, y - 2, w, h, 0.6 FROM tok WHERE tok % 10 = 5
         UNION ALL SELECT page, tok + 100000, text, x, y + 100000, w, h, 0.7 FROM tok WHERE tok % 97 = 0)"""
 
 
 def tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """A page of words per document on a grid, and a second, shifted reading with errors, gaps and extras."""
+    """A page of words of several heights per document on a grid, and a shifted reading in capitals with errors, second readings, gaps and extras."""
     words = F.filter(F.split("text", "[ \\n]+"), lambda x: x != "")
     i = F.col("i")
     tok = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(words).alias("i", "text")).select(
-        "page", i.cast("long").alias("tok"), "text", (50.0 * (i % 10)).alias("x"), (20.0 * F.floor(i / 10)).alias("y"), F.lit(40.0).alias("w"), F.lit(10.0).alias("h"), F.lit(0.9).alias("confidence")
+        "page", i.cast("long").alias("tok"), "text", (50.0 * (i % 10)).alias("x"),
+        (20 * F.floor(i / 10) - 4 * (i % 4) + i % 3).cast("double").alias("y"), F.lit(40.0).alias("w"), (10 + 8 * (i % 4)).cast("double").alias("h"), F.round(0.9 - (i % 7) / 20, 2).alias("confidence")
     )
-    misread = F.when(F.col("tok") % 5 == 0, "misread").otherwise(F.col("text"))
+    misread = F.when(F.col("tok") % 5 == 0, "misread").otherwise(F.upper("text"))
     moved = tok.where("tok % 11 <> 0").withColumns({"text": misread, "x": F.col("x") + 3, "y": F.col("y") + 1, "confidence": F.lit(0.8)})
+    third = F.when(F.col("tok") % 3 == 0, "other").otherwise(F.col("text"))
+    again = tok.where("tok % 10 = 5").withColumns({"tok": F.col("tok") + 50000, "text": third, "x": F.col("x") - 5, "y": F.col("y") - 2, "confidence": F.lit(0.6)})
     extra = tok.where("tok % 97 = 0").withColumns({"tok": F.col("tok") + 100000, "y": F.col("y") + 100000, "confidence": F.lit(0.7)})
-    return tok, moved.unionByName(extra)
+    return tok, moved.unionByName(again).unionByName(extra)
 
 
 @query(f"""
 WITH {_T},
 pr AS (SELECT a.page, a.tok, b.tok AS other, a.text AS t, b.text AS o, b.confidence AS oc FROM tok a JOIN sup b ON a.page = b.page AND abs((a.x + a.w / 2) - (b.x + b.w / 2)) < 15 AND abs((a.y + a.h / 2) - (b.y + b.h / 2)) < 10),
-cl AS (SELECT page, tok, min(oc) FILTER (lower(t) <> lower(o)) AS oc, bool_or(lower(t) = lower(o)) AS ok FROM pr GROUP BY ALL),
+cl AS (SELECT page, tok, min(oc) AS oc, bool_or(replace(replace(lower(t), 'ß', 'ss'), 'ς', 'σ') <> replace(replace(lower(o), 'ß', 'ss'), 'ς', 'σ')) AS differs FROM pr GROUP BY ALL),
 r AS (
-  SELECT a.page, CASE WHEN cl.oc IS NOT NULL AND NOT ok THEN 'contradicted' ELSE 'kept' END AS origin, CASE WHEN cl.oc IS NOT NULL AND NOT ok THEN least(a.confidence, cl.oc) * 0.5 ELSE a.confidence END AS confidence
+  SELECT a.page, CASE WHEN differs THEN 'contradicted' ELSE 'kept' END AS origin, CASE WHEN differs THEN least(a.confidence, cl.oc) * 0.5 ELSE a.confidence END AS confidence
   FROM tok a LEFT JOIN cl ON a.page = cl.page AND a.tok = cl.tok
   UNION ALL SELECT s.page, 'added', s.confidence FROM sup s ANTI JOIN pr ON s.page = pr.page AND s.tok = pr.other)
 SELECT page, origin, count(*) AS n, round(sum(confidence), 4) AS confidence FROM r GROUP BY page, origin""")
@@ -44,6 +48,14 @@ def ocr_cross_validate(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("page", "origin").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
 
 
-@query(f"WITH {_T} SELECT page, (row_number() OVER (PARTITION BY page ORDER BY y) - 1)::INT AS line, text FROM (SELECT page, y, string_agg(text, ' ' ORDER BY x) AS text FROM tok GROUP BY page, y)")
+@query(f"""
+WITH {_T},
+g AS (SELECT page, list({{'y': y, 'x': x, 'm': y + h / 2, 't': text}} ORDER BY y, x, y + h / 2, text) AS t FROM tok GROUP BY page),
+f AS (
+  SELECT page, t, list_reduce(list_transform(t, lambda a, i: {{'m': a.m, 'starts': [i]}}),
+         lambda s, a: CASE WHEN abs(a.m - s.m) > 8 THEN {{'m': a.m, 'starts': s.starts || a.starts}} ELSE s END).starts AS starts FROM g),
+l AS (SELECT page, t, starts, unnest(starts) AS k, unnest(range(len(starts))) AS line FROM f),
+o AS (SELECT page, line, unnest(t[k : coalesce(starts[line + 2], len(t) + 1) - 1]) AS o, unnest(range(coalesce(starts[line + 2], len(t) + 1) - k)) AS j FROM l)
+SELECT page, line::INT AS line, string_agg(o.t, ' ' ORDER BY o.x, j) AS text FROM o GROUP BY page, line""")
 def ocr_layout_lines(spark: SparkSession, d: str) -> DataFrame:
     return spatial.layout_lines(tokens(spark, d)[0], "page")

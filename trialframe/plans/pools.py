@@ -34,7 +34,9 @@ def split_disjoint_check(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("bucket").agg(F.count("*").alias("n")).crossJoin(F.broadcast(shared))
 
 
-@query("SELECT lang, count(*) AS n, substr(sha256(string_agg(sha256(text), '' ORDER BY sha256(text))), 1, 16) AS digest FROM documents GROUP BY lang")
+@query("""
+WITH p AS (SELECT lang, count(*) AS n, sha256(string_agg(sha256(text), '' ORDER BY sha256(text))) AS d FROM documents GROUP BY lang, substr(sha256(text), 1, 3))
+SELECT lang, sum(n)::BIGINT AS n, substr(sha256(string_agg(d, '' ORDER BY d)), 1, 16) AS digest FROM p GROUP BY lang""")
 def dataset_digest(spark: SparkSession, d: str) -> DataFrame:
     return split.dataset_digest(table(spark, d, "documents"), F.col("text"), ["lang"])
 

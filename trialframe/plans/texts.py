@@ -14,30 +14,35 @@ MARKERS = ("the and", "apache license", "disgusting")
 
 
 @query("""
-WITH e AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM documents WHERE lang = 'en')
+WITH e AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), '\\s+'), lambda w: w <> '')) AS w FROM documents)
 SELECT a.doc_id, round(coalesce(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(a.w || b.w)), 0), 1), 6) AS similarity,
        coalesce(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(a.w || b.w)), 0), 1) >= 0.6 AS agree FROM e a JOIN e b ON b.doc_id = a.doc_id + 1""")
 def jaccard_agreement(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "documents").where("lang = 'en'").select("doc_id", words(F.col("text")).alias("w"))
+    e = table(spark, d, "documents").select("doc_id", words(F.col("text")).alias("w"))
     nxt = e.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
     s = jaccard(F.col("w"), F.col("v"))
     return e.join(nxt, "doc_id").select("doc_id", F.round(s, 6).alias("similarity"), (s >= 0.6).alias("agree"))
 
 
-_MD = "'# ' || url || chr(10) || '**page** `' || page_id || '`' || chr(10) || '| a | b |' || chr(10) || '|---|:-:|' || chr(10) || '| _x_ | ' || page_id || ' |' || chr(10) || chr(10) || '### end'"
+_MD = (
+    "chr(9) || '# ' || url || chr(13) || chr(10) || '**page** `' || page_id || '`' || chr(13) || '| **a | b** |' || chr(10) || '|---|:-:|' || chr(10) || '| _x_ |' || chr(9) || page_id || ' |' || chr(10)"
+    " || '  ~~~ sql' || chr(10) || ' **raw** | ' || page_id || chr(10) || '   ' || chr(10) || '```' || chr(10) || CASE WHEN page_id % 2 = 0 THEN '  ### *even*  ' || chr(10) || '~~~' || chr(10) || '#open' ELSE '####### odd' END"
+)
 
 
 @query(f"""
-WITH m AS (SELECT page_id, {_MD} AS md FROM pages),
-l AS (SELECT page_id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) AS k FROM m),
-c AS (SELECT page_id, k, line, list_filter(list_transform(string_split(line, '|'), lambda x: trim(x)), lambda x: x <> '') AS cells FROM l),
-r AS (SELECT page_id, k, CASE WHEN contains(line, '|') THEN CASE WHEN len(list_filter(cells, lambda x: NOT regexp_full_match(x, ':?-+:?'))) = 0 THEN '' ELSE array_to_string(cells, ' ') END
-                               ELSE regexp_replace(trim(line), '^#{{1,6}}\\s+', '') END AS t FROM c),
-s AS (SELECT page_id, k, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\*\\*(.+?)\\*\\*', '\\1', 'g'), '__(.+?)__', '\\1', 'g'), '\\*(.+?)\\*', '\\1', 'g'), '_(.+?)_', '\\1', 'g'), '`(.+?)`', '\\1', 'g') AS t FROM r)
-SELECT page_id, string_agg(t, chr(10) ORDER BY k) AS plain FROM s WHERE trim(t) <> '' GROUP BY page_id""")
+WITH m AS (SELECT page_id, string_split(regexp_replace({_MD}, '\\r\\n|[\\n\\r]', chr(10), 'g'), chr(10)) AS ls FROM pages),
+l AS (SELECT page_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM m),
+n AS (SELECT *, regexp_matches(line, '^\\s*(```|~~~)') AS fence, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS bare FROM l),
+o AS (SELECT *, coalesce(sum(fence::INT) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM n),
+c AS (SELECT page_id, k, line, bare, inside, list_filter(list_transform(string_split(bare, '|'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS cells FROM o WHERE NOT fence),
+r AS (SELECT page_id, k, line, bare, inside, CASE WHEN contains(bare, '|') THEN CASE WHEN len(list_filter(cells, lambda x: NOT regexp_full_match(x, ':?-+:?'))) = 0 THEN '' ELSE array_to_string(cells, ' ') END
+                               ELSE regexp_replace(bare, '^#{{1,6}}\\s+', '') END AS t FROM c),
+s AS (SELECT page_id, k, inside, line, bare, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\*\\*(.+?)\\*\\*', '\\1', 'g'), '__(.+?)__', '\\1', 'g'), '\\*(.+?)\\*', '\\1', 'g'), '_(.+?)_', '\\1', 'g'), '`(.+?)`', '\\1', 'g') AS t FROM r)
+SELECT page_id, string_agg(CASE WHEN inside THEN line ELSE t END, chr(10) ORDER BY k) AS plain FROM s WHERE CASE WHEN inside THEN bare ELSE t END <> '' GROUP BY page_id""")
 def markdown_text(spark: SparkSession, d: str) -> DataFrame:
     """Pages wrapped as Markdown, and back to plain text."""
-    md = F.expr(_MD.replace("||", ",").join(("concat(", ")")))
+    md = F.expr(_MD)
     return table(spark, d, "pages").select("page_id", T.strip_markdown(md).alias("plain"))
 
 

@@ -34,4 +34,4 @@ def mmr_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Three diverse vectors of each label for the first vector of the next one."""
     e = table(spark, d, "embeddings")
     q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("query")).select(((F.col("label") + 9) % 10).alias("label"), "query")
-    return vector.mmr(e.join(F.broadcast(q), "label"), "label", "vec_id", "embedding", "query", 3)
+    return vector.mmr(e.join(q, "label"), "label", "vec_id", "embedding", "query", 3)

@@ -1,6 +1,6 @@
 """Versioned tables on any Spark file system: immutable versions, an atomic pointer, upserts as new versions.
 
-A table is a folder of versions `v<NNN>-<YYYYMMDD>-<digest>` and of pointer folders, the newest of which names the
+A table is a folder of versions `v<NNN>-<YYYYMMDD>-<digest>` (the given format of names) and of pointer folders, the newest of which names the
 current version. Data is written by Spark; only names and the pointer are handled by the driver.
 """
 
@@ -22,14 +22,15 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
+def complete_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in path whose write has ended, sorted."""
     fs, p = _fs(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if fs.exists(p.suffix(f"/{s.getPath().getName()}/_SUCCESS"))) if fs.exists(p) else []
 
 
 def versions(spark: SparkSession, root: str) -> list[str]:
     """Complete versions by number."""
-    return sorted((n for n in _names(spark, root) if NAME.match(n)), key=lambda n: int(NAME.match(n)[1]))
+    return sorted((n for n in complete_folders(spark, root) if NAME.match(n)), key=lambda n: int(NAME.match(n)[1]))
 
 
 def register(df: DataFrame, root: str, date: str) -> str:
@@ -46,7 +47,7 @@ def register(df: DataFrame, root: str, date: str) -> str:
 
 
 def current(spark: SparkSession, root: str) -> str | None:
-    pointers = _names(spark, f"{root}/_pointers")
+    pointers = complete_folders(spark, f"{root}/_pointers")
     return spark.read.schema("name string").parquet(f"{root}/_pointers/{pointers[-1]}").first().name if pointers else None
 
 
@@ -55,7 +56,7 @@ def promote(spark: SparkSession, root: str, name: str) -> None:
     held = [n for n in versions(spark, root) if name in (n, n.split("-")[0])]
     if not held:
         raise KeyError(f"no version {name}; there are {', '.join(versions(spark, root)) or 'none'}")
-    k = len(_names(spark, f"{root}/_pointers"))
+    k = len(complete_folders(spark, f"{root}/_pointers"))
     spark.createDataFrame([(held[-1],)], "name string").coalesce(1).write.parquet(f"{root}/_pointers/{k:08d}")
 
 
@@ -96,12 +97,28 @@ class FailureBudgetExceeded(RuntimeError):
 
 
 def append_within_budget(df: DataFrame, root: str, failed: str, budget: int) -> None:
-    """Appends rows; raises once the failures of all rows there exceed the budget, as a reopened sink would."""
+    """Appends rows; raises once the failures of all rows there exceed the budget, as a reopened sink would.
+
+    Each append leaves the count of its own failures beside the rows, so the history is not read again.
+    """
     spark = df.sparkSession
-    df.write.mode("append").parquet(root)
-    n = spark.read.parquet(root).agg(F.count_if(F.coalesce(F.col(failed), F.lit(False))).alias("n")).first().n
-    if n > budget:
-        raise FailureBudgetExceeded(f"{n} failures; the budget is {budget}")
+    stored = f"{root}/rows"
+    n = F.count_if(F.coalesce(F.col(failed), F.lit(False))).alias("n")
+    df.write.mode("append").parquet(stored)
+    df.agg(n).coalesce(1).write.mode("append").parquet(f"{root}/failures")
+    total = spark.read.schema("n long").parquet(f"{root}/failures").agg(F.sum("n").alias("n")).first().n or 0
+    if total > budget:
+        raise FailureBudgetExceeded(f"{total} failures; the budget is {budget}")
+
+
+def mark_phase(spark: SparkSession, root: str, phase: str, at: str) -> None:
+    """Marks a phase as done; marking again does no harm."""
+    spark.createDataFrame([(phase, at)], "phase string, at string").coalesce(1).write.mode("append").parquet(root)
+
+
+def marked_phases(spark: SparkSession, root: str) -> DataFrame:
+    """(phase, at) with the first mark of each."""
+    return spark.read.schema("phase string, at string").parquet(root).groupBy("phase").agg(F.min("at").alias("at"))
 
 
 def require_phase(phases: DataFrame, phase: str) -> None:

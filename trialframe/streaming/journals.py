@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trialframe.sources.versions import complete_folders
+
 
 def events_stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
     """A Parquet event table as a stream of its files."""
@@ -29,15 +31,24 @@ def tail_to(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def counts_to(stream: DataFrame, by: list[str], path: str, checkpoint: str) -> None:
-    """Running counts by key; every micro-batch replaces the table of its time, so repeats do no harm."""
+    """Running counts by key; each micro-batch writes the table of its time to a folder with its number.
+
+    A batch that is repeated overwrites its own folder only, so the counts of the batch before are there at any time;
+    `read_counts` takes the newest complete ones.
+    """
     counts = stream.groupBy(*by).agg(F.count("*").alias("n"))
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/{number:010d}")
 
     counts.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts after the last complete micro-batch."""
+    return spark.read.parquet(f"{path}/{complete_folders(spark, path)[-1]}")
+
+
 def quiet_alarm_stream(stream: DataFrame, entity: str, time: str, seconds: int) -> DataFrame:
     """(entity, at_us, gap_s) of events that follow the entity's last by so many seconds; state: its last time."""
 
