@@ -65,3 +65,15 @@ def batch_plan(df: DataFrame, key: Column, size: int, epochs: int, seed: int = S
     held = numbered(rows, ["epoch"], hash_bucket(F.col("__k")), [F.col("__k")], "__r").crossJoin(F.broadcast(n))
     placed = held.withColumn("position", F.col("epoch") * F.col("__n") + F.col("__r") - 1)
     return placed.withColumn("batch", F.floor(F.col("position") / size)).select(*df.columns, "epoch", "position", "batch")
+
+
+def batch_steps(df: DataFrame, key: Column, size: int, steps: int, seed: int = SEED) -> DataFrame:
+    """(…, step, slot): exactly steps batches of size rows, reshuffled whenever the pool is used up.
+
+    A pool smaller than one batch is refused.
+    """
+    n = df.count()
+    if n < size:
+        raise ValueError(f"{n} rows are fewer than one batch of {size}")
+    plan = batch_plan(df, key, size, -(-size * steps // n), seed).where(F.col("position") < size * steps)
+    return plan.select(*df.columns, F.col("batch").alias("step"), (F.col("position") % size).alias("slot"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trialframe.functions.expr import prefix_masked
 from trialframe.operators.ranges import numbered, numeric_bucket
+from trialframe.operators.split import batch_steps
 
 
 def conversations(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
@@ -79,3 +80,32 @@ def text_deltas(df: DataFrame, entity: str, order: str, text: str) -> DataFrame:
     """What each cumulative text adds to the one before; rows that add nothing are left out after the comparison."""
     before = F.coalesce(F.lag(text).over(Window.partitionBy(entity).orderBy(order)), F.lit(""))
     return df.withColumn("delta", F.trim(F.substring(F.col(text), F.length(before) + 1, F.length(F.col(text))))).where(F.col("delta") != "")
+
+
+def fits(tokens: Column, most: int) -> Column:
+    """True for examples of at most so many tokens."""
+    return F.size(tokens) <= most
+
+
+def interleaved(chosen: Column, rejected: Column) -> Column:
+    """chosen and rejected of each pair in turn."""
+    return F.flatten(F.zip_with(chosen, rejected, lambda a, b: F.array(a, b)))
+
+
+def prepared(examples: DataFrame, key: str, tokens: list[str], most: int, size: int, steps: int, base_step: int = 0) -> tuple[DataFrame, int]:
+    """The batches of a run from base_step on, of examples whose token arrays all fit, and how many did not.
+
+    Fewer than one batch of examples that fit are refused. For pairs name both sides.
+    """
+    ok = F.lit(True)
+    for t in tokens:
+        ok = ok & fits(F.col(t), most)
+    counts = examples.agg(F.count("*").alias("all"), F.count_if(ok).alias("left")).first()
+    plan = batch_steps(examples.where(ok), F.col(key), size, steps)
+    return plan.where(F.col("step") >= base_step), counts["all"] - counts["left"]
+
+
+def step_metrics(df: DataFrame, step: str, loss: Column, margin: Column | None = None) -> DataFrame:
+    """(step, loss[, margin, accuracy]): means by step; with margins those of preference training too."""
+    more = [] if margin is None else [F.avg(margin).alias("margin"), F.avg((margin > 0).cast("double")).alias("accuracy")]
+    return df.groupBy(step).agg(F.avg(loss).alias("loss"), *more)
