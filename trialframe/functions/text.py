@@ -13,7 +13,8 @@ def strip_emphasis(c: Column) -> Column:
     return c
 
 
-_EDGES = "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"
+_SPACES = "[\\s\\x1c-\\x1f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+_EDGES = f"^{_SPACES}|{_SPACES}$"
 _BREAKS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
 
@@ -29,7 +30,7 @@ def folded(c: Column) -> Column:
 
 def normalized(c: Column) -> Column:
     """Words between single spaces, case folded."""
-    return folded(stripped(F.regexp_replace(c, "(?U)[\\s\\x1c-\\x1f]+", " ")))
+    return folded(F.trim(F.regexp_replace(c, _SPACES, " ")))
 
 
 def strip_table_row(c: Column) -> Column:
