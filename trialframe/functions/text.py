@@ -118,3 +118,56 @@ def after_fences(c: Column, fence: str = "==========") -> Column:
     rest = F.slice(lines, first.cast("int") + 1, F.size(lines))
     second = F.array_position(rest, fence)
     return F.when((first > 0) & (second > 0), F.array_join(F.slice(rest, 1, second.cast("int") - 1), "\n")).otherwise(c)
+
+
+def location(c: Column) -> Column:
+    """(host, path) of a transfer target: `host:path` or `[v6]:path`; a colon after a slash is part of a local path."""
+    v6 = "^([^\\]]*\\[[^\\]]*\\]|\\[[^\\]]*\\]):(.*)$"
+    plain = "(?s)^([^:/]*):(.*)$"
+    host = F.when(c.rlike(v6), F.regexp_extract(c, v6, 1)).when(c.rlike(plain), F.regexp_extract(c, plain, 1))
+    path = F.when(c.rlike(v6), F.regexp_extract(c, v6, 2)).when(c.rlike(plain), F.regexp_extract(c, plain, 2)).otherwise(c)
+    return F.struct(host.alias("host"), path.alias("path"))
+
+
+#: The forms of names, labels, digests and versions, each for the whole text.
+FORMS = {"name": "^[A-Za-z0-9._-]+$", "label": "^[A-Za-z0-9][A-Za-z0-9.-]*$", "digest": "^[0-9a-f]{32}$", "version": "^v[0-9]{3,}-[0-9]{8}-[0-9a-f]{12}$"}
+
+
+def has_form(c: Column, form: str) -> Column:
+    return F.coalesce(c.rlike(FORMS[form].replace("$", "\\z")), F.lit(False))
+
+
+def history_line(unit: Column, verdict: Column, metric: Column, description: Column) -> Column:
+    """One sanitised line of an experiment's history; a unit without a metric is unscored."""
+    shown = F.coalesce(metric.cast("string"), F.lit("unscored"))
+    return sanitize_history(F.concat(F.lit("unit "), unit.cast("string"), F.lit(" ["), verdict, F.lit("] metric="), shown, F.lit(" — "), F.coalesce(description, F.lit(""))))
+
+
+def merged_readings(readings: Column, instruction: str) -> Column:
+    """A prompt that numbers several readings of one page from 1."""
+    parts = F.transform(readings, lambda x, i: F.concat(F.lit("--- Reading "), (i + 1).cast("string"), F.lit(" ---\n"), x))
+    return F.array_join(F.concat(F.array(F.lit(instruction)), parts), "\n\n")
+
+
+#: The fields of a saved training state by the back end that wrote it.
+HANDLES = {"tinker": ("state_path",), "local": ("adapter_dir",), "modal": ("repo", "revision")}
+
+
+def handle_json(backend: Column, first: Column, second: Column) -> Column:
+    """A saved state as tagged JSON; an unknown tag raises."""
+    out = F.raise_error(F.concat(F.lit("unknown state backend "), F.coalesce(backend, F.lit("null")))).cast("string")
+    for tag, fields in HANDLES.items():
+        values = [v.alias(f) for v, f in zip((first, second), fields, strict=False)]
+        out = F.when(backend == tag, F.to_json(F.struct(F.lit(tag).alias("backend"), *values))).otherwise(out)
+    return out
+
+
+def read_handle(c: Column) -> Column:
+    """(backend, first, second) of a saved state; an unknown tag raises."""
+    tag = F.get_json_object(c, "$.backend")
+    kind = "struct<backend:string,first:string,second:string>"
+    out = F.raise_error(F.concat(F.lit("unknown state backend "), F.coalesce(tag, F.lit("null")))).cast(kind)
+    for name, fields in HANDLES.items():
+        held = [F.get_json_object(c, f"$.{f}") for f in fields] + [F.lit(None).cast("string")]
+        out = F.when(tag == name, F.struct(tag.alias("backend"), held[0].alias("first"), held[1].alias("second"))).otherwise(out)
+    return out

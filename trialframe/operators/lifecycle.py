@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialframe.functions.expr import finite, seeded_key
+from trialframe.functions.codec import canonical_json
+from trialframe.functions.expr import finite, seeded_key, text_digest
 
 # ---------------------------------------------------------------- decisions over keyed rows
 
@@ -254,3 +255,24 @@ def last_cost(df: DataFrame, key: str, text: str) -> DataFrame:
 def shuffled(df: DataFrame, key: Column, seed: int) -> DataFrame:
     """df with a reproducible order key."""
     return df.withColumn("shuffle_key", seeded_key(seed, key))
+
+
+# ---------------------------------------------------------------- judgements
+
+
+def vote_key(provider: Column, model: Column, schema: Column, prompt_version: Column, digest: Column, row_id: Column, candidate: Column, reference: Column, seed: Column, version: int = 1) -> Column:
+    """The key of a judge's vote: who judges, on what, in which order; canonical JSON, hashed."""
+    judge = canonical_json(provider=provider, model=model, verdict_schema=schema)
+    body = canonical_json(candidate_sha256=text_digest(candidate), digest=digest, judge=F.lit("\u0001"), prompt_version=prompt_version, reference_sha256=text_digest(reference), row_id=row_id.cast("string"), seed=seed, v=F.lit(version))
+    return text_digest(F.replace(body, F.lit('"\\u0001"'), judge))
+
+
+def served_votes(rows: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """rows with vote and hit: a vote is served only where the whole key is that of a stored one."""
+    return rows.join(cache.select(key, "vote"), key, "left").withColumn("hit", F.col("vote").isNotNull())
+
+
+def parity_fingerprint(packages: Column, parameters: Column) -> Column:
+    """Versions of packages and parameters in one map, each under its own prefix."""
+    under = lambda m, p: F.transform_keys(m, lambda k, _: F.concat(F.lit(p), k))
+    return F.map_concat(under(packages, "pkg:"), under(parameters, "param:"))

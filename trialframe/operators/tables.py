@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -67,3 +69,28 @@ def memoized(spark, path: str, make) -> DataFrame:
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+NAMESPACE = re.compile(r"[A-Za-z0-9._-]+")
+
+
+def cached(spark: SparkSession, root: str, namespace: str, version: int, key: str, make) -> DataFrame:
+    """The table under namespace, version and key (a digest of what it was made from), made there if it is not.
+
+    Another version never serves a table of this one; a bad namespace or key is refused before anything is read.
+    """
+    if not NAMESPACE.fullmatch(namespace) or not re.fullmatch(r"[0-9a-f]{32,64}", key):
+        raise ValueError(f"bad cache address {namespace!r}, {key!r}")
+    return memoized(spark, f"{root}/{namespace}/v{version}/{key[:2]}/{key}", make)
+
+
+def updated(df: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """df with the columns of changes in the rows with their keys; keys that df lacks add nothing."""
+    new = changes.select(F.col(key).alias("__k"), F.struct(*columns).alias("__new"))
+    held = df.join(new, F.col(key) == F.col("__k"), "left")
+    return held.withColumns({c: F.when(F.col("__k").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)) for c in columns}).drop("__k", "__new")
+
+
+def best_checkpoint(df: DataFrame, by: str, step: str, score: str) -> DataFrame:
+    """(by, step, score): the first of the steps with the largest score."""
+    return df.groupBy(by).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(step)).alias("o"))).alias("b")).select(by, (-F.col("b.o")).alias(step), F.col("b.s").alias(score))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialframe.functions.expr import cosine
@@ -84,3 +84,12 @@ def mmr(pool: DataFrame, by: str, key: str, vector: str, query: str, k: int, wei
         last = stored(last.select(by, F.col("r.k").alias(key), F.col("r.v").alias(vector), F.lit(rank).alias("rank")))
         picks = last if picks is None else picks.unionByName(last)
     return picks.select(by, key, "rank")
+
+
+def write_index(rows: DataFrame, path: str, key: str, digest: str, vector: str) -> None:
+    """An embedding index at path: id, the digest of what was embedded, and the vector as 32-bit floats."""
+    rows.select(F.col(key).alias("id"), F.col(digest).alias("digest"), F.col(vector).cast("array<float>").alias("vector")).write.mode("errorifexists").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id long, digest string, vector array<float>").parquet(path)

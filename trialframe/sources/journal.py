@@ -15,7 +15,7 @@ POLICIES = ("skip_torn_tail", "skip_bad", "strict", "skip_middle")
 _BAD = "_bad"
 
 
-def read_journal(spark: SparkSession, path: str, schema: T.StructType | str, policy: str = "skip_torn_tail", valid=None) -> DataFrame:
+def read_journal(spark: SparkSession, path: str, schema: T.StructType | str, policy: str = "skip_torn_tail", valid=None, glob: str = "*.jsonl") -> DataFrame:
     """(source_file, line, fields of schema); valid: a further Column condition on the decoded fields.
 
     Blank lines count for the line number but are no rows. An empty folder gives an empty result.
@@ -24,7 +24,7 @@ def read_journal(spark: SparkSession, path: str, schema: T.StructType | str, pol
         raise ValueError(f"policy must be one of {POLICIES}")
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     full = T.StructType([*kind.fields, T.StructField(_BAD, T.StringType())])
-    lines = spark.read.text(path, wholetext=True, pathGlobFilter="*.jsonl", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     held = lines.where(F.trim("text") != "").withColumn("r", F.from_json("text", full, {"columnNameOfCorruptRecord": _BAD}))
     bad = F.col("r").isNull() | F.col(f"r.{_BAD}").isNotNull()
     out = held.withColumn("bad", bad)

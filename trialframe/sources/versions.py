@@ -28,6 +28,12 @@ def complete_folders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if fs.exists(p.suffix(f"/{s.getPath().getName()}/_SUCCESS"))) if fs.exists(p) else []
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of all files and folders in path, sorted."""
+    fs, p = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def versions(spark: SparkSession, root: str) -> list[str]:
     """Complete versions by number."""
     return sorted((n for n in complete_folders(spark, root) if NAME.match(n)), key=lambda n: int(NAME.match(n)[1]))

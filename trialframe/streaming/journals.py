@@ -60,7 +60,35 @@ def quiet_alarm_stream(stream: DataFrame, entity: str, time: str, seconds: int)
                 rows.append((key[0], at, (at - last) // 1_000_000))
             last = at if last is None else max(last, at)
         state.update((last,))
-        yield pd.DataFrame(rows, columns=["entity", "at_us", "gap_s"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["entity", "at_us", "gap_s"])
 
     held = stream.select(F.col(entity).cast("long").alias("entity"), F.unix_micros(F.col(time).cast("timestamp")).alias("at_us"))
     return held.groupBy("entity").applyInPandasWithState(step, "entity long, at_us long, gap_s long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def committed_segments(stream: DataFrame, entity: str, order: str, text: str, watermark_ms: str, final: str) -> DataFrame:
+    """(entity, segment, start, end, text): what each update of a growing transcript commits, from the watermark before to its own.
+
+    State: length of the committed text, watermark, number of segments and whether the stream is closed. Updates are
+    taken in order within a micro-batch; one with final set flushes and closes the stream, what follows is not taken.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        size, at, n, closed = state.get if state.exists else (0, 0, 0, False)
+        rows = []
+        for u in sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r.o):
+            if closed:
+                break
+            delta, closed = u.t[size:].strip(), bool(u.last)
+            if delta:
+                rows.append((key[0], n, at / 1000.0, u.ms / 1000.0, delta))
+                n += 1
+            size, at = len(u.t), u.ms
+        state.update((size, at, n, closed))
+        if rows:
+            yield pd.DataFrame(rows, columns=["entity", "segment", "start", "end", "text"])
+
+    held = stream.select(F.col(entity).cast("long").alias("entity"), F.col(order).cast("long").alias("o"), F.col(text).alias("t"), F.col(watermark_ms).cast("long").alias("ms"), F.col(final).alias("last"))
+    schema = "entity long, segment long, start double, end double, text string"
+    return held.groupBy("entity").applyInPandasWithState(step, schema, "size long, at long, n long, closed boolean", "append", GroupStateTimeout.NoTimeout)
