@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +26,35 @@ def provider_result(body: Column) -> Column:
     return F.struct(r["custom_id"].alias("custom_id"), status.alias("status"), F.when(kind == "succeeded", text).alias("content"), r["result"]["error"]["message"].alias("error"))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def f32_from_s16(raw: pd.Series) -> pd.Series:
-    """Little-endian 16-bit samples as numbers from -1 to 1; an odd last byte is left out."""
-    return raw.map(lambda b: None if b is None else (np.frombuffer(b[: len(b) // 2 * 2], "<i2").astype(np.float32) / np.float32(32768)).tolist())
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def f32_from_s16(raw: pa.Array) -> pa.Array:
+    """Little-endian 16-bit samples as numbers from -1 to 1; an odd last byte is left out. One view per batch."""
+    held = raw.cast(pa.large_binary())
+    offs = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    size = np.diff(offs)
+    data = np.frombuffer(held.buffers()[2], np.uint8)[offs[0] : offs[-1]] if held.buffers()[2] is not None and offs[-1] > offs[0] else np.zeros(0, np.uint8)
+    keep = np.ones(len(data), bool)
+    keep[(offs[1:] - offs[0] - 1)[size % 2 == 1]] = False
+    samples = data[keep].view("<i2").astype(np.float32) / np.float32(32768)
+    ends = np.r_[0, np.cumsum(size // 2)].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(samples), mask=held.is_null())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def json_objects(texts: pa.Array) -> pa.Array:
+    """Every top-level JSON object inside each text, in order, keys sorted; braces that do not open one are passed over."""
+    decoder, out = json.JSONDecoder(), []
+    for text in texts.to_pylist():
+        found, at = [], 0
+        while text and (at := text.find("{", at)) >= 0:
+            try:
+                value, at = decoder.raw_decode(text, at)
+            except (ValueError, RecursionError):
+                at += 1
+                continue
+            found.append(json.dumps(value, sort_keys=True, separators=(",", ":")))
+        out.append(found)
+    return pa.array(out, pa.list_(pa.string()))
 
 
 def seconds(ms: Column) -> Column:

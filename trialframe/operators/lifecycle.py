@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialframe.functions.codec import canonical_json
+from trialframe.functions.codec import canonical_json, json_objects
 from trialframe.functions.expr import finite, seeded_key, text_digest
 
 # ---------------------------------------------------------------- decisions over keyed rows
@@ -228,25 +226,9 @@ def _segment(part: Column, k: Column) -> Column:
 # ---------------------------------------------------------------- decoding
 
 
-@F.udtf(returnType="position int, object string")
-class JsonObjects:
-    """Every top-level JSON object inside a text, in order; braces that do not open one are passed over."""
-
-    def eval(self, text: str):
-        decoder, at, n = json.JSONDecoder(), 0, 0
-        while text and (at := text.find("{", at)) >= 0:
-            try:
-                value, end = decoder.raw_decode(text, at)
-            except ValueError:
-                at += 1
-                continue
-            yield n, json.dumps(value, sort_keys=True, separators=(",", ":"))
-            n, at = n + 1, end
-
-
 def last_cost(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, cost): the valid total_cost_usd of the last embedded object that has one."""
-    found = df.select(key, text).lateralJoin(JsonObjects(F.col(text).outer()))
+    found = df.select(key, F.posexplode(json_objects(F.col(text))).alias("position", "object"))
     cost = F.get_json_object("object", "$.total_cost_usd").cast("double")
     held = found.select(key, "position", cost.alias("cost")).where(finite(F.col("cost")) & (F.col("cost") >= 0))
     return held.groupBy(key).agg(F.max_by("cost", "position").alias("cost"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.functions import codec
-from trialframe.operators import lifecycle
 from trialframe.plans.base import query, table
 
 
@@ -18,8 +17,12 @@ def canonical_digests(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT 'c' || o_orderkey AS custom_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'expired' END AS status,
-       CASE WHEN o_orderstatus = 'F' THEN o_orderpriority || '!' END AS content, CASE WHEN o_orderstatus = 'O' THEN 'overloaded' END AS error FROM orders""")
+WITH l AS (SELECT json_object('custom_id', 'c' || o_orderkey, 'result', CASE o_orderstatus
+    WHEN 'F' THEN json_object('type', 'succeeded', 'message', json_object('content', json_array(json_object('type', 'text', 'text', o_orderpriority), json_object('type', 'tool', 'text', 'x'), json_object('type', 'text', 'text', '!'))))
+    WHEN 'O' THEN json_object('type', 'errored', 'error', json_object('message', 'overloaded')) ELSE json_object('type', 'expired') END) AS j FROM orders),
+p AS (SELECT j, j ->> '$.result.type' AS t, from_json(j -> '$.result.message.content', '[{"type":"VARCHAR","text":"VARCHAR"}]') AS c FROM l)
+SELECT j ->> '$.custom_id' AS custom_id, CASE t WHEN 'succeeded' THEN 'completed' WHEN 'errored' THEN 'failed' WHEN 'canceled' THEN 'canceled' ELSE t END AS status,
+       CASE WHEN t = 'succeeded' THEN array_to_string(list_transform(list_filter(c, lambda x: x.type = 'text'), lambda x: x.text), '') END AS content, j ->> '$.result.error.message' AS error FROM p""")
 def provider_results(spark: SparkSession, d: str) -> DataFrame:
     """Orders as result lines, and what they decode to."""
     o, s = table(spark, d, "orders"), F.col("o_orderstatus")
@@ -41,11 +44,11 @@ def pcm_samples(spark: SparkSession, d: str) -> DataFrame:
     return s.select("vec_id", F.size("s").alias("samples"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
 
 
-@query("""
-SELECT c_custkey, c_mktsegment || ' ' || c_nationkey AS objects FROM customer""")
+@query(r"""
+WITH r AS (SELECT c_custkey, 'Sure {here: ' || json_object('v', c_mktsegment) || ' and {"broken: ' || json_object('v', c_nationkey::VARCHAR) || '}} done' AS reply FROM customer)
+SELECT c_custkey, array_to_string(regexp_extract_all(reply, '\{"v":"([^"]*)"\}', 1), ' ') AS objects FROM r""")
 def embedded_objects(spark: SparkSession, d: str) -> DataFrame:
     """Objects inside noisy replies, in their order."""
     reply = F.concat(F.lit("Sure {here: "), F.to_json(F.struct(F.col("c_mktsegment").alias("v"))), F.lit(' and {"broken: '), F.to_json(F.struct(F.col("c_nationkey").cast("string").alias("v"))), F.lit("}} done"))
-    found = table(spark, d, "customer").select("c_custkey", reply.alias("reply")).lateralJoin(lifecycle.JsonObjects(F.col("reply").outer()))
-    values = F.transform(F.array_sort(F.collect_list(F.struct("position", F.get_json_object("object", "$.v").alias("v")))), lambda x: x["v"])
-    return found.groupBy("c_custkey").agg(F.array_join(F.filter(values, lambda v: v.isNotNull()), " ").alias("objects"))
+    values = F.transform(codec.json_objects(reply), lambda x: F.get_json_object(x, "$.v"))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(F.filter(values, lambda v: v.isNotNull()), " ").alias("objects"))

@@ -152,11 +152,15 @@ def draft_diversity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT vec_id, array_to_string(list_sort(list_filter(['a', 'b', 'c'], lambda k: CASE k WHEN 'a' THEN vec_id % 4 = 0 WHEN 'b' THEN vec_id % 6 = 0 ELSE false END)), ',') AS bad FROM embeddings""")
+WITH v AS (SELECT vec_id, unnest(['a', 'b', 'c']) AS k, unnest([embedding[1]::DOUBLE / CASE WHEN vec_id % 4 = 0 THEN 'nan'::DOUBLE ELSE 1 END, CASE WHEN vec_id % 6 = 0 THEN 1e300 ELSE 1 END * exp(709) * abs(embedding[2]::DOUBLE), CASE WHEN vec_id % 2 = 0 THEN embedding[3]::DOUBLE END]) AS x FROM embeddings)
+SELECT vec_id, coalesce(string_agg(k, ',' ORDER BY k) FILTER (x IS NOT NULL AND NOT isfinite(x)), '') AS bad FROM v GROUP BY vec_id""")
 def not_finite_keys(spark: SparkSession, d: str) -> DataFrame:
     e, k = F.col("embedding"), F.col("vec_id")
     x = lambda i: e[i].cast("double")
-    values = F.create_map(F.lit("a"), F.when(k % 4 == 0, float("nan")).otherwise(x(0)), F.lit("b"), F.when(k % 6 == 0, float("inf")).otherwise(x(1)), F.lit("c"), F.when(k % 2 == 0, x(2)))
+    one = F.lit(1.0)
+    values = F.create_map(
+        F.lit("a"), x(0) / F.when(k % 4 == 0, float("nan")).otherwise(one), F.lit("b"), F.when(k % 6 == 0, 1e300).otherwise(one) * F.exp(F.lit(709.0)) * F.abs(x(1)), F.lit("c"), F.when(k % 2 == 0, x(2))
+    )
     return table(spark, d, "embeddings").select("vec_id", F.array_join(lifecycle.not_finite_keys(values), ",").alias("bad"))
 
 
@@ -218,8 +222,10 @@ def transcript_segments(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "s.id", F.round("s.start", 3).alias("start"), F.round("s.end", 3).alias("end"), "s.text")
 
 
-@query("""
-SELECT event_id, round(event_id % 40 / 4.0::DOUBLE, 2) AS cost FROM events WHERE event_id % 3 <> 0""")
+@query(r"""
+WITH l AS (SELECT event_id, 'start {not json {"k": {"total_cost_usd": 9}} mid {"total_cost_usd": ' || CASE WHEN event_id % 3 <> 0 THEN round(event_id % 40 / 4.0::DOUBLE, 2) ELSE -2.0 END || '} {"total_cost_usd": -1} {"note": "}"}' AS log FROM events),
+c AS (SELECT event_id, list_filter(list_transform(regexp_extract_all(log, '\{"total_cost_usd": ([-0-9.]+)\}(?:[^}]|$)', 1), lambda x: x::DOUBLE), lambda x: x >= 0) AS costs FROM l)
+SELECT event_id, costs[len(costs)] AS cost FROM c WHERE len(costs) > 0""")
 def envelope_costs(spark: SparkSession, d: str) -> DataFrame:
     """Costs inside noisy logs: the last valid one counts; a third of the logs have none."""
     log = F.format_string('start {not json {"k": {"total_cost_usd": 9}} mid {"total_cost_usd": %s} {"total_cost_usd": -1} {"note": "}"}', F.when(F.col("event_id") % 3 != 0, F.round(F.col("event_id") % 40 / 4.0, 2)).otherwise(-2.0))
@@ -247,9 +253,13 @@ def box_descale(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' END AS media_type FROM pages""")
+WITH b AS (SELECT page_id, upper(CASE page_id % 5 WHEN 0 THEN '89504E470D0A1A0A' WHEN 1 THEN 'FFD8FFE0' WHEN 2 THEN hex('GIF89a') WHEN 3 THEN hex('RIFF') || '00000000' || hex('WEBP') ELSE hex('text') END || hex(html)) AS h FROM pages)
+SELECT page_id, CASE WHEN starts_with(h, '89504E470D0A1A0A') THEN 'image/png' WHEN starts_with(h, 'FFD8FF') THEN 'image/jpeg' WHEN starts_with(h, '47494638') THEN 'image/gif'
+                     WHEN starts_with(h, '52494646') AND substr(h, 17, 8) = '57454250' THEN 'image/webp' END AS media_type FROM b""")
 def media_types(spark: SparkSession, d: str) -> DataFrame:
-    head = F.when(F.col("page_id") % 4 == 0, F.unhex(F.lit("89504E470D0A1A0A"))).when(F.col("page_id") % 4 == 1, F.unhex(F.lit("FFD8FFE0"))).when(F.col("page_id") % 4 == 2, F.encode(F.lit("GIF89a"), "UTF-8")).otherwise(F.encode(F.lit("text"), "UTF-8"))
+    k, text = F.col("page_id") % 5, lambda t: F.encode(F.lit(t), "UTF-8")
+    riff = F.concat(text("RIFF"), F.unhex(F.lit("00000000")), text("WEBP"))
+    head = F.when(k == 0, F.unhex(F.lit("89504E470D0A1A0A"))).when(k == 1, F.unhex(F.lit("FFD8FFE0"))).when(k == 2, text("GIF89a")).when(k == 3, riff).otherwise(text("text"))
     return table(spark, d, "pages").select("page_id", T.image_media_type(F.concat(head, F.encode("html", "UTF-8"))).alias("media_type"))
 
 
