@@ -7,7 +7,9 @@ executor costs at most the stage that runs.
 Defined results: documents with a null or empty text end at the quality rules. Line dedup drops a document whose text
 is removed as a whole, sets n_chars, where there is such a column, to the length of what is left, and leaves others
 alone. Rows that share an id are separate rows for every stage, except that near-duplicate and line decisions count
-them as one document. An empty table gives an empty result.
+them as one document. Very long texts go whole through every stage. Of equal documents, and of equal lines, those with
+the smallest id stay. Columns beside those of documents are carried along, also where they have names that an operator
+writes (`n_lines`, `n_removed`). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later occurrences of repeated windows of lines, as far as anything is left of them."""
-    out = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.btrim(F.col("text"), F.lit(WORD_SPACE)) != ""))
+    own = {c: f"__own_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
+    out = dedup_lines(docs.withColumnsRenamed(own)).where((F.col("n_removed") == 0) | (F.btrim(F.col("text"), F.lit(WORD_SPACE)) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.drop(*own).withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
