@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -60,3 +63,34 @@ def texts_array(texts):
     import pyarrow as pa
 
     return pa.array(texts)
+
+
+def test_equals_plain_cosines(spark):
+    """Counts by n-gram, weights and cosines without arrays; n-grams meet in a bucket as the definition says."""
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ (x >> shift)) * factor) & full
+        return x ^ (x >> 31)
+
+    model = L.fit(spark.createDataFrame(corpus(150), "doc_id long, text string, lang string"))
+    texts = [r[1] for r in corpus(30)] + ["Éau  QUE, 12 sch!", "ka"]
+    names, score, _ = model.predict(texts_array(texts))
+    for t, name, got in zip(texts, names, score, strict=True):
+        t = " ".join(re.findall(r"[^\W\d_]+", t.lower()))
+        counts = Counter()
+        for n in L.GRAMS:
+            for k in range(len(t) - n + 1):
+                counts[mixed(sum(ord(c) * int(L._SLOT[j + 8 * n]) for j, c in enumerate(t[k : k + n])) & full) % L.BUCKETS] += 1
+        x = {b: math.log1p(c) * model.idf[b] for b, c in counts.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        cosines = [sum(v * c[b] for b, v in x.items()) / size for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda k: cosines[k])
+        assert model.langs[best] == name and abs(min(1, max(0, cosines[best])) - got) < 1e-9
+
+
+def test_a_clashing_column_is_replaced(spark):
+    df = spark.createDataFrame([(1, "ka lo", 5, "x")], "doc_id long, text string, language int, score string")
+    out = L.identify(df, L.fit(spark.createDataFrame(corpus(60), "doc_id long, text string, lang string"))).first()
+    assert out.language.lang == "aa" and out.score == "x"

@@ -67,3 +67,17 @@ def test_empty_tables_and_repeated_rows(spark, tmp_path):
     d = write(spark, tmp_path / "b", [(1, t, "en", "s", 1)] * 2 + [(None, t, None, None, None)], [])
     out = C.run(spark, d)
     assert out.groupBy("doc_id").agg(F.sum("length")).count() == 2
+
+
+def test_very_long_texts_ties_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(8)
+    long = "\n".join(text(rng, 300) for _ in range(400))
+    docs = [(1, long, "en", "s", len(long)), (2, long, "en", "s", len(long)), (3, text(rng, 90), "en", "s", 1)]
+    d = write(spark, tmp_path, docs, [(1, text(rng, 30))])
+    frame = C.table(spark, d, "documents").withColumns({"n_lines": F.lit("mine"), "n_removed": F.lit(7), "matches": F.lit("m"), "quality_verdict": F.lit(1), "component_id": F.lit(2)})
+    for name, stage in C.STAGES[:4]:
+        frame = C.durable(stage(spark, frame, d))
+        assert {(r.n_lines, r.n_removed, r.matches, r.quality_verdict, r.component_id) for r in frame.collect()} == {("mine", 7, "m", 1, 2)}, name
+    assert {r.doc_id: r.text for r in frame.collect()} == {1: long, 3: docs[2][1]}  # of equal texts the smallest id stays
+    pieces = C.packing(spark, frame, d).where("doc_id = 1")
+    assert pieces.agg(F.sum("length")).first()[0] == pieces.first().doc_tokens > 100_000

@@ -6,7 +6,8 @@ group. Scoring compares a text's vector with every centroid by cosine in one vec
 whose best cosine lies below what its centroid's own training texts reach is marked as rejected.
 
 Defined results: null text, or text without a letter, is `und` with score 0. Case is ignored. Equal cosines take the
-language first in order. Repeated rows are judged alike; extra columns are kept by `identify`. Without any learnable
+language first in order. Repeated rows are judged alike; extra columns are kept by `identify`, but for one that has the
+name of the result, which is replaced. Without any learnable
 row every text is `und`. Null ids are learned from and judged like others (as the empty text's CRC). Very long texts
 are handled whole.
 """

@@ -11,7 +11,8 @@ are read from it. Words are encoded once for each worker as long as its bounded
 joins what white space separates.
 
 Defined results: a null or empty text is the end token alone. Repeated rows are separate texts. Very long texts are cut
-into whole windows. Extra columns do not take part. An empty table gives no piece. A null id stays null.
+into whole windows. Of windows that a text fits equally well it goes to the one that was not used for longest. Extra columns do not take
+part. An empty table gives no piece. A null id stays null.
 """
 
 from __future__ import annotations
