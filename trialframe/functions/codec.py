@@ -61,6 +61,7 @@ def seconds(ms: Column) -> Column:
     return ms / F.lit(1000.0)
 
 
-def clip_duration(segments: Column) -> Column:
-    """The end of the last segment, 0 without any."""
-    return F.coalesce(F.array_max(F.transform(segments, lambda s: s["end"])), F.lit(0.0))
+def clip_duration(segments: Column, words: Column | None = None) -> Column:
+    """The end of the last segment, without segments that of the last word, 0 without any."""
+    last = lambda xs: F.array_max(F.transform(xs, lambda s: s["end"]))
+    return F.coalesce(last(segments), *([] if words is None else [last(words)]), F.lit(0.0))

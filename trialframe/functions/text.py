@@ -171,3 +171,9 @@ def read_handle(c: Column) -> Column:
         held = [F.get_json_object(c, f"$.{f}") for f in fields] + [F.lit(None).cast("string")]
         out = F.when(tag == name, F.struct(tag.alias("backend"), held[0].alias("first"), held[1].alias("second"))).otherwise(out)
     return out
+
+
+def same_family(judge: Column, generator: Column, aliases: dict[str, str]) -> Column:
+    """Why a judge may not grade a generator, else null: of one family, or of a family that is not known."""
+    theirs = family_of(generator, aliases)
+    return F.when(theirs.isNull(), "unknown family").when(judge == theirs, "same family")

@@ -34,3 +34,16 @@ def running_spend(df: DataFrame, entity: str, order: str, amount: Column) -> Dat
     """df with step and spent: position and running sum within the entity."""
     w = Window.partitionBy(entity).orderBy(order)
     return df.withColumns({"step": F.row_number().over(w), "spent": F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+
+
+#: Fixed value: output tokens that a call reserves before it is made.
+OUTPUT_ALLOWANCE = 1024
+
+
+def metered(calls: DataFrame, prices: DataFrame, prompt: str, answer: str, model: str = "model") -> DataFrame:
+    """calls with tokens (a quarter of the code points), reserved, spent and released usd; a call without an answer spends nothing."""
+    given, got = F.floor(F.length(prompt) / 4), F.floor(F.length(answer) / 4)
+    held = priced(calls.withColumns({"input_tokens": given, "output_tokens": F.lit(OUTPUT_ALLOWANCE)}), prices, model).withColumnRenamed("usd", "reserved").drop("input_price", "output_price")
+    out = priced(held.withColumn("output_tokens", F.coalesce(got, F.lit(0))), prices, model).withColumnRenamed("usd", "spent").drop("input_price", "output_price")
+    out = out.withColumn("spent", F.when(F.col(answer).isNull(), F.lit(0)).otherwise(F.col("spent")))
+    return out.withColumn("released", F.col("reserved") - F.col("spent"))

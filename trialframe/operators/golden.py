@@ -5,7 +5,7 @@ A packet is as large as its strata's sizes say, so its text is one value; the sa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.operators.guards import Refused, require_none
@@ -55,3 +55,26 @@ def read_labels(labels: DataFrame, manifest: DataFrame) -> DataFrame:
         raise Refused("labels do not match the manifest's rows")
     odd = F.raise_error(F.concat(F.lit("not yes or no: row "), F.col("row_id").cast("string"))).cast("boolean")
     return labels.select("row_id", F.when(F.col("label") == "yes", True).when(F.col("label") == "no", False).otherwise(odd).alias("label"))
+
+
+def labels_template(rows: DataFrame, row_id: str) -> DataFrame:
+    """(row, row_id, label) to be filled in."""
+    return rows.select(F.col("number").alias("row"), F.col(row_id).cast("string").alias("row_id"), F.lit(None).cast("string").alias("label"))
+
+
+def write_packet(rows: DataFrame, row_id: str, stratum: str, window: str, question: str, header: str, root: str) -> None:
+    """packet, labels_template and manifest below root, each a folder: text, JSON lines and one JSON object."""
+    made = packet(rows, row_id, window, question, header)
+    made.select(F.col("packet_md").alias("value")).write.text(f"{root}/packet")
+    labels_template(rows, row_id).coalesce(1).write.option("ignoreNullFields", "false").json(f"{root}/labels_template")
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct(F.col("number").alias("row"), F.col(row_id).cast("string").alias("row_id"), F.col(stratum).alias("stratum")))).alias("rows"))
+    made.drop("packet_md").crossJoin(F.broadcast(listed)).write.json(f"{root}/manifest")  # one row each
+
+
+def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The manifest below root; anything but one object with all its fields raises."""
+    schema = "packet_sha256 string, rows_sha256 string, n long, floor long, rows array<struct<row:int,row_id:string,stratum:string>>"
+    held = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{root}/manifest")
+    if held.where("packet_sha256 is not null and rows_sha256 is not null and n is not null and floor is not null").count() != 1:
+        raise Refused(f"{root} has no manifest")
+    return held

@@ -258,3 +258,35 @@ def parity_fingerprint(packages: Column, parameters: Column) -> Column:
     """Versions of packages and parameters in one map, each under its own prefix."""
     under = lambda m, p: F.transform_keys(m, lambda k, _: F.concat(F.lit(p), k))
     return F.map_concat(under(packages, "pkg:"), under(parameters, "param:"))
+
+
+def run_key(name: Column, base: Column, method: Column, lora: Column, hyperparams: Column, dataset: Column) -> Column:
+    """The key under which a training run finds its own state again: of what changes what it trains, not of where it resumes.
+
+    lora, hyperparams and dataset are JSON texts with sorted keys.
+    """
+    fields = {"base": canonical_json(v=base), "method": canonical_json(v=method), "name": canonical_json(v=name)}
+    plain = [F.concat(F.lit(f'"{k}":'), F.regexp_replace(v, r'^[{]"v":(.*)[}]$', "$1")) for k, v in fields.items()]
+    nested = [F.concat(F.lit(f'"{k}":'), v) for k, v in (("dataset", dataset), ("hyperparams", hyperparams), ("lora", lora))]
+    ordered = [plain[0], nested[0], nested[1], nested[2], plain[1], plain[2]]
+    return text_digest(F.concat(F.lit("{"), F.concat_ws(",", *ordered), F.lit("}")))
+
+
+def resume_choice(specs: DataFrame, states: DataFrame, key: str) -> DataFrame:
+    """specs (key, resume_from) with the choice: the run's own saved step, else the seed it names, else a new start."""
+    own = states.where("status = 'running'").groupBy(key).agg(F.max(F.struct("step", "handle")).alias("s"))
+    held = specs.join(own, key, "left")
+    choice = F.when(F.col("s").isNotNull(), "own").when(F.col("resume_from").isNotNull(), "seed").otherwise("new")
+    return held.select(key, choice.alias("choice"), F.when(F.col("s").isNotNull(), F.col("s.step")).otherwise(0).alias("from_step"), F.coalesce("s.handle", "resume_from").alias("handle"))
+
+
+def nested_not_finite(metrics: Column) -> Column:
+    """The sorted dotted names of values that are NaN or infinite in a map of maps."""
+    bad = F.flatten(F.transform(F.map_entries(metrics), lambda e: F.transform(not_finite_keys(e["value"]), lambda k: F.concat(e["key"], F.lit("."), k))))
+    return F.array_sort(bad)
+
+
+def decider_violation(df: DataFrame, by: str, fires: Column) -> DataFrame:
+    """(by, n, violation): deciders that fire on all rows or on none."""
+    out = df.groupBy(by).agg(F.count("*").alias("n"), F.count_if(fires).alias("__f"))
+    return out.select(by, "n", F.when(F.col("__f") == F.col("n"), "fires on all").when(F.col("__f") == 0, "abstains on all").alias("violation"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialframe.functions.text import sanitize_history
 from trialframe.operators.ledger import journal_report
 from trialframe.operators.lifecycle import metric_summary
 
@@ -76,3 +77,27 @@ def pending_specs(specs: DataFrame, name: str) -> DataFrame:
     """(seq, name, state): the one pending spec of each number; several are ambiguous, and then none is named."""
     out = specs.groupBy(spec_seq(F.col(name)).alias("seq")).agg(F.count("*").alias("n"), F.min(name).alias("first"))
     return out.where("seq is not null").select("seq", F.when(F.col("n") == 1, F.col("first")).alias("name"), F.when(F.col("n") == 1, "pending").otherwise("ambiguous").alias("state"))
+
+
+def described_change(changes: DataFrame, by: str, label: str, path: str, metric_key: str, reported: str) -> DataFrame:
+    """(by, description): who edited which files, sorted, and the metric they reported, if any."""
+    out = changes.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(path)), ", ").alias("f"), F.max(label).alias("l"), F.max(reported).alias("m"))
+    files = F.when(F.col("f") == "", "no files").otherwise(F.col("f"))
+    tail = F.when(F.col("m").isNull(), "").otherwise(F.concat(F.lit(f" (reported {metric_key}="), F.col("m").cast("string"), F.lit(")")))
+    return out.select(by, F.concat("l", F.lit(" edited "), files, tail).alias("description"))
+
+
+def rendered_retro(r: Column) -> Column:
+    """The heading of a retrospective (as `from_record` gives it): its metrics, or that the incumbent stands."""
+    kept = F.concat(F.lit(" (baseline "), r["baseline"].cast("string"), F.lit(" -> best "), r["best_metric"].cast("string"), F.lit(", uplift "), r["uplift"].cast("string"), F.lit(")"))
+    return F.concat(r["experiment"], F.lit(": "), r["outcome"], F.when(r["kept"], kept).otherwise(" (no candidate kept; incumbent baseline stands)"))
+
+
+def campaign_context(retro_records: DataFrame, failures: DataFrame, campaign: str, record: str) -> DataFrame:
+    """(campaign, retros, failures): what the next round is told, each a text of lines; failures are sanitised.
+
+    failures: (campaign, reasons), as `ledger.failure_reasons` gives them.
+    """
+    told = retro_records.groupBy(campaign).agg(F.array_join(F.array_sort(F.collect_list(rendered_retro(from_record(F.col(record))))), "\n").alias("retros"))
+    said = failures.select(campaign, sanitize_history(F.col("reasons")).alias("failures"))
+    return told.join(said, campaign, "full_outer").select(campaign, F.coalesce("retros", F.lit("")).alias("retros"), F.coalesce("failures", F.lit("")).alias("failures"))

@@ -89,3 +89,11 @@ def layout_lines(tokens: DataFrame, page: str, gap: float = 8.0) -> DataFrame:
         return F.array_join(F.transform(across, lambda x: x["text"]), " ")
 
     return held.select(page, F.posexplode(F.transform("starts", line)).alias("line", "text"))
+
+
+def ensemble(tokens: DataFrame, supplement: DataFrame, page: str, key: str, targeted: Column) -> DataFrame:
+    """Tokens of whole-page readings reconciled with the supplement; targeted ones (of regions or enlarged) as they are."""
+    whole, part = tokens.where(~targeted), tokens.where(targeted)
+    pages = whole.select(page).distinct()
+    both = reconciled(whole, supplement.join(pages, page, "left_semi"), page, key)
+    return both.unionByName(part.withColumn("origin", F.lit("kept")).select(*both.columns))

@@ -94,3 +94,15 @@ def updated(df: DataFrame, changes: DataFrame, key: str, columns: list[str]) ->
 def best_checkpoint(df: DataFrame, by: str, step: str, score: str) -> DataFrame:
     """(by, step, score): the first of the steps with the largest score."""
     return df.groupBy(by).agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(step)).alias("o"))).alias("b")).select(by, (-F.col("b.o")).alias(step), F.col("b.s").alias(score))
+
+
+#: How old a staging file is when it may be swept, and the ending of the marks of those in use.
+STALE_SECONDS, HEARTBEAT = 604_800, ".heartbeat"
+
+
+def reapable(files: DataFrame, name: str, seconds: str, now: float) -> DataFrame:
+    """files (name, time of last change) that a sweep may remove: old staging files whose mark is not fresh, and old marks."""
+    cutoff = now - STALE_SECONDS
+    fresh = files.where(F.endswith(F.col(name), F.lit(HEARTBEAT)) & (F.col(seconds) >= cutoff)).select(F.regexp_replace(name, "[.]heartbeat$", "").alias(name)).distinct()
+    old = files.where((F.col(seconds) < cutoff) & F.contains(F.col(name), F.lit(".tmp-")))
+    return old.join(fresh, name, "left_anti")
