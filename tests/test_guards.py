@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialframe.functions import codec, text
-from trialframe.operators import batch_jobs, cost, golden, guards, lifecycle, retros, split, tables, train_data
+from trialframe.operators import bakeoff, batch_jobs, cost, gates, golden, guards, lifecycle, retros, split, tables, train_data
 
 
 def one(spark, column, **values):
@@ -155,3 +155,30 @@ def test_tables_and_costs(spark, tmp_path):
     assert sorted((float(r.reserved), float(r.spent)) for r in calls) == [(0.00205, 0.0), (0.00205, 0.000008)]
     bad = lifecycle.nested_not_finite(F.create_map(F.lit("g"), F.create_map(F.lit("k"), F.lit(float("nan")), F.lit("o"), F.lit(1.0))))
     assert one(spark, bad) == ["g.k"]
+
+
+def test_corrected_gate(spark):
+    rows = [(i, float(i), float(-i), i >= 20) for i in range(40)]  # the candidate ranks by truth, the incumbent against it
+    df = spark.createDataFrame(rows, "k int, c double, i double, y boolean")
+    gate = lambda **k: gates.corrected_gate(df, "c", "i", F.col("y"), F.lit(True), -19.5, **k).first()
+    r = gate(harmful_favors_incumbent=False)
+    assert (r.budget, r.fires, r.wins, r.losses) == (20, 20, 20, 20) and r.p == 1.0 and not r.promote
+    assert (r.cell_auc, r.incumbent_auc) == (1.0, 0.0) and r.auc_not_regressed and r.budget_held
+    won = gates.corrected_gate(df, "c", "i", F.col("y"), F.col("y"), -19.5, harmful_favors_incumbent=False).first()
+    assert (won.wins, won.losses, won.coverage_sig, won.promote) == (20, 0, True, True)
+    assert gates.corrected_gate(df, "c", "i", F.col("y"), F.col("y"), -19.5, harmful_favors_incumbent=True).first().promote is False
+    assert gate().promote is None
+    one_class = gates.corrected_gate(df, "c", "i", F.lit(True), F.col("y"), -19.5, harmful_favors_incumbent=False).first()
+    assert not one_class.auc_not_regressed and not one_class.promote
+    tied = df.withColumn("c", F.lit(1.0))
+    assert gates.corrected_gate(tied, "c", "i", F.col("y"), F.lit(True), -19.5).first().fires == 0  # a tie over budget is left out whole
+    assert gates.rate_budget(2.5, 130) == 3
+    with pytest.raises(ValueError):
+        gates.rate_budget(1.0, 0)
+
+
+def test_only_a_winner_beyond_the_baseline_is_promoted(spark):
+    board = spark.createDataFrame([("base", 1, False), ("up", 2, True), ("more", 3, False)], "arm string, rank int, winner boolean")
+    passed = spark.createDataFrame([("up", True), ("more", True)], "arm string, passed boolean")
+    assert {r.arm: r.passed_gate for r in bakeoff.gated(board, passed, "base").collect()} == {"base": False, "up": True, "more": False}
+    assert not bakeoff.gated(board, passed, "up").where("passed_gate").count()

@@ -48,9 +48,9 @@ def _arm_pairs(outputs: DataFrame, by_field: bool) -> DataFrame:
     counts = cell_counts(outputs)
     arms = counts.select("arm").distinct()
     fields = counts.select("field").distinct()
-    grid = arms.crossJoin(F.broadcast(arms.withColumnRenamed("arm", "other"))).where("arm <> other")
+    grid = arms.crossJoin(arms.withColumnRenamed("arm", "other")).where("arm <> other")
     if by_field:
-        grid = grid.crossJoin(F.broadcast(fields))
+        grid = grid.crossJoin(fields)
     shared = pair_counts(outputs).groupBy("arm", "other", *keys).agg(F.sum("shared").alias("shared"), F.sum("equal").alias("equal"))
     own = counts.groupBy("arm", *keys).agg(F.sum("cells").alias("cells"))
     theirs = own.select(F.col("arm").alias("other"), *keys, F.col("cells").alias("other_cells"))
@@ -89,3 +89,9 @@ def leaderboard(outputs: DataFrame, primary: str, tiebreak: str) -> DataFrame:
     n = item_count(outputs)
     board = ranked(mean_by_field(outputs, n), primary, tiebreak).join(agreement(outputs), "arm")
     return board.withColumn("winner", F.col("is_viable") & (F.col("rank") == 1))
+
+
+def gated(board: DataFrame, gates: DataFrame, baseline: str) -> DataFrame:
+    """board with passed_gate: only a winner that is not the baseline and whose own gate passed."""
+    held = board.join(gates.select("arm", F.col("passed").alias("__passed")), "arm", "left")
+    return held.withColumn("passed_gate", F.col("winner") & (F.col("arm") != baseline) & F.coalesce("__passed", F.lit(False))).drop("__passed")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.functions.expr import seeded_number
+from trialframe.operators.metrics import rank_auc
+from trialframe.operators.ranges import numeric_bucket, running
 
 
 def sign_test_p(wins: Column, losses: Column) -> Column:
@@ -70,3 +72,38 @@ def bootstrap_verdicts(bounds: DataFrame, arm: str, incumbent: str, direction: s
     apart = ~((F.col("__l") <= F.col("high")) & (F.col("low") <= F.col("__h")))
     margin = (F.col("mean") - F.col("__m")) * (1 if direction == "max" else -1)
     return bounds.crossJoin(F.broadcast(own)).withColumn("promote", apart & (margin > floor)).drop("__l", "__h", "__m")
+
+
+def matched_threshold(df: DataFrame, score: str, budget: DataFrame) -> DataFrame:
+    """One row (thr): the lowest score that at most budget rows reach, ties whole; null where every score is reached by more."""
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"))
+    reached = running(counts, [], -numeric_bucket(counts, "s"), [F.desc("s")], {"reached": F.col("n")}).crossJoin(F.broadcast(budget.select("budget")))  # one row
+    return reached.where("reached <= budget").agg(F.min("s").alias("thr"))
+
+
+def corrected_gate(df: DataFrame, candidate: str, incumbent: str, label: Column, warranted: Column, threshold: float, harmful_favors_incumbent: bool | None = None) -> DataFrame:
+    """One row: the paired gate of a candidate that fires as often as the incumbent does above its threshold.
+
+    Where only one of them fires on a warranted row it wins or loses coverage; an exact sign test judges that. To be
+    promoted the candidate must win significantly, hold the budget, have no smaller AUC (one of a single class is none)
+    and no harm against it; while harm is not judged, promote is null.
+    """
+    held = df.select(F.col(candidate).alias("__c"), F.col(incumbent).alias("__i"), label.alias("__y"), F.coalesce(warranted, F.lit(False)).alias("__w")).withColumn("__was", F.coalesce(F.col("__i") > threshold, F.lit(False)))
+    thr = matched_threshold(held, "__c", held.agg(F.count_if("__was").alias("budget")))
+    fired = held.crossJoin(F.broadcast(thr)).withColumn("__fires", F.coalesce(F.col("__c") >= F.col("thr"), F.lit(False)))  # one row
+    only = lambda a, b: F.count_if(F.col("__w") & F.col(a) & ~F.col(b))
+    out = fired.agg(F.count_if("__was").alias("budget"), F.count_if("__fires").alias("fires"), only("__fires", "__was").alias("wins"), only("__was", "__fires").alias("losses"))
+    for name, score in (("cell_auc", "__c"), ("incumbent_auc", "__i")):
+        out = out.crossJoin(F.broadcast(rank_auc(held, F.col("__y"), F.col(score)).select(F.col("auc").alias(name))))  # one row
+    out = out.withColumn("p", sign_test_p(F.col("wins"), F.col("losses")))
+    better = ~F.isnan("cell_auc") & ~F.isnan("incumbent_auc") & (F.col("cell_auc") >= F.col("incumbent_auc"))
+    out = out.withColumns({"coverage_sig": (F.col("p") < 0.05) & (F.col("wins") > F.col("losses")), "budget_held": F.col("fires") <= F.col("budget"), "auc_not_regressed": better})
+    free = F.col("coverage_sig") & F.col("budget_held") & F.col("auc_not_regressed")
+    return out.withColumn("promote", F.lit(None).cast("boolean") if harmful_favors_incumbent is None else free & F.lit(not harmful_favors_incumbent))
+
+
+def rate_budget(fires_per_100: float, total_turns: int) -> int:
+    """How many fires a rate allows over so many turns."""
+    if total_turns <= 0 or fires_per_100 < 0:
+        raise ValueError("turns must be above 0 and the rate not below")
+    return math.floor(fires_per_100 * total_turns / 100)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from trialframe.functions.expr import seeded_number
 from trialframe.operators import bakeoff, gates, metrics
-from trialframe.operators.ranges import numbered, numeric_bucket, running
-from trialframe.plans.base import query, table
+from trialframe.operators.ranges import numbered, numeric_bucket
+from trialframe.plans.base import ORACLES, QUERIES, query, table
 
 
 def outputs(spark: SparkSession, d: str) -> DataFrame:
@@ -118,33 +118,25 @@ def threshold_for_budget(spark: SparkSession, d: str) -> DataFrame:
     return metrics.budget_threshold(x, "s", 25, ["event_type"])
 
 
-def gate_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Two scores of each vector and a truth; rows whose id is divisible by three are warranted."""
-    e = table(spark, d, "embeddings")
-    return e.select("vec_id", F.round(F.col("embedding")[0].cast("double"), 4).alias("candidate"), F.round(F.col("embedding")[1].cast("double"), 4).alias("incumbent"), (F.col("label") < 5).alias("y"), (F.col("vec_id") % 3 == 0).alias("warranted"))
-
-
 @query("""
-WITH g AS (SELECT vec_id, round(embedding[1]::DOUBLE, 4) AS c, round(embedding[2]::DOUBLE, 4) AS i, label < 5 AS y, vec_id % 3 = 0 AS w FROM embeddings),
+WITH g AS (SELECT vec_id, round(embedding[1]::DOUBLE, 4) + CASE WHEN label < 5 THEN 0.15 ELSE 0 END AS c, round(embedding[2]::DOUBLE, 4) AS i, label < 5 AS y, vec_id % 3 <> 0 AS w FROM embeddings),
 f AS (SELECT count(*) FILTER (i > 0.1) AS budget FROM g),
 k AS (SELECT c, count(*) AS n FROM g GROUP BY c), t AS (SELECT c, sum(n) OVER (ORDER BY c DESC) AS reached FROM k),
 th AS (SELECT min(c) AS thr FROM t, f WHERE reached <= budget),
-m AS (SELECT g.*, coalesce(c >= thr, false) AS cf, i > 0.1 AS inf FROM g, th),
-s AS (SELECT (SELECT budget FROM f) AS budget, count(*) FILTER (cf) AS fires, count(*) FILTER (w AND (cf = y) AND (inf <> y)) AS wins, count(*) FILTER (w AND (cf <> y) AND (inf = y)) AS losses FROM m)
-SELECT budget::BIGINT AS budget, fires, wins, losses,
-       round(CASE WHEN wins + losses = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1), lambda q: exp(lgamma(wins + losses + 1) - lgamma(q + 1) - lgamma(wins + losses - q + 1) - (wins + losses) * ln(2.0))))) END, 6) AS p
-FROM s""")
+m AS (SELECT g.*, coalesce(c >= thr, false) AS cf, i > 0.1 AS inf, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2 AS rc, rank() OVER (ORDER BY i) + (count(*) OVER (PARTITION BY i) - 1) / 2 AS ri FROM g, th),
+s AS (SELECT (SELECT budget FROM f) AS budget, count(*) FILTER (cf) AS fires, count(*) FILTER (w AND cf AND NOT inf) AS wins, count(*) FILTER (w AND inf AND NOT cf) AS losses,
+             (sum(rc) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)) AS ca,
+             (sum(ri) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)) AS ia FROM m),
+p AS (SELECT *, CASE WHEN wins + losses = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1), lambda q: exp(lgamma(wins + losses + 1) - lgamma(q + 1) - lgamma(wins + losses - q + 1) - (wins + losses) * ln(2.0))))) END AS p FROM s)
+SELECT budget::BIGINT AS budget, fires, wins, losses, round(p, 6) AS p, round(ca, 6) AS cell_auc, round(ia, 6) AS incumbent_auc, p < 0.05 AND wins > losses AS coverage_sig, fires <= budget AS budget_held, ca >= ia AS auc_not_regressed,
+       p < 0.05 AND wins > losses AND fires <= budget AND ca >= ia AS promote FROM p""")
 def corrected_gate(spark: SparkSession, d: str) -> DataFrame:
-    """The candidate fires as often as the incumbent; where only one of them is right they win or lose."""
-    g = gate_rows(spark, d)
-    budget = g.agg(F.count_if(F.col("incumbent") > 0.1).alias("budget"))
-    counts = g.groupBy(F.col("candidate").alias("s")).agg(F.count("*").alias("n"))
-    reached = running(counts, [], -numeric_bucket(counts, "s"), [F.desc("s")], {"reached": F.col("n")}).crossJoin(F.broadcast(budget))
-    thr = reached.where("reached <= budget").agg(F.min("s").alias("thr"))
-    m = g.crossJoin(F.broadcast(thr)).withColumn("fired", F.coalesce(F.col("candidate") >= F.col("thr"), F.lit(False))).withColumn("was", F.col("incumbent") > 0.1)
-    right, before = F.col("fired") == F.col("y"), F.col("was") == F.col("y")
-    s = m.agg(F.count_if("was").alias("budget"), F.count_if("fired").alias("fires"), F.count_if(F.col("warranted") & right & ~before).alias("wins"), F.count_if(F.col("warranted") & ~right & before).alias("losses"))
-    return s.withColumn("p", F.round(gates.sign_test_p(F.col("wins"), F.col("losses")), 6))
+    """The candidate fires as often as the incumbent; coverage, budget and AUC decide."""
+    e = table(spark, d, "embeddings")
+    y = F.col("label") < 5
+    g = e.select("vec_id", (F.round(F.col("embedding")[0].cast("double"), 4) + F.when(y, 0.15).otherwise(0.0)).alias("candidate"), F.round(F.col("embedding")[1].cast("double"), 4).alias("incumbent"), y.alias("y"), (F.col("vec_id") % 3 != 0).alias("warranted"))
+    out = gates.corrected_gate(g, "candidate", "incumbent", F.col("y"), F.col("warranted"), 0.1, harmful_favors_incumbent=False)
+    return out.select("budget", "fires", "wins", "losses", *[F.round(c, 6).alias(c) for c in ("p", "cell_auc", "incumbent_auc")], "coverage_sig", "budget_held", "auc_not_regressed", "promote")
 
 
 def arm_diffs(spark: SparkSession, d: str) -> DataFrame:
@@ -221,3 +213,10 @@ def judge_coin_votes(spark: SparkSession, d: str) -> DataFrame:
     o = x.select("lang", vote.alias("vote"))
     n = {k: F.count_if(F.col("vote") == v) for k, v in (("wins", "win"), ("losses", "loss"), ("ties", "tie"))}
     return o.groupBy("lang").agg(*[c.alias(k) for k, c in n.items()], F.round(n["wins"] / F.count("*"), 6).alias("win_rate"))
+
+
+@query(f"SELECT b.arm, b.rank, b.winner, b.winner AND b.arm <> 'len' AND coalesce(p.passed, false) AS passed_gate FROM ({ORACLES['bakeoff_leaderboard']}) b LEFT JOIN ({ORACLES['permutation_pvalue']}) p ON b.arm = p.arm")
+def bakeoff_gated(spark: SparkSession, d: str) -> DataFrame:
+    """The board, and whether the winner may be promoted."""
+    g = gates.permutation_gate(arm_diffs(spark, d), "item", "diff", 200, ["arm"], F.lit(0.05 / 2), 0.01)
+    return bakeoff.gated(QUERIES["bakeoff_leaderboard"](spark, d), g, "len").select("arm", "rank", "winner", "passed_gate")
