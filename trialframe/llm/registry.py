@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op3_quality_perplexity": perplexity.ORACLE,
     "op4_warc": warc.ORACLE,
     "op9_ngram_jaccard": jaccard_join.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
