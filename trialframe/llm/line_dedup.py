@@ -66,7 +66,8 @@ class Folded:
     last: np.ndarray
 
 
-def folded(buf: np.ndarray, offs: np.ndarray) -> Folded:
+def folded(buf: np.ndarray, offs: np.ndarray, hashed: bool = True) -> Folded:
+    """The folds of texts, and their windows if these are asked for."""
     starts, ends, doc = word_spans(buf, offs)
     none = np.zeros(0, np.int64)
     if not len(starts):
@@ -90,6 +91,8 @@ def folded(buf: np.ndarray, offs: np.ndarray) -> Folded:
     fold = np.cumsum(np.r_[False, stop[:-1]])
     last_word = np.flatnonzero(stop)
     first_word = np.r_[0, last_word[:-1] + 1]
+    if not hashed:
+        return Folded(buf, offs, starts, ends, line, fold, doc[first_word], np.zeros(0, np.uint64), none, none)
     h = run_hashes(span_hashes(buf, starts, ends), first_word, last_word)
     units = np.cumsum(np.maximum(size // WORD_BYTES, 1))
     reached = units[last_word]
@@ -104,9 +107,9 @@ def folded(buf: np.ndarray, offs: np.ndarray) -> Folded:
     return Folded(buf, offs, starts, ends, line, fold, fold_doc, run_hashes(h, first, last), first, last)
 
 
-def runs(texts) -> Iterator[tuple[int, int, Folded]]:
+def runs(texts, hashed: bool = True) -> Iterator[tuple[int, int, Folded]]:
     for lo, hi, buf, offs in slices(texts):
-        yield lo, hi, folded(buf, offs)
+        yield lo, hi, folded(buf, offs, hashed)
 
 
 def window_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -171,11 +174,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     def cut(t: pd.Series, later: pd.Series, again: pd.Series) -> pd.DataFrame:
         texts = [v if isinstance(v, str) else None for v in t]
         n_lines, n_removed = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
-        for lo, hi, x in runs(pa.array(texts, pa.large_string())):
-            n_lines[lo:hi] = np.bincount(x.doc, minlength=hi - lo)
-            for j in range(lo, hi):
-                if later.iloc[j] is not None and n_lines[j]:
-                    texts[j], n_removed[j] = rebuilt(x, j - lo, texts[j], np.asarray(later.iloc[j], np.int64), np.asarray(again.iloc[j], np.int64))
+        hit = later.notna().to_numpy()
+        for hashed in (False, True):  # texts that keep all their lines need no windows
+            own = np.flatnonzero(hit == hashed)
+            for lo, hi, x in runs(pa.array([texts[j] for j in own], pa.large_string()), hashed):
+                n_lines[own[lo:hi]] = np.bincount(x.doc, minlength=hi - lo)
+                for k in range(lo, hi) if hashed else ():
+                    j = own[k]
+                    if n_lines[j]:
+                        texts[j], n_removed[j] = rebuilt(x, k - lo, texts[j], np.asarray(later.iloc[j], np.int64), np.asarray(again.iloc[j], np.int64))
         return pd.DataFrame({"text": texts, "n_lines": n_lines, "n_removed": n_removed})
 
     cut = cut.asNondeterministic()  # else a filter on its result would run it a second time
@@ -198,7 +205,8 @@ ORACLE = rf"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln
   FROM documents),
-a AS (SELECT doc_id, ln, unnest(x) AS word, generate_subscripts(x, 1) AS k, len(x) AS n FROM (SELECT doc_id, ln, regexp_extract_all(line, '[^ 	-]+') AS x FROM l)),
+a AS (SELECT doc_id, ln, unnest(x) AS word, generate_subscripts(x, 1) AS k, len(x) AS n FROM (SELECT doc_id, ln, regexp_extract_all(line, '[^ 	-
+]+') AS x FROM l)),
 sums AS (
   SELECT word, (list_sum(list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(word), 2 * i + 1, 2))::BIGINT)) * 7919 + strlen(word) * 104729) % 10007 AS v,
          greatest(1, strlen(word) // {WORD_BYTES}) AS u
