@@ -109,3 +109,20 @@ def step_metrics(df: DataFrame, step: str, loss: Column, margin: Column | None =
     """(step, loss[, margin, accuracy]): means by step; with margins those of preference training too."""
     more = [] if margin is None else [F.avg(margin).alias("margin"), F.avg((margin > 0).cast("double")).alias("accuracy")]
     return df.groupBy(step).agg(F.avg(loss).alias("loss"), *more)
+
+
+#: Fixed value: rows of a data set that are rendered before it is trained on.
+PREVIEW_ROWS = 16
+
+
+def preview(examples: DataFrame, key: str, rows: int = PREVIEW_ROWS) -> DataFrame:
+    """The first rows by key, to be looked at before a run; an empty data set is refused."""
+    if examples.isEmpty():
+        raise ValueError("the data set is empty")
+    return examples.orderBy(key).limit(rows)
+
+
+def preference_example(prompt: Column, chosen: Column, rejected: Column) -> Column:
+    """Both sides of a preference as masked examples over tokens: the prompt weighs nothing, the answer all."""
+    side = lambda answer: F.struct(*[c.alias(k) for k, c in completion_mask(prompt, F.concat(prompt, answer)).items()])
+    return F.struct(side(chosen).alias("chosen"), side(rejected).alias("rejected"))

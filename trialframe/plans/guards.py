@@ -338,3 +338,26 @@ WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT la
 def short_strata(spark: SparkSession, d: str) -> DataFrame:
     """Strata that cannot give a sample of 50."""
     return split.short_strata(table(spark, d, "embeddings"), "label", 50)
+
+
+@query("SELECT conv_id, count(*)::INT AS messages, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id ORDER BY conv_id LIMIT 16")
+def dataset_preview(spark: SparkSession, d: str) -> DataFrame:
+    """The first sixteen conversations, as they would be trained on."""
+    chats = train_data.conversations(table(spark, d, "conversations"), "conv_id", "turn", "role", "text")
+    chars = F.aggregate("messages", F.lit(0).cast("long"), lambda a, m: a + F.length(m["content"]))
+    return train_data.preview(chats.select("conv_id", F.size("messages").alias("messages"), chars.alias("chars")), "conv_id")
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS answer, lead(role) OVER w AS answered FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, length(text || answer)::INT - 1 AS targets, length(answer)::DOUBLE AS chosen_weight, length(answer || '!')::DOUBLE AS rejected_weight FROM t WHERE role = 'user' AND answered = 'assistant' AND length(text) > 0""")
+def preference_masks(spark: SparkSession, d: str) -> DataFrame:
+    """A user's turn with its answer and a worse one as masked examples; characters stand for tokens."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = table(spark, d, "conversations").withColumns({"answer": F.lead("text").over(w), "answered": F.lead("role").over(w)}).where("role = 'user' and answered = 'assistant' and length(text) > 0")
+    codes = train_data.char_codes
+    x = train_data.preference_example(codes(F.col("text")), codes(F.col("answer")), codes(F.concat("answer", F.lit("!"))))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return t.withColumn("x", x).select("conv_id", "turn", F.size("x.chosen.targets").alias("targets"), total(F.col("x.chosen.weights")).alias("chosen_weight"), total(F.col("x.rejected.weights")).alias("rejected_weight"))
