@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trialframe.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, perplexity, quality_rules, toxicity, url_filter, warc
+from trialframe.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, packing, perplexity, quality_rules, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard,
     "op10_language_id": language_id.op10_language_id,
+    "op12_mixing": mixing.op12_mixing,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
@@ -23,4 +24,5 @@ ORACLES = {
     "op9_ngram_jaccard": jaccard_join.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
+    "op12_mixing": mixing.ORACLE,
 }
