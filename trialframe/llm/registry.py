@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trialframe.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, packing, perplexity, quality_rules, toxicity, url_filter, warc
+from trialframe.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, packing, perplexity, prefix_trie, quality_rules, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard,
     "op10_language_id": language_id.op10_language_id,
     "op12_mixing": mixing.op12_mixing,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
@@ -25,4 +26,5 @@ ORACLES = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
     "op12_mixing": mixing.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
