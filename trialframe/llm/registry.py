@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trialframe.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, packing, perplexity, prefix_trie, quality_rules, toxicity, url_filter, warc
+from trialframe.llm import decontaminate, divergence, jaccard_join, language_id, line_dedup, mixing, packing, perplexity, prefix_trie, quality_rules, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_ngram_jaccard": jaccard_join.op9_ngram_jaccard,
     "op10_language_id": language_id.op10_language_id,
+    "op11_source_divergence": divergence.op11_source_divergence,
     "op12_mixing": mixing.op12_mixing,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
@@ -25,6 +26,7 @@ ORACLES = {
     "op9_ngram_jaccard": jaccard_join.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op7_quality_rules": quality_rules.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
     "op12_mixing": mixing.ORACLE,
     "op13_prefix_trie": prefix_trie.ORACLE,
 }
