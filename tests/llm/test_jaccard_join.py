@@ -131,3 +131,10 @@ def test_star_edges_connect_what_shares_a_signature():
     key, own, left, right = J._star(sig, dig)
     assert key.tolist() == [5, 7, 9] and own.tolist() == [-4, 2, 6]
     assert sorted(zip(left.tolist(), right.tolist(), strict=True)) == [(3, -4), (8, 2)]
+
+
+def test_columns_of_any_name_are_carried_along(spark):
+    names = ["__gone", "component_id", "digest", "root", "n", "a.b"]
+    df = spark.createDataFrame([(k, "the very same words in every one of them", *range(6)) for k in range(3)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    assert [tuple(r) for r in J.keep_one(df).collect()] == [(0, "the very same words in every one of them", *range(6))]
+    assert J.jaccard_components(df).columns == ["doc_id", "n_shingles", "component_id"]

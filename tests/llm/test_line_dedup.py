@@ -120,3 +120,12 @@ def test_edges(spark):
     odd = spark.createDataFrame([(1, untouched)], "doc_id long, text string")
     assert L.dedup_lines(odd).first().text == untouched
 
+
+
+def test_columns_of_any_name_are_carried_along(spark):
+    t = words(random.Random(3), 40)
+    names = ["__i", "__later", "__again", "__cut", "i", "later", "again", "w", "first", "a.b"]
+    df = spark.createDataFrame([(k, t, *range(10)) for k in range(3)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    out = L.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_removed"]
+    assert sorted(tuple(r)[:-2] for r in out.collect()) == [(0, t, *range(10)), (1, "", *range(10)), (2, "", *range(10))]

@@ -31,6 +31,7 @@ is null. Extra columns do not take part. An empty table gives an empty result. V
 from __future__ import annotations
 
 import math
+import uuid
 from fractions import Fraction
 
 import numpy as np
@@ -403,9 +404,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component, the one with the smallest id; rows with a null id stay."""
     found = jaccard_components(docs, id_col, text, k, percent)
-    gone = durable(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
+    own = "g" + uuid.uuid4().hex  # no column of docs has such a name
+    gone = durable(found.where("component_id <> doc_id").select(F.col("doc_id").alias(own)).distinct())
     lost = sized_broadcast(gone, gone.count(), BROADCAST_SETS)
-    return docs.join(lost, docs[f"`{id_col}`"] == F.col("__gone"), "left_anti")
+    return docs.join(lost, F.col(f"`{id_col}`") == F.col(own), "left_anti")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ the `REACH` words before and after it in its line, the first of equals. Two copi
 `REACH` words after their beginnings on, wherever they stand. Where no word ends a fold, as in runs of one word, every
 `LONG_FOLD` words are one.
 
-A window is the hash of three consecutive folded lines, and of as many more as it takes to reach `LEAST_WORDS` words
+A window is a 64-bit hash of three consecutive folded lines, and of as many more as it takes to reach `LEAST_WORDS` words
 (a word of 24 bytes or more counts as one per 12 bytes, so that scripts without spaces are covered): passages of very
 short lines have windows too. Its first occurrence is the one in the document with the smallest id, and there the first.
 All others are later ones; the lines that any later window covers are removed. A line that loses all its parts goes with
@@ -18,12 +18,13 @@ side Spark can split. The windows to remove come back to their documents by a pl
 
 Defined results: null and empty texts, and texts of fewer than three folded lines or of fewer than ten words, stay. Rows with a null id stay and
 nothing is removed for their sake. Rows that share an id count as one document: nothing of one is removed for the
-other, unless it repeats within itself. Very long texts are handled whole. Columns other than the text stay, but for
-n_lines and n_removed, which are set.
+other, unless it repeats within itself. Very long texts are handled whole. Columns other than the text stay, whatever
+their names, but for n_lines and n_removed, which are set. Windows are told apart up to collisions of their hashes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -167,8 +168,9 @@ def rebuilt(x: Folded, d: int, text: str, later: np.ndarray, again: np.ndarray)
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with later occurrences removed from the text, and n_lines (folded lines before) and n_removed."""
-    gone = removals(docs, id_col, text)
-    gone = gone.select(F.col("i").alias("__i"), F.col("later").alias("__later"), F.col("again").alias("__again"))
+    own = "d" + uuid.uuid4().hex  # no column of docs has such a name
+    i, later_, again_, cut_ = (f"{own}_{c}" for c in ("i", "later", "again", "cut"))
+    gone = removals(docs, id_col, text).toDF(i, later_, again_)
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def cut(t: pd.Series, later: pd.Series, again: pd.Series) -> pd.DataFrame:
@@ -187,13 +189,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     cut = cut.asNondeterministic()  # else a filter on its result would run it a second time
     held = docs.drop("n_lines", "n_removed")
-    joined = held.join(gone, held[f"`{id_col}`"] == F.col("__i"), "left")
-    c = F.col("__cut")
-    return (
-        joined.withColumn("__cut", cut(F.col(f"`{text}`"), "__later", "__again"))
-        .withColumns({text: c["text"], "n_lines": c["n_lines"], "n_removed": c["n_removed"]})
-        .drop("__cut", "__i", "__later", "__again")
-    )
+    joined = held.join(gone, F.col(f"`{id_col}`") == F.col(i), "left").withColumn(cut_, cut(F.col(f"`{text}`"), later_, again_))
+    return joined.withColumns({c: F.col(cut_)[k] for c, k in ((text, "text"), ("n_lines", "n_lines"), ("n_removed", "n_removed"))}).drop(i, later_, again_, cut_)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
