@@ -33,7 +33,7 @@ PARTS = 1_000_000_000
 #: Ranks of terms that are reported for a group.
 TOP_TERMS = 200
 #: Counts held in one task before they are given to Spark, nodes of one row that one task corrects, sources of a block.
-HELD_COUNTS, SLICE, BLOCK = 500_000, 512, 1024
+HELD_COUNTS, SLICE, BLOCK = 120_000, 512, 1024
 #: Entries of rows in one tree, and pairs of nodes held before they are added up.
 TREE_ENTRIES, HELD_PAIRS = 400_000, 2_000_000
 #: Parts of a group whose first terms are found apart.
@@ -94,12 +94,12 @@ def term_counts(df: DataFrame, text: str = "text", lang: str = "lang", source: s
                     "n": np.add.reduceat(n, first), "docs": np.diff(np.r_[first, len(key)]),
                 }))
                 rows += len(first)
-            if rows > 2 * HELD_COUNTS:
-                held = [merged()]
-                rows = held[0].num_rows
-                if rows > HELD_COUNTS:
-                    yield from sent(held[0])
-                    held, rows = [], 0
+                if rows > 2 * HELD_COUNTS:
+                    held = [merged()]
+                    rows = held[0].num_rows
+                    if rows > HELD_COUNTS:
+                        yield from sent(held[0])
+                        held, rows = [], 0
         if held:
             yield from sent(merged())
         if groups:
