@@ -99,16 +99,6 @@ def test_streams_equal_their_batches(spark, tmp_path):
     assert sorted(map(tuple, journals.read_counts(spark, f"{tmp_path}/n").collect())) == sorted(map(tuple, events.groupBy("event_type").count().collect()))
 
 
-def test_quiet_alarms_as_state(spark, tmp_path):
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("user_id < 20")
-    src = f"{tmp_path}/events"
-    events.coalesce(1).write.parquet(src)
-    out = journals.quiet_alarm_stream(journals.events_stream(spark, src), "user_id", "ts", 5400)
-    out.writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
-    got = sorted((r.entity, r.gap_s) for r in spark.table("quiet").collect())
-    assert got == sorted((r.user_id, r.gap_s) for r in ledger.quiet_alarms(events, "user_id", "ts", 5400).collect())
-
-
 def test_versions_pointer_and_upserts(spark, tmp_path):
     from trialframe.sources import versions as V
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialframe.operators import ledger
+from trialframe.operators import progress as watch
 from trialframe.plans.base import query, table
 from trialframe.sources.shared import new_folder
+from trialframe.streaming import progress
 from trialframe.streaming.journals import counts_to, events_stream, read_counts, tail_to
 
 _J = """
@@ -169,9 +171,52 @@ def stream_journal_tail(spark: SparkSession, d: str) -> DataFrame:
 WITH g AS (SELECT user_id, epoch_us(ts) AS at_us, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) // 1000000 AS gap_s FROM events)
 SELECT user_id AS entity, at_us, gap_s::BIGINT AS gap_s FROM g WHERE gap_s >= 5400""")
 def stream_quiet_alarms(spark: SparkSession, d: str) -> DataFrame:
-    """The same alarms from a stream of the event files with each user's last time as state."""
-    from trialframe.streaming.journals import quiet_alarm_stream
-
-    base = new_folder(spark)
-    tail_to(quiet_alarm_stream(events_stream(spark, f"{d}/events.parquet"), "user_id", "ts", 5400), f"{base}/alarms", f"{base}/state")
-    return spark.read.schema("entity long, at_us long, gap_s long").parquet(f"{base}/alarms")
+    """The same alarms from a stream of 40 files in no order of time, by event-time timers."""
+    base, events = new_folder(spark), table(spark, d, "events").select("event_id", "ts", "user_id")
+    return streamed(spark, events, "ts", base, lambda s, delay: progress.quiet_gaps(s, "user_id", "ts", 5400, delay))
+
+
+def streamed(spark: SparkSession, rows: DataFrame, time: str, base: str, build) -> DataFrame:
+    """What build gives of rows that arrive in 40 files, whatever their times; the delay covers that disorder."""
+    rows.repartition(40, "event_id").write.parquet(f"{base}/files")
+    days = rows.agg(F.date_diff(F.max(time), F.min(time))).first()[0] or 0
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 16).parquet(f"{base}/files")
+    return progress.finished(spark, stream, lambda s: build(s, f"{days + 2} days"), time, base)
+
+
+def observations(spark: SparkSession, d: str) -> DataFrame:
+    """Events as observations of the journal and the log of each user's run: sizes that grow and shrink, inodes that change."""
+    e, missing = table(spark, d, "events"), F.col("event_type") == "error"
+    return e.select(
+        "event_id", "user_id", "ts", F.when(F.col("event_id") % 3 == 0, "journal").otherwise("log").alias("kind"),
+        F.when(missing, 0).otherwise(F.col("event_id") * 37 % 5000).alias("size"), F.when(~missing, 1).cast("long").alias("device"),
+        F.when(~missing, F.floor(F.col("event_id") / 400)).alias("inode"),
+        F.when(F.col("event_type").isin("view", "click", "purchase"), F.concat(F.lit("h"), F.floor(F.col("event_id") / 500).cast("string"))).alias("holder"),
+    )
+
+
+_WATCH = """
+WITH e AS (
+  SELECT user_id, epoch_us(ts) AS t, CASE WHEN event_id % 3 = 0 THEN 'journal' ELSE 'log' END AS kind, CASE WHEN event_type = 'error' THEN 0 ELSE event_id * 37 % 5000 END AS size,
+         CASE WHEN event_type <> 'error' THEN event_id // 400 END AS inode, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'h' || event_id // 500 END AS holder
+  FROM events),
+b AS (SELECT *, row_number() OVER f = 1 AS first, lag(size) OVER f AS old, lag(inode) OVER f AS node FROM e WINDOW f AS (PARTITION BY user_id, kind ORDER BY t, size)),
+g AS (SELECT *, first OR size > CASE WHEN inode IS NOT NULL AND inode IS DISTINCT FROM node THEN 0 ELSE old END AS grew FROM b),
+c AS (SELECT user_id, t, max(t) FILTER (grew) AS growth, max(holder) AS holder FROM g GROUP BY ALL),
+n AS (SELECT *, row_number() OVER w = 1 OR holder IS DISTINCT FROM lag(holder) OVER w AS fresh FROM c WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+s AS (SELECT *, max(growth) OVER w AS grown, max(CASE WHEN fresh THEN t END) OVER w AS since FROM n WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT user_id, t, holder IS NOT NULL AS live, (t - greatest(grown, CASE WHEN holder IS NOT NULL THEN since ELSE t END)) / 1000000 AS quiet_s FROM s)
+SELECT user_id AS run, t AS at_us, live, quiet_s, live AND quiet_s >= 7200 AS alarm FROM q"""
+_FILES = ("user_id", "kind", "ts", "size", "device", "inode", "holder", 7200)
+
+
+@query(_WATCH)
+def progress_watch(spark: SparkSession, d: str) -> DataFrame:
+    out = watch.watched(observations(spark, d), *_FILES)
+    return out.select(F.col("user_id").alias("run"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), "live", "quiet_s", "alarm")
+
+
+@query(_WATCH)
+def stream_progress_watch(spark: SparkSession, d: str) -> DataFrame:
+    """The same checks from a stream of 40 files in no order of time."""
+    return streamed(spark, observations(spark, d), "ts", new_folder(spark), lambda s, delay: progress.watch_stream(s, *_FILES, delay))

@@ -1,4 +1,4 @@
-"""Structured Streaming over journals: tails that append, counts that follow, quiet alarms as keyed state."""
+"""Structured Streaming over journals: tails that append, counts that follow, transcripts as keyed state."""
 
 from __future__ import annotations
 
@@ -49,24 +49,6 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{complete_folders(spark, path)[-1]}")
 
 
-def quiet_alarm_stream(stream: DataFrame, entity: str, time: str, seconds: int) -> DataFrame:
-    """(entity, at_us, gap_s) of events that follow the entity's last by so many seconds; state: its last time."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = []
-        for at in sorted(t for f in frames for t in f["at_us"].tolist()):
-            if last is not None and at - last >= seconds * 1_000_000:
-                rows.append((key[0], at, (at - last) // 1_000_000))
-            last = at if last is None else max(last, at)
-        state.update((last,))
-        if rows:
-            yield pd.DataFrame(rows, columns=["entity", "at_us", "gap_s"])
-
-    held = stream.select(F.col(entity).cast("long").alias("entity"), F.unix_micros(F.col(time).cast("timestamp")).alias("at_us"))
-    return held.groupBy("entity").applyInPandasWithState(step, "entity long, at_us long, gap_s long", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
 def committed_segments(stream: DataFrame, entity: str, order: str, text: str, watermark_ms: str, final: str) -> DataFrame:
     """(entity, segment, start, end, text): what each update of a growing transcript commits, from the watermark before to its own.
 
