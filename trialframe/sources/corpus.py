@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialframe.sources.lines import numbered_lines
+
 MESSAGES = "array<struct<role:string,content:string>>"
 
 
 def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """(stem, line, text) of a file or of all files of a folder; blank lines are counted, but no rows."""
-    held = spark.read.text(path, wholetext=True, pathGlobFilter=glob).select(
-        F.regexp_extract(F.col("_metadata.file_name"), "(.*)\\.[a-z]+$", 1).alias("stem"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text")
-    )
-    return held.where(F.trim("text") != "")
+    stem = F.regexp_extract("source_file", "([^/]*)\\.[a-z]+$", 1)
+    return numbered_lines(spark, path, glob, recursive=False).select(F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B"))).alias("stem"), "line", "text")
 
 
 def read_sft(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:

@@ -1,6 +1,6 @@
 """Append-only JSON-line journals as DataFrames: line order kept, four policies for lines that cannot be decoded.
 
-A journal file is written by one process and is read whole; many files are read in parallel.
+A journal file is written by one process, so its lines have an order; it is read in splits by many tasks.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialframe.sources.lines import numbered_lines
+
 #: skip_torn_tail: a bad last line is dropped, any other raises. skip_bad: every bad line is dropped.
 #: strict: any bad line raises. skip_middle: bad lines are dropped, but a bad last line raises.
 POLICIES = ("skip_torn_tail", "skip_bad", "strict", "skip_middle")
@@ -24,19 +26,16 @@ def read_journal(spark: SparkSession, path: str, schema: T.StructType | str, pol
         raise ValueError(f"policy must be one of {POLICIES}")
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     full = T.StructType([*kind.fields, T.StructField(_BAD, T.StringType())])
-    lines = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    held = lines.where(F.trim("text") != "").withColumn("r", F.from_json("text", full, {"columnNameOfCorruptRecord": _BAD}))
+    held = numbered_lines(spark, path, glob).withColumn("r", F.from_json("text", full, {"columnNameOfCorruptRecord": _BAD}))
     bad = F.col("r").isNull() | F.col(f"r.{_BAD}").isNotNull()
     out = held.withColumn("bad", bad)
     if valid is not None:
         fields = out.select("*", *[F.col(f"r.{f.name}").alias(f.name) for f in kind.fields])
         out = fields.withColumn("bad", F.col("bad") | ~F.coalesce(valid, F.lit(False))).drop(*kind.fieldNames())
-    last = out.groupBy("source_file").agg(F.max("line").alias("last_line"))
-    out = out.join(last, "source_file").withColumn("is_last", F.col("line") == F.col("last_line"))
     raises = {"skip_torn_tail": ~F.col("is_last"), "skip_bad": F.lit(False), "strict": F.lit(True), "skip_middle": F.col("is_last")}[policy]
     message = F.concat(F.lit("undecodable line "), F.col("line").cast("string"), F.lit(" of "), F.col("source_file"))
     checked = out.where(F.when(F.col("bad") & raises, F.raise_error(message).cast("boolean")).otherwise(~F.col("bad")))
-    return checked.select("source_file", "line", *[F.col(f"r.{f.name}").alias(f.name) for f in kind.fields])
+    return checked.select("source_file", F.col("line").cast("int").alias("line"), *[F.col(f"r.{f.name}").alias(f.name) for f in kind.fields])
 
 
 def append_journal(df: DataFrame, path: str) -> None:

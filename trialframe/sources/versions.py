@@ -7,12 +7,14 @@ current version. Data is written by Spark; only names and the pointer are handle
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.functions.expr import order_free_digest
 from trialframe.operators.tables import upserted
+from trialframe.sources.shared import stored
 
 NAME = re.compile(r"^v(\d{3,})-(\d{8})-([0-9a-f]{12})$")
 
@@ -42,6 +44,7 @@ def versions(spark: SparkSession, root: str) -> list[str]:
 def register(df: DataFrame, root: str, date: str) -> str:
     """Writes a new version and returns its name; its digest covers the rows, whatever their order."""
     spark = df.sparkSession
+    df = stored(df)  # computed once, for the digest and the version
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)
     # A digest per prefix first, so that no task holds all row digests.
     parts = df.select(row.alias("d")).groupBy(F.substring("d", 1, 3).alias("p")).agg(order_free_digest(F.col("d"), 64).alias("d"))
@@ -102,21 +105,25 @@ class FailureBudgetExceeded(RuntimeError):
     """More failed rows than a sink's budget allows."""
 
 
-def append_within_budget(df: DataFrame, root: str, failed: str, budget: int) -> None:
+def append_within_budget(df: DataFrame, root: str, failed: str, budget: int, batch: str | None = None) -> None:
     """Appends rows; raises once the failures of all rows there exceed the budget, as a reopened sink would.
 
-    Each append leaves the count of its own failures beside the rows, so the history is not read again.
+    Rows and their failures are one commit: a batch is a folder of its own that counts once its write has ended, and the
+    failures are those of the rows in such folders, in the narrow column `failed` alone. A batch that is written again
+    under its name, as after a crash, replaces itself.
     """
     spark = df.sparkSession
-    stored = f"{root}/rows"
-    n = F.count_if(F.coalesce(F.col(failed), F.lit(False))).alias("n")
-    df.write.mode("append").parquet(stored)
-    df.agg(n).coalesce(1).write.mode("append").parquet(f"{root}/failures")
-    total = spark.read.schema("n long").parquet(f"{root}/failures").agg(F.sum("n").alias("n")).first().n or 0
+    df.write.mode("overwrite").parquet(f"{root}/{batch or uuid.uuid4().hex}")
+    total = sink_rows(spark, root).agg(F.count_if(F.coalesce(F.col(failed), F.lit(False))).alias("n")).first().n
     if total > budget:
         raise FailureBudgetExceeded(f"{total} failures; the budget is {budget}")
 
 
+def sink_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of all complete batches of a sink."""
+    return spark.read.parquet(*[f"{root}/{b}" for b in complete_folders(spark, root)])
+
+
 def mark_phase(spark: SparkSession, root: str, phase: str, at: str) -> None:
     """Marks a phase as done; marking again does no harm."""
     spark.createDataFrame([(phase, at)], "phase string, at string").coalesce(1).write.mode("append").parquet(root)
