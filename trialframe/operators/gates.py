@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialframe.functions.expr import seeded_number
 from trialframe.operators.metrics import rank_auc
 from trialframe.operators.ranges import numeric_bucket, running
 
@@ -26,14 +29,64 @@ def sign_test_p(wins: Column, losses: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
-def permutation_sums(diffs: DataFrame, item: str, diff: str, permutations: int, by: list[str]) -> DataFrame:
-    """(by, perm, total): the sum of the differences with signs flipped by a reproducible coin per item.
+#: Coins that one digest gives, and counts of 16 bits; items that meet all draws at once.
+COINS, COUNTS, ITEMS = 256, 16, 256
+#: Chances of a Poisson count of mean 1 to be at most 0, 1, ..., in parts of 65,536; a count is how many a number reaches.
+POISSON = tuple(int(65536 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(8))
+
+
+def _digests(items: list, blocks: int) -> np.ndarray:
+    """For every item, the SHA-256 of `block|item` of each block, end to end."""
+    return np.frombuffer(b"".join(hashlib.sha256(f"{b}|{i}".encode()).digest() for i in items for b in range(blocks)), np.uint8).reshape(len(items), -1)
+
+
+def coins(items: list, draws: int) -> np.ndarray:
+    """1 or -1 for every item and draw: the bits of its digests, 1 for a bit of 0."""
+    bits = np.unpackbits(_digests(items, -(-draws // COINS)), axis=1)[:, :draws]
+    return 1.0 - 2.0 * bits
+
 
-    Rows are expanded by permutation and summed at once, so a task holds one running sum per permutation.
+def poisson_counts(items: list, draws: int) -> np.ndarray:
+    """How often each draw takes every item: Poisson counts of mean 1 from 16 bits each, as a bootstrap of rows that come
+    one by one takes them."""
+    numbers = _digests(items, -(-draws // COUNTS)).view(">u2")[:, :draws].astype(np.int64)
+    return np.searchsorted(np.array(POISSON), numbers, "right").astype(float)
+
+
+def draw_sums(df: DataFrame, item: str, value: str, draws: int, by: list[str], weights: Callable[[list, int], np.ndarray]) -> DataFrame:
+    """(by, draw, total, weight): for each draw, the sum of weights times values and of weights over all items.
+
+    A task multiplies a block of weights, items by draws, with the values of its rows, and holds one vector of sums a
+    group. So rows are read once, nothing is expanded, and what is shuffled grows with the draws and not with the rows.
+    Sums are exact where values are whole numbers.
     """
-    perms = diffs.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    sign = F.when(F.substring(F.md5(F.concat_ws("|", F.col("perm").cast("string"), F.col(item).cast("string")).cast("binary")), 1, 1) < "8", F.lit(1)).otherwise(F.lit(-1))
-    return perms.groupBy(*by, "perm").agg(F.sum(F.col(diff) * sign).alias("total"))
+    names = [f"g{j}" for j in range(len(by))]
+    held = df.select(*[F.col(c).cast("string").alias(n) for n, c in zip(names, by, strict=True)], F.col(item).cast("string").alias("item"), F.col(value).cast("double").alias("v")).where("v is not null")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            groups = list(zip(*(batch.column(j).to_pylist() for j in range(len(names))), strict=True)) if names else [()] * batch.num_rows
+            items, v = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_numpy()
+            for lo in range(0, len(items), ITEMS):
+                w = weights(items[lo : lo + ITEMS], draws)
+                own, x = groups[lo : lo + ITEMS], v[lo : lo + ITEMS]
+                for g in dict.fromkeys(own):
+                    mine = np.array([o == g for o in own])
+                    total = sums.setdefault(g, np.zeros((2, draws)))
+                    total[0] += x[mine] @ w[mine]
+                    total[1] += w[mine].sum(axis=0)
+        for g, (total, weight) in sums.items():
+            yield pa.RecordBatch.from_arrays([*[pa.array([c] * draws, pa.string()) for c in g], pa.array(np.arange(1, draws + 1)), pa.array(total), pa.array(weight)], names=[*names, "draw", "total", "weight"])
+
+    out = held.mapInArrow(fold, ", ".join([*(f"{n} string" for n in names), "draw long", "total double", "weight double"]))
+    out = out.groupBy(*names, "draw").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+    return out.select(*[F.col(n).cast(df.schema[c].dataType).alias(c) for n, c in zip(names, by, strict=True)], "draw", "total", "weight")
+
+
+def permutation_sums(diffs: DataFrame, item: str, diff: str, permutations: int, by: list[str]) -> DataFrame:
+    """(by, perm, total): the sum of the differences with signs flipped by a reproducible coin per item."""
+    return draw_sums(diffs, item, diff, permutations, by, coins).select(*by, F.col("draw").alias("perm"), "total")
 
 
 def permutation_gate(diffs: DataFrame, item: str, diff: str, permutations: int, by: list[str], alpha: Column, min_lift: float) -> DataFrame:
@@ -44,17 +97,13 @@ def permutation_gate(diffs: DataFrame, item: str, diff: str, permutations: int,
     return seen.join(p, by).withColumn("passed", (F.col("mean_diff") >= min_lift) & (F.col("p") < alpha)).drop("observed")
 
 
-def bootstrap_means(samples: DataFrame, value: str, resamples: int, by: list[str]) -> DataFrame:
-    """(by, boot, mean): means of resamples with replacement; draw i of resample b takes a reproducible position.
+def bootstrap_means(samples: DataFrame, item: str, value: str, resamples: int, by: list[str]) -> DataFrame:
+    """(by, boot, mean): means of resamples with replacement, each item counted a reproducible Poisson number of times.
 
-    samples must number each group's rows in pos from 0 and give its size in n. Draws are counted by position before
-    they meet the values, so a value is joined once per resample that has it.
+    A resample has as many rows as the sample on average, not exactly; its mean is by its own number of rows.
     """
-    draws = samples.select(*by, F.col("pos").alias("draw"), "n").withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    picked = draws.withColumn("pos", seeded_number(F.col("boot"), F.col("draw")) % F.col("n"))
-    counts = picked.groupBy(*by, "boot", "pos").agg(F.count("*").alias("__c"))
-    held = counts.join(samples.select(*by, "pos", F.col(value).cast("double").alias("__v")), [*by, "pos"])
-    return held.groupBy(*by, "boot").agg((F.sum(F.col("__c") * F.col("__v")) / F.sum("__c")).alias("mean"))
+    sums = draw_sums(samples, item, value, resamples, by, poisson_counts).where("weight > 0")
+    return sums.select(*by, F.col("draw").alias("boot"), (F.col("total") / F.col("weight")).alias("mean"))
 
 
 def intervals(means: DataFrame, by: list[str]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialframe.functions.expr import order_free_digest, seeded_key, text_digest
 from trialframe.operators.ranges import hash_bucket, numbered
+from trialframe.sources.shared import stored
 
 SEED = 1729
 
@@ -46,11 +47,29 @@ def dataset_digest(df: DataFrame, text: Column, by: list[str]) -> DataFrame:
     return parts.groupBy(*by).agg(F.sum("__n").alias("n"), order_free_digest(F.col("__d")).alias("digest"))
 
 
+#: Drawn rows that are broadcast to the table they come from.
+BROADCAST_DRAWN = 1_000_000
+
+
+def bottom_k(df: DataFrame, key: Column, stratum: str, size: int, seed: int | str) -> DataFrame:
+    """(key, stratum) of the size rows of each stratum that come first in a seeded order.
+
+    Only keys are looked at; a task hands on size rows of a stratum at most, so what is shuffled follows from the strata.
+    """
+    thin = df.select(key.alias("__key"), F.col(stratum).alias("__s")).withColumn("__k", seeded_key(seed, F.col("__key")))
+    place = F.row_number().over(Window.partitionBy("__s").orderBy("__k"))
+    return thin.withColumn("__r", place).where(F.col("__r") <= size).select("__key", "__s")
+
+
 def golden_sample(df: DataFrame, key: Column, stratum: str, size: int, seed: int = 7) -> DataFrame:
-    """size rows of each stratum by seeded order, numbered from 1 in a second one."""
-    drawn = numbered(df.withColumn("__k", seeded_key(seed, key)), [stratum], hash_bucket(F.col("__k")), [F.col("__k")], "__r").where(F.col("__r") <= size)
-    second = drawn.withColumn("__k", seeded_key(f"order{seed}", key))
-    return numbered(second, [], hash_bucket(F.col("__k")), [F.col("__k")], "number").select(*df.columns, F.col("number").cast("int").alias("number"))
+    """size rows of each stratum by seeded order, numbered from 1 in a second one; key names a row.
+
+    The other columns are fetched for the drawn keys alone.
+    """
+    second = bottom_k(df, key, stratum, size, seed).withColumn("__k", seeded_key(f"order{seed}", F.col("__key")))
+    drawn = stored(numbered(second, [], hash_bucket(F.col("__k")), [F.col("__k")], "number").select("__key", "__s", F.col("number").cast("int").alias("number")))
+    few = F.broadcast(drawn) if drawn.count() <= BROADCAST_DRAWN else drawn
+    return df.join(few, (key == F.col("__key")) & F.col(stratum).eqNullSafe(F.col("__s"))).select(*df.columns, "number")
 
 
 def short_strata(df: DataFrame, stratum: str, size: int) -> DataFrame:

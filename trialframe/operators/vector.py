@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialframe.functions.expr import cosine
 from trialframe.sources.shared import stored
 
 #: Query vectors that are broadcast at once; more are taken in blocks.
@@ -65,25 +65,91 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def mmr(pool: DataFrame, by: str, key: str, vector: str, query: str, k: int, weight: float = 0.5) -> DataFrame:
+#: Candidates of a pool that one scan brings back.
+MMR_WIDTH = 64
+
+
+def mmr(pool: DataFrame, by: str, key: str, vector: str, query: str, k: int, weight: float = 0.5, width: int = MMR_WIDTH) -> DataFrame:
     """(by, key, rank): greedy choice by weight * similarity to the query - (1 - weight) * the most to what is chosen.
 
-    Each of the k rounds is one aggregation with partial maxima over all rows; what is chosen so far, at most k rows a
-    pool, is joined by pool, broadcast where it is counted to be small. Of equal scores the smallest key is chosen.
+    Lazy: scores only fall as more is chosen. A scan scores all rows against what is chosen and brings back the best
+    `width` of each pool; the choice goes on among these as long as the best of them is above the last that came back,
+    which bounds all others. So a scan gives several picks, one at least, and the rounds are few. Pools are taken in
+    blocks whose chosen vectors fit a broadcast. Of equal scores the smallest key is chosen.
     """
-    rows = pool.select(by, key, vector, cosine(F.col(vector), F.col(query)).alias("__sim"))
-    picks = None
-    for rank in range(1, k + 1):
-        held = rows.withColumn("__score", F.lit(weight) * F.col("__sim"))
-        if picks is not None:
-            chosen = picks.groupBy(by).agg(F.collect_list(vector).alias("__chosen"), F.collect_list(key).alias("__keys"))
-            held = rows.join(F.broadcast(chosen) if picks.count() <= BROADCAST_PICKS else chosen, by).where(~F.array_contains("__keys", F.col(key)))
-            most = F.array_max(F.transform("__chosen", lambda v: cosine(F.col(vector), v)))
-            held = held.withColumn("__score", F.lit(weight) * F.col("__sim") - F.lit(1 - weight) * most)
-        last = held.groupBy(by).agg(F.min(F.struct((-F.col("__score")).alias("s"), F.col(key).alias("k"), F.col(vector).alias("v"))).alias("r"))
-        last = stored(last.select(by, F.col("r.k").alias(key), F.col("r.v").alias(vector), F.lit(rank).alias("rank")))
-        picks = last if picks is None else picks.unionByName(last)
-    return picks.select(by, key, "rank")
+    blocks = max(1, -(-pool.select(by).distinct().count() * k // BROADCAST_PICKS))
+    out = None
+    for b in range(blocks):
+        rows = pool.where(F.pmod(F.xxhash64(by), F.lit(blocks)) == b) if blocks > 1 else pool
+        picks = _mmr(rows.select(by, key, F.col(vector).alias("v"), F.col(query).alias("q")), by, key, k, weight, width)
+        out = picks if out is None else out.unionByName(picks)
+    return out
+
+
+def _mmr(rows: DataFrame, by: str, key: str, k: int, weight: float, width: int) -> DataFrame:
+    spark = rows.sparkSession
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (by, key)}
+    chosen: dict = {}
+    picks, rank_of = None, {}
+    while True:
+        held = spark.sparkContext.broadcast({p: (np.array(v), set(n)) for p, (v, n) in chosen.items() if len(n) < k} if chosen else None)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                pools, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                x, q = (unit(batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)) for c in (2, 3))
+                value, live = weight * np.einsum("ij,ij->i", x, q), np.ones(len(x), bool)
+                if held.value is not None:  # noqa: B023
+                    code: dict = {}
+                    of = np.array([code.setdefault(p, len(code)) for p in pools])
+                    for p, c in code.items():
+                        mine = np.flatnonzero(of == c)
+                        if p not in held.value:  # noqa: B023
+                            live[mine] = False
+                            continue
+                        vectors, gone = held.value[p]  # noqa: B023
+                        value[mine] -= (1 - weight) * (x[mine] @ vectors.T).max(axis=1)
+                        live[mine] &= [names[j] not in gone for j in mine]
+                use = pa.array(live)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(use) for c in range(4)), pa.array(value[live])], names=[by, key, "v", "q", "score"])
+
+        scored = rows.mapInArrow(score, f"{by} {kinds[by]}, {key} {kinds[key]}, v {rows.schema['v'].dataType.simpleString()}, q {rows.schema['q'].dataType.simpleString()}, score double")
+        place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), key))
+        best = scored.withColumn("place", place).where(F.col("place") <= width)
+        before = spark.sparkContext.broadcast(dict(rank_of))
+
+        def choose(name: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("place")
+            x, s = unit(np.stack(pdf["v"].to_numpy()).astype(float)), pdf["score"].to_numpy().copy()
+            bound, names, found = (s[-1] if len(s) == width else -np.inf), pdf[key].to_numpy(), []
+            base, most = weight * (x * unit(np.stack(pdf["q"].to_numpy()).astype(float))).sum(axis=1), None
+            most = (base - s) / (1 - weight) if weight < 1 and held.value is not None else np.full(len(s), -np.inf)  # noqa: B023
+            done = before.value.get(name[0], 0)  # noqa: B023
+            while done + len(found) < k and len(found) < len(s):
+                j = min((i for i in range(len(s)) if i not in found), key=lambda i: (-s[i], names[i]))
+                if found and s[j] <= bound:
+                    break
+                found.append(j)
+                most = np.maximum(most, x @ x[j])
+                s = base - (1 - weight) * most if weight < 1 else base
+            return pd.DataFrame({by: [name[0]] * len(found), key: names[found], "rank": np.arange(len(found)) + done + 1, "u": [x[j].tolist() for j in found]})
+
+        got = stored(best.groupBy(by).applyInPandas(choose, f"{by} {kinds[by]}, {key} {kinds[key]}, rank int, u array<double>"))
+        new = got.collect()  # at most width rows of each pool of the block
+        if not new:
+            break
+        for r in sorted(new, key=lambda r: r["rank"]):
+            v, n = chosen.setdefault(r[by], ([], []))
+            v.append(r["u"])
+            n.append(r[key])
+        rank_of = {p: len(n) for p, (_, n) in chosen.items()}
+        picks = got if picks is None else picks.unionByName(got)
+        if all(n >= k for n in rank_of.values()):
+            break
+    empty = spark.createDataFrame([], f"{by} {kinds[by]}, {key} {kinds[key]}, rank int")
+    return empty if picks is None else picks.select(by, key, "rank")
 
 
 def write_index(rows: DataFrame, path: str, key: str, digest: str, vector: str) -> None:
