@@ -23,8 +23,8 @@ def valid_cost(c: Column) -> Column:
 
 
 def money(c: Column) -> Column:
-    """Exact sums need decimals."""
-    return c.cast("decimal(18,4)")
+    """Exact sums need decimals; calls can cost millionths."""
+    return c.cast("decimal(38,12)")
 
 
 def seeded_key(*parts: Column | str | int) -> Column:

@@ -137,12 +137,41 @@ def has_form(c: Column, form: str) -> Column:
     return F.coalesce(c.rlike(FORMS[form].replace("$", "\\z")), F.lit(False))
 
 
+def shown_number(c: Column) -> Column:
+    """A number as text: the fewest digits that name it, plain from 0.0001 to below 10**16, with an exponent beyond; whole
+    ones of a double end in .0."""
+    d = c.cast("double")
+    size, tries = F.abs(d), [F.format_string(f"%.{n}e", d) for n in (14, 15, 16)]
+    short = F.coalesce(*[F.when(t.try_cast("double") == d, t) for t in tries], tries[-1])
+    plain = F.regexp_replace(F.regexp_replace(short.try_cast("decimal(38,20)").cast("string"), "0+$", ""), "\\.$", ".0")
+    odd = F.when(F.isnan(d), "nan").when(size == float("inf"), F.when(d > 0, "inf").otherwise("-inf")).when(size == 0, c.cast("string"))
+    shown = F.coalesce(odd, F.when((size >= 1e-4) & (size < 1e16), plain).otherwise(F.regexp_replace(short, "\\.?0*e", "e")))
+    return F.when(c.isNull(), None).when(F.typeof(c).isin("double", "float"), shown).otherwise(c.cast("string"))
+
+
 def history_line(unit: Column, verdict: Column, metric: Column, description: Column) -> Column:
-    """One sanitised line of an experiment's history; a unit without a metric is unscored."""
-    shown = F.coalesce(metric.cast("string"), F.lit("unscored"))
+    """One sanitised line of an experiment's history; a unit without a metric is unscored. The form is fixed."""
+    shown = F.coalesce(shown_number(metric), F.lit("unscored"))
     return sanitize_history(F.concat(F.lit("unit "), unit.cast("string"), F.lit(" ["), verdict, F.lit("] metric="), shown, F.lit(" — "), F.coalesce(description, F.lit(""))))
 
 
+def bullets(globs: Column) -> Column:
+    """A list of patterns as lines of Markdown."""
+    return F.array_join(F.transform(globs, lambda g: F.concat(F.lit("- `"), g, F.lit("`"))), "\n")
+
+
+#: The head of a history and the names of its three scores.
+HISTORY_HEAD = "## History\nPrior attempts, oldest first. A `discard` line lost to the incumbent — learn from it, do not repeat it."
+HISTORY_SCORES = ("baseline (untouched tree)", "incumbent", "best kept")
+
+
+def render_history(baseline: Column, incumbent: Column, best: Column, lines: Column) -> Column:
+    """The history that a prompt shows: what the tree, the incumbent and the best kept unit score, then the lines."""
+    values = (F.coalesce(shown_number(baseline), F.lit("unscored")), F.coalesce(shown_number(incumbent), F.lit("unscored")), F.coalesce(shown_number(best), F.lit("none")))
+    scores = [F.concat(F.lit(f"- {name}: "), v) for name, v in zip(HISTORY_SCORES, values, strict=True)]
+    return F.array_join(F.concat(F.array(F.lit(HISTORY_HEAD), *scores), lines), "\n")
+
+
 def merged_readings(readings: Column, instruction: str) -> Column:
     """A prompt that numbers several readings of one page from 1."""
     parts = F.transform(readings, lambda x, i: F.concat(F.lit("--- Reading "), (i + 1).cast("string"), F.lit(" ---\n"), x))

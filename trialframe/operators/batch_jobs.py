@@ -101,9 +101,10 @@ def admitted_batch(requests: DataFrame, custom_id: str, usd: str, max_usd: float
     """One row: requests, usd and refusal, the first reason why a batch may not be sent, else null."""
     if not (max_usd > 0 and max_usd < float("inf")):
         raise ValueError(f"max_usd must be finite and above 0, got {max_usd}")
-    twice = F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col(custom_id))))
     by_id = requests.groupBy(custom_id).agg(F.count("*").alias("n"), F.sum(usd).alias("usd"))
-    out = by_id.agg(F.sum("n").alias("requests"), F.sum("usd").alias("usd"), F.count_if(F.col("n") > 1).alias("repeated"), F.slice(twice, 1, 20).alias("ids"))
+    out = by_id.agg(F.sum("n").alias("requests"), F.sum("usd").alias("usd"), F.count_if(F.col("n") > 1).alias("repeated"))
+    first = by_id.where("n > 1").orderBy(custom_id).limit(20).agg(F.array_sort(F.collect_list(custom_id)).alias("ids"))
+    out = out.crossJoin(F.broadcast(first))  # one row each
     refusal = F.when(F.col("repeated") > 0, F.concat(F.lit("duplicate ids: "), F.array_join("ids", ", "))).when(F.col("usd") > max_usd, "over max_usd")
     return out.select("requests", "usd", refusal.alias("refusal"))
 

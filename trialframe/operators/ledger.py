@@ -102,11 +102,10 @@ def failure_reasons(df: DataFrame, entity: str, order: str, seq: str, reason: st
 
 
 def last_of(df: DataFrame, entity: str, order: str, value: str, n: int) -> DataFrame:
-    """(entity, last): the n rows with the largest order, smallest first; buckets of an entity keep n each before they meet."""
-    part = F.pmod(F.xxhash64(order), F.lit(64))
-    top = lambda c: F.reverse(F.slice(F.sort_array(c, asc=False), 1, n))
-    each = df.groupBy(entity, part.alias("__p")).agg(top(F.collect_list(F.struct(order, value))).alias("l"))
-    return each.groupBy(entity).agg(top(F.flatten(F.collect_list("l"))).alias("last"))
+    """(entity, last): the n rows with the largest order, smallest first; a task hands on n rows of an entity at most."""
+    age = F.row_number().over(Window.partitionBy(entity).orderBy(F.desc(order), F.desc(value)))
+    kept = df.select(entity, order, value, age.alias("__age")).where(F.col("__age") <= n)
+    return kept.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("last"))
 
 
 def fold_registry(df: DataFrame, entity: str, order: str, value: str) -> DataFrame:
@@ -146,6 +145,54 @@ def admitted(df: DataFrame, entity: str, order: str, cents: str, cap: int) -> Da
     return dealt.mapInArrow(fold, f"{entity} {kinds[entity]}, {order} {kinds[order]}, {cents} long, admitted boolean, running long")
 
 
+def reservations(df: DataFrame, entity: str, order: str, call: str, kind: str, usd: str, wall: str, max_usd: float | None, max_wall: float | None) -> DataFrame:
+    """(entity, order, call, kind, refusal, spent_usd, reserved_usd, spent_wall, reserved_wall): accounting under two caps.
+
+    `check` reserves a call's worst case and is refused where it is not declared, where spent, reserved and it would pass
+    the cap on money, or else the one on seconds; what is refused reserves nothing. `record` takes the reservation back
+    and adds what was spent; `release` only takes it back. Both do so once, for a call whose check was granted; a record
+    of any other call is spent afterwards, without a reservation. A cap of null never refuses, and is accounted alike.
+
+    Amounts are counted in millionths, so sums are exact. An ordered fold: rows are dealt by entity, sorted in the task and
+    streamed past its sums and its open calls; no task holds an entity.
+    """
+    for cap in (max_usd, max_wall):
+        if cap is not None and not 0 <= cap < float("inf"):
+            raise ValueError(f"a cap must be finite and not negative, got {cap}")
+    million = lambda c: F.round(F.col(c).cast("double") * 1_000_000).cast("long").alias(c)
+    rows = df.select(entity, order, call, kind, million(usd), million(wall))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    caps = [None if c is None else round(c * 1_000_000) for c in (max_usd, max_wall)]
+    sums = ("spent_usd", "reserved_usd", "spent_wall", "reserved_wall")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, spent, reserved, open_ = object(), [0, 0], [0, 0], {}
+        for b in batches:
+            why, states = [], []
+            for e, c, what, *amounts in zip(*(b.column(j).to_pylist() for j in (0, 2, 3, 4, 5)), strict=True):
+                if e != now:
+                    now, spent, reserved, open_ = e, [0, 0], [0, 0], {}
+                refusal = None
+                if what == "check":
+                    over = [cap is not None and a is not None and s + r + a > cap for cap, a, s, r in zip(caps, amounts, spent, reserved, strict=True)]
+                    refusal = "undeclared" if None in amounts else "max_usd" if over[0] else "max_wall" if over[1] else "open" if c in open_ else None
+                    if refusal is None:
+                        open_[c] = amounts
+                        reserved = [r + a for r, a in zip(reserved, amounts, strict=True)]
+                elif what in ("record", "release"):
+                    held = open_.pop(c, [0, 0])
+                    reserved = [r - h for r, h in zip(reserved, held, strict=True)]
+                    if what == "record":
+                        spent = [s + (a or 0) for s, a in zip(spent, amounts, strict=True)]
+                why.append(refusal)
+                states.append((spent[0], reserved[0], spent[1], reserved[1]))
+            state = [pa.array([s[j] / 1_000_000 for s in states], pa.float64()) for j in range(4)]
+            yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(4)), pa.array(why, pa.string()), *state], names=[entity, order, call, kind, "refusal", *sums])
+
+    dealt = rows.repartition(entity).sortWithinPartitions(entity, order)
+    return dealt.mapInArrow(fold, ", ".join([*(f"{c} {kinds[c]}" for c in (entity, order, call, kind)), "refusal string", *(f"{c} double" for c in sums)]))
+
+
 def quiet_alarms(df: DataFrame, entity: str, time: str, seconds: int) -> DataFrame:
     """Rows that follow the one before them in their entity by at least so many seconds."""
     w = Window.partitionBy(entity).orderBy(time, *[c for c in ("event_id",) if c in df.columns])

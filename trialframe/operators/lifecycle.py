@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from trialframe.functions.codec import canonical_json, json_objects
 from trialframe.functions.expr import finite, seeded_key, text_digest
 
+#: Events that mean that a number's launch has begun.
+LAUNCHED_EVENTS = ("reserved", "started", "completed", "aborted", "infra_aborted", "preflight_failed")
+
 # ---------------------------------------------------------------- decisions over keyed rows
 
 
@@ -17,11 +20,16 @@ def latest_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def approved_specs(ledger: DataFrame, files: DataFrame, seq: str, order: str, digest: str) -> DataFrame:
-    """(seq, state): what the last approval or pending row says, and whether the file still has the approved digest."""
-    rows = ledger.where(F.col("event").isin("approved", "pending"))
-    last = latest_per_key(rows.select(seq, order, "event", digest), [seq], order)
-    held = last.join(files.select(seq, F.col(digest).alias("file_digest")), seq, "left")
-    state = F.when(F.col("event") == "pending", "pending").when(F.col("file_digest").isNull(), "missing").when(F.col("file_digest") == F.col(digest), "verified").otherwise("altered")
+    """(seq, state) of every number that was queued: launched if its launch has begun ever, so it may not run again;
+    pending without an approval; else by the last approval, whose digest the file must still have.
+    """
+    approved = F.col("event") == "approved"
+    rows = ledger.where(F.col("event").isin("approved", "pending", *LAUNCHED_EVENTS)).groupBy(seq).agg(
+        F.bool_or(F.col("event").isin(*LAUNCHED_EVENTS)).alias("begun"), F.bool_or(approved).alias("ok"), F.bool_or(F.col("event") == "pending").alias("asked"),
+        F.max_by(F.when(approved, F.col(digest)), F.when(approved, F.col(order))).alias("held"),
+    ).where("ok or asked")
+    held = rows.join(files.select(seq, F.col(digest).alias("file_digest")), seq, "left")
+    state = F.when(F.col("begun"), "launched").when(~F.col("ok"), "pending").when(F.col("file_digest").isNull(), "missing").when(F.col("file_digest") == F.col("held"), "verified").otherwise("altered")
     return held.select(seq, state.alias("state"))
 
 

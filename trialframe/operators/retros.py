@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialframe.functions.text import sanitize_history
+from trialframe.functions.text import sanitize_history, shown_number
 from trialframe.operators.ledger import journal_report
 from trialframe.operators.lifecycle import metric_summary
 
@@ -83,13 +83,13 @@ def described_change(changes: DataFrame, by: str, label: str, path: str, metric_
     """(by, description): who edited which files, sorted, and the metric they reported, if any."""
     out = changes.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(path)), ", ").alias("f"), F.max(label).alias("l"), F.max(reported).alias("m"))
     files = F.when(F.col("f") == "", "no files").otherwise(F.col("f"))
-    tail = F.when(F.col("m").isNull(), "").otherwise(F.concat(F.lit(f" (reported {metric_key}="), F.col("m").cast("string"), F.lit(")")))
+    tail = F.when(F.col("m").isNull(), "").otherwise(F.concat(F.lit(f" (reported {metric_key}="), shown_number(F.col("m")), F.lit(")")))
     return out.select(by, F.concat("l", F.lit(" edited "), files, tail).alias("description"))
 
 
 def rendered_retro(r: Column) -> Column:
     """The heading of a retrospective (as `from_record` gives it): its metrics, or that the incumbent stands."""
-    kept = F.concat(F.lit(" (baseline "), r["baseline"].cast("string"), F.lit(" -> best "), r["best_metric"].cast("string"), F.lit(", uplift "), r["uplift"].cast("string"), F.lit(")"))
+    kept = F.concat(F.lit(" (baseline "), shown_number(r["baseline"]), F.lit(" -> best "), shown_number(r["best_metric"]), F.lit(", uplift "), shown_number(r["uplift"]), F.lit(")"))
     return F.concat(r["experiment"], F.lit(": "), r["outcome"], F.when(r["kept"], kept).otherwise(" (no candidate kept; incumbent baseline stands)"))
 
 

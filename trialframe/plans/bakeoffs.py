@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.functions.expr import seeded_number
-from trialframe.operators import bakeoff, gates, metrics
-from trialframe.operators.ranges import numbered, numeric_bucket
+from trialframe.operators import bakeoff, gates, judging, lifecycle, metrics
 from trialframe.plans.base import ORACLES, QUERIES, query, table
 
 
@@ -27,6 +26,9 @@ def outputs(spark: SparkSession, d: str) -> DataFrame:
     return items.select(F.col("doc_id").alias("item"), F.explode(F.array(*rows)).alias("c")).where("c is not null").select("item", "c.*")
 
 
+#: Permutations and resamples of the gates.
+DRAWS = 10_000
+
 _OUT = """
 items AS (SELECT l.doc_id, quality, toxic, lang, n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
 preds AS (
@@ -150,28 +152,29 @@ def arm_diffs(spark: SparkSession, d: str) -> DataFrame:
 WITH {_OUT},
 dif AS (SELECT a.arm, a.item, (a.vnum - b.vnum)::INT AS diff FROM outp a JOIN outp b ON a.item = b.item AND a.field = 'exact' AND b.field = 'exact' AND b.arm = 'len' WHERE a.arm <> 'len'),
 o AS (SELECT arm, sum(diff) AS observed, count(*) AS n, avg(diff) AS mean_diff FROM dif GROUP BY arm),
-f AS (SELECT arm, perm, sum(CASE WHEN substr(md5(perm || '|' || item), 1, 1) < '8' THEN diff ELSE -diff END) AS total FROM dif, range(1, 201) t(perm) GROUP BY ALL),
-p AS (SELECT f.arm, (count(*) FILTER (total >= observed) + 1) / 201 AS p FROM f JOIN o ON f.arm = o.arm GROUP BY f.arm)
+c AS (SELECT item, block * 64 + k AS digit, ('0x' || substr(sha256(block || '|' || item), k + 1, 1))::INT AS bits FROM (SELECT DISTINCT item FROM dif), range(0, {-(-DRAWS // 256)}) t(block), range(0, 64) u(k)),
+s AS (SELECT arm, digit, bits, sum(diff) AS diff FROM dif JOIN c USING (item) GROUP BY ALL),
+f AS (SELECT arm, 4 * digit + j AS perm, sum(CASE WHEN (bits >> (3 - j)) & 1 = 0 THEN diff ELSE -diff END) AS total FROM s, range(0, 4) v(j) WHERE 4 * digit + j < {DRAWS} GROUP BY ALL),
+p AS (SELECT f.arm, (count(*) FILTER (total >= observed) + 1) / {DRAWS + 1} AS p FROM f JOIN o ON f.arm = o.arm GROUP BY f.arm)
 SELECT o.arm, n, round(mean_diff, 6) AS mean_diff, round(p, 6) AS p, mean_diff >= 0.01 AND p < 0.025 AS passed FROM o JOIN p ON o.arm = p.arm""")
 def permutation_pvalue(spark: SparkSession, d: str) -> DataFrame:
-    out = gates.permutation_gate(arm_diffs(spark, d), "item", "diff", 200, ["arm"], F.lit(0.05 / 2), 0.01)
+    out = gates.permutation_gate(arm_diffs(spark, d), "item", "diff", DRAWS, ["arm"], F.lit(0.05 / 2), 0.01)
     return out.select("arm", "n", F.round("mean_diff", 6).alias("mean_diff"), F.round("p", 6).alias("p"), "passed")
 
 
 @query(f"""
 WITH {_OUT},
-s AS (SELECT arm, vnum, row_number() OVER (PARTITION BY arm ORDER BY item) - 1 AS pos, count(*) OVER (PARTITION BY arm) AS n FROM outp WHERE field = 'exact'),
-b AS (SELECT s.arm, boot, (('0x' || substr(md5(boot || '|' || pos), 1, 8))::BIGINT % n) AS at FROM s, range(1, 101) t(boot)),
-m AS (SELECT b.arm, boot, avg(vnum) AS mean FROM b JOIN s ON s.arm = b.arm AND s.pos = b.at GROUP BY ALL),
+s AS (SELECT arm, item, vnum FROM outp WHERE field = 'exact'),
+c AS (SELECT item, block * 16 + k AS boot, ('0x' || substr(sha256(block || '|' || item), 4 * k + 1, 4))::INT AS number FROM (SELECT DISTINCT item FROM s), range(0, {-(-DRAWS // 16)}) t(block), range(0, 16) u(k)),
+w AS (SELECT item, boot, {" + ".join(f"(number >= {p})::INT" for p in gates.POISSON)} AS n FROM c WHERE boot < {DRAWS}),
+m AS (SELECT arm, boot, sum(n * vnum) / sum(n) AS mean FROM w JOIN s USING (item) WHERE n > 0 GROUP BY ALL),
 q AS (SELECT arm, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY arm),
 a AS (SELECT arm, avg(mean) AS mean FROM m GROUP BY arm)
 SELECT q.arm, round(q.low, 6) AS low, round(q.high, 6) AS high, q.low > i.high AND a.mean - ia.mean > 0.01 AS promote
 FROM q JOIN a ON q.arm = a.arm, (SELECT * FROM q WHERE arm = 'len') i, (SELECT * FROM a WHERE arm = 'len') ia""")
 def bootstrap_gate(spark: SparkSession, d: str) -> DataFrame:
     out = outputs(spark, d).where("field = 'exact'")
-    placed = numbered(out.select("arm", "item", "vnum"), ["arm"], numeric_bucket(out, "item"), [F.col("item")], "pos")
-    s = placed.join(out.groupBy("arm").agg(F.count("*").alias("n")), "arm").select("arm", "vnum", (F.col("pos") - 1).alias("pos"), "n")
-    q = gates.intervals(gates.bootstrap_means(s, "vnum", 100, ["arm"]), ["arm"])
+    q = gates.intervals(gates.bootstrap_means(out, "item", "vnum", DRAWS, ["arm"]), ["arm"])
     return gates.bootstrap_verdicts(q, "arm", "len", "max", 0.01).select("arm", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "promote")
 
 
@@ -215,8 +218,42 @@ def judge_coin_votes(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("lang").agg(*[c.alias(k) for k, c in n.items()], F.round(n["wins"] / F.count("*"), 6).alias("win_rate"))
 
 
+_STUB = "CASE WHEN {0} = 'j3' OR length({1}) > length({2}) THEN 'a' WHEN length({1}) < length({2}) THEN 'b' ELSE 'tie' END"
+
+
+@query(f"""
+WITH x AS (SELECT doc_id, 'j' || doc_id % 7 AS judge, text AS candidate, substr(text, 1, 400) AS reference, ('0x' || right(sha256(doc_id || '|11'), 1))::INT % 2 = 0 AS first, doc_id % 3 AS cached FROM documents),
+v AS (SELECT *, {_STUB.format("judge", "CASE WHEN first THEN candidate ELSE reference END", "CASE WHEN first THEN reference ELSE candidate END")} AS preferred FROM x),
+w AS (SELECT *, CASE WHEN preferred = 'tie' THEN 'tie' WHEN (preferred = 'a') = first THEN 'win' ELSE 'loss' END AS vote FROM v),
+n AS (SELECT judge, count(*) * 0.25 > 10 AS over FROM w WHERE cached <> 0 AND judge = 'j5' GROUP BY judge),
+r AS (SELECT w.*, CASE judge WHEN 'j1' THEN 'same family' WHEN 'j2' THEN 'golden gate' WHEN 'j3' THEN 'garbage' WHEN 'j4' THEN 'no controls' WHEN 'j6' THEN 'unknown judge' END AS why, coalesce(over, false) AND cached <> 0 AS unpaid FROM w LEFT JOIN n USING (judge))
+SELECT doc_id AS row_id, judge, CASE WHEN why IS NOT NULL OR unpaid THEN NULL WHEN cached = 0 THEN 'tie' ELSE vote END AS vote,
+       CASE WHEN why IS NOT NULL OR unpaid THEN NULL WHEN cached = 0 THEN 'cache' ELSE 'bought' END AS origin, coalesce(why, CASE WHEN unpaid THEN 'spend' END) AS refusal FROM r""")
+def judged_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Texts against their beginnings before seven judges: one clears, the others fail at one stage each.
+
+    The judge's model is a stub that prefers what is longer; that of j3 has gone wrong and always names slot a.
+    """
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.concat(F.lit("j"), (F.col("doc_id") % 7).cast("string")).alias("judge"), F.col("text").alias("candidate"), F.substring("text", 1, 400).alias("reference"))
+    families = {"j0": "a", "j1": "g", "j2": "a", "j3": "a", "j4": "a", "j5": "a"}
+    judges = spark.createDataFrame([(j, f, "p", f"m{j}", "s", 10.0 if j == "j5" else None) for j, f in families.items()], "judge string, family string, provider string, model string, verdict_schema string, max_usd double")
+    golden = spark.createDataFrame([(j, j != "j2") for j in families], "judge string, green boolean")
+    told = x.where(F.col("judge") != "j4").select("judge", F.col("row_id").cast("string").alias("row_id"), "candidate")
+    controls = told.select("judge", "row_id", F.lit("paraphrase").alias("kind"), F.reverse("candidate").alias("candidate"), F.col("candidate").alias("reference"))
+    controls = controls.unionByName(told.select("judge", "row_id", F.lit("garbage").alias("kind"), F.lit("").alias("candidate"), F.concat("candidate", F.lit(".")).alias("reference")))
+
+    def ask(q: DataFrame) -> DataFrame:
+        longer = F.length("slot_a") - F.length("slot_b")
+        return q.withColumn("preferred", F.when((F.col("judge") == "j3") | (longer > 0), "a").when(longer < 0, "b").otherwise("tie"))
+
+    key = lambda digest: lifecycle.vote_key(F.lit("p"), F.concat(F.lit("m"), "judge"), F.lit("s"), F.lit("v1"), F.lit(digest), F.col("row_id"), F.col("candidate"), F.col("reference"), F.lit(11))
+    cache = x.where("row_id % 3 = 0").select(key("d1").alias("key"), F.lit("tie").alias("vote")).unionByName(x.where("row_id % 3 = 1").select(key("d0").alias("key"), F.lit("win").alias("vote")))
+    cleared = judging.clearances(judges, controls, golden, ask, "g", 11)
+    return judging.judged(x, cleared, cache, ask, ("v1", "d1"), 11, 0.25).select("row_id", "judge", "vote", "origin", "refusal")
+
+
 @query(f"SELECT b.arm, b.rank, b.winner, b.winner AND b.arm <> 'len' AND coalesce(p.passed, false) AS passed_gate FROM ({ORACLES['bakeoff_leaderboard']}) b LEFT JOIN ({ORACLES['permutation_pvalue']}) p ON b.arm = p.arm")
 def bakeoff_gated(spark: SparkSession, d: str) -> DataFrame:
     """The board, and whether the winner may be promoted."""
-    g = gates.permutation_gate(arm_diffs(spark, d), "item", "diff", 200, ["arm"], F.lit(0.05 / 2), 0.01)
+    g = gates.permutation_gate(arm_diffs(spark, d), "item", "diff", DRAWS, ["arm"], F.lit(0.05 / 2), 0.01)
     return bakeoff.gated(QUERIES["bakeoff_leaderboard"](spark, d), g, "len").select("arm", "rank", "winner", "passed_gate")

@@ -81,6 +81,26 @@ def history_lines(spark: SparkSession, d: str) -> DataFrame:
     return journal(spark, d).select("user_id", "unit", T.history_line(F.col("unit"), F.col("verdict"), F.col("metric"), said).alias("line"))
 
 
+_HEAD = T.HISTORY_HEAD.replace("'", "''")
+
+
+@query(f"""
+WITH {_J}, m AS (SELECT *, CASE WHEN metric IS NOT NULL THEN metric / 1000000 END AS x FROM v),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY unit DESC) AS age FROM m),
+b AS (SELECT user_id, max(x) FILTER (unit = 0) AS baseline, max(x) FILTER (verdict = 'keep') AS best FROM m GROUP BY user_id),
+l AS (SELECT user_id, string_agg('unit ' || unit || ' [' || verdict || '] metric=' || coalesce(x::VARCHAR, 'unscored') || ' — event ' || event_id, chr(10) ORDER BY unit) AS lines FROM n WHERE age <= 10 GROUP BY user_id)
+SELECT b.user_id, '{_HEAD}' || chr(10) || '- baseline (untouched tree): ' || coalesce(baseline::VARCHAR, 'unscored') || chr(10) || '- incumbent: ' || coalesce(best::VARCHAR, 'unscored') || chr(10)
+       || '- best kept: ' || coalesce(best::VARCHAR, 'none') || chr(10) || lines AS history FROM b JOIN l ON b.user_id = l.user_id""")
+def rendered_histories(spark: SparkSession, d: str) -> DataFrame:
+    """What each experiment's next prompt is told: three scores, then the last ten units, oldest first; scores are small."""
+    j = journal(spark, d).withColumn("metric", F.col("metric") / 1_000_000)
+    scores = j.groupBy("user_id").agg(F.max(F.when(F.col("unit") == 0, F.col("metric"))).alias("baseline"), F.max(F.when(F.col("verdict") == "keep", F.col("metric"))).alias("best"))
+    line = T.history_line(F.col("unit"), F.col("verdict"), F.col("metric"), F.concat(F.lit("event "), F.col("event_id").cast("string")))
+    last = ledger.last_of(j.select("user_id", "unit", line.alias("line")), "user_id", "unit", "line", 10)
+    held = scores.join(last, "user_id")
+    return held.select("user_id", T.render_history(F.col("baseline"), F.col("best"), F.col("best"), F.transform("last", lambda x: x["line"])).alias("history"))
+
+
 @query("""
 SELECT n_nationkey, 'param:size=' || n_regionkey || ',pkg:' || lower(n_name) || '=' || length(n_name) || CASE WHEN n_nationkey % 2 = 0 THEN ',pkg:size=1' ELSE '' END AS fingerprint FROM nation""")
 def service_fingerprints(spark: SparkSession, d: str) -> DataFrame:
@@ -106,12 +126,11 @@ def document_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH x AS (SELECT l_orderkey, CASE WHEN l_orderkey % 5 <> 0 THEN 'src/' || l_suppkey END AS path, l_quantity AS q FROM lineitem WHERE l_orderkey % 10 = 0 OR l_orderkey % 7 = 0)
-SELECT l_orderkey, 'agent ' || (l_orderkey % 3) || ' edited ' || coalesce(string_agg(path, ', ' ORDER BY path), 'no files') || CASE WHEN l_orderkey % 2 = 0 THEN ' (reported loss=' || max(q::INT) || ')' ELSE '' END AS description FROM x GROUP BY l_orderkey""")
+WITH x AS (SELECT l_orderkey, CASE WHEN l_orderkey % 5 <> 0 THEN 'src/' || l_suppkey END AS path, l_extendedprice / 1000000000 AS q FROM lineitem)
+SELECT l_orderkey, 'agent ' || (l_orderkey % 3) || ' edited ' || coalesce(string_agg(path, ', ' ORDER BY path), 'no files') || CASE WHEN l_orderkey % 2 = 0 THEN ' (reported loss=' || max(q) || ')' ELSE '' END AS description FROM x GROUP BY l_orderkey""")
 def described_changes(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("l_orderkey")
-    x = table(spark, d, "lineitem").where(k % 10 == 0).unionByName(table(spark, d, "lineitem").where((k % 10 != 0) & (k % 7 == 0)))
-    rows = x.select("l_orderkey", F.concat(F.lit("agent "), (k % 3).cast("string")).alias("label"), F.when(k % 5 != 0, F.concat(F.lit("src/"), F.col("l_suppkey").cast("string"))).alias("path"), F.when(k % 2 == 0, F.col("l_quantity").cast("int")).alias("reported"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("agent "), (k % 3).cast("string")).alias("label"), F.when(k % 5 != 0, F.concat(F.lit("src/"), F.col("l_suppkey").cast("string"))).alias("path"), F.when(k % 2 == 0, F.col("l_extendedprice") / 1_000_000_000).alias("reported"))
     return retros.described_change(rows, "l_orderkey", "label", "path", "loss", "reported")
 
 

@@ -103,11 +103,12 @@ def request_usd(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_BODY}, {_TOKENS}, u AS (SELECT conv_id::VARCHAR AS id, count(*) AS n, sum(input_tokens * CASE model WHEN 'small' THEN 0.15 ELSE 3 END + output_tokens * CASE model WHEN 'small' THEN 0.6 ELSE 15 END) AS c FROM t WHERE turn < 1 OR conv_id % 50 = 0 GROUP BY ALL)
+WITH {_BODY}, {_TOKENS}, u AS (SELECT conv_id || '-' || CASE WHEN conv_id % 50 = 0 THEN 0 ELSE turn END AS id, count(*) AS n, sum(input_tokens * CASE model WHEN 'small' THEN 0.15 ELSE 3 END + output_tokens * CASE model WHEN 'small' THEN 0.6 ELSE 15 END) AS c FROM t GROUP BY ALL)
 SELECT sum(n)::BIGINT AS requests, round(sum(c)::DOUBLE / 1000000 * 0.5, 6) AS usd, CASE WHEN count(*) FILTER (n > 1) > 0 THEN 'duplicate ids: ' || (SELECT string_agg(id, ', ' ORDER BY id) FROM (SELECT id FROM u WHERE n > 1 ORDER BY id LIMIT 20)) END AS refusal FROM u""")
 def batch_admission(spark: SparkSession, d: str) -> DataFrame:
     """May the batch be sent? Ids that occur twice refuse it."""
-    r = request_usd(spark, d).where("turn < 1 or conv_id % 50 = 0").withColumn("id", F.col("conv_id").cast("string"))
+    turn = F.when(F.col("conv_id") % 50 == 0, 0).otherwise(F.col("turn"))
+    r = request_usd(spark, d).withColumn("id", F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string")))
     out = batch_jobs.admitted_batch(r, "id", "usd", 1e9)
     return out.select("requests", F.round(F.col("usd").cast("double"), 6).alias("usd"), "refusal")
 
@@ -304,32 +305,32 @@ def retros_missing(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH r AS (SELECT s_suppkey AS run, CASE WHEN s_suppkey % 4 = 0 THEN 'live' WHEN s_suppkey % 7 = 0 THEN 'unknown' ELSE 'dead' END AS state FROM supplier),
-t AS (SELECT l_suppkey AS run FROM lineitem WHERE l_quantity > 48 UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+t AS (SELECT CASE WHEN l_quantity > 48 THEN l_suppkey ELSE -l_suppkey END AS run FROM lineitem UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
 SELECT run, CASE WHEN state <> 'dead' THEN state WHEN run IN (SELECT run FROM t) THEN 'accounted' ELSE 'latched' END AS resolution FROM r""")
 def orphan_scan(spark: SparkSession, d: str) -> DataFrame:
     """Runs that have not ended: still live, unknown, dead with their spend recorded, or to be latched."""
     k = F.col("s_suppkey")
     r = table(spark, d, "supplier").select(k.alias("run"), F.when(k % 4 == 0, "live").when(k % 7 == 0, "unknown").otherwise("dead").alias("state"))
-    told = retros.spend_recorded(r, table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_suppkey").alias("run")), table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("run")), "run")
+    told = retros.spend_recorded(r, table(spark, d, "lineitem").select(F.when(F.col("l_quantity") > 48, F.col("l_suppkey")).otherwise(-F.col("l_suppkey")).alias("run")), table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("run")), "run")
     return retros.orphan_scan(r, told, "run")
 
 
 @query("""
-WITH x AS (SELECT CASE WHEN p_partkey % 6 = 0 THEN 'draft-' ELSE lpad((p_partkey % 40)::VARCHAR, 3, '0') || '-' END || p_brand AS name FROM part WHERE p_partkey % 40 < 10 OR p_partkey < 40),
+WITH x AS (SELECT CASE WHEN p_partkey % 6 = 0 THEN 'draft-' ELSE lpad((CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 40 ELSE p_partkey END)::VARCHAR, 7, '0') || '-' END || p_brand AS name FROM part),
 s AS (SELECT regexp_extract(name, '^([0-9]+)-', 1) AS q, name FROM x)
 SELECT q::INT AS seq, CASE WHEN count(*) = 1 THEN min(name) END AS name, CASE WHEN count(*) = 1 THEN 'pending' ELSE 'ambiguous' END AS state FROM s WHERE q <> '' GROUP BY q""")
 def pending_specs(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    name = F.concat(F.when(k % 6 == 0, "draft-").otherwise(F.concat(F.lpad((k % 40).cast("string"), 3, "0"), F.lit("-"))), "p_brand")
-    return retros.pending_specs(table(spark, d, "part").where("p_partkey % 40 < 10 or p_partkey < 40").select(name.alias("name")), "name")
+    name = F.concat(F.when(k % 6 == 0, "draft-").otherwise(F.concat(F.lpad(F.when(k % 3 == 0, k % 40).otherwise(k).cast("string"), 7, "0"), F.lit("-"))), "p_brand")
+    return retros.pending_specs(table(spark, d, "part").select(name.alias("name")), "name")
 
 
 @query("""
-WITH a AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49), b AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 49)
+WITH a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'A')
 SELECT k, 'left' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'right' FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def key_set_differences(spark: SparkSession, d: str) -> DataFrame:
     """Keys of a panel and of labels that only one side has."""
-    li = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("k"), "l_returnflag")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_returnflag")
     return guards.key_differences(li.where("l_returnflag = 'R'"), li.where("l_returnflag = 'A'"), "k")
 
 

@@ -58,7 +58,7 @@ _EVENT = {
 }
 _SQL_EVENT = " ".join(f"WHEN '{k}' THEN {list(v)}[event_id % {len(v)} + 1]" for k, v in _EVENT.items())
 _L = f"""
-l AS (SELECT user_id % 10 AS campaign, event_id // 7 AS seq, event_id AS line, value AS usd, event_type AS reason,
+l AS (SELECT user_id % 10 AS campaign, event_id // 7 AS seq, event_id AS line, value / 1000000 AS usd, event_type AS reason,
              CASE event_type {_SQL_EVENT} END AS event FROM events)"""
 _IN = {k: "(" + ", ".join(f"'{e}'" for e in v) + ")" for k, v in (("terminal", ledger.TERMINAL_EVENTS), ("failed", ledger.FAILED_EVENTS), ("ran", ledger.RUN_EVENTS), ("told", (*ledger.FAILED_EVENTS, "aborted")))}
 
@@ -69,7 +69,7 @@ def ledger_rows(spark: SparkSession, d: str) -> DataFrame:
     for k, v in _EVENT.items():
         event = F.when(F.col("event_type") == k, F.get(F.array(*map(F.lit, v)), F.pmod(F.col("event_id"), F.lit(len(v))).cast("int"))).otherwise(event)
     return table(spark, d, "events").select(
-        (F.col("user_id") % 10).alias("campaign"), F.floor(F.col("event_id") / 7).alias("seq"), F.col("event_id").alias("line"), F.col("value").alias("usd"), F.col("event_type").alias("reason"), event.alias("event")
+        (F.col("user_id") % 10).alias("campaign"), F.floor(F.col("event_id") / 7).alias("seq"), F.col("event_id").alias("line"), (F.col("value") / 1_000_000).alias("usd"), F.col("event_type").alias("reason"), event.alias("event")
     )
 
 
@@ -85,8 +85,8 @@ def ledger_open_reservations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {_L}, {_OPEN},
-s AS (SELECT campaign, sum(usd::DECIMAL(18,4)) AS spent FROM l WHERE event IN {_IN['terminal']} GROUP BY campaign),
-r AS (SELECT campaign, sum(usd::DECIMAL(18,4)) AS reserved FROM u GROUP BY campaign)
+s AS (SELECT campaign, sum(usd::DECIMAL(38,12)) AS spent FROM l WHERE event IN {_IN['terminal']} GROUP BY campaign),
+r AS (SELECT campaign, sum(usd::DECIMAL(38,12)) AS reserved FROM u GROUP BY campaign)
 SELECT c.campaign, coalesce(spent, 0)::DOUBLE AS spent, coalesce(reserved, 0)::DOUBLE AS reserved, (coalesce(spent, 0) + coalesce(reserved, 0))::DOUBLE AS total
 FROM (SELECT DISTINCT campaign FROM l) c LEFT JOIN s ON s.campaign = c.campaign LEFT JOIN r ON r.campaign = c.campaign""")
 def ledger_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -159,6 +159,30 @@ def spend_admission(spark: SparkSession, d: str) -> DataFrame:
     return ledger.admitted(e, "user_id", "event_id", "cents", 5000)
 
 
+@query("""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, event_id // 3 AS call, CASE WHEN event_id % 3 = 0 OR event_type IN ('signup', 'view') THEN 'check' WHEN event_type = 'error' THEN 'release' ELSE 'record' END AS kind,
+         CASE WHEN event_type <> 'signup' OR event_id % 7 > 1 THEN round(value * 1000000)::BIGINT END AS usd, (event_id % 50 * 1000000)::BIGINT AS wall, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (
+  SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, NULL::BIGINT AS call, NULL::VARCHAR AS kind, NULL::VARCHAR AS refusal, 0::BIGINT AS su, 0::BIGINT AS ru, 0::BIGINT AS sw, 0::BIGINT AS rw, MAP {}::MAP(BIGINT, BIGINT[]) AS o
+  FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT user_id, k, event_id, call, kind, refusal, su + CASE WHEN kind = 'record' THEN coalesce(usd, 0) ELSE 0 END,
+         ru + CASE WHEN kind = 'check' THEN CASE WHEN refusal IS NULL THEN usd ELSE 0 END ELSE -coalesce(o[call][1], 0) END, sw + CASE WHEN kind = 'record' THEN wall ELSE 0 END,
+         rw + CASE WHEN kind = 'check' THEN CASE WHEN refusal IS NULL THEN wall ELSE 0 END ELSE -coalesce(o[call][2], 0) END,
+         CASE WHEN kind = 'check' THEN CASE WHEN refusal IS NULL THEN map_concat(o, MAP {call: [usd, wall]}) ELSE o END ELSE map_from_entries(list_filter(map_entries(o), lambda x: x.key <> call)) END
+  FROM (SELECT e.*, f.su, f.ru, f.sw, f.rw, f.o, CASE WHEN e.kind = 'check' THEN CASE WHEN e.usd IS NULL THEN 'undeclared' WHEN su + ru + e.usd > 400000000 THEN 'max_usd' WHEN sw + rw + e.wall > 900000000 THEN 'max_wall' WHEN o[e.call] IS NOT NULL THEN 'open' END END AS refusal
+        FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1))
+SELECT user_id, event_id, call, kind, refusal, su / 1000000 AS spent_usd, ru / 1000000 AS reserved_usd, sw / 1000000 AS spent_wall, rw / 1000000 AS reserved_wall FROM f WHERE k > 0""")
+def reserved_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Events as checks, records and releases of calls under caps of 400 and 900 seconds a user."""
+    e, k = table(spark, d, "events"), F.col("event_id")
+    kind = F.when((k % 3 == 0) | F.col("event_type").isin("signup", "view"), "check").when(F.col("event_type") == "error", "release").otherwise("record")
+    usd = F.when((F.col("event_type") != "signup") | (k % 7 > 1), F.col("value"))
+    rows = e.select("user_id", k, F.floor(k / 3).alias("call"), kind.alias("kind"), usd.alias("usd"), (k % 50).cast("double").alias("wall"))
+    return ledger.reservations(rows, "user_id", "event_id", "call", "kind", "usd", "wall", 400.0, 900.0)
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_journal_tail(spark: SparkSession, d: str) -> DataFrame:
     """Counts by type that a stream over the event files has written when all of them are taken."""

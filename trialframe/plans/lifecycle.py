@@ -13,16 +13,16 @@ from trialframe.plans.base import query, table
 from trialframe.plans.journals import _J, journal
 
 _A = """
-l AS (SELECT o_custkey AS seq, o_orderkey AS line, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'P' THEN 'pending' ELSE 'noted' END AS event, sha256(o_custkey || ':' || o_orderpriority) AS digest FROM orders),
+l AS (SELECT o_custkey AS seq, o_orderkey AS line, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'P' THEN 'pending' ELSE CASE WHEN o_orderkey % 40 = 0 THEN 'started' ELSE 'noted' END END AS event, sha256(o_custkey || ':' || o_orderpriority) AS digest FROM orders),
 f AS (SELECT c_custkey AS seq, sha256(c_custkey || ':' || CASE WHEN c_custkey % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END) AS digest FROM customer WHERE c_custkey % 5 <> 0)"""
 
 
 @query(f"""
-WITH {_A}, r AS (SELECT seq, max_by(event, line) AS event, max_by(digest, line) AS digest FROM l WHERE event IN ('approved', 'pending') GROUP BY seq)
-SELECT r.seq, CASE WHEN event = 'pending' THEN 'pending' WHEN f.digest IS NULL THEN 'missing' WHEN f.digest = r.digest THEN 'verified' ELSE 'altered' END AS state FROM r LEFT JOIN f ON r.seq = f.seq""")
+WITH {_A}, r AS (SELECT seq, max_by(digest, line) FILTER (event = 'approved') AS digest, bool_or(event = 'started') AS begun, bool_or(event IN ('approved', 'pending')) AS queued FROM l GROUP BY seq)
+SELECT r.seq, CASE WHEN begun THEN 'launched' WHEN r.digest IS NULL THEN 'pending' WHEN f.digest IS NULL THEN 'missing' WHEN f.digest = r.digest THEN 'verified' ELSE 'altered' END AS state FROM r LEFT JOIN f ON r.seq = f.seq WHERE queued""")
 def approved_specs(spark: SparkSession, d: str) -> DataFrame:
     digest = lambda *c: F.sha2(F.concat_ws(":", *c).cast("binary"), 256)
-    event = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "P", "pending").otherwise("noted")
+    event = F.when(F.col("o_orderstatus") == "F", "approved").when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderkey") % 40 == 0, "started").otherwise("noted")
     ledger = table(spark, d, "orders").select(F.col("o_custkey").alias("seq"), F.col("o_orderkey").alias("line"), event.alias("event"), digest(F.col("o_custkey").cast("string"), F.col("o_orderpriority")).alias("digest"))
     c = table(spark, d, "customer").where("c_custkey % 5 <> 0")
     files = c.select(F.col("c_custkey").alias("seq"), digest(F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, "1-URGENT").otherwise("5-LOW")).alias("digest"))
@@ -232,16 +232,17 @@ def envelope_costs(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.last_cost(table(spark, d, "events").select("event_id", log.alias("log")), "event_id", "log")
 
 
-@query("SELECT user_id, count(*) FILTER (value >= 0) AS valid, coalesce(sum(value::DECIMAL(18,4)) FILTER (value >= 0), 0)::DOUBLE AS usd FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) FILTER (value >= 0) AS valid, coalesce(sum((value / 1000000)::DECIMAL(38,12)) FILTER (value >= 0), 0)::DOUBLE AS usd FROM events GROUP BY user_id")
 def infra_cost(spark: SparkSession, d: str) -> DataFrame:
-    v = valid_cost(F.col("value"))
+    """Valid costs by user; an event costs millionths of its value, as a short call does."""
+    v = valid_cost(F.col("value") / 1_000_000)
     return table(spark, d, "events").groupBy("user_id").agg(F.count(v).alias("valid"), F.coalesce(F.sum(money(v)), F.lit(0)).cast("double").alias("usd"))
 
 
 @query("""
-SELECT user_id, event_id, row_number() OVER w AS step, (sum(value::DECIMAL(18,4)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))::DOUBLE AS spent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+SELECT user_id, event_id, row_number() OVER w AS step, (sum((value / 1000000)::DECIMAL(38,12)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))::DOUBLE AS spent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
 def spend_schedule(spark: SparkSession, d: str) -> DataFrame:
-    out = cost.running_spend(table(spark, d, "events"), "user_id", "event_id", money(F.col("value")))
+    out = cost.running_spend(table(spark, d, "events"), "user_id", "event_id", money(F.col("value") / 1_000_000))
     return out.select("user_id", "event_id", F.col("step").cast("long").alias("step"), F.col("spent").cast("double").alias("spent"))
 
 
