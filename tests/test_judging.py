@@ -64,3 +64,17 @@ def test_hits_need_the_whole_key_and_are_kept(spark):
     again, kept = Asked(), J.remembered(cache, out)
     assert {r.origin for r in votes(spark, again, kept, cap=0.0).collect()} == {"cache"}
     assert kept.count() == 5 and not [q for q in again.questions if "control" not in q[1]]
+
+
+def test_a_gate_is_proved_or_refused(spark):
+    import pytest
+
+    from trialframe.operators import golden
+    from trialframe.operators.guards import Refused
+
+    gate = spark.createDataFrame([(10, 6)], "n long, floor long")
+    report = lambda *v: spark.createDataFrame([v], "n long, agree long, panel_labels long")
+    assert golden.proved(report(10, 6, 2), gate).count() == 1
+    for v, why in (((9, 9, 2), "partial"), ((10, 10, 1), "constant decider"), ((10, 5, 2), "below floor")):
+        with pytest.raises(Refused, match=why):
+            golden.proved(report(*v), gate)

@@ -100,9 +100,25 @@ def uplift(candidate: Column, baseline: Column, direction: str = "max", floor: f
     return delta / F.greatest(F.abs(baseline), F.lit(floor))
 
 
-def retry_delay(attempt: Column, base: float = 0.5, cap: float = 30.0) -> Column:
-    """Capped exponential wait in seconds, without jitter."""
-    return F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), attempt))
+def retry_delay(attempt: Column, base: float = 0.5, cap: float = 30.0, jitter: Column | None = None, retry_after: Column | None = None) -> Column:
+    """Capped exponential wait in seconds, cut to between its half and its whole by jitter from 0 to 1; what a server
+    says in whole seconds goes before."""
+    wait = F.least(F.lit(cap), F.lit(base) * F.pow(F.lit(2.0), attempt))
+    wait = wait if jitter is None else wait * (F.lit(0.5) + jitter / 2)
+    return wait if retry_after is None else F.when(retry_after.rlike("^[0-9]+\\z"), retry_after.try_cast("double")).otherwise(wait)
+
+
+def finite_metric(text: Column, key: str) -> Column:
+    """The finite number under key of a JSON object, else null: other types, words that look like numbers and NaN are none."""
+    value = F.try_variant_get(F.try_parse_json(text), f"$.{key}", "variant")
+    number = F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)\\z")
+    d = F.when(number, F.try_variant_get(F.try_parse_json(text), f"$.{key}", "double"))
+    return F.when(finite(d), d)
+
+
+def spend_cap(max_usd: Column, default: float) -> Column:
+    """The cap that binds a run: its own, 0 too, else the default."""
+    return F.coalesce(max_usd.cast("double"), F.lit(float(default)))
 
 
 def token_estimate(c: Column) -> Column:

@@ -72,7 +72,15 @@ def family_of(c: Column, aliases: dict[str, str]) -> Column:
     return F.when(F.size(found) == 1, found[0])
 
 
-def infrastructure_failure(log: Column, markers: tuple[str, ...]) -> Column:
+#: What a log says of the machine and not of the experiment.
+INFRA_MARKERS = (
+    "connection reset", "connection refused", "connection timed out", "network is unreachable", "no space left on device",
+    "rate limit", "too many requests", "overloaded", "at capacity", "insufficient capacity", "temporarily unavailable",
+    "service unavailable", "502 bad gateway", "503 service", "504 gateway timeout",
+)
+
+
+def infrastructure_failure(log: Column, markers: tuple[str, ...] = INFRA_MARKERS) -> Column:
     """True where a log holds any marker, without regard to case."""
     low = F.lower(log)
     out = F.lit(False)

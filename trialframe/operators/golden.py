@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.operators.guards import Refused, require_none
+from trialframe.operators.guards import Refused, agreement_refusal, require_none
 from trialframe.operators.split import golden_sample, short_strata
 
 
@@ -57,6 +57,15 @@ def read_labels(labels: DataFrame, manifest: DataFrame) -> DataFrame:
     return labels.select("row_id", F.when(F.col("label") == "yes", True).when(F.col("label") == "no", False).otherwise(odd).alias("label"))
 
 
+def proved(report: DataFrame, manifest: DataFrame) -> DataFrame:
+    """report (n, agree, panel_labels) if it clears the gate of the verified manifest (n, floor), else refused."""
+    gate = manifest.select(F.col("n").alias("__n"), F.col("floor").alias("__floor")).first()
+    why = report.select(agreement_refusal(F.col("n"), F.col("agree"), F.col("panel_labels"), F.lit(gate["__n"]), F.lit(gate["__floor"])).alias("why")).first().why
+    if why:
+        raise Refused(f"the panel does not clear the gate: {why}")
+    return report
+
+
 def labels_template(rows: DataFrame, row_id: str) -> DataFrame:
     """(row, row_id, label) to be filled in."""
     return rows.select(F.col("number").alias("row"), F.col(row_id).cast("string").alias("row_id"), F.lit(None).cast("string").alias("label"))

@@ -119,6 +119,15 @@ def require_none(violations: DataFrame, what: str) -> None:
         raise Refused(f"{what}: {[r.asDict() for r in rows]}")
 
 
+def violation_counts(rows: DataFrame, checks: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]) -> DataFrame:
+    """(name, violations) of every check, for a report in place of a refusal."""
+    out = None
+    for name, check in checks:
+        one = check(rows).agg(F.count("*").alias("violations")).select(F.lit(name).alias("name"), "violations")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def blocking_invariants(rows: DataFrame, checks: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]) -> None:
     """Runs checks, each from rows to their violations, in order; the first with any raises."""
     for name, check in checks:

@@ -75,6 +75,39 @@ def consecutive_failures(df: DataFrame, entity: str, order: str) -> DataFrame:
     return df.join(last, entity).groupBy(entity).agg(F.count_if(failed & (F.col(order) > F.col("last_run"))).alias("failures"))
 
 
+#: Open reservations that a report names.
+NAMED_RESERVATIONS = 20
+
+
+def campaign_report(df: DataFrame, entity: str, seq: str, order: str, usd: str, wall: str, stops: DataFrame | None = None) -> DataFrame:
+    """One row per campaign: next_seq, events by kind that count, totals, the streak of failures, open reservations and stop.
+
+    stops has the campaigns whose stop was requested. Of the open reservations all are counted and the first are named.
+    """
+    own = df.groupBy(entity).agg(
+        (F.coalesce(F.max(seq), F.lit(-1)) + 1).cast("long").alias("next_seq"), F.count_if(F.col("event") == "completed").alias("completed"), F.count_if(F.col("event").isin(*RUN_EVENTS)).alias("experiments_run"),
+        F.count_if(F.col("event") == "pending").alias("pending"), F.count("*").alias("events"),
+    )
+    money_, time_ = (ledger_totals(df, entity, seq, order, c).select(entity, F.col("total").cast("double").alias(n)) for c, n in ((usd, "total_usd"), (wall, "total_wall_s")))
+    held = open_reservations(df, entity, seq, order, usd).select(entity, seq)
+    place = F.row_number().over(Window.partitionBy(entity).orderBy(seq))
+    named = held.withColumn("__r", place).where(F.col("__r") <= NAMED_RESERVATIONS).groupBy(entity).agg(F.array_sort(F.collect_list(F.col(seq).cast("long"))).alias("open_first"))
+    out = own.join(money_, entity).join(time_, entity).join(consecutive_failures(df, entity, order), entity).withColumnRenamed("failures", "consecutive_failures")
+    out = out.join(held.groupBy(entity).agg(F.count("*").alias("open")), entity, "left").join(named, entity, "left")
+    out = out.withColumns({"open": F.coalesce("open", F.lit(0).cast("long")), "open_first": F.coalesce("open_first", F.expr("cast(array() as array<bigint>)"))})
+    if stops is None:
+        return out.withColumn("stop", F.lit(False))
+    return out.join(stops.select(entity).distinct().withColumn("stop", F.lit(True)), entity, "left").withColumn("stop", F.coalesce("stop", F.lit(False)))
+
+
+def morning_report(journal: DataFrame, sidecar: DataFrame, entity: str, order: str, metric: str, direction: str = "max") -> DataFrame:
+    """journal_report with infra_retries and accounting_aborts of the sidecar's events (entity, kind)."""
+    kinds = sidecar.groupBy(entity).agg(F.count_if(F.col("kind") == "retry").alias("infra_retries"), F.count_if(F.col("kind") == "accounting_abort").alias("accounting_aborts"))
+    none = F.lit(0).cast("long")
+    out = journal_report(journal, entity, order, metric, direction).join(kinds, entity, "left")
+    return out.withColumns({c: F.coalesce(c, none) for c in ("infra_retries", "accounting_aborts")})
+
+
 def experiments_run(df: DataFrame, entity: str) -> DataFrame:
     """(entity, runs): events that use an experiment's slot."""
     return df.groupBy(entity).agg(F.count_if(F.col("event").isin(*RUN_EVENTS)).alias("runs"))

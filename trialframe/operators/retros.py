@@ -68,6 +68,25 @@ def orphan_scan(states: DataFrame, recorded: DataFrame, run: str) -> DataFrame:
     return held.select(run, out.alias("resolution"))
 
 
+def scanned(registry: DataFrame, states: DataFrame, recorded: DataFrame, run: str, experiment: str) -> DataFrame:
+    """(run, experiment, resolution, outcome, latch) of records that have not ended.
+
+    The dead whose spend is recorded end as accounted; the other dead end as orphaned and put a latch on their experiment
+    that says what to reconcile. Live and unknown ones stay, so that every later scan finds them again.
+    """
+    open_ = registry.where("outcome is null").select(run, experiment).join(states.select(run, "state"), run)
+    held = orphan_scan(open_, recorded, run).join(open_, run)
+    dead = F.col("resolution") == "latched"
+    outcome = F.when(dead, "orphaned").when(F.col("resolution") == "accounted", "accounted")
+    reason = F.concat(F.lit("orphaned run "), F.col(run).cast("string"), F.lit(" has no accounting trace; reconcile its spend, then delete this latch"))
+    return held.select(run, experiment, "resolution", outcome.alias("outcome"), F.when(dead, reason).alias("latch"))
+
+
+def unreconciled(registry: DataFrame, latches: DataFrame, run: str, experiment: str) -> DataFrame:
+    """(run, experiment) of records that ended as orphaned and whose experiment still has its latch."""
+    return registry.where("outcome = 'orphaned'").select(run, experiment).join(latches.select(experiment).distinct(), experiment, "left_semi")
+
+
 def spec_seq(name: Column) -> Column:
     """The leading number of NNN-name, else null."""
     return F.regexp_extract(name, "^([0-9]+)-", 1).try_cast("int")

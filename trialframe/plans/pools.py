@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from trialframe.functions.expr import text_digest
 from trialframe.operators import split, tables
 from trialframe.plans.base import query, table
+from trialframe.sources import manifest
+from trialframe.sources.shared import new_folder
 
 _ONCE = "once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1)"
 _SPLIT = f"""
@@ -82,9 +84,13 @@ def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
     return tables.diff(a, b, "path", "sha256")
 
 
-@query("SELECT source AS namespace, count(*) AS entries, sum(n_chars)::BIGINT AS size FROM documents GROUP BY source")
+@query("SELECT 'ns=' || source AS namespace, count(DISTINCT (lang, doc_id % 3)) AS entries, sum(strlen(text) + 1)::BIGINT AS size FROM documents GROUP BY source")
 def cache_stats(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(F.col("source").alias("namespace")).agg(F.count("*").alias("entries"), F.sum("n_chars").alias("size"))
+    """Entries and bytes of each namespace of a tree of files: a version for a language, an entry for a third of its texts."""
+    path, entry = new_folder(spark), (F.col("doc_id") % 3).cast("string")
+    rows = table(spark, d, "documents").select(F.col("source").alias("ns"), F.concat(F.lit("v"), "lang").alias("v"), F.lit("0").alias("shard"), entry.alias("entry"), F.col("text").alias("value"))
+    rows.repartition("ns", "v", "entry").write.partitionBy("ns", "v", "shard", "entry").text(path)
+    return manifest.cache_statistics(spark, path)
 
 
 @query("SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")

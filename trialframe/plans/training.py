@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialframe.functions.expr import dot, token_estimate
-from trialframe.operators import metrics, train_data
+from trialframe.operators import chat, metrics, train_data
 from trialframe.plans.base import query, table
 
 
@@ -14,6 +14,17 @@ def chats(spark: SparkSession, d: str) -> DataFrame:
     return train_data.conversations(table(spark, d, "conversations"), "conv_id", "turn", "role", "text")
 
 
+@query()
+def chat_masks(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as masked examples of a public tokenizer: sizes, the prompt's boundary and a check sum of the targets."""
+    import public_tokenizers
+
+    rows = train_data.sft_examples(chats(spark, d)).select("conv_id", "prompt", F.array("completion").alias("completion"))
+    out = chat.masked_examples(rows, "conv_id", "prompt", "completion", public_tokenizers.path("word_bpe_49k.json"))
+    weighed = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w)
+    return out.select("conv_id", F.size("targets").alias("n"), "cut", weighed.cast("long").alias("weighed"), F.crc32(F.array_join("targets", ",")).alias("targets_crc32"))
+
+
 @query("""
 SELECT conv_id, (count(*) - 1)::INT AS prompt_turns, arg_max(role, turn) AS completion_role, arg_max(text, turn) AS completion,
        (sum(length(text)) - arg_max(length(text), turn))::BIGINT AS prompt_chars FROM conversations GROUP BY conv_id""")

@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.operators import vector
+from trialframe.operators import embedding, vector
 from trialframe.plans.base import query, table
+from trialframe.sources import versions
+from trialframe.sources.shared import new_folder
+
+
+@query("""
+WITH i AS (SELECT doc_id AS id, sha256(text) AS digest FROM documents)
+SELECT id, digest, 8::INT AS dims, ('0x' || substr(digest, 1, 2))::INT::DOUBLE AS first, (SELECT count(*) FROM documents WHERE doc_id % 5 = 0) AS again, 0::BIGINT AS idle FROM i""")
+def refreshed_index(spark: SparkSession, d: str) -> DataFrame:
+    """An index of all texts, filled when a fifth of them had other words, brought up to date, and once more for nothing.
+
+    The model is a stub: the first bytes of a text's digest.
+    """
+    docs, root = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), new_folder(spark)
+    old = docs.withColumn("text", F.when(F.col("id") % 5 == 0, F.concat("text", F.lit(" then"))).otherwise(F.col("text")))
+    model = lambda texts: [list(hashlib.sha256(t.encode()).digest()[:8]) for t in texts]
+    done = [embedding.refresh_index(spark, t, root, date, model) for t, date in ((old, "20240101"), (docs, "20240102"), (docs, "20240103"))]
+    held = versions.read_current(spark, root)
+    return held.select("id", "digest", F.size("vector").alias("dims"), F.col("vector")[0].cast("double").alias("first"), F.lit(done[1]).cast("long").alias("again"), F.lit(done[2]).cast("long").alias("idle"))
 
 
 @query("""

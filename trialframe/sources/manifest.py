@@ -2,17 +2,61 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.operators.tables import diff
 
 
-def tree_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, sha256) of every file below root, hidden doubles of resource forks left out."""
+#: Files up to so many bytes are digested as one value; larger ones are read piece by piece.
+WHOLE_BYTES = 256 << 20
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, modified) of every file below root that has any bytes, from its metadata alone, the doubles of
+    resource forks left out. Spark's readers pass over empty files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", F.col("modificationTime").alias("modified"))
+    return files.where(~F.startswith(F.element_at(F.split("path", "/"), -1), F.lit("._")))
+
+
+def tree_manifest(spark: SparkSession, root: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """(path, length, sha256) of every file below root, the doubles of resource forks left out.
+
+    A file beyond whole_bytes (2 GB is the most that one value holds) is read in pieces by one task, from the path as the
+    executors mount it; Spark's own readers give no pieces of binary files.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.where(~F.startswith(name, F.lit("._"))).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    small = files.where((F.col("length") <= whole_bytes) & ~F.startswith(F.element_at(F.split("path", "/"), -1), F.lit("._"))).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = listed(spark, root).where(F.col("length") > whole_bytes).select("path", "length")
+
+    def digest(batches):
+        for batch in batches:
+            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sha = hashlib.sha256()
+                with open(unquote(path.removeprefix("file:").replace("//", "/", 1) if path.startswith("file:") else path), "rb") as f:
+                    while piece := f.read(1 << 20):
+                        sha.update(piece)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([length]), pa.array([sha.hexdigest()])], names=["path", "length", "sha256"])
+
+    return small.unionByName(large.repartition("path").mapInArrow(digest, "path string, length long, sha256 string"))
+
+
+def cache_statistics(spark: SparkSession, root: str) -> DataFrame:
+    """(namespace, entries, size) of a cache's tree namespace/version/shard/entry, over all versions, from metadata alone.
+
+    An entry is a file or a folder with all its files; those that are being staged do not count.
+    """
+    name = "^.*?" + re.escape(root.removeprefix("file://").removeprefix("file:").rstrip("/")) + "/([^/]+)/([^/]+)/([^/]+)/([^/]+)"
+    part = lambda k: F.regexp_extract("path", name, k)
+    rows = listed(spark, root).select(part(1).alias("namespace"), part(2).alias("version"), part(3).alias("shard"), part(4).alias("entry"), "length")
+    rows = rows.where((F.col("entry") != "") & ~F.contains(F.col("entry"), F.lit(".tmp-")))
+    each = rows.groupBy("namespace", "version", "shard", "entry").agg(F.sum("length").alias("size"))
+    return each.groupBy("namespace").agg(F.count("*").alias("entries"), F.sum("size").alias("size"))
 
 
 def parse_manifest(lines: DataFrame, text: str = "value") -> DataFrame:
