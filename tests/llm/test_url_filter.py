@@ -62,7 +62,9 @@ def test_fit_equals_plain_gradient_descent():
         for salt, part in ((1, host), (2, path)):
             marked = f"\x02{part}\x03" if part else ""
             grams.update((salt, marked[k : k + n]) for n in U.GRAMS for k in range(len(marked) - n + 1))
-        rows.append({g: c / math.sqrt(sum(grams.values())) for g, c in grams.items()})
+        n = {salt: sum(c for g, c in grams.items() if g[0] == salt) for salt in (1, 2)}
+        scale = {1: (n[1] or 1) ** -U.HOST_POWER, 2: U.PATH_SHARE / math.sqrt(n[2] or 1)}
+        rows.append({g: c * scale[g[0]] for g, c in grams.items()})
     y = table["unwanted"].tolist()
     share = [0.5 / sum(y) if t else 0.5 / (len(y) - sum(y)) for t in y]
     w, bias = defaultdict(float), -1.0

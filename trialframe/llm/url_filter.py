@@ -27,6 +27,8 @@ from trialframe.llm.common import _BYTE, _SLOT, mix, slices, table
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 MAX_LABELLED = 10_000
+#: How much the n-grams of longer hosts are damped (0.5: to length one), and what a path weighs beside its host.
+HOST_POWER, PATH_SHARE = 0.4, 0.25
 
 #: Topics of hosts in the labelled table, unwanted and wanted, and what names of both kinds are made with.
 UNWANTED = (
@@ -140,11 +142,11 @@ def grams(texts, salt: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(host, path) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, row and value of every n-gram; the values of a row have length one."""
+    """Bucket, row and value of every n-gram. Host and path are scaled apart, so that a long path says no more than a short
+    one; long hosts are damped a little less than to length one, as one telling word in them is enough."""
     (hb, ha), (pb, pt) = grams(host, 1), grams(path, 2)
-    b, a = np.r_[hb, pb], np.r_[ha, pt]
-    n = np.bincount(a, minlength=len(host))
-    return b, a, 1 / np.sqrt(np.maximum(n, 1))[a]
+    of_host, of_path = (np.maximum(np.bincount(a, minlength=len(host)), 1) for a in (ha, pt))
+    return np.r_[hb, pb], np.r_[ha, pt], np.r_[of_host[ha] ** -HOST_POWER, PATH_SHARE * of_path[pt] ** -0.5]
 
 
 @dataclass(frozen=True)
