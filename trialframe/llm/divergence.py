@@ -6,8 +6,8 @@ two had no term, which follows from each source's histogram of counts; what is t
 counts in one row. Rows are inserted into a prefix tree, equal beginnings once with their multiplicity, and each node
 adds the correction of itself with each of its ancestors once, times its multiplicity. All numbers are integers.
 
-Trees are built from ranges of the sorted rows, so rows that begin alike meet, and a hot beginning is dealt by its
-further counts; a node that two ranges share is corrected in both with its part of the multiplicity. Rows of more than
+Trees are built from ranges of the rows by their beginnings, so rows that begin alike meet, and a hot beginning is dealt
+over several; a node that two ranges share is corrected in both with its part of the multiplicity. Rows of more than
 `SLICE` sources are corrected in several parts. Work and memory of a task follow from its share of rows; the result
 itself has every pair of sources of a language.
 
@@ -36,6 +36,8 @@ TOP_TERMS = 200
 HELD_COUNTS, SLICE, BLOCK = 120_000, 512, 1024
 #: Entries of rows in one tree, and pairs of nodes held before they are added up.
 TREE_ENTRIES, HELD_PAIRS = 400_000, 2_000_000
+#: Items of a row that choose its range.
+HEAD = 4
 #: Parts of a group whose first terms are found apart.
 SALTS = 16
 
@@ -197,7 +199,9 @@ def corrections(rows: DataFrame) -> DataFrame:
     """(lang, a, b, value) of rows (lang, path of (i, n, p, p0), times), from one tree after the other of sorted ranges."""
     parts = F.explode(F.sequence(F.lit(0), F.expr(f"cast((size(path) - 1) div {SLICE} as int)")))
     dealt = rows.where("size(path) > 1").select("lang", parts.alias("part"), "path", "times")
-    dealt = dealt.repartitionByRange("lang", "part", "path").sortWithinPartitions("lang", "part", "path")
+    # Ranges by short keys, as Spark samples them on the driver: the first items, then a hash that splits a hot beginning.
+    head = F.transform(F.slice("path", 1, HEAD), lambda x: F.shiftleft(x["i"].cast("long"), 40) + x["n"])
+    dealt = dealt.repartitionByRange("lang", "part", head, F.xxhash64("path")).sortWithinPartitions("lang", "part", "path")
 
     def correct(batches):
         def sent(lang, batch_rows):
