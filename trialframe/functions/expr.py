@@ -71,6 +71,11 @@ def words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.translate(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), "ς", "σ"), "(?U)[\\s\\x1c-\\x1f]+"), lambda w: w != ""))
 
 
+def word_hashes(c: Column) -> Column:
+    """The words as 64-bit numbers: a few bytes each to shuffle and compare, equal for equal words."""
+    return F.array_distinct(F.transform(words(c), lambda w: F.xxhash64(w)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two arrays as sets; two empty ones are alike."""
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(safe_div(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))))

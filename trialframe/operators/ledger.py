@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trialframe.functions.expr import money, verdict
 from trialframe.operators.ranges import numeric_bucket, reached, running
+from trialframe.sources.shared import stored
 
 #: What releases a reservation, feeds the streak of failures, uses an experiment's slot and ends a streak.
 TERMINAL_EVENTS = ("completed", "aborted", "infra_aborted", "preflight_failed", "reconciled")
@@ -121,9 +122,10 @@ def running_streak(df: DataFrame, entity: str, order: str) -> DataFrame:
     maximum, as the count of failures never falls.
     """
     ran, failed = F.col("event").isin(*RUN_EVENTS), F.col("event").isin(*FAILED_EVENTS)
-    so_far = running(df, [entity], numeric_bucket(df, order), [F.col(order)], {"__failed": failed.cast("long")})
+    bucket = F.col("__bucket")
+    so_far = stored(running(df.withColumn("__bucket", numeric_bucket(df, order)), [entity], bucket, [F.col(order)], {"__failed": failed.cast("long")}))
     at_run = so_far.withColumn("__at_run", F.when(ran, F.col("__failed")))
-    return reached(at_run, [entity], numeric_bucket(df, order), [F.col(order)], {"__base": F.col("__at_run")}).withColumn("streak", F.col("__failed") - F.coalesce("__base", F.lit(0))).drop("__failed", "__at_run", "__base")
+    return reached(at_run, [entity], bucket, [F.col(order)], {"__base": F.col("__at_run")}).withColumn("streak", F.col("__failed") - F.coalesce("__base", F.lit(0))).drop("__bucket", "__failed", "__at_run", "__base")
 
 
 def failure_reasons(df: DataFrame, entity: str, order: str, seq: str, reason: str, n: int) -> DataFrame:

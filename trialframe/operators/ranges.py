@@ -6,19 +6,39 @@ rows per group, are added. A bucket is an expression over a row, so a repeated t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of one group.
-BUCKETS = 64
+#: Rows of one bucket on average, and buckets at most. Small tables have a single one.
+BUCKET_ROWS, MOST_BUCKETS = 200_000, 1024
+
+
+def numbers(values: list[float]) -> Column:
+    """A constant array of doubles."""
+    return F.expr(f"array({', '.join(f'{v!r}D' for v in values)})") if values else F.expr("cast(array() as array<double>)")
 
 
-def numeric_bucket(df: DataFrame, column: str, n: int = BUCKETS) -> Column:
-    """The bucket of a number by approximate quantiles of the column; equal numbers share one, nulls come first."""
-    shares = F.array(*[F.lit(k / n) for k in range(1, n)])
-    cuts = sorted(set(df.select(F.percentile_approx(F.col(column).cast("double"), shares, 10_000)).first()[0] or []))
-    held = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.expr("cast(array() as array<double>)")
-    return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(F.size(F.filter(held, lambda c: c < F.col(column).cast("double"))))
+def numeric_bucket(df: DataFrame, column: str, n: int | None = None) -> Column:
+    """The bucket of a number by approximate quantiles of the column; equal numbers share one, nulls come first.
+
+    Without n, the number of buckets follows from the rows, counted in the same pass.
+    """
+    value = F.col(column).cast("double")
+    shares = numbers([k / (n or MOST_BUCKETS) for k in range(1, n or MOST_BUCKETS)])
+    rows, found = df.select(F.count(value), F.percentile_approx(value, shares, 10_000)).first() if n is None or n > 1 else (0, None)
+    most = min(MOST_BUCKETS, max(1, -(-rows // BUCKET_ROWS))) if n is None else n
+    if n is None:
+        found = [found[k * MOST_BUCKETS // most - 1] for k in range(1, most)] if found else None
+    cuts = [float(c) for c in sorted(set(found or [])) if math.isfinite(c)]
+    if not cuts:
+        return F.when(value.isNull(), F.lit(-1)).otherwise(F.lit(0))
+    # Two looks at about the square root of the cuts each: the group of cuts first, then the cuts of that group.
+    width = math.isqrt(len(cuts) - 1) + 1
+    group = F.size(F.filter(numbers(cuts[width - 1 :: width]), lambda c: c < value))
+    inside = F.size(F.filter(F.slice(numbers(cuts), group * width + 1, F.lit(width)), lambda c: c < value))
+    return F.when(value.isNull(), F.lit(-1)).otherwise(group * width + inside)
 
 
 def hash_bucket(key: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.functions import text as T
-from trialframe.functions.expr import jaccard, words
+from trialframe.functions.expr import jaccard, word_hashes
 from trialframe.plans.base import query, table
 
 FAMILIES = {"brand": "brand", "part": "part", "steel": "metal", "copper": "metal", "brass": "metal", "tin": "metal", "nickel": "metal"}
@@ -18,7 +18,7 @@ WITH e AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(replac
 SELECT a.doc_id, round(coalesce(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(a.w || b.w)), 0), 1), 6) AS similarity,
        coalesce(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(a.w || b.w)), 0), 1) >= 0.6 AS agree FROM e a JOIN e b ON b.doc_id = a.doc_id + 1""")
 def jaccard_agreement(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "documents").select("doc_id", words(F.col("text")).alias("w"))
+    e = table(spark, d, "documents").select("doc_id", word_hashes(F.col("text")).alias("w"))
     nxt = e.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
     s = jaccard(F.col("w"), F.col("v"))
     return e.join(nxt, "doc_id").select("doc_id", F.round(s, 6).alias("similarity"), (s >= 0.6).alias("agree"))
