@@ -19,7 +19,8 @@ INSTRUCTION = "Reconcile the readings into one."
 
 @query("""
 WITH t AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'box-' || page_id || ':/data/x:y' WHEN 1 THEN './local:' || page_id WHEN 2 THEN '[fe80::1]:rel/path' WHEN 3 THEN '/abs/' || page_id ELSE 'name only' END AS target FROM pages)
-SELECT page_id, CASE page_id % 5 WHEN 0 THEN split_part(target, ':', 1) WHEN 2 THEN '[fe80::1]' END AS host, CASE page_id % 5 WHEN 0 THEN '/data/x:y' WHEN 2 THEN 'rel/path' ELSE target END AS path,
+SELECT page_id, CASE WHEN starts_with(target, '[') THEN split_part(target, ']', 1) || ']' WHEN strpos(target, ':') > 0 AND (strpos(target, '/') = 0 OR strpos(target, ':') < strpos(target, '/')) THEN split_part(target, ':', 1) END AS host,
+       CASE WHEN starts_with(target, '[') THEN substr(target, strpos(target, ']:') + 2) WHEN strpos(target, ':') > 0 AND (strpos(target, '/') = 0 OR strpos(target, ':') < strpos(target, '/')) THEN substr(target, strpos(target, ':') + 1) ELSE target END AS path,
        regexp_full_match(target, '[A-Za-z0-9._-]+') AS is_name, regexp_full_match(md5(target), '[0-9a-f]{32}') AS is_digest FROM t""")
 def locations(spark: SparkSession, d: str) -> DataFrame:
     """Transfer targets as host and path, and whether they are plain names."""
@@ -113,16 +114,18 @@ def service_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, 'page ' || p_name AS markdown, p_size || ',' || (p_size + 1) AS xs, 2 AS tokens FROM part""")
+WITH j AS (SELECT p_partkey, to_json({'markdown': 'page ' || p_name, 'tokens': [{'text': p_brand, 'x': p_size, 'confidence': p_size / 100}, {'text': p_type, 'x': p_size + 1, 'confidence': p_retailprice / 10000}]}) AS d FROM part)
+SELECT p_partkey, d->>'$.markdown' AS markdown, array_to_string(d->>'$.tokens[*].x', ',') AS xs, array_to_string(d->>'$.tokens[*].text', '|') AS texts,
+       round((d->>'$.tokens[0].confidence')::DOUBLE + (d->>'$.tokens[1].confidence')::DOUBLE, 9) AS confidence, json_array_length(d, '$.tokens')::INT AS tokens FROM j""")
 def document_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Documents with tokens and boxes as JSON bytes, written and read back."""
     box = lambda x: F.struct(x.alias("x"), F.lit(0).alias("y"), F.lit(9).alias("width"), F.lit(9).alias("height"))
-    token = lambda x, t: F.struct(t.alias("text"), box(x).alias("box"), F.lit(0.5).alias("confidence"))
-    doc = F.struct(F.concat(F.lit("page "), "p_name").alias("markdown"), F.array(token(F.col("p_size"), F.col("p_brand")), token(F.col("p_size") + 1, F.col("p_type"))).alias("tokens"))
+    token = lambda x, t, c: F.struct(t.alias("text"), box(x).alias("box"), c.alias("confidence"))
+    doc = F.struct(F.concat(F.lit("page "), "p_name").alias("markdown"), F.array(token(F.col("p_size"), F.col("p_brand"), F.col("p_size") / 100), token(F.col("p_size") + 1, F.col("p_type"), F.col("p_retailprice") / 10_000)).alias("tokens"))
     rows = stored(table(spark, d, "part").select("p_partkey", F.to_json(doc).cast("binary").alias("data")))
     kind = "markdown string, tokens array<struct<text:string,box:struct<x:int,y:int,width:int,height:int>,confidence:double>>"
     r = rows.select("p_partkey", F.from_json(F.col("data").cast("string"), kind).alias("d"))
-    return r.select("p_partkey", "d.markdown", F.array_join(F.transform("d.tokens", lambda t: t["box"]["x"].cast("string")), ",").alias("xs"), F.size("d.tokens").alias("tokens"))
+    return r.select("p_partkey", "d.markdown", F.array_join(F.transform("d.tokens", lambda t: t["box"]["x"].cast("string")), ",").alias("xs"), F.array_join(F.transform("d.tokens", lambda t: t["text"]), "|").alias("texts"), F.round(F.col("d.tokens")[0]["confidence"] + F.col("d.tokens")[1]["confidence"], 9).alias("confidence"), F.size("d.tokens").alias("tokens"))
 
 
 @query("""

@@ -113,24 +113,25 @@ def batch_admission(spark: SparkSession, d: str) -> DataFrame:
     return out.select("requests", F.round(F.col("usd").cast("double"), 6).alias("usd"), "refusal")
 
 
-@query("""
-WITH x AS (SELECT o_orderkey, ['anthropic', 'openai', 'gemini'][o_orderkey % 3 + 1] AS provider, o_orderpriority AS p FROM orders)
-SELECT o_orderkey, provider, CASE provider WHEN 'anthropic' THEN CASE WHEN p = '1-URGENT' THEN 'completed' ELSE 'running' END
-  WHEN 'openai' THEN CASE p WHEN '1-URGENT' THEN 'completed' WHEN '2-HIGH' THEN 'pending' WHEN '3-MEDIUM' THEN 'failed' WHEN '5-LOW' THEN 'expired' ELSE 'running' END
-  ELSE CASE p WHEN '1-URGENT' THEN 'completed' WHEN '2-HIGH' THEN 'pending' WHEN '3-MEDIUM' THEN 'failed' WHEN '5-LOW' THEN 'expired' ELSE 'running' END END AS status FROM x""")
+#: Raw states by order priority, as three providers name them.
+_STATES = {
+    "anthropic": ("ended", "in_progress", "in_progress", "canceling", "in_progress"), "openai": ("completed", "validating", "cancelled", "finalizing", "expired"),
+    "gemini": ("JOB_STATE_SUCCEEDED", "JOB_STATE_QUEUED", "JOB_STATE_CANCELLED", "JOB_STATE_RUNNING", "JOB_STATE_EXPIRED"),
+}
+
+
+@query(f"""
+WITH n AS (SELECT * FROM (VALUES {", ".join(f"('{p}', '{theirs}', '{ours}')" for p, m in batch_jobs.BATCH_STATES.items() for theirs, ours in m.items())}) t(provider, raw, status)),
+x AS (SELECT o_orderkey, {list(_STATES)}[o_orderkey % 3 + 1] AS provider, CASE o_orderkey % 3 {" ".join(f"WHEN {k} THEN {list(v)}[substr(o_orderpriority, 1, 1)::INT]" for k, v in enumerate(_STATES.values()))} END AS raw FROM orders)
+SELECT o_orderkey, x.provider, status FROM x LEFT JOIN n ON n.provider = x.provider AND n.raw = x.raw""")
 def provider_states(spark: SparkSession, d: str) -> DataFrame:
-    """Batch states of three providers as common ones."""
-    names = {
-        "anthropic": ("ended", "in_progress", "in_progress", "canceling", "in_progress"), "openai": ("completed", "validating", "cancelled", "finalizing", "expired"),
-        "gemini": ("JOB_STATE_SUCCEEDED", "JOB_STATE_QUEUED", "JOB_STATE_CANCELLED", "JOB_STATE_RUNNING", "JOB_STATE_EXPIRED"),
-    }
-    rank = F.substring("o_orderpriority", 1, 1).cast("int") - 1
-    out = None
-    for k, (provider, states) in enumerate(names.items()):
-        theirs = F.get(F.array(*map(F.lit, states)), rank)
-        one = table(spark, d, "orders").where(F.col("o_orderkey") % 3 == k).select("o_orderkey", F.lit(provider).alias("provider"), batch_jobs.batch_status(theirs, batch_jobs.BATCH_STATES[provider]).alias("status"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Batch states of three providers as common ones, in one pass."""
+    which, rank = F.col("o_orderkey") % 3, F.substring("o_orderpriority", 1, 1).cast("int") - 1
+    provider, status = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (name, states) in enumerate(_STATES.items()):
+        provider = F.when(which == k, name).otherwise(provider)
+        status = F.when(which == k, batch_jobs.batch_status(F.get(F.array(*map(F.lit, states)), rank), batch_jobs.BATCH_STATES[name])).otherwise(status)
+    return table(spark, d, "orders").select("o_orderkey", provider.alias("provider"), status.alias("status"))
 
 
 @query("""
