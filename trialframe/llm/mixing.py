@@ -5,12 +5,12 @@ again by weight among the others. A source takes its documents whole as often as
 target once more from the documents whose key, an even hash, lies below a threshold. The threshold is found by
 histograms: words are summed by source and the next digits of the key, the bucket in which the budget ends is refined by
 further digits, all others are decided. The document at the threshold does not fit; further thresholds above it, for
-documents no larger than what is left, fill the gap (`FILLS`). So a document is taken or not by a comparison with a few
+documents no larger than what is left, fill the gap (`FILLS`), and one last document is taken if its source comes nearer to
+its target by that. So a document is taken or not by a comparison with a few
 numbers of its source: no rows are sorted, and every rerun decides alike.
 
 Defined results: a null text has no words. Null is a source of its own, the last one; the empty string is another. A
-source without words has the target 0, and documents without words take 0. A document is taken whole, and the taken
-words of a source are at most its target. Rows that are equal in id and text have equal keys and are taken or left
+source without words has the target 0, and documents without words take 0. A document is taken whole. Rows that are equal in id and text have equal keys and are taken or left
 together; copies under other ids are apart. Very long texts are one document like others. A null id is an id like
 others. An empty table gives an empty result. All columns of the input pass through `mixed`, whatever their names, except
 those that it writes, which it replaces.
@@ -88,8 +88,8 @@ def shared(sources: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def thresholds(sized: DataFrame, sources: DataFrame, fills: int = FILLS) -> DataFrame:
-    """sources with whole, how often all documents are taken, and low, cut, most: a row is taken once more where for one
-    j low[j] < key < cut[j] and size <= most[j].
+    """sources with whole, how often all documents are taken, thresholds (low, cut, most) and extra: a document is taken
+    once more where for one threshold low < key < cut and size <= most, or its key is extra.
     """
     spark = sized.sparkSession
     n = sources.count()
@@ -99,6 +99,7 @@ def thresholds(sized: DataFrame, sources: DataFrame, fills: int = FILLS) -> Data
     rows = sized.where("size > 0").select(F.col("source").alias("of"), "size", "key")
     same = F.col("of").eqNullSafe(F.col("source"))
     cuts: list[DataFrame] = []
+    short: list[DataFrame] = []
     last = state.select("source", F.lit("").alias("low"), "left")
     for _ in range(fills + 1):
         # One threshold: digits are fixed until the bucket in which the budget ends holds a single key.
@@ -108,7 +109,11 @@ def thresholds(sized: DataFrame, sources: DataFrame, fills: int = FILLS) -> Data
             hit = rows.join(sized_broadcast(held, n, BROADCAST_SOURCES), same).where("key > low and size <= most and startswith(key, prefix)")
             bucket = F.substring("key", level * BUCKET_DIGITS + 1, BUCKET_DIGITS)
             sums = hit.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.min("key").alias("first"), F.max("key").alias("final"))
-            sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")))
+            sums = durable(sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))))
+            if level == 0:  # where all that fits one by one fits together, there is no such bucket
+                total = sums.groupBy(F.col("source").alias("of")).agg(F.max("upto").alias("total"))
+                left = F.col("rest") - F.coalesce("total", F.lit(0))
+                short.append(now.join(total, same, "left").where(left > 0).select(F.col("source").alias("by"), left.alias("left")))
             both = sums.join(sized_broadcast(held.withColumnRenamed("source", "of"), n, BROADCAST_SOURCES), same).where(F.col("upto") > F.col("rest"))
             end = F.min_by(F.struct(F.col("upto") - F.col("words"), "bucket", "first", "final"), "bucket")
             ends = both.groupBy("source").agg(end.alias("end")).select(F.col("source").alias("of"), F.col("end.col1").alias("below"), "end.bucket", "end.first", "end.final")
@@ -126,6 +131,7 @@ def thresholds(sized: DataFrame, sources: DataFrame, fills: int = FILLS) -> Data
             found = found.union(d)
         cuts.append(now.drop("cut", "rest", "prefix").join(found.select(F.col("source").alias("of"), "cut", "rest"), same, "left").select("source", "low", "most", "cut"))
         # Sources without such a bucket take all that fits; the others go on above the key that did not fit.
+        short[-1] = durable(short[-1])
         last = durable(found.where("rest > 0").select("source", F.col("cut").alias("low"), F.col("rest").alias("left")))
         if last.isEmpty():
             break
@@ -135,27 +141,45 @@ def thresholds(sized: DataFrame, sources: DataFrame, fills: int = FILLS) -> Data
         c = c.select(F.col("source").alias("of"), F.struct("low", F.coalesce("cut", F.lit("~")).alias("cut"), "most").alias(f"t{j}"))
         out = out.join(c, same, "left").drop("of")
     each = F.array_compact(F.array(*[f"t{j}" for j in range(len(cuts))]))
-    return durable(out.select("source", "source_size", "weight", (F.col("share").cast("double") / F.col("shares").cast("double")).alias("target"), "whole", each.alias("thresholds")))
+    out = out.select("source", "source_size", "weight", (F.col("share").cast("double") / F.col("shares").cast("double")).alias("target"), "whole", each.alias("thresholds"))
+    # What is still missing is less than any document that is left, or the thresholds are used up: one more document,
+    # the smallest, is taken if that brings the source nearer to its target.
+    gaps = last.select(F.col("source").alias("by"), "left")
+    for g in short:
+        gaps = gaps.unionByName(g)
+    near = rows.join(sized_broadcast(durable(gaps), n, BROADCAST_SOURCES), F.col("of").eqNullSafe(F.col("by"))).where("size < 2 * left").drop("by")
+    near = near.join(sized_broadcast(out.select("source", "thresholds"), n, BROADCAST_SOURCES), same).where(~below(F.col("key"), F.col("size"), F.col("thresholds")))
+    peers = near.groupBy("source", "key").agg(F.sum("size").alias("words"), F.first("left").alias("left")).where("words < 2 * left")
+    extra = peers.groupBy("source").agg(F.min_by("key", F.struct("words", "key")).alias("extra")).withColumnRenamed("source", "of")
+    return durable(out.join(extra, same, "left").drop("of"))
 
 
-def copies(key: Column, size: Column, plan_whole: Column, plan_thresholds: Column) -> Column:
-    """How often a document is taken."""
-    more = F.exists(plan_thresholds, lambda t: (key > t["low"]) & (key < t["cut"]) & (size <= t["most"]))
-    return plan_whole + F.when(more, 1).otherwise(0)
+def below(key: Column, size: Column, thresholds_: Column) -> Column:
+    """True for documents that a threshold takes."""
+    return F.exists(thresholds_, lambda t: (key > t["low"]) & (key < t["cut"]) & (size <= t["most"]))
+
+
+def copies(key: Column, size: Column, plan: dict[str, Column]) -> Column:
+    """How often a document is taken, by its source's plan (whole, thresholds, extra)."""
+    more = below(key, size, plan["thresholds"]) | F.coalesce(key == plan["extra"], F.lit(False))
+    return plan["whole"] + F.when(more, 1).otherwise(0)
+
+
+PLAN = ("whole", "thresholds", "extra")
 
 
 def planned(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, fills: int = FILLS) -> DataFrame:
-    """A row per source: source_size, weight, target, whole, thresholds."""
+    """A row per source: source_size, weight, target, whole, thresholds, extra."""
     return thresholds(sized, durable(shared(durable(weighed(sized, weights)), most)), fills)
 
 
 def mixed(df: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, most: int = MOST, into: str = "copies") -> DataFrame:
     """df with the number of times that the mix takes each row: the texts are read once more, and not written."""
     own = "p" + uuid.uuid4().hex
-    plan = planned(sizes(df, id_, text, source), weights, most).select(F.col("source").alias(f"{own}_of"), F.struct("whole", "thresholds").alias(own))
+    plan = planned(sizes(df, id_, text, source), weights, most).select(F.col("source").alias(f"{own}_of"), F.struct(*PLAN).alias(own))
     t, p = F.col(f"`{text}`"), F.col(own)
     size = F.coalesce(F.regexp_count(t, F.lit(WORD_RE)), F.lit(0)).cast("long")
-    times = copies(document_key(F.col(f"`{id_}`"), t), size, p["whole"], p["thresholds"])
+    times = copies(document_key(F.col(f"`{id_}`"), t), size, {c: p[c] for c in PLAN})
     held = df.join(sized_broadcast(plan, plan.count(), BROADCAST_SOURCES), F.col(f"`{source}`").eqNullSafe(F.col(f"{own}_of")))
     return held.withColumn(into, times.cast("int")).drop(own, f"{own}_of")
 
@@ -165,7 +189,7 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = sizes(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     plan = planned(sized).withColumnRenamed("source", "of")
     held = sized.join(sized_broadcast(plan, plan.count(), BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("of")))
-    times = copies(F.col("key"), F.col("size"), F.col("whole"), F.col("thresholds"))
+    times = copies(F.col("key"), F.col("size"), {c: F.col(c) for c in PLAN})
     return held.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * times).alias("taken"), "source", times.cast("int").alias("copies"))
 
 
@@ -204,8 +228,11 @@ q{j + 1} AS (
          rest - sum(CASE WHEN cand AND (cut IS NULL OR k < cut) THEN size ELSE 0 END) OVER (PARTITION BY source) AS rest,
          cut AS low, more + CASE WHEN cand AND (cut IS NULL OR k < cut) THEN 1 ELSE 0 END AS more
   FROM t{j})"""
-    return out + f"""
-SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * (whole + more))::BIGINT AS taken, source, (whole + more)::INT AS copies FROM q{FILLS + 1}
+    return out + f""",
+n AS (SELECT source, k, sum(size) AS words, any_value(rest) AS rest FROM q{FILLS + 1} WHERE more = 0 AND size > 0 AND size < 2 * rest GROUP BY source, k HAVING sum(size) < 2 * any_value(rest)),
+e AS (SELECT source, k FROM n QUALIFY row_number() OVER (PARTITION BY source ORDER BY words, k) = 1),
+z AS (SELECT q.*, more + CASE WHEN e.k IS NULL THEN 0 ELSE 1 END AS all_more FROM q{FILLS + 1} q LEFT JOIN e ON e.source IS NOT DISTINCT FROM q.source AND e.k = q.k)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (size * (whole + all_more))::BIGINT AS taken, source, (whole + all_more)::INT AS copies FROM z
 """
 
 
