@@ -95,3 +95,13 @@ def test_trees_are_counted_from_metadata_and_large_files_in_pieces(spark, tmp_pa
     whole, pieces = ({r.path: (r.length, r.sha256) for r in manifest.tree_manifest(spark, str(root), n).collect()} for n in (1 << 20, 2))
     assert whole == pieces and len(whole) == 6
     assert "content" not in manifest.listed(spark, str(root))._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+
+
+def test_the_query_of_masks_covers_all_conversations(spark):
+    pytest.importorskip("public_tokenizers")
+    from trialframe import catalog
+
+    d = "/root/testdata/sf0.001"
+    rows = catalog.QUERIES["chat_masks"](spark, d).collect()
+    assert {r.conv_id for r in rows} == {r.conv_id for r in spark.read.parquet(f"{d}/conversations.parquet").select("conv_id").distinct().collect()}
+    assert all(0 < r.weighed <= r.n and r.weighed + r.cut == r.n + 1 for r in rows if r.cut)
