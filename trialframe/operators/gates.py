@@ -35,6 +35,9 @@ COINS, COUNTS, ITEMS = 256, 16, 256
 POISSON = tuple(int(65536 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(8))
 
 
+_POISSON_COUNTS = np.searchsorted(np.array(POISSON), np.arange(65536), "right").astype(float)
+
+
 def _digests(items: list, blocks: int) -> np.ndarray:
     """For every item, the SHA-256 of `block|item` of each block, end to end."""
     return np.frombuffer(b"".join(hashlib.sha256(f"{b}|{i}".encode()).digest() for i in items for b in range(blocks)), np.uint8).reshape(len(items), -1)
@@ -49,19 +52,21 @@ def coins(items: list, draws: int) -> np.ndarray:
 def poisson_counts(items: list, draws: int) -> np.ndarray:
     """How often each draw takes every item: Poisson counts of mean 1 from 16 bits each, as a bootstrap of rows that come
     one by one takes them."""
-    numbers = _digests(items, -(-draws // COUNTS)).view(">u2")[:, :draws].astype(np.int64)
-    return np.searchsorted(np.array(POISSON), numbers, "right").astype(float)
+    numbers = _digests(items, -(-draws // COUNTS)).view(">u2")[:, :draws]
+    return _POISSON_COUNTS[numbers]
 
 
 def draw_sums(df: DataFrame, item: str, value: str, draws: int, by: list[str], weights: Callable[[list, int], np.ndarray]) -> DataFrame:
     """(by, draw, total, weight): for each draw, the sum of weights times values and of weights over all items.
 
     A task multiplies a block of weights, items by draws, with the values of its rows, and holds one vector of sums a
-    group. So rows are read once, nothing is expanded, and what is shuffled grows with the draws and not with the rows.
-    Sums are exact where values are whole numbers.
+    group. So nothing is expanded: rows are dealt by item once, as each costs its draws, and the rows of an item share its
+    weights; sums that meet grow with the draws and tasks. They are exact where values are whole numbers.
     """
     names = [f"g{j}" for j in range(len(by))]
     held = df.select(*[F.col(c).cast("string").alias(n) for n, c in zip(names, by, strict=True)], F.col(item).cast("string").alias("item"), F.col(value).cast("double").alias("v")).where("v is not null")
+    context = df.sparkSession.sparkContext
+    held = held.repartition(max(context.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "item").sortWithinPartitions("item")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
@@ -69,13 +74,16 @@ def draw_sums(df: DataFrame, item: str, value: str, draws: int, by: list[str], w
             groups = list(zip(*(batch.column(j).to_pylist() for j in range(len(names))), strict=True)) if names else [()] * batch.num_rows
             items, v = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_numpy()
             for lo in range(0, len(items), ITEMS):
-                w = weights(items[lo : lo + ITEMS], draws)
+                places: dict[str, int] = {}
+                at = np.array([places.setdefault(i, len(places)) for i in items[lo : lo + ITEMS]])
+                w = weights(list(places), draws)
                 own, x = groups[lo : lo + ITEMS], v[lo : lo + ITEMS]
                 for g in dict.fromkeys(own):
                     mine = np.array([o == g for o in own])
+                    # Values and rows by item, so that an item's weights are taken once.
+                    by_item = np.stack([np.bincount(at[mine], x[mine], len(places)), np.bincount(at[mine], minlength=len(places))])
                     total = sums.setdefault(g, np.zeros((2, draws)))
-                    total[0] += x[mine] @ w[mine]
-                    total[1] += w[mine].sum(axis=0)
+                    total += by_item @ w
         for g, (total, weight) in sums.items():
             yield pa.RecordBatch.from_arrays([*[pa.array([c] * draws, pa.string()) for c in g], pa.array(np.arange(1, draws + 1)), pa.array(total), pa.array(weight)], names=[*names, "draw", "total", "weight"])
 
