@@ -93,6 +93,42 @@ def test_union_bound_never_hides_a_link():
         assert g.links(q, 70).tolist() == want
 
 
+def test_sketches_never_hide_a_link():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 90).astype(np.uint64)
+    sets = [np.unique(np.r_[rng.permutation(base)[: rng.integers(40, 90)], rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)]) for _ in range(60)]
+    sets += [np.unique(np.r_[rng.permutation(s)[1:], rng.integers(0, 2**63, 2).astype(np.uint64)]) for s in sets]
+    bits = J.sketches(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])])
+    drawn = [J.Drawn(np.array([k]), np.array([len(s)]), [b]) for k, (s, b) in enumerate(zip(sets, bits, strict=True))]
+    excluded = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            n = len(np.intersect1d(a, b))
+            near = J.near_sketches(drawn[i], drawn[j], 85, False)
+            assert near or 100 * n < 85 * (len(a) + len(b) - n)
+            excluded += not near
+    assert excluded > 5000  # of 7140 pairs
+    half = [J.Drawn(np.arange(60) + k, np.array([len(s) for s in sets[k : k + 60]]), bits[k : k + 60]) for k in (0, 60)]
+    assert {(b - 60) % 60 for _, b in J.near_sketches(*half, 85, False)} == set(range(60))
+
+
+def test_short_texts_with_a_shared_passage_make_no_pairs_of_groups(spark, monkeypatch):
+    """1,500 sets in one component of signatures, of which 40 pairs are linked: token groups meet no others."""
+    monkeypatch.setattr(J, "GROUP_TOKENS", 4000)
+    monkeypatch.setattr(J, "SKETCH_WORDS", 1000)
+    rng = np.random.default_rng(6)
+    passage = rng.integers(0, 2**63, 30).astype(np.uint64)
+    sets = [np.unique(np.r_[passage, rng.integers(0, 2**63, rng.integers(20, 60)).astype(np.uint64)]) for _ in range(1460)]
+    sets += [np.unique(np.r_[s, rng.integers(0, 2**63, 2).astype(np.uint64)]) for s in sets[:40]]
+    live = spark.createDataFrame([(7, k, len(s), s.tobytes()) for k, s in enumerate(sets)], "root long, digest long, n long, tokens binary").repartition(3)
+    met = []
+    blocks = J._blocks
+    monkeypatch.setattr(J, "_blocks", lambda *a: met.append(blocks(*a)) or met[-1])
+    got = {tuple(sorted(r)) for r in J._links(live, 85).collect()}
+    assert got == {(k, 1460 + k) for k in range(40)}
+    assert met[-1].where("not same").count() == 0 and met[-1].where("same").count() == 40
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e")] * 3 + [(None, "a b c d e"), (None, "solo words that none has"), (0, "other words are here now")], "doc_id long, text string")
     rows = sorted(J.jaccard_components(df).collect(), key=str)

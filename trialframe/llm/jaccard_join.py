@@ -11,16 +11,22 @@ A text's set is its distinct k-word shingles, hashed to 64 bits. Equal sets are
    not suffice gets its class's common signature (tier C).
 2. Candidates. Tasks send each signature once per portion, with edges from its sets to one of them; what is sent is
    sorted within hash partitions and streamed: each run of one signature gives edges to its first set, never pairs. Linked sets share a signature, so they are in one connected component of these edges.
-3. Groups. The sets of a component are partitioned into groups of similar size and bounded total length, and each
+3. Narrowing. Passages that many short texts share join sets into large components with few links. The sets of a component
+   that needs more than one group are drawn as sketches: the parity of the shingles that fall on each of two to four bits
+   per shingle. The bits in which two sketches differ are at most the shingles in which the sets do, so pairs that differ
+   in more bits than linked sets can are none. What the others connect are the components from here on. Sketches have
+   a sixteenth of the shingles' bytes at most, and only they are compared all with all.
+4. Groups. The sets of a component are partitioned into groups of similar size and bounded total length, and each
    group's token union is stored with it: the rows of the token-group matrix. A component with one group needs no more.
-4. Opening. For each two groups of a component whose sizes can reach the threshold, every set of one is a query on the
+5. Opening. For each two groups of a component whose sizes can reach the threshold, every set of one is a query on the
    other: the overlap with the union bounds the overlap with each member. Only where that bound reaches what the
    smallest member needs is the group opened and the exact overlaps are counted. A block of two groups returns a
    spanning forest of its links, not the links.
-5. Components of these links, over classes, give the result.
+6. Components of these links, over classes, give the result.
 
-Nothing depends on sampling and no candidate is dropped. What grows with the square is the number of group pairs within
-one component (its sets that are near each other, not its copies), each a task of bounded size.
+Nothing depends on sampling and no candidate is dropped. What grows with the square is the number of pairs of sketch
+groups within a component of signatures, and of token groups within a narrowed one (its sets that are near each other,
+not its copies), each a task of bounded size.
 
 Defined results: null and empty texts, and texts without words, have an empty set, n_shingles 0, and are linked with
 nothing, not even with each other. A text with fewer than k words has one shingle, its whole sequence. Repeated rows
@@ -36,16 +42,18 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm.common import LOWER, distinct_per_text, durable, mix, shingle_hashes, sized_broadcast, slices, small_batches, span_hashes, table, word_spans
+from trialframe.llm.common import LOWER, distinct_per_text, durable, flat, mix, shingle_hashes, sized_broadcast, slices, small_batches, span_hashes, table, word_spans
 from trialframe.llm.components import components
 
 SHINGLE = 4
 PERCENT = 85
 #: Shingles that a group holds on average at most.
 GROUP_TOKENS = 1 << 16
+#: 64-bit words that a group of sketches holds on average at most, and what a short sketch counts for at least.
+SKETCH_WORDS, SKETCH_LEAST = 1 << 15, 4
 #: Signatures that a task holds before it sends them.
 PORTION = 500_000
 #: Live sets whose ids may be broadcast when their texts are read again.
@@ -53,7 +61,7 @@ BROADCAST_SETS = 2_000_000
 #: Rows of the group plan that may be broadcast.
 BROADCAST_PLANS = 500_000
 
-_PART, _SUM = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
+_PART, _SUM, _BIT = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xE7037ED1A0B428DB)
 
 
 class Sizes:
@@ -304,22 +312,24 @@ def open_groups(left: Group, right: Group, percent: int, same: bool) -> list[tup
     return [(int(name[a]), int(name[b])) for a, b in forest(len(name), pairs())]
 
 
-def _links(live: DataFrame, percent: int) -> DataFrame:
-    """live: (root, digest, n, tokens binary); the edges (a, b) of each component's links."""
+def _blocks(live: DataFrame, weight: Column, most: int, fields: list[str], percent: int) -> DataFrame:
+    """live: (root, digest, n, ...); (same, sets, others): each group of sets, and each two of a component that can have links.
+
+    A group has sets whose weights sum to about `most`, each with the given fields."""
     s = percent / 100
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / s) * 2)
     # Sizes of similar value together; a random share of them where they are too many for one group.
     rows = live.withColumn("band", band)
-    held = rows.groupBy("root", "band").agg(F.sum("n").alias("held"))
+    held = rows.groupBy("root", "band").agg(F.sum(weight).alias("held"))
     whole = held.groupBy("root").agg(F.sum("held").alias("all"))
-    plan = held.join(whole, "root").select("root", "band", F.when(F.col("all") <= GROUP_TOKENS, 0).otherwise(F.ceil(F.col("held") / GROUP_TOKENS)).cast("int").alias("groups"))
+    plan = held.join(whole, "root").select("root", "band", F.when(F.col("all") <= most, 0).otherwise(F.ceil(F.col("held") / most)).cast("int").alias("groups"))
     plan = durable(plan)
     part = F.when(F.col("groups") == 0, F.lit(-1)).otherwise(F.pmod(F.xxhash64("digest"), F.greatest(F.col("groups"), F.lit(1))).cast("int"))
     placed = (
         rows.join(sized_broadcast(plan, plan.count(), BROADCAST_PLANS), ["root", "band"]).withColumn("part", part)
         .withColumn("band", F.when(F.col("groups") == 0, F.lit(-1)).otherwise(F.col("band")))
         .groupBy("root", "band", "part")
-        .agg(F.collect_list(F.struct("digest", "tokens")).alias("sets"), F.min("n").alias("low"), F.max("n").alias("high"))
+        .agg(F.collect_list(F.struct(*fields)).alias("sets"), F.min("n").alias("low"), F.max("n").alias("high"))
     )
     groups = durable(placed.select("root", F.struct("band", "part").alias("g"), "sets", "low", "high"))
     names = groups.where("g.band >= 0").select("root", "g", "low", "high")
@@ -332,7 +342,99 @@ def _links(live: DataFrame, percent: int) -> DataFrame:
     )
     side = groups.select("root", F.col("g").alias("other"), F.col("sets").alias("others"))
     across = met.join(groups.select("root", "g", "sets"), ["root", "g"]).join(side, ["root", "other"]).select(F.lit(False).alias("same"), "sets", "others")
-    blocks = groups.select(F.lit(True).alias("same"), "sets", F.expr("slice(sets, 1, 0)").alias("others")).unionByName(across)
+    return groups.select(F.lit(True).alias("same"), "sets", F.expr("slice(sets, 1, 0)").alias("others")).unionByName(across)
+
+
+def sketches(h: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """Of sets of the given offsets, the parity of the shingles on each of their bits, a power of two."""
+    n = np.diff(offs)
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    first = np.r_[0, np.cumsum(width)]
+    bit = (mix(h * _BIT) & (np.repeat(width, n) - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(bit + np.repeat(first[:-1], n), minlength=first[-1]) & 1).astype(np.uint8)
+    data = np.packbits(odd, bitorder="little").tobytes()
+    return [data[a // 8 : b // 8] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+class Drawn:
+    """Sketches of some sets, folded to the least width among them."""
+
+    def __init__(self, digest: np.ndarray, size: np.ndarray, bits: list[bytes]):
+        self.digest, self.size = digest, size
+        least = min(len(b) for b in bits) // 8
+        self.bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, least), axis=0) for b in bits])
+
+    def folded(self, words: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(self.bits.reshape(len(self.bits), -1, words), axis=1)
+
+
+def near_sketches(left: Drawn, right: Drawn, percent: int, same: bool) -> list[tuple[int, int]]:
+    """Digests that connect the sets of two groups, or of one, whose sketches do not exclude a link."""
+    words = min(left.bits.shape[1], right.bits.shape[1])
+    a, b = left.folded(words), right.folded(words)
+    shift = 0 if same else len(a)
+    name = left.digest if same else np.r_[left.digest, right.digest]
+    top = np.arange(len(name))
+    out: list[tuple[int, int]] = []
+    step = max(1, 2_000_000 // len(b))
+    for lo in range(0, len(a), step):
+        part, n = a[lo : lo + step], left.size[lo : lo + step, None]
+        differ = np.zeros((len(part), len(b)), np.int32)
+        for w in range(words):
+            differ += np.bitwise_count(part[:, w, None] ^ b[None, :, w])
+        # 100 i >= p (n + b - i) with i = (n + b - d) / 2
+        near = differ * (100 + percent) <= (n + right.size) * (100 - percent)
+        for i in np.flatnonzero(near.any(1)).tolist():
+            own = top[lo + i]
+            met = np.unique(top[shift + np.flatnonzero(near[i])])
+            met = met[met != own]
+            if len(met):
+                out.extend((int(name[own]), int(name[m])) for m in met)
+                top[np.isin(top, met)] = own
+    return out
+
+
+def _narrowed(live: DataFrame, percent: int) -> DataFrame:
+    """live, its components of more than one group divided into what sketches leave connected; sets near no other go."""
+    large = durable(live.groupBy("root").agg(F.sum("n").alias("all")).where(F.col("all") > GROUP_TOKENS).select("root"))
+    many = large.count()
+    if not many:
+        return live
+    large = sized_broadcast(large, many, BROADCAST_PLANS)
+
+    def drawn(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            h, offs = flat(b.column(3))
+            bits = pa.array(sketches(np.frombuffer(h.tobytes(), np.uint64), offs // 8), pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], bits], names=["root", "digest", "n", "bits"])
+
+    drawings = durable(live.join(large, "root").select("root", "digest", "n", "tokens").mapInArrow(drawn, "root long, digest long, n long, bits binary"))
+    blocks = _blocks(drawings, F.greatest(F.length("bits") / 8, F.lit(SKETCH_LEAST)), SKETCH_WORDS, ["digest", "n", "bits"], percent)
+
+    def group(sets: pa.Array) -> Drawn:
+        digest, size, bits = sets.flatten()
+        return Drawn(digest.to_numpy(), size.to_numpy(), bits.to_pylist())
+
+    def compared(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                same, one, two = batch.column(0)[k].as_py(), batch.column(1)[k].values, batch.column(2)[k].values
+                left = group(one)
+                found = near_sketches(left, left if same else group(two), percent, same)
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    near = durable(components(blocks.mapInArrow(compared, "a long, b long")).select(F.col("node").alias("digest"), F.col("root").alias("near")))
+    inside = live.join(large, "root").join(sized_broadcast(near, near.count(), BROADCAST_SETS), "digest").select(F.col("near").alias("root"), "digest", "n", "tokens")
+    return live.join(large, "root", "left_anti").unionByName(inside)
+
+
+def _links(live: DataFrame, percent: int) -> DataFrame:
+    """live: (root, digest, n, tokens binary); the edges (a, b) of each component's links."""
+    blocks = _blocks(_narrowed(live, percent), F.col("n"), GROUP_TOKENS, ["digest", "tokens"], percent)
 
     def group(sets: list[dict]) -> Group:
         return Group(np.array([x["digest"] for x in sets], np.int64), [np.frombuffer(x["tokens"], np.uint64) for x in sets])
