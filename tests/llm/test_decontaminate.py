@@ -126,3 +126,23 @@ def test_empty_tables(spark):
     assert D.with_matches(df, bench.limit(0)).where(F.size("matches") > 0).count() == 0
     assert D.with_matches(df.limit(0), bench).count() == 0
     assert [len(r.matches) for r in D.with_matches(df, bench).collect()] == [3, 3, 3]
+
+
+def test_fingerprints_are_majorities_of_pair_bits_also_beyond_a_byte_and_a_step():
+    """Running sums carry between the eight counts of a number: 9,000 equal pairs overflow every byte."""
+    rng = np.random.default_rng(8)
+    words = np.r_[np.full(9_000, 77, np.uint64), rng.integers(0, 2**63, 3_000).astype(np.uint64)]
+    running = D.pair_bits(words)
+    assert running.nbytes == 64 * len(words)  # eight counts a number
+    pair = D.mix(words[:-1] * D._SLOT[0] + words[1:] * D._SLOT[1])
+    plain = np.vstack([np.zeros((1, 64), np.int64), np.cumsum(np.unpackbits(pair.view(np.uint8)).reshape(-1, 64).astype(np.int64), axis=0)])
+    for size in D.SIZES:
+        want = np.packbits(plain[size - 1 :] - plain[: 1 - size] > (size - 1) // 2, axis=1).view(np.uint64).ravel()
+        assert np.array_equal(D.fingerprints(running, size), want)
+    assert len(D.fingerprints(D.pair_bits(words[:9]), 10)) == 0
+
+
+def test_windows_without_a_near_value_are_left_early():
+    index = D.SizeIndex(np.array([5], np.uint64), np.array([0]), np.array([0]))
+    assert [int(x.sum()) for x in index.some] == [137] * 4
+    assert [x.tolist() for x in index.search(np.array([5, 2**64 - 1, 7], np.uint64))] == [[0, 2], [0, 0]]
