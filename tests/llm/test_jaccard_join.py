@@ -162,6 +162,23 @@ def test_a_shingle_of_very_many_short_texts_is_sent_once_a_portion(spark, monkey
         assert got[i] == first.setdefault(t.removesuffix(" more"), i), t
 
 
+def test_packed_signatures_are_small_and_complete(spark):
+    """What is shuffled has at most 12 bytes a signature, and gives each signature's range all of its sets."""
+    rng = random.Random(3)
+    texts = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(300)) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    plain = {(r.key % 2**64 >> 16, r.digest) for r in J._signature_rows(docs, 5, J.Sizes(80)).where("n is null").collect()}
+    rows = J._signature_rows(docs, 5, J.Sizes(80), 16).where("keys is not null").collect()
+    got = set()
+    for r in rows:
+        key = np.cumsum(J.unpack_numbers(r["keys"], np.uint64)) + J._bounds(16)[r.range]
+        assert (key < J._bounds(16)[r.range + 1]).all()
+        digest = np.frombuffer(r.names, np.int64)[J.unpack_numbers(r.owners, np.uint32)]
+        got |= set(zip(key.tolist(), digest.tolist(), strict=True))
+    assert got == plain
+    assert sum(len(r["keys"]) + len(r.owners) + len(r.names) for r in rows) <= 12 * len(plain)
+
+
 def test_star_edges_connect_what_shares_a_signature():
     sig, dig = np.array([5, 5, 7, 5, 7, 9], np.uint64), np.array([3, -4, 8, 3, 2, 6])
     key, own, left, right = J._star(sig, dig)

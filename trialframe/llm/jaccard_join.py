@@ -9,8 +9,11 @@ A text's set is its distinct k-word shingles, hashed to 64 bits. Equal sets are
    passage that many texts share makes them frequent; so parts of fewer than two or three shingles are left out where enough
    others remain for the guarantee (tier A), and are added where not (tier B); a set for which even the filled parts do
    not suffice gets its class's common signature (tier C).
-2. Candidates. Tasks send each signature once per portion, with edges from its sets to one of them; what is sent is
-   sorted within hash partitions and streamed: each run of one signature gives edges to its first set, never pairs. Linked sets share a signature, so they are in one connected component of these edges.
+2. Candidates. Tasks send each signature once per portion, with edges from its sets to one of them. What is sent goes to
+   ranges of the signatures' first 48 bits, a portion's sorted and packed for each range (about 9 bytes a signature);
+   signatures taken for equal by that only enlarge components. A range has a bounded number of signatures, and equal
+   ones give edges to their first set, never pairs. Linked sets share a signature, so they are in one connected
+   component of these edges.
 3. Narrowing. Passages that many short texts share join sets into large components with few links. The sets of a component
    that needs more than one group are drawn as sketches: the parity of the shingles that fall on each of two to four bits
    per shingle. The bits in which two sketches differ are at most the shingles in which the sets do, so pairs that differ
@@ -42,10 +45,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm.common import LOWER, distinct_per_text, durable, flat, mix, shingle_hashes, sized_broadcast, slices, small_batches, span_hashes, table, word_spans
+from trialframe.llm.common import LOWER, distinct_per_text, durable, flat, mix, pack_numbers, shingle_hashes, sized_broadcast, slices, small_batches, span_hashes, table, unpack_numbers, word_spans
 from trialframe.llm.components import components
 
 SHINGLE = 4
@@ -54,8 +58,10 @@ PERCENT = 85
 GROUP_TOKENS = 1 << 16
 #: 64-bit words that a group of sketches holds on average at most, and what a short sketch counts for at least.
 SKETCH_WORDS, SKETCH_LEAST = 1 << 15, 4
-#: Signatures that a task holds before it sends them.
-PORTION = 500_000
+#: Signatures that a task holds before it sends them, and bits of them that are sent.
+PORTION, KEY_BITS = 1_000_000, 48
+#: Bytes of text whose signatures one range holds on average, and the least number of ranges.
+RANGE_BYTES, RANGES = 32 << 20, 256
 #: Live sets whose ids may be broadcast when their texts are read again.
 BROADCAST_SETS = 2_000_000
 #: Rows of the group plan that may be broadcast.
@@ -164,11 +170,40 @@ def _star(sig: np.ndarray, dig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return sig[start], dig[start], edges[:, 0], edges[:, 1]
 
 
-def _signature_rows(docs: DataFrame, k: int, sizes: Sizes) -> DataFrame:
+def _bounds(ranges: int) -> np.ndarray:
+    """The first key of each range and the end of the last."""
+    return np.array([(j << KEY_BITS) // ranges for j in range(ranges + 1)], np.uint64)
+
+
+def _packed(batches, ranges: int):
+    """Signature rows by range: texts and edges, dealt to any, as they are; of a portion's signatures a row per range.
+
+    It has the distances of the sorted keys, the place of each one's set among the range's digests, and these."""
+    names = ["range", "digest", "doc_id", "n", "keys", "owners", "names"]
+    bounds = _bounds(ranges)
+    for b in batches:
+        key, own = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()
+        if b.column(3).null_count < b.num_rows:
+            at, none = (key % np.uint64(ranges)).astype(np.int32), pa.nulls(b.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(at), *b.columns[1:], none, none, none], names=names)
+            continue
+        key = key >> np.uint64(64 - KEY_BITS)
+        cut = np.searchsorted(key, bounds)
+        some = np.flatnonzero(cut[1:] > cut[:-1])
+        held: list[list[bytes]] = [[], [], []]
+        for j, lo, hi in zip(some.tolist(), cut[some].tolist(), cut[some + 1].tolist(), strict=True):
+            digest, place = np.unique(own[lo:hi], return_inverse=True)
+            for column, x in zip(held, (pack_numbers(np.diff(key[lo:hi], prepend=bounds[j])), pack_numbers(place.astype(np.uint32)), digest.tobytes()), strict=True):
+                column.append(x)
+        none = pa.nulls(len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), none, none, none, *[pa.array(x, pa.binary()) for x in held]], names=names)
+
+
+def _signature_rows(docs: DataFrame, k: int, sizes: Sizes, ranges: int = 0) -> DataFrame:
     """(key, digest, doc_id, n): a row per text, and per signature (n is null) once in a portion of a task; edges (n = -1).
 
     What a portion's sets share becomes star edges at once, so a signature of a large part of all texts reaches the
-    shuffle once per portion of `PORTION` signatures, not once per text.
+    shuffle once per portion of `PORTION` signatures, not once per text. With a number of ranges, as `_packed` gives them.
     """
     names = ["key", "digest", "doc_id", "n"]
 
@@ -209,39 +244,51 @@ def _signature_rows(docs: DataFrame, k: int, sizes: Sizes) -> DataFrame:
         if held:
             yield from sent(sigs, digs)
 
+    if ranges:
+        return docs.mapInArrow(lambda batches: _packed(rows(batches), ranges), "range int, digest long, doc_id long, n long, keys binary, owners binary, names binary")
     return docs.mapInArrow(rows, "key long, digest long, doc_id long, n long")
 
 
-def _candidate_rows(signed: DataFrame) -> DataFrame:
-    """The texts' rows as they are, and star edges (digest, first digest of the run) with n = -1."""
+def _candidate_rows(signed: DataFrame, ranges: int) -> DataFrame:
+    """The texts' rows as they are, and star edges (digest, first digest with the signature) with n = -1."""
+    bounds = _bounds(ranges)
+
+    def met(keys: list[np.ndarray], digs: list[np.ndarray], sent: set[tuple[int, int]]):
+        key, dig = np.concatenate(keys), np.concatenate(digs)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        equal = key[1:] == key[:-1]
+        shared = np.r_[equal, False] | np.r_[False, equal]
+        _, _, left, right = _star(key[shared], dig[order][shared])
+        fresh = [p for p in zip(left.tolist(), right.tolist(), strict=True) if p not in sent]
+        sent.update(fresh)
+        if len(sent) > 300_000:
+            sent.clear()
+        if fresh:
+            a, f = zip(*fresh, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(f, pa.int64()), pa.array([-1] * len(a), pa.int64())], names=["digest", "doc_id", "n"])
 
     def stream(batches):
-        last_key = last_first = last_digest = None
         sent: set[tuple[int, int]] = set()
+        keys: list[np.ndarray] = []
+        digs: list[np.ndarray] = []
+        last = None
         for b in batches:
-            key, dig = b.column(0).to_numpy(), b.column(1).to_numpy()
-            text = b.column(3).is_valid().to_numpy(zero_copy_only=False)
-            if text.any():
-                t = b.filter(pa.array(text))
-                yield pa.RecordBatch.from_arrays([t.column(1), t.column(2), t.column(3)], names=["digest", "doc_id", "n"])
-            key, dig = key[~text], dig[~text]
-            if not len(key):
-                continue
-            start = np.r_[key[0] != last_key, key[1:] != key[:-1]]
-            run = np.cumsum(start)
-            firsts = dig[start]
-            first = np.r_[np.array([last_first if last_first is not None else 0], np.int64), firsts][run]
-            pairs = np.unique(np.stack([dig, first], 1)[dig != first], axis=0) if (dig != first).any() else np.zeros((0, 2), np.int64)
-            last_key, last_first = int(key[-1]), int(first[-1])
-            fresh = [p for p in map(tuple, pairs.tolist()) if p not in sent]
-            sent.update(fresh)
-            if len(sent) > 300_000:
-                sent.clear()
-            if fresh:
-                a, f = zip(*fresh, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(f, pa.int64()), pa.array([-1] * len(a), pa.int64())], names=["digest", "doc_id", "n"])
-
-    dealt = signed.repartition("key").sortWithinPartitions("key", "digest")
+            packed = b.column(4).is_valid()
+            plain = b.filter(pc.invert(packed))
+            if plain.num_rows:
+                yield plain.select(["digest", "doc_id", "n"])
+            for row in b.filter(packed).select(["range", "keys", "owners", "names"]).to_pylist():
+                if row["range"] != last:
+                    if keys:
+                        yield from met(keys, digs, sent)
+                    keys, digs, last = [], [], row["range"]
+                keys.append(np.cumsum(unpack_numbers(row["keys"], np.uint64)) + bounds[last])
+                digs.append(np.frombuffer(row["names"], np.int64)[unpack_numbers(row["owners"], np.uint32)])
+        if keys:
+            yield from met(keys, digs, sent)
+
+    dealt = signed.repartition("range").sortWithinPartitions("range")
     return dealt.mapInArrow(stream, "digest long, doc_id long, n long")
 
 
@@ -483,7 +530,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     small_batches(spark)
     sizes = Sizes(percent)
     held = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    found = durable(_candidate_rows(_signature_rows(held, k, sizes)))
+    ranges = max(RANGES, -(-(held.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES))
+    found = durable(_candidate_rows(_signature_rows(held, k, sizes, ranges), ranges))
     texts = found.where("n >= 0")
     roots = durable(components(found.where("n = -1").select(F.col("digest").alias("a"), F.col("doc_id").alias("b"))).select(F.col("node").alias("digest"), "root"))
     live = roots.count()
