@@ -2,10 +2,13 @@
 
 import hashlib
 import math
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trialframe import catalog
 from trialframe.functions import expr, text
 from trialframe.operators import bakeoff, batch_jobs, cost, gates, ledger, lifecycle, metrics, spatial, split, tables, train_data, vector
 
@@ -177,6 +180,41 @@ def test_readings_are_reconciled(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_pages_with_both_readings_in_a_row_are_reconciled_there(spark):
+    rng = np.random.default_rng(7)
+    token = "array<struct<k: int, text: string, x: double, y: double, w: double, h: double, confidence: double>>"
+
+    def reading(n, first):
+        xs, ys = rng.uniform(-200, 200, n).round(1), rng.uniform(-100, 100, n).round(1)
+        return [(first + i, [None, "a", "A", "b "][rng.integers(4)], float(x), float(y), float(rng.integers(1, 9)), 4.0, [None, 0.5, 0.7, 0.9][rng.integers(4)]) for i, (x, y) in enumerate(zip(xs, ys, strict=True))]
+
+    rows = [(p, reading(rng.integers(0, 90), 0), reading(rng.integers(0, 90), 0)) for p in range(40)]
+    # Reach is open; places without a number are near nothing; a page without one reading, without any, and in two rows.
+    rows += [(40, [(0, "x", 0.0, 0.0, 2.0, 2.0, 0.9)], [(0, "y", 15.0, 0.0, 2.0, 2.0, 0.8), (1, "y", 14.9, 9.9, 2.0, 2.0, 0.8), (2, "y", None, 0.0, 2.0, 2.0, 0.8)])]
+    rows += [(41, None, reading(3, 0)), (42, reading(3, 0), None), (43, None, None), (44, reading(30, 0), reading(30, 0)), (44, reading(30, 30), reading(30, 30)), (45, [(0, "x", 1e300, 0.0, 2.0, 2.0, 0.9)], [(0, "y", 1e300, 0.0, 2.0, 2.0, 0.8)])]
+    pages = spark.createDataFrame(rows, f"page int, tokens {token}, supplement {token}").repartition(3, "page")
+    got = Counter(map(tuple, spatial.reconciled_pages(pages, "page", "k", columns=("k", "text", "x")).collect()))
+    want = Counter()
+    whole = {p: ([t for q, a, _ in rows if q == p for t in a or []], [t for q, _, b in rows if q == p for t in b or []]) for p, _, _ in rows}
+    near = lambda s, t: None not in (s[2], t[2]) and abs(s[2] + s[4] / 2 - t[2] - t[4] / 2) < 15 and abs(s[3] + s[5] / 2 - t[3] - t[5] / 2) < 10
+    for p, (a, b) in whole.items():
+        for s in a:
+            met = [t for t in b if near(s, t)]
+            clash = any(s[1] and t[1] and s[1].strip().lower() != t[1].strip().lower() for t in met)
+            known = [c for c in (s[6], *(t[6] for t in met)) if c is not None]
+            want[(p, *s[:3], (min(known) * 0.5 if known else None) if clash else s[6], "contradicted" if clash else "kept")] += 1
+        for t in b:
+            if not any(near(s, t) for s in a):
+                want[(p, *t[:3], t[6], "added")] += 1
+    assert got == want and {k[-1] for k in want} == {"kept", "contradicted", "added"}
+
+
+def test_readings_are_reconciled_without_a_shuffle_of_tokens(spark):
+    for name in ("ocr_cross_validate",):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hash") == 1
+
+
 def test_lines_follow_their_first_token(spark):
     cols = "page int, text string, x double, y double, h double"
     t = spark.createDataFrame([(1, "world", 200.0, 0.0, 10.0), (1, "hello", 0.0, 4.0, 10.0), (1, "next", 0.0, 11.0, 10.0), (1, "low", 0.0, 40.0, 10.0)], cols)
