@@ -207,10 +207,14 @@ def test_pages_with_both_readings_in_a_row_are_reconciled_there(spark):
             if not any(near(s, t) for s in a):
                 want[(p, *t[:3], t[6], "added")] += 1
     assert got == want and {k[-1] for k in want} == {"kept", "contradicted", "added"}
+    ensemble = spatial.ensemble_pages(pages, "page", "k", lambda t: F.col("page") % 2 == 1, columns=("k", "text", "x"))
+    odd = Counter((p, *t[:3], t[6], "kept") for p, (a, _) in whole.items() if p % 2 for t in a)
+    even = Counter({k: n for k, n in want.items() if k[0] % 2 == 0 and whole[k[0]][0]})
+    assert Counter(map(tuple, ensemble.collect())) == odd + even
 
 
 def test_readings_are_reconciled_without_a_shuffle_of_tokens(spark):
-    for name in ("ocr_cross_validate",):
+    for name in ("ocr_cross_validate", "ensemble_tokens"):
         plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and plan.count("Exchange hash") == 1
 

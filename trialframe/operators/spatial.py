@@ -195,3 +195,12 @@ def ensemble(tokens: DataFrame, supplement: DataFrame, page: str, key: str, targ
     pages = whole.select(page).distinct()
     both = reconciled(whole, supplement.join(pages, page, "left_semi"), page, key)
     return both.unionByName(part.withColumn("origin", F.lit("kept")).select(*both.columns))
+
+
+def ensemble_pages(pages: DataFrame, page: str, key: str, targeted: Callable[[Column], Column], tokens: str = "tokens", supplement: str = "supplement", columns: tuple[str, ...] = ("text", "x", "y")) -> DataFrame:
+    """`ensemble`, of pages that have both readings in one row, as arrays of tokens."""
+    held = one_row_a_page(pages, page, tokens, supplement)
+    whole = held.withColumn(tokens, F.filter(tokens, lambda t: ~targeted(t)))
+    both = reconciled_pages(whole.withColumn(supplement, F.when(F.size(tokens) > 0, F.col(supplement))), page, key, tokens, supplement, columns)
+    part = held.select(page, F.explode(F.filter(tokens, targeted)).alias("t"))
+    return both.unionByName(part.select(page, *[F.col("t")[c].alias(c) for c in columns], F.col("t")["confidence"].cast("double").alias("confidence"), F.lit("kept").alias("origin")))

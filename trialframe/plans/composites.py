@@ -240,6 +240,5 @@ t AS (SELECT page, count(*) AS n, sum(confidence) AS c FROM tok WHERE page % 2 =
 SELECT f.page, f.n + coalesce(e.n, 0) AS n, round(f.c + coalesce(e.c, 0), 4) AS confidence FROM f LEFT JOIN e ON e.page = f.page UNION ALL SELECT page, n, round(c, 4) FROM t""")
 def ensemble_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Whole pages by both readings; pages read as regions by the first alone."""
-    a, b = (readings(spark, d).select("page", F.inline(c)) for c in ("tokens", "supplement"))
-    out = spatial.ensemble(a.withColumn("region", F.col("page") % 2 == 1), b, "page", "tok", F.col("region"))
+    out = spatial.ensemble_pages(readings(spark, d), "page", "tok", lambda t: F.col("page") % 2 == 1, columns=())
     return out.groupBy("page").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
